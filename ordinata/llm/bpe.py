@@ -1,7 +1,7 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 A pre-token is a linked list of byte parts. Every mergeable neighbour pair waits in the bucket of its merge rank;
-a three-level bitmap over the ranks gives the lowest non-empty bucket by find-first-set, and the leftmost position of
+a two-level bitmap over the ranks, of 256-bit words, gives the lowest non-empty bucket by find-first-set, and the leftmost position of
 that bucket is merged. Entries whose pair has changed since are stale and skipped, so a pre-token of n bytes costs
 O(n log n) however long it is.
 
@@ -23,8 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens whose ids a Python worker remembers; it forgets all of them when there are more.
-CACHE_ENTRIES = 600_000
+#: Distinct pre-tokens in each of the two generations whose ids a Python worker remembers.
+CACHE_ENTRIES = 700_000
 #: Pre-tokens longer than this are never remembered.
 CACHE_CHARS = 64
 #: Texts are encoded by so many pre-tokens at a time, which bounds memory for very long texts.
@@ -37,47 +37,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
 
 
+_BIT = tuple(1 << k for k in range(1 << 12))
+
+
 class RankQueue:
-    """A priority queue of positions by merge rank: one bucket per rank under a bitmap of three levels of 64-bit words."""
+    """A priority queue of positions by merge rank: a bucket per rank under a hierarchy of bitmaps.
 
-    __slots__ = ("buckets", "leaf", "middle", "top")
+    A bit of a 256-bit word of ``words`` is a rank with a bucket; a bit of the root, which ``BytePairCodec.merge`` holds,
+    is a word with a bit. A bucket of one position is that position, a larger one a heap. The queue is empty between two
+    pre-tokens.
+    """
+
+    __slots__ = ("buckets", "words")
 
     def __init__(self, n_ranks: int):
-        words = (n_ranks >> 6) + 1
-        self.leaf = [0] * words
-        self.middle = [0] * ((words >> 6) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        self.leaf[word] |= 1 << (rank & 63)
-        self.middle[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
-
-    def pop(self) -> tuple[int, int]:
-        """The leftmost position of the lowest rank."""
-        top = self.top
-        t = (top & -top).bit_length() - 1
-        bits = self.middle[t]
-        word = t << 6 | (bits & -bits).bit_length() - 1
-        bits = self.leaf[word]
-        rank = word << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.leaf[word] ^= 1 << (rank & 63)
-            if not self.leaf[word]:
-                self.middle[t] ^= 1 << (word & 63)
-                if not self.middle[t]:
-                    self.top ^= 1 << t
-        return rank, position
+        self.words = [0] * ((n_ranks >> 8) + 1)
+        self.buckets: dict[int, int | list[int]] = {}
 
 
 class BytePairCodec:
@@ -92,46 +67,89 @@ class BytePairCodec:
         self.bytes = [ranks[bytes([b])] for b in range(256)]
         self.split = regex.compile(pattern)
         self.queue = RankQueue(len(self.tokens))
+        self.pairs = [-1] * (1 << 16)  # ranks of two bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
         self.seen = _Remembered(self)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token. The queue's steps are written out here, as calls would double the time."""
         ranks, queue = self.ranks, self.queue
         if (whole := ranks.get(piece)) is not None:
             return (whole,)
-        n, push, rank_of = len(piece), queue.push, ranks.get
+        rank_of, words, buckets, bit = ranks.get, queue.words, queue.buckets, _BIT
+        pairs, n, root = self.pairs, len(piece), 0
+        now = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        now.append(-1)
         if n > 4096:
-            nxt, prv, now = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("q", [-1]) * n
+            nxt, prv, now = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("q", now)
         else:
-            nxt, prv, now = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        for i in range(n - 1):
-            if (rank := rank_of(piece[i : i + 2])) is not None:
-                now[i] = rank
-                push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
+            nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def share(rank: int, i: int) -> None:
+            """One more position for a rank that has a bucket."""
+            bucket = buckets[rank]
+            if type(bucket) is int:
+                buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
+            else:
+                heappush(bucket, i)
+
+        for i, rank in enumerate(now):
+            if rank >= 0:
+                if rank in buckets:
+                    share(rank, i)
+                else:
+                    buckets[rank] = i
+                    words[rank >> 8] |= bit[rank & 255]
+                    root |= bit[rank >> 8]
+        while root:
+            w = (root & -root).bit_length() - 1
+            bits = words[w]
+            rank = w << 8 | (bits & -bits).bit_length() - 1
+            i = buckets[rank]
+            if type(i) is int or len(i) == 1:
+                if type(i) is not int:
+                    i = i[0]
+                del buckets[rank]
+                bits &= bits - 1
+                words[w] = bits
+                if not bits:
+                    root &= root - 1
+            else:
+                i = heappop(i)
             if now[i] != rank:
                 continue  # stale: this pair has been merged or has grown
             j = nxt[i]
             end = nxt[j]
             nxt[i] = end
             now[i] = now[j] = -1
+            before = prv[i]
             if end < n:
                 prv[end] = i
-                if (rank := rank_of(piece[i : nxt[end]])) is not None:
+                rank = rank_of(piece[i : nxt[end]], -1)
+                if rank >= 0:
                     now[i] = rank
-                    push(rank, i)
-            before = prv[i]
+                    if rank in buckets:
+                        share(rank, i)
+                    else:
+                        buckets[rank] = i
+                        words[rank >> 8] |= bit[rank & 255]
+                        root |= bit[rank >> 8]
             if before >= 0:
-                if (rank := rank_of(piece[before:end])) is not None:
-                    now[before] = rank
-                    push(rank, before)
-                else:
-                    now[before] = -1
+                rank = now[before] = rank_of(piece[before:end], -1)
+                if rank >= 0:
+                    if rank in buckets:
+                        share(rank, before)
+                    else:
+                        buckets[rank] = before
+                        words[rank >> 8] |= bit[rank & 255]
+                        root |= bit[rank >> 8]
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : nxt[i]]])
-            i = nxt[i]
+            end = nxt[i]
+            out.append(ranks[piece[i:end]])
+            i = end
         return tuple(out)
 
     def encode_steps(self, text: str) -> Iterator[list[int]]:
@@ -152,17 +170,22 @@ class BytePairCodec:
 
 
 class _Remembered(dict):
-    """Ids by pre-token; a miss is encoded."""
+    """Ids by pre-token; a miss is encoded. When full, it becomes the older generation, from which words in use return."""
 
     def __init__(self, codec: BytePairCodec):
         self.codec = codec
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.codec.merge(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = ids
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.codec.merge(word.encode("utf-8", "surrogatepass"))
+            if len(word) > CACHE_CHARS:
+                return ids
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 
