@@ -20,8 +20,8 @@ a null doc_id is kept. Ties in score go to the earlier document. Other columns a
 from __future__ import annotations
 
 import math
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +38,7 @@ END_ID = 1
 SHARD_TOKENS = 2_500_000
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-#: Characters beyond Latin script, long runs of white space and the special token's string take the slower route.
-_SLOW = re.compile("[^\x00-ɏ]|\\s{256}|<\\|endoftext\\|>")
+SPECIAL = "<|endoftext|>"
 
 
 class Tokens:
@@ -52,10 +51,16 @@ class Tokens:
         self.exact = Tokenizer.from_file(json_path)
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
 
-    def ids(self, text: str) -> list[int]:
-        if text.isascii() and "<|" not in text and "          " not in text or not _SLOW.search(text):
-            return self.fast.encode_ordinary(text)
-        return self.exact.encode(text, add_special_tokens=False).ids
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a text. Characters beyond Latin-1 and the special token's string take the slower route, and so do runs
+        of white space beyond the faster library's stack."""
+        try:
+            text.encode("latin-1")
+            if SPECIAL not in text:
+                return np.frombuffer(array("I", self.fast.encode_ordinary(text)), np.uint32)
+        except ValueError:
+            pass
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _tokens: dict[tuple[str, str], Tokens] = {}
@@ -68,13 +73,17 @@ def tokens(json_path: str, ranks_path: str, pattern: str) -> Tokens:
     return _tokens[key]
 
 
+_PRIORITY = (mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint32)
+
+
 def locality(ids: np.ndarray) -> int:
-    """A sort key under which documents of like vocabulary are near each other."""
+    """A sort key under which documents of like vocabulary are near each other: least hashes of a token, then of a pair."""
+    first = int(_PRIORITY[ids & np.uint32(0xFFFF)].min())
     if len(ids) < 3:
-        return int(ids[0]) << 40
-    top = int(np.bincount(ids[:-1]).argmax())
-    pairs = ids[:-2].astype(np.uint64) << np.uint64(32) | ids[1:-1].astype(np.uint64)
-    return top << 40 | int(mix(pairs).min() >> np.uint64(24))
+        return first << 40
+    pairs = (ids[:-2] * np.uint32(0x9E3779B1)) ^ (ids[1:-1] * np.uint32(0x85EBCA6B))
+    pairs ^= pairs >> np.uint32(15)
+    return first << 40 | int((pairs * np.uint32(0x2C1B3C6D)).min())
 
 
 def tokenized(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,7 +96,7 @@ def tokenized(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, *,
                 part = batch.slice(at, 256)
                 sizes, near, packed = [], [], []
                 for text in part.column(1).to_pylist():
-                    ids = np.array(own.ids(text or "") + [END_ID], np.uint32)
+                    ids = np.append(own.ids(text or ""), np.uint32(END_ID))
                     sizes.append(len(ids))
                     near.append(locality(ids))
                     packed.append(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\0" + ids.astype("<u4").tobytes())
@@ -108,42 +117,52 @@ def document_frequencies(table: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for packed in batch.column(0):
-                seen = np.unique(unpack(packed.as_py()))
-                if int(seen[-1]) >= len(counts):
-                    counts = np.concatenate([counts, np.zeros(int(seen[-1]) + 1 - len(counts), np.int64)])
-                counts[seen] += 1
+            for at in range(0, batch.num_rows, 256):
+                ids = [unpack(packed) for packed in batch.column(0).slice(at, 256).to_pylist()]
+                present = np.unique(_labelled(ids)) & np.uint64(0xFFFFFFFF)
+                found = np.bincount(present.astype(np.int64), minlength=len(counts))
+                found[: len(counts)] += counts
+                counts = found
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], names=["token", "df"])
 
     return table.select("ids").mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
 
 
+def _labelled(docs: list[np.ndarray]) -> np.ndarray:
+    """All ids of a list of documents, with the document's position in the upper half of each value."""
+    if not docs:
+        return np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(docs), dtype=np.uint64) << np.uint64(32), [len(d) for d in docs])
+    return owner | np.concatenate(docs)
+
+
 class Bm25Shard:
     """An inverted index of the documents of one shard."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        self.size = len(docs)
-        self.terms: list[np.ndarray] = []
-        term_parts, doc_parts, weight_parts = [], [], []
-        for k, ids in enumerate(docs):
-            terms, tf = np.unique(ids, return_counts=True)
-            weight = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length))).astype(np.float32) * idf[terms]
-            best = np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS] if len(terms) > QUERY_TERMS else np.arange(len(terms))
-            self.terms.append(terms[best])
-            term_parts.append(terms)
-            doc_parts.append(np.full(len(terms), k, np.int32))
-            weight_parts.append(weight)
-        terms = np.concatenate(term_parts)
-        order = np.argsort(terms, kind="stable")
-        self.docs = np.concatenate(doc_parts)[order]
-        self.weights = np.concatenate(weight_parts)[order]
-        self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+        self.size, self.ids, self.idf = len(docs), docs, idf
+        lengths = np.array([len(d) for d in docs], np.float32)
+        self.norms = (K1 * (1 - B + B * lengths / mean_length)).astype(np.float32)
+        labelled = _labelled(docs)
+        labelled = labelled << np.uint64(32) | labelled >> np.uint64(32)
+        postings, tf = np.unique(labelled, return_counts=True)  # by term, then by document
+        terms = (postings >> np.uint64(32)).astype(np.int64)
+        self.docs = postings.astype(np.uint32)
+        self.weights = (tf * np.float32(K1 + 1) / (tf + self.norms[self.docs])).astype(np.float32) * idf[terms]
+        self.starts = np.searchsorted(terms, np.arange(len(idf) + 1)).tolist()
+
+    def query(self, k: int) -> np.ndarray:
+        """The terms of document k that weigh most in it."""
+        terms, tf = np.unique(self.ids[k], return_counts=True)
+        if len(terms) <= QUERY_TERMS:
+            return terms
+        return terms[np.argpartition(-(tf / (tf + self.norms[k])) * self.idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
 
     def neighbours(self, k: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents that share a term with document k, by falling score; ties by position."""
         scores = np.zeros(self.size, np.float32)
-        for term in self.terms[k]:
+        for term in self.query(k).tolist():
             a, b = self.starts[term], self.starts[term + 1]
             scores[self.docs[a:b]] += self.weights[a:b]
         scores *= unused
