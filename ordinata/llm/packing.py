@@ -6,6 +6,8 @@ the window greedily. The neighbour that reaches the end is cut there, and its re
 the last of a shard is full. What is left at the end of a shard goes into sequences whose lengths are powers of two, which
 need no padding.
 
+A range that draws more than twice its share is packed in parts, so memory stays bounded.
+
 Document frequencies and the mean length come from the whole corpus; the frequency table is bounded by the vocabulary.
 Shards are contiguous ranges of (commonest token, least hash of a token pair, doc_id), so likely neighbours meet, and a
 hot group of copies is split between shards rather than gathered. The number of shards follows the number of tokens.
@@ -245,24 +247,35 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, *, wind
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, shard = [], 0
+        names = [f.split()[0] for f in schema.split(", ")]
+        shard = used = 0
+
+        def packed(doc_ids: list[int | None], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal used
+            last, out = -1, []
+            for k, start, length, sequence, offset in pack_shard(ids, idf.value, mean_length, window):
+                crc = zlib.crc32(ids[k][start : start + length].astype("<u4").tobytes())
+                out.append((doc_ids[k], start, length, crc, len(ids[k]), shard << 40 | used + sequence, offset))
+                last = sequence
+                if len(out) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+                    out = []
+            used += last + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+        doc_ids, ids, held = [], [], 0
         for batch in batches:
-            if batch.num_rows:
-                shard = batch.column(3)[0].as_py()
-            rows += zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
-        if not rows:
-            return
-        rows.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
-        ids = [unpack(r[2]) for r in rows]
-        out: list[tuple] = []
-        for k, start, length, sequence, offset in pack_shard(ids, idf.value, mean_length, window):
-            crc = zlib.crc32(ids[k][start : start + length].astype("<u4").tobytes())
-            out.append((rows[k][1], start, length, crc, len(ids[k]), shard << 40 | sequence, offset))
-            if len(out) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
-
-    dealt = table.repartitionByRange(shards, "near", "doc_id", F.xxhash64("ids")).select("doc_id", "near", "ids", F.spark_partition_id().cast("long").alias("shard"))
+            for doc_id, data, shard in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                doc_ids.append(doc_id)
+                ids.append(unpack(data))
+                held += len(ids[-1])
+                if held >= 2 * shard_tokens:  # a range that drew more than its share is packed in parts
+                    yield from packed(doc_ids, ids)
+                    doc_ids, ids, held = [], [], 0
+        if ids:
+            yield from packed(doc_ids, ids)
+
+    order = ("near", "doc_id", F.xxhash64("ids"))
+    dealt = table.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids", F.spark_partition_id().cast("long").alias("shard"))
     return dealt.mapInArrow(run, schema)
