@@ -129,27 +129,43 @@ def _matrix(texts: list[str | None]) -> np.ndarray:
     return np.array([statistics(t or "") for t in texts], float).reshape(len(texts), len(STATISTICS))
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "label", pooled: float = 0.3, ridge: float = 0.01) -> QuadraticDiscriminant:
-    """Fit on every row of ``labelled`` whose label is 0 or 1."""
+def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, stats) with the statistics of every whole text; far smaller than the texts, which need not move again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                stats = _matrix(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(stats), pa.list_(pa.float64()))], names=["doc_id", "stats"])
+
+    columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return columns.mapInArrow(run, "doc_id long, stats array<double>")
+
+
+def _stacked(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), float).reshape(len(column), len(STATISTICS))
+
+
+def fit(labelled: DataFrame, *, pooled: float = 0.3, ridge: float = 0.01) -> QuadraticDiscriminant:
+    """Fit on every row (stats, label) of ``labelled`` whose label is 0 or 1."""
     d = len(STATISTICS)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {k: [0.0, np.zeros(d), np.zeros((d, d))] for k in (0, 1)}
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                x, y = _matrix(part.column(0).to_pylist()), np.array(part.column(1).to_pylist())
-                for k, own in sums.items():
-                    rows = x[y == k]
-                    own[0] += len(rows)
-                    own[1] += rows.sum(axis=0)
-                    own[2] += rows.T @ rows
+            x, y = _stacked(batch.column(0)), np.array(batch.column(1).to_pylist())
+            for k, own in sums.items():
+                rows = x[y == k]
+                own[0] += len(rows)
+                own[1] += rows.sum(axis=0)
+                own[2] += rows.T @ rows
         for k, (n, s, ss) in sums.items():
             if n:
                 values = np.concatenate([[n], s, ss.ravel()])
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(values), pa.int32()), pa.array(range(len(values)), pa.int32()), pa.array(values)], names=["label", "i", "v"])
 
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    rows = labelled.select("stats", F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1))
     summed = rows.mapInArrow(partial, "label int, i int, v double").groupBy("label", "i").agg(F.sum("v").alias("v")).collect()  # 2 (1 + d + d^2) rows at most
     moments = {}
     for k in {r["label"] for r in summed}:
@@ -161,26 +177,35 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "label"
     return QuadraticDiscriminant.from_moments(moments, pooled=pooled, ridge=ridge)
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int = 1) -> QuadraticDiscriminant:
-    """Fit on the documents with a label ``quality`` whose bucket is not the held-out one."""
+def fit_on_labels(described: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int = 1) -> QuadraticDiscriminant:
+    """Fit on the described documents with a label ``quality`` whose bucket is not the held-out one."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & (bucket(F.col("doc_id"), folds) != held_out))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return fit(rows.join(known, "doc_id"))
+    return fit(described.join(known, "doc_id"))
+
+
+def score(described: DataFrame, model: QuadraticDiscriminant) -> DataFrame:
+    """(doc_id, score) of described documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_stacked(batch.column(1))))], names=["doc_id", "score"])
+
+    return described.select("doc_id", "stats").mapInArrow(run, "doc_id long, score double")
 
 
 def with_score(docs: DataFrame, model: QuadraticDiscriminant, *, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
-    """``docs`` with one more column, the score of every whole text."""
+    """``docs`` with one more column, the score of every whole text; no row moves."""
 
     @F.pandas_udf("double")
-    def score(texts):
+    def of_text(texts):
         import pandas as pd
 
         values = texts.tolist()
         out = [model.score(_matrix(values[at : at + 512])) for at in range(0, len(values), 512)]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn(out_col, score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return docs.withColumn(out_col, of_text(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def held_out_bucket(doc_id: int | None, folds: int = 3) -> int | None:

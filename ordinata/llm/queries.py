@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ordinata.llm import bpe, html_text, lm_scoring, media, minmax_dedup, packing, quality_model, quality_rules, token_counts, url_filter
+from ordinata.llm.workspace import materialize
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,9 +36,9 @@ def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    model = quality_model.fit_on_labels(docs, _table(spark, sf_dir, "labels"))
-    scored = quality_model.with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, out_col="score")
+    described = materialize(quality_model.describe(_table(spark, sf_dir, "documents")), "quality-statistics")
+    model = quality_model.fit_on_labels(described, _table(spark, sf_dir, "labels"))
+    scored = quality_model.score(described, model)
     held_out = quality_model.bucket(F.col("doc_id")) == 1
     return scored.select("doc_id", held_out.alias("held_out"), "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -89,7 +90,7 @@ g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE off) AS n_backo
 SELECT documents.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_backoffs, 0)::BIGINT AS n_backoffs, mean_log_score FROM documents LEFT JOIN g USING (doc_id)
 """
 
-_STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+_STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_FORMS)
 OP6_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format(text="text")} AS ws,
@@ -106,7 +107,7 @@ m AS (
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
     (length(text) - length(regexp_replace(text, '[!?]', '', 'g'))) AS bangs,
     (length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g'))) AS upper,
-    len(list_filter(ws, lambda x: lower(regexp_replace(x, '[.,;:!?]', '', 'g')) IN ({_STOPS}))) AS stops,
+    len(list_filter(ws, lambda x: x IN ({_STOPS}))) AS stops,
     len(list_filter(ls, lambda x: substr(ltrim(x, ' '), 1, 1) IN ('-', '*', '•', '|'))) AS list_lines
   FROM d LEFT JOIN r ON r.doc_id = d.doc_id
 ),
