@@ -15,17 +15,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 #: Frequent function words of the supported languages.
-STOP_WORDS = (
+_FUNCTION_WORDS = (
     "the of and to in is that for it as was with be by on are this at from or an have not but "
     "le la les de des du et un une en est que qui dans pour par sur au pas ce il "
     "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als "
     "el los las y del se por con para una su al lo como más pero sus"
 ).split()
+#: The forms in which they are counted: lower case, capitalised or upper case, alone or before a mark.
+STOP_FORMS = tuple(sorted({form(w) + mark for w in _FUNCTION_WORDS for form in (str.lower, str.capitalize, str.upper) for mark in ("", ".", ",", ";", ":", "!", "?")}))
 
 Rule = tuple[str, float | None, float | None, int]
 
@@ -48,58 +48,60 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+WORD_BREAK = r"[ \t-\r]+"
 
 
 def _words(text: Column) -> Column:
-    flat = F.translate(text, SPACES, " " * len(SPACES))
-    return F.filter(F.split(flat, " "), lambda w: w != "")
+    return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """Words that lie in a window found twice or more in the text, the first one included."""
+    """Words that lie in a window found twice or more in the text, the first one included.
 
-    def of_windows(hashes: Column) -> Column:
-        def of_sorted(order: Column) -> Column:
-            def twice(x: Column, i: Column) -> Column:
-                before = F.get(order, i - 1)["h"]
-                after = F.get(order, i + 1)["h"]
-                return F.coalesce(before == x["h"], F.lit(False)) | F.coalesce(after == x["h"], F.lit(False))
+    Most texts repeat no window, which a set of window hashes shows; only the others sort their windows by hash.
+    """
 
-            def covered(at: Column) -> Column:
-                gaps = F.zip_with(at, F.slice(at, F.lit(2), F.size(at)), lambda a, b: F.least(F.coalesce(b - a, F.lit(window)), F.lit(window)))
-                return F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)
+    def covered(at: Column) -> Column:
+        gaps = F.zip_with(at, F.slice(at, F.lit(2), F.size(at)), lambda a, b: F.least(F.coalesce(b - a, F.lit(window)), F.lit(window)))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)
 
-            return let(F.array_sort(F.transform(F.filter(order, twice), lambda x: x["i"])), covered)
+    def of_sorted(order: Column) -> Column:
+        def twice(x: Column, i: Column) -> Column:
+            before = F.get(order, i - 1)["h"]
+            after = F.get(order, i + 1)["h"]
+            return F.coalesce(before == x["h"], F.lit(False)) | F.coalesce(after == x["h"], F.lit(False))
 
-        return let(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), of_sorted)
+        return let(F.sort_array(F.transform(F.filter(order, twice), lambda x: x["i"])), covered)
+
+    def of_windows(hashes: Column) -> Column:
+        repeats = let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), of_sorted)
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(repeats)
 
-    def of_words(w: Column) -> Column:
-        n = F.size(w) - (window - 1)
+    def of_hashed(h: Column) -> Column:
+        n = F.size(h) - (window - 1)
         starts = F.when(n > 1, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return let(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, window))), of_windows)
+        return let(F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, window))), of_windows)
 
-    return let(words, of_words)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), of_hashed)
 
 
-def measures(text: Column, stop_words: tuple[str, ...] | list[str] = tuple(STOP_WORDS)) -> Column:
+def measures(text: Column, stop_forms: tuple[str, ...] = STOP_FORMS) -> Column:
     """A struct with every measure of a text."""
     text = F.coalesce(text, F.lit(""))
     long = lambda c: c.cast("long")
 
     def of_text(t: Column) -> Column:
-        lines = F.filter(F.split(t, "\n"), lambda x: F.length(_without(x, SPACES)) > 0)
+        lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^ \t-\r]")))
 
         def of_words(w: Column) -> Column:
             def of_lines(ln: Column) -> Column:
                 n_words, n_lines = long(F.size(w)), long(F.size(ln))
-                word_chars = long(F.length(_without(t, SPACES)))
-                symbols = long(F.length(t) - F.length(_without(t, SYMBOLS)))
+                word_chars = long(F.length(F.array_join(w, "")))
+                symbols = long(F.regexp_count(t, F.lit("[#*$%&|<>]")))
                 dup_lines = n_lines - long(F.size(F.array_distinct(ln)))
-                stops = F.size(F.filter(w, lambda x: F.lower(F.translate(x, ".,;:!?", "")).isin(*stop_words)))
-                upper = F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))
-                bang = F.length(t) - F.length(_without(t, "!?"))
+                stops = F.size(F.filter(w, lambda x: x.isin(*stop_forms)))
+                upper = F.regexp_count(t, F.lit(r"\p{Lu}"))
+                bang = F.regexp_count(t, F.lit("[!?]"))
                 list_lines = F.size(F.filter(ln, lambda x: F.ltrim(x).substr(1, 1).isin("-", "*", "•", "|")))
                 ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
                 return F.struct(
