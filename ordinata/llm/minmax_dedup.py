@@ -8,13 +8,15 @@ Plan, none of whose steps gathers a group in one task or emits all pairs of a gr
 
 1. one pass over the texts writes (doc_id, set size, 128-bit digest of the set, bands);
 2. documents of equal sets are one class, by a pre-aggregated minimum; only representatives go on;
-3. each bucket's hub is the member of the least hash priority (a pre-aggregated minimum). Members are compared with hubs
-   only: as the priority does not depend on the band, a group of near copies shares few hubs, so its pairs are few times
-   its size;
+3. each bucket's hub is its most central member, the one that shares most buckets with others (pre-aggregated sums and
+   maxima). Members are compared with hubs only; a group of near copies has its original as the hub of nearly all its
+   buckets, so its pairs are few times its size;
 4. connected components of these links;
 5. what stars can miss: in buckets whose members still lie in several components, members outside the hub's component
-   are compared with the members of other components. Pairs within a component need no comparison, so no link that
-   changes a component is left out;
+   are compared with the members of other components under the same hub. Pairs within a component need no comparison,
+   so no link that changes a component is left out. Of a document, only shingles that another document of these buckets
+   has can be common with a partner; documents that cannot reach the threshold so are passed over. The others are a query
+   set that meets the members tile by tile, both sides in blocks of bounded size, and only confirmed links leave a tile;
 6. connected components of all links, carried back to the members of the classes.
 
 With the production bands the chance that a pair at the threshold of 0.8 shares no bucket is below 1e-5.
@@ -146,6 +148,40 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))
 
 
+def tiled_links(viable: DataFrame, sets: DataFrame, percent: int, *, odd_block: int = 64, block: int = 256) -> DataFrame:
+    """Links (a, b) between an odd document and one of another component, among the ``viable`` (hub, doc_id, c, odd) of a hub.
+
+    The odd documents of a hub are dealt into blocks of about ``odd_block``, all its documents into blocks of about
+    ``block``; a tile is one block of each, so a task's memory is bounded and a large hub is spread over many tasks.
+    """
+    blocks = viable.groupBy("hub").agg(F.count_if("odd").alias("odds"), F.count(F.lit(1)).alias("all")).where("odds > 0").select("hub", F.ceil(F.col("odds") / odd_block).alias("rows"), F.ceil(F.col("all") / block).alias("columns"))
+    dealt = viable.join(blocks, "hub").join(sets, "doc_id")
+    own = lambda count: F.pmod(F.xxhash64("doc_id"), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    odd = dealt.where("odd").select("hub", own("rows").alias("i"), every("columns").alias("j"), "doc_id", "c", "shingles")
+    members = dealt.select(F.col("hub").alias("of"), every("rows").alias("row"), own("columns").alias("column"), F.col("doc_id").alias("y"), F.col("c").alias("part"), F.col("odd").alias("y_odd"), F.col("shingles").alias("y_set"))
+
+    def confirm(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            lists = right.column("y_set").combine_chunks()
+            bounds = lists.offsets.to_numpy()
+            values = lists.values.to_numpy()[bounds[0] : bounds[-1]]
+            starts, sizes = bounds[:-1] - bounds[0], np.diff(bounds)
+            ids, parts, odd_too = (right.column(c).to_numpy() for c in ("y", "part", "y_odd"))
+            for x, part, own_set in zip(left.column("doc_id").to_pylist(), left.column("c").to_pylist(), left.column("shingles"), strict=True):
+                mine = np.sort(own_set.values.to_numpy())
+                at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
+                common = np.add.reduceat((mine[at] == values).astype(np.int64), starts)
+                hit = (100 * common >= percent * (len(mine) + sizes - common)) & (parts != part) & (~odd_too | (ids > x))
+                for y in ids[hit].tolist():
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return odd.groupBy("hub", "i", "j").cogroup(members.groupBy("of", "row", "column")).applyInArrow(confirm, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
@@ -160,9 +196,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     least = classes.select(F.col("rep").alias("doc_id"), "d1", "d2")
     reps = sized.join(least, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id"])
     banded = reps.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("band"))
-    priority = F.struct(F.xxhash64("doc_id").alias("p"), F.col("doc_id").alias("id"), F.col("n"))
-    buckets = banded.groupBy("band").agg(F.min(priority).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = materialize(banded.join(buckets.select("band", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "band"), "minmax-members")
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = materialize(banded.join(buckets, "band"), "minmax-shared")
+    weights = shared.groupBy("doc_id").agg(F.sum(F.col("m") - 1).alias("w"))
+    weighed = materialize(shared.join(weights, "doc_id").select("band", "doc_id", "n", "w"), "minmax-weighed")
+    hubs = weighed.groupBy("band").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("doc_id").alias("id"), "n")).alias("hub"))
+    members = materialize(weighed.join(hubs.select("band", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "band").drop("w"), "minmax-members")
 
     def sizes_fit(x: str, y: str):
         low, high = F.least(x, y).cast("long"), F.greatest(x, y).cast("long")
@@ -177,13 +216,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
 
     of = first.select(F.col("node").alias("doc_id"), "component")
     of_hub = first.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-    placed = members.join(of, "doc_id", "left").join(of_hub, "hub", "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"), F.coalesce("hub_component", "hub").alias("hc"))
+    placed = members.join(of, "doc_id", "left").join(of_hub, "hub", "left").select("band", "hub", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"), F.coalesce("hub_component", "hub").alias("hc"))
     placed = materialize(placed, "minmax-placed")
-    odd = placed.where("c <> hc").select("band", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    other = placed.select("band", F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"), (F.col("c") != F.col("hc")).alias("y_odd"))
-    rest = odd.join(other, "band").where((F.col("xc") != F.col("yc")) & (~F.col("y_odd") | (F.col("x") < F.col("y"))) & sizes_fit("xn", "yn"))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(confirmed(rest, sets, percent), "minmax-more")
+    open_bands = placed.where("c <> hc").select("band").distinct()
+    live = materialize(placed.join(open_bands, "band", "left_semi"), "minmax-live")
+    held = sets.join(live.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
+    lonely = held.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lonely"))
+    most = F.col("n") - F.coalesce("lonely", F.lit(0))
+    viable = live.join(lonely, "doc_id", "left").where(100 * most >= percent * F.col("n")).groupBy("hub", "doc_id").agg(F.min("c").alias("c"), F.max(F.col("c") != F.col("hc")).alias("odd"))
+    viable = materialize(viable, "minmax-viable")
+    more = materialize(tiled_links(viable, sets, percent), "minmax-more")
     joined = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)
     final = components(joined, "minmax-final")
 
