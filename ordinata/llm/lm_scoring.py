@@ -43,13 +43,21 @@ def _keys(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _distinct(keys: list[tuple[np.ndarray, np.ndarray]], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, their counts, the shard of each), by shard and key."""
+    """(distinct keys in order, their counts, the shard of each); a shard is a range of keys, so shards rise too."""
     words = sum(len(a) for a, _ in keys)
     found, counts = np.unique(np.concatenate([_EMPTY, *(x for pair in keys for x in pair)]), return_counts=True)
     counts[np.searchsorted(found, _EMPTY[0])] += words - 1
-    shard = ((found >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
-    order = np.argsort(shard, kind="stable")
-    return found[order], counts[order], shard[order]
+    return found, counts, ((found >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Values by byte planes, so that the leading zeros of all of them lie together and compress."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _values(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def score(docs: DataFrame, *, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,27 +73,26 @@ def score(docs: DataFrame, *, alpha: float = 0.4, min_count: int = 2, id_col: st
         found, counts, shard = _distinct(_keys(table.column("text").to_pylist()), shards)
         present, starts = np.unique(shard, return_index=True)
         bounds = [*starts.tolist(), len(found)]
-        blocks = [(found[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
+        blocks = [(_planes(np.diff(found[a:b], prepend=np.uint64(0))), _planes(counts[a:b].astype("<u4"))) for a, b in zip(bounds, bounds[1:], strict=False)]
         return pa.table({"shard": pa.array(present, pa.int32()), "batch": pa.array([batch] * len(present), pa.int64()), "keys": pa.array([k for k, _ in blocks], pa.binary()), "counts": pa.array([c for _, c in blocks], pa.binary())})
 
     def add_up(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()])
+        keys = [np.cumsum(_values(k, "<u8"), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+        counts = np.concatenate([_values(c, "<u4") for c in table.column("counts").to_pylist()])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(inverse, weights=counts)[inverse].astype("<u8")
         ends = np.cumsum([0] + [len(k) for k in keys])
-        answers = [totals[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+        answers = [_planes(totals[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
         return pa.table({"batch": table.column("batch"), "shard": table.column("shard"), "n_keys": pa.array([len(k) for k in keys], pa.int64()), "totals": pa.array(answers, pa.binary())})
 
     def apply(table: pa.Table, answers: pa.Table) -> pa.Table:
         keys = _keys(table.column("text").to_pylist())
         found, _, shard = _distinct(keys, shards)
         by_shard = dict(zip(answers.column("shard").to_pylist(), answers.column("totals").to_pylist(), strict=True))
-        totals = np.concatenate([np.frombuffer(by_shard[s], "<u8") for s in np.unique(shard).tolist()])
+        totals = np.concatenate([_values(by_shard[s], "<u8") for s in np.unique(shard).tolist()])
         if len(totals) != len(found):
             raise RuntimeError("the answers do not belong to this batch")
-        order = np.argsort(found)
-        found, totals = found[order], totals[order].astype(np.float64)
+        totals = totals.astype(np.float64)
         of = lambda x: totals[np.searchsorted(found, x)]
         total = of(_EMPTY)[0]
         n_words, backoffs, means = [], [], []
