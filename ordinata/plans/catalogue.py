@@ -1,4 +1,389 @@
-"""Registry of the engine's queries and of the SQL each is compared with."""
+"""Registry of the engine's queries and of the DuckDB SQL each is compared with."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ordinata.functions import vector as vf
+from ordinata.operators import graph, learners, linear, losses, metrics, order, prepare, report
+from ordinata.sources import samples as src
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+EMB = "WITH e AS (SELECT vec_id AS row_id, CASE WHEN label < 5 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y, label, embedding::DOUBLE[] AS f FROM embeddings)"
+LONG = EMB + ", l AS (SELECT row_id, y, unnest(range(len(f)))::INT AS j, unnest(f) AS v FROM e)"
+MEANS = LONG + ", n AS (SELECT count(*) FILTER (WHERE y > 0)::DOUBLE AS np, count(*) FILTER (WHERE y <= 0)::DOUBLE AS nn FROM e), m AS (SELECT j, sum(CASE WHEN y > 0 THEN v ELSE 0 END) / max(np) AS posi, sum(CASE WHEN y > 0 THEN 0 ELSE v END) / max(nn) AS nega FROM l, n GROUP BY j), w AS (SELECT j, posi - nega AS w FROM m)"
+SCORES = MEANS + ", s AS (SELECT l.row_id, l.y, sum(v * w) AS score FROM l JOIN w USING (j) GROUP BY 1, 2)"
+CURVE = ", g AS (SELECT score, sum((y > 0)::INT) AS p, sum((y <= 0)::INT) AS n FROM s GROUP BY score), c AS (SELECT score, p, n, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS np, sum(n) OVER () AS nn FROM g)"
+FIRST = EMB + ", s AS (SELECT row_id, y, f[1] AS score FROM e)" + CURVE
+LI = "WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y, l_extendedprice AS score, l_linestatus, l_quantity, l_discount, l_tax FROM lineitem)"
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _r(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, and no negative zero."""
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _first(spark, d):
+    return src.embeddings(spark, d).select("row_id", "y", F.get("features", F.lit(0)).alias("score"))
+
+
+def _price(spark, d):
+    return src.lineitems(spark, d).withColumnRenamed("l_extendedprice", "score")
+
+
+def _weights(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(long samples, class means, the difference of the means as weights)."""
+    samples = src.embeddings(spark, d)
+    long = src.to_long(samples)
+    means = losses.class_means(long, samples)
+    return long, means, means.select("j", (F.col("posi") - F.col("nega")).alias("w"))
+
+
+def _scored(spark, d):
+    long, _, w = _weights(spark, d)
+    return losses.linear_scores(long, w)
+
+
+@query(FIRST + " SELECT sum(p)::BIGINT AS n_pos, sum(n)::BIGINT AS n_neg, round(sum(n * (tp - p + p / 2.0)) / (max(np) * max(nn)), 6) AS auc FROM c")
+def auc_exact(spark, d):
+    return _r(metrics.auc(_first(spark, d)))
+
+
+@query(FIRST + " SELECT round(sum(n * (tp - p + p / 2.0)) / (max(np) * max(nn)) - (SELECT CASE WHEN arg_min(y, score) > 0 THEN 0 ELSE 1.0 / max(c.nn) END FROM s), 6) AS auc FROM c")
+def auc_step_compat(spark, d):
+    return _r(metrics.auc_step_compat(_first(spark, d)))
+
+
+@query(LI + CURVE + " SELECT score, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / np, 6) AS tpr, round(fp / nn, 6) AS fpr FROM c")
+def roc_curve(spark, d):
+    return _r(metrics.curve(_price(spark, d)).select("score", "tp", "fp", "tpr", "fpr"))
+
+
+@query(FIRST + ", x AS (SELECT score, greatest(1 - tp / np, fp / nn) AS worst FROM c), a AS (SELECT sum(n * (tp - p + p / 2.0)) / (max(np) * max(nn)) AS auc, sum(p)::BIGINT AS n_pos, sum(n)::BIGINT AS n_neg FROM c) SELECT round(auc, 6) AS auc, round(1 - auc, 6) AS auc_tntp_complement, round((SELECT min(worst) FROM x), 6) AS eer, round((SELECT max(score) FROM x WHERE worst = (SELECT min(worst) FROM x)), 6) AS eer_threshold, n_pos, n_neg FROM a")
+def roc_summary(spark, d):
+    return _r(metrics.roc_summary(_first(spark, d)))
+
+
+@query(FIRST + ", b AS (SELECT r, max(tp / (tp + fp)) AS q FROM c, (SELECT unnest(range(11)) / 10.0::DOUBLE AS r) WHERE tp / np >= r GROUP BY r) SELECT round(sum(CASE WHEN p > 0 THEN p * (tp / (tp + fp)) / np END), 6) AS ap, max(np)::BIGINT AS n_pos, round((SELECT sum(q) / 11 FROM b), 6) AS ap11 FROM c")
+def pr_summary(spark, d):
+    return _r(metrics.pr_summary(_first(spark, d)))
+
+
+@query(FIRST + " SELECT round(score, 6) AS score, round(1 - tp / np, 6) AS miss, round(fp / nn, 6) AS false_alarm FROM c")
+def det_curve(spark, d):
+    return _r(metrics.det(_first(spark, d)))
+
+
+@query(LI + ", g AS (SELECT l_linestatus, score, sum((y > 0)::INT) AS p, sum((y <= 0)::INT) AS n FROM s GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER (PARTITION BY l_linestatus ORDER BY score DESC) AS tp FROM g) SELECT l_linestatus, sum(p)::BIGINT AS n_pos, sum(n)::BIGINT AS n_neg, round(CASE WHEN sum(p) * sum(n) > 0 THEN sum(n * (tp - p + p / 2.0)) / (sum(p) * sum(n)) END, 6) AS auc FROM c GROUP BY 1")
+def auc_by_group(spark, d):
+    return _r(metrics.auc(_price(spark, d), by=("l_linestatus",)))
+
+
+@query(MEANS + " SELECT j, round(posi, 6) AS posi, round(nega, 6) AS nega FROM m")
+def class_means(spark, d):
+    return _r(_weights(spark, d)[1])
+
+
+@query("WITH s AS (SELECT event_id, ts, (event_type = 'purchase')::INT AS p FROM events) SELECT event_id, round(avg(p) OVER (ORDER BY ts, event_id), 6) AS prior FROM s")
+def class_prior_running(spark, d):
+    from ordinata.operators.prefix import running
+
+    exact = src.events(spark, d).groupBy("ts").agg(F.sum((F.col("y") > 0).cast("int")).alias("p"), F.count(F.lit(1)).alias("n")).withColumn("k", F.unix_micros(F.col("ts").cast("timestamp")))
+    before = running(exact, "k", {"p": F.col("p"), "n": F.col("n")}).select("k", (F.col("cum_p") - F.col("p")).alias("p0"), (F.col("cum_n") - F.col("n")).alias("n0"))
+    own = Window.partitionBy("k").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = src.events(spark, d).withColumn("k", F.unix_micros(F.col("ts").cast("timestamp"))).join(before, "k")
+    return _r(rows.select("event_id", ((F.sum((F.col("y") > 0).cast("int")).over(own) + F.col("p0")) / (F.count(F.lit(1)).over(own) + F.col("n0"))).alias("prior")))
+
+
+@query("SELECT l_returnflag = 'R' AS positive, round(covar_pop(l_quantity, l_extendedprice), 2) AS qp, round(covar_pop(l_quantity, l_discount), 4) AS qd, round(var_pop(l_quantity), 4) AS qq, round(avg(l_quantity), 6) AS mean_q FROM lineitem GROUP BY 1")
+def class_cov(spark, d):
+    s = src.lineitems(spark, d)
+    q = "l_quantity"
+    return s.groupBy((F.col("y") > 0).alias("positive")).agg(F.round(F.covar_pop(q, "l_extendedprice"), 2).alias("qp"), F.round(F.covar_pop(q, "l_discount"), 4).alias("qd"), F.round(F.var_pop(q), 4).alias("qq"), F.round(F.avg(q), 6).alias("mean_q"))
+
+
+@query(LONG + ", t AS (SELECT j, avg(v) AS a, stddev_pop(v) AS b FROM l GROUP BY j) SELECT row_id, j, y, round(CASE WHEN b > 0 THEN (v - a) / b ELSE 0 END, 5) AS v FROM l JOIN t USING (j)")
+def zscore_columns(spark, d):
+    return _r(prepare.zscore(src.to_long(src.embeddings(spark, d))), 5)
+
+
+@query(LONG + ", t AS (SELECT row_id, avg(v) AS a, sqrt(sum(v * v)) AS b, sqrt(sum(v * v) - count(*) * avg(v) ** 2) AS cb FROM l GROUP BY row_id) SELECT row_id, j, round(v / b, 6) AS unit, round((v - a) / cb, 5) AS centred FROM l JOIN t USING (row_id)")
+def row_l2_normalize(spark, d):
+    unit, centred = vf.l2_normalise(F.col("features")), vf.l2_normalise(vf.mean_centre(F.col("features")))
+    rows = src.embeddings(spark, d).select("row_id", F.posexplode(F.arrays_zip(unit.alias("a"), centred.alias("b"))).alias("j", "x"))
+    return rows.select("row_id", "j", (F.round("x.a", 6) + F.lit(0.0)).alias("unit"), (F.round("x.b", 5) + F.lit(0.0)).alias("centred"))
+
+
+@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), x AS (SELECT doc_id, length(w) AS j, count(*)::DOUBLE AS v FROM w GROUP BY 1, 2 HAVING length(w) < 64), n AS (SELECT count(*) AS n FROM documents), p AS (SELECT j, CASE WHEN count(*) < max(n) THEN least(min(v), 0) ELSE min(v) END AS lo, CASE WHEN count(*) < max(n) THEN greatest(max(v), 0) ELSE max(v) END AS hi FROM x, n GROUP BY j) SELECT doc_id, j::INT AS j, round(-1 + 2 * (v - lo) / (hi - lo), 6) AS v FROM x JOIN p USING (j) WHERE lo < hi")
+def minmax_scale(spark, d):
+    long = src.documents_long(spark, d)
+    n = src.table(spark, d, "documents").count()
+    return _r(prepare.minmax_scale(long, prepare.minmax_parameters(long, n)).select("doc_id", "j", "v"))
+
+
+@query(EMB + " SELECT label, CASE WHEN k <= floor(count(*) OVER () / 2) THEN 1.0 ELSE -1.0 END::DOUBLE AS y FROM (SELECT label, row_number() OVER (ORDER BY label) AS k FROM (SELECT DISTINCT label FROM e))")
+def multiclass_to_binary(spark, d):
+    classes = src.embeddings(spark, d).select("label").distinct()
+    ranked = classes.select("label", F.row_number().over(Window.orderBy("label")).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))  # one row for each class
+    return ranked.select("label", F.when(F.col("k") <= F.floor(F.col("n") / 2), 1.0).otherwise(-1.0).alias("y"))
+
+
+@query(SCORES + " SELECT row_id, y, round(score, 6) AS score FROM s")
+def score_linear(spark, d):
+    return _r(_scored(spark, d))
+
+
+@query("WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, l_quantity - 25 AS x FROM lineitem) SELECT row_id, round(1 / (1 + exp(-x)), 6) AS expit, round(CASE WHEN x > 0 THEN -ln(1 + exp(-x)) ELSE x - ln(1 + exp(x)) END, 6) AS log_logistic FROM s")
+def expit_loglogistic(spark, d):
+    x = F.col("l_quantity") - 25
+    return _r(src.lineitems(spark, d).select("row_id", vf.expit(x).alias("expit"), vf.log_logistic(x).alias("log_logistic")))
+
+
+@query("WITH m AS (SELECT max(l_tax) AS m FROM lineitem) SELECT round(max(m) + ln(sum(exp(l_tax - m))), 6) AS lse FROM lineitem, m")
+def log_sum_exp(spark, d):
+    s = src.lineitems(spark, d)
+    top = s.agg(F.max("l_tax").alias("m"))
+    return _r(s.crossJoin(F.broadcast(top)).agg((F.max("m") + F.log(F.sum(F.exp(F.col("l_tax") - F.col("m"))))).alias("lse")))
+
+
+def _loss_query(kind: str, eta: float):
+    def run(spark, d):
+        long, _, w = _weights(spark, d)
+        loss, grad = losses.loss_and_gradient(long, losses.linear_scores(long, w), w, kind, eta)
+        return _r(grad.crossJoin(F.broadcast(loss)), 4)
+
+    return run
+
+
+_SLOPES = {
+    "logistic": ("logistic_loss_grad", 0.1, "sum", "CASE WHEN y * score > 0 THEN ln(1 + exp(-y * score)) ELSE ln(1 + exp(y * score)) - y * score END", "y * (1 / (1 + exp(-y * score)) - 1)"),
+    "square": ("least_square_loss_grad", 0.1, "avg", "(score - y) ** 2 / 2", "score - y"),
+    "hinge2": ("squared_hinge_loss_grad", 1.0, "sum", "greatest(0, 1 - y * score) ** 2", "-2 * y * greatest(0, 1 - y * score)"),
+    "svr2": ("svr_loss_grad", 1.0, "sum", "greatest(0, abs(score - y) - 0.1) ** 2", "2 * sign(score - y) * greatest(0, abs(score - y) - 0.1)"),
+}
+for _kind, (_name, _eta, _total, _value, _slope) in _SLOPES.items():
+    QUERIES[_name] = _loss_query(_kind, _eta)
+    ORACLES[_name] = SCORES + f", t AS (SELECT row_id, {_value} AS value, {_slope} AS slope FROM s), b AS (SELECT {_total}(value) AS value, {_total}(slope) AS slope FROM t), q AS (SELECT {_eta} / 2 * sum(w * w) AS q FROM w), g AS (SELECT j, sum(v * slope){' / (SELECT count(*) FROM e)' if _total == 'avg' else ''} AS g FROM l JOIN t USING (row_id) GROUP BY j) SELECT g.j, round(g + {_eta} * w, 4) + 0.0 AS grad, round(b.value + q, 4) AS loss, round(b.slope, 4) + 0.0 AS intercept_grad FROM g JOIN w USING (j), b, q"
+
+
+@query(SCORES + " SELECT row_id, round(1 / (1 + exp(-score)), 6) AS prob, CASE WHEN 1 / (1 + exp(-score)) >= 0.5 THEN 1.0 ELSE -1.0 END::DOUBLE AS label FROM s")
+def logistic_predict(spark, d):
+    s = _scored(spark, d).select("row_id", vf.expit(F.col("score")).alias("prob"))
+    return _r(s.withColumn("label", F.when(F.col("prob") >= 0.5, 1.0).otherwise(-1.0)))
+
+
+@query(MEANS + " SELECT j, round(CASE WHEN row_number() OVER (ORDER BY abs(w) DESC, j) <= 10 THEN w ELSE 0 END, 6) AS w FROM w")
+def hard_threshold(spark, d):
+    return _r(order.hard_threshold(_weights(spark, d)[2], 10))
+
+
+@query(MEANS + ", k AS (SELECT min(a) AS kth FROM (SELECT abs(w) AS a FROM w ORDER BY a DESC LIMIT 10)) SELECT j, round(CASE WHEN abs(w) > kth THEN w ELSE 0 END, 6) AS w FROM w, k")
+def hard_threshold_compat(spark, d):
+    return _r(order.hard_threshold(_weights(spark, d)[2], 10, compat=True))
+
+
+@query(LI + " SELECT row_id, score FROM s ORDER BY abs(score) DESC, row_id LIMIT 100")
+def topk_magnitude(spark, d):
+    return order.top_by_magnitude(_price(spark, d).select("row_id", "score"), 100, "score", "row_id")
+
+
+@query(LI + " SELECT min(score) AS kth FROM (SELECT score FROM s ORDER BY score DESC LIMIT 500)")
+def kth_largest(spark, d):
+    return order.kth_largest(_price(spark, d), "score", 500)
+
+
+@query(LI + " SELECT l_quantity, score, row_number() OVER (ORDER BY l_quantity DESC, score DESC)::INT AS rank FROM (SELECT l_quantity, score FROM s ORDER BY l_quantity DESC, score DESC LIMIT 100)")
+def lex_sort(spark, d):
+    return order.lex_sort(_price(spark, d).select("l_quantity", "score"), "l_quantity", "score", 100)
+
+
+@query(MEANS + ", u AS (SELECT abs(w) AS u, row_number() OVER (ORDER BY abs(w) DESC) AS k, sum(abs(w)) OVER (ORDER BY abs(w) DESC) AS c FROM w), t AS (SELECT arg_max((c - 0.1) / k, k) AS theta FROM u WHERE u * k > c - 0.1) SELECT j, round(CASE WHEN (SELECT sum(abs(w)) FROM w) <= 0.1 THEN w ELSE sign(w) * greatest(abs(w) - theta, 0) END, 6) + 0.0 AS w FROM w, t")
+def l1_ball_projection(spark, d):
+    return _r(order.l1_ball(_weights(spark, d)[2], 0.1))
+
+
+@query(MEANS + ", n AS (SELECT sqrt(sum(w * w)) AS n FROM w) SELECT j, round(CASE WHEN n > 0.05 THEN w * 0.05 / n ELSE w END, 6) AS w FROM w, n".replace(", n AS", ", nn_ AS").replace("FROM w, n", "FROM w, nn_"))
+def l2_ball_projection(spark, d):
+    return _r(order.l2_ball_long(_weights(spark, d)[2], 0.05))
+
+
+@query(MEANS + " SELECT j, round(sign(w) * greatest(0, abs(w) - 0.001) / 1.05, 6) + 0.0 AS w, round(CASE WHEN w > 0 THEN greatest(0, w - 0.001) ELSE sign(w) * greatest(0, abs(w) - 0.001) / 1.05 END, 6) + 0.0 AS w_compat FROM w")
+def elastic_net_prox(spark, d):
+    w = F.col("w")
+    return _r(_weights(spark, d)[2].select("j", vf.elastic_net(w, 0.1, 0.01, 0.5).alias("w"), vf.elastic_net(w, 0.1, 0.01, 0.5, compat=True).alias("w_compat")))
+
+
+@query(EMB + ", i AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () // 7 AS q, count(*) OVER () % 7 AS r FROM e) SELECT row_id, (CASE WHEN i < r * (q + 1) THEN i // (q + 1) ELSE r + (i - r * (q + 1)) // q END)::INT AS fold FROM i")
+def kfold_contiguous(spark, d):
+    return prepare.kfold(src.embeddings(spark, d), 7)
+
+
+@query(EMB + ", i AS (SELECT y, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () // 5 AS q, count(*) OVER () % 5 AS r FROM e), f AS (SELECT y, CASE WHEN i < r * (q + 1) THEN i // (q + 1) ELSE r + (i - r * (q + 1)) // q END AS fold FROM i) SELECT fold::INT AS fold, count(*) FILTER (WHERE y > 0) AS positives, count(*) FILTER (WHERE y <= 0) AS negatives FROM f GROUP BY 1 HAVING count(*) FILTER (WHERE y <= 0) >= 3")
+def stratified_trial_check(spark, d):
+    s = src.embeddings(spark, d)
+    counts = s.join(prepare.kfold(s, 5), "row_id").groupBy("fold").agg(F.count_if(F.col("y") > 0).alias("positives"), F.count_if(F.col("y") <= 0).alias("negatives"))
+    return counts.where("negatives >= 3")
+
+
+@query("SELECT (a.k * 6 + b.k)::BIGINT AS ordinal, round(a.v, 9) AS xi, round(b.v, 9) AS radius FROM (SELECT i AS k, (CASE i WHEN 0 THEN 1 ELSE 1 + 9 * i END)::DOUBLE AS v FROM (SELECT unnest(range(12)) AS i)) a, (SELECT i AS k, pow(10.0, i - 1) AS v FROM (SELECT unnest(range(6)) AS i)) b WHERE b.k < 6")
+def param_grid(spark, d):
+    return prepare.grid(spark, xi=list(np.arange(1, 101, 9)), radius=[10.0**k for k in range(-1, 5)])
+
+
+@query(MEANS + ", s AS (SELECT j FROM w ORDER BY abs(w) DESC, j LIMIT 16), c AS (SELECT count(*) AS n, count(*) FILTER (WHERE j < 32) AS hit FROM s) SELECT round(hit / n::DOUBLE, 6) AS precision, round(hit / 32.0::DOUBLE, 6) AS recall, round(CASE WHEN hit > 0 THEN 2.0 * hit / (n + 32) ELSE 0 END, 6) AS f1 FROM c")
+def support_prf1(spark, d):
+    chosen = order.top_by_magnitude(_weights(spark, d)[2], 16)
+    return _r(metrics.support_scores(chosen, spark.range(32).select(F.col("id").cast("int").alias("j"))))
+
+
+@query(LI + " SELECT round(100 * avg(((y > 0) = (l_quantity - 25 > 0))::INT), 6) AS acc, round(avg((l_quantity - 25 - y) ** 2), 4) AS mse, round(corr(l_quantity - 25, y) ** 2, 6) AS scc FROM s")
+def eval_acc_mse_scc(spark, d):
+    e = metrics.evaluate(src.lineitems(spark, d).withColumn("prediction", F.col("l_quantity") - 25))
+    return e.select(F.round("acc", 6).alias("acc"), F.round("mse", 4).alias("mse"), F.round("scc", 6).alias("scc"))
+
+
+_AUCS = LI + ", g AS (SELECT l_linestatus AS method, l_tax AS s, score, sum((y > 0)::INT) AS p, sum((y <= 0)::INT) AS n FROM s GROUP BY 1, 2, 3), c AS (SELECT *, sum(p) OVER (PARTITION BY method, s ORDER BY score DESC) AS tp FROM g), a AS (SELECT method, s, CASE WHEN sum(p) * sum(n) > 0 THEN sum(n * (tp - p + p / 2.0)) / (sum(p) * sum(n)) END AS auc FROM c GROUP BY 1, 2)"
+
+
+def _aucs(spark, d):
+    keyed = _price(spark, d).withColumnsRenamed({"l_linestatus": "method", "l_tax": "s"})
+    return metrics.auc(keyed, by=("method", "s")).select("method", "s", "auc")
+
+
+@query(_AUCS + " SELECT method, round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS std, count(auc) AS n FROM a GROUP BY 1")
+def summary_mean_std(spark, d):
+    return _r(report.mean_std(_aucs(spark, d), ["method"]))
+
+
+@query(_AUCS + " SELECT method, round(max(auc), 6) AS best FROM a GROUP BY 1")
+def best_by_method(spark, d):
+    return _r(report.best_by(report.mean_std(_aucs(spark, d), ["method", "s"]), "method").select("method", "best"))
+
+
+@query(_AUCS + " SELECT method, round(auc, 6) AS auc, row_number() OVER (PARTITION BY method ORDER BY auc DESC NULLS LAST)::INT AS rank FROM a")
+def rank_curve(spark, d):
+    return _r(metrics.rank_curve(_aucs(spark, d)))
+
+
+_BLOCK = SCORES + ", b AS (SELECT * FROM s WHERE row_id < 50), pr AS (SELECT avg((y > 0)::INT) AS p FROM b), uq AS (SELECT sum(posi * w) AS u, sum(nega * w) AS q FROM m JOIN w USING (j))"
+_VERSIONS = {
+    0: ("CASE WHEN y > 0 THEN 2 * (1 - p) * (score - u) ELSE 2 * p * (score - q) END", "-2 * p * (1 - p) * (1 + q - u) - CASE WHEN y > 0 THEN 2 * (1 - p) * (score - u) ELSE 0 END", "2 * p * (1 - p) * (1 + q - u) - CASE WHEN y > 0 THEN 0 ELSE 2 * p * (score - q) END"),
+    1: ("CASE WHEN y > 0 THEN 2 * (1 - p) * (score - u) - 2 * (1 + q - u) * (1 - p) ELSE 2 * p * (score - q) + 2 * (1 + q - u) * p END", "0", "0"),
+    2: ("CASE WHEN y > 0 THEN 2 * (1 - p) * (score - q - 1) ELSE 2 * p * (score - u + 1) END", "CASE WHEN y > 0 THEN 2 * (1 - p) * u - 2 * p * (1 - p) * (u - q) ELSE -2 * p * score - 2 * p * (1 - p) * (u - q) END", "CASE WHEN y > 0 THEN -2 * (1 - p) * score + 2 * p * (1 - p) * (u - q) ELSE 2 * p * q + 2 * p * (1 - p) * (u - q) END"),
+}
+
+
+def _block(version: int):
+    def run(spark, d):
+        long, means, w = _weights(spark, d)
+        block = losses.linear_scores(long, w).where("row_id < 50")
+        return _r(losses.block_gradient(long, block, means, w, version), 5)
+
+    return run
+
+
+for _v, (_cx, _cp, _cn) in _VERSIONS.items():
+    QUERIES[f"sht_block_gradient_v{_v}"] = _block(_v)
+    ORACLES[f"sht_block_gradient_v{_v}"] = _BLOCK + f", t AS (SELECT row_id, {_cx} AS cx, {_cp} AS cp, {_cn} AS cn FROM b, pr, uq), z AS (SELECT sum(cp) AS cp, sum(cn) AS cn FROM t) SELECT l.j, round(sum(v * cx) + max(z.cp) * max(posi) + max(z.cn) * max(nega), 5) + 0.0 AS grad FROM l JOIN t USING (row_id) JOIN m ON m.j = l.j, z GROUP BY l.j"
+
+
+def _fit(method: str, params: dict[str, float], steps: int = 0, rows: int = 200):
+    def run(spark, d):
+        s = src.embeddings(spark, d).where(f"row_id < {rows}").withColumn("task_id", F.lit(1).cast("long"))
+        task = spark.createDataFrame([(1, method, params, steps, 1)], "task_id long, method string, params map<string,double>, steps long, seed long")
+        return _r(learners.fit(s, task).select("j", "w"))
+
+    return run
+
+
+_ROWS = EMB + ", r AS (SELECT row_number() OVER (ORDER BY row_id) AS t, y, f FROM e WHERE row_id < 200), pm AS (SELECT list(posi ORDER BY j) AS posi, list(nega ORDER BY j) AS nega FROM (SELECT j, avg(v) FILTER (WHERE y > 0) AS posi, avg(v) FILTER (WHERE y <= 0) AS nega FROM (SELECT y, unnest(range(len(f)))::INT AS j, unnest(f) AS v FROM r) GROUP BY j)), pr AS (SELECT avg((y > 0)::INT) AS p FROM r)"
+
+
+def _spam_sql(prox: str) -> str:
+    """SPAM as a recursive query: one row for each step."""
+    return _ROWS.replace("WITH e", "WITH RECURSIVE e", 1) + f""", z AS (
+  SELECT 0::BIGINT AS t, list_transform(posi, lambda x: 0.0::DOUBLE) AS w FROM pm
+  UNION ALL
+  SELECT t, list_transform(list_zip(w, f), lambda k: {prox}) AS w FROM (
+    SELECT t, w, f, 1.0 / sqrt(t) AS eta, CASE WHEN y > 0 THEN 2 * (1 - p) * (s - a) - 2 * (1 + b - a) * (1 - p) ELSE 2 * p * (s - b) + 2 * (1 + b - a) * p END AS c FROM (
+      SELECT r.t, r.y, r.f, z.w, p, list_dot_product(z.w, r.f) AS s, list_dot_product(z.w, posi) AS a, list_dot_product(z.w, nega) AS b FROM z JOIN r ON r.t = z.t + 1, pm, pr)))
+SELECT unnest(range(len(w)))::INT AS j, round(unnest(w), 6) + 0.0 AS w FROM z WHERE t = (SELECT max(t) FROM r)"""
+
+
+_STEP = "(k[1] - eta * c * k[2])"
+for _name, _params, _prox in (
+    ("fit_spam_l2", {"xi": 1.0, "l2": 0.1}, f"{_STEP} / (eta * 0.1 + 1)"),
+    ("fit_spam_l1", {"xi": 1.0, "l1": 0.001}, f"sign{_STEP} * greatest(abs{_STEP} - eta * 0.001, 0)"),
+    ("fit_spam_enet", {"xi": 1.0, "l1": 0.001, "l2": 0.1}, f"sign{_STEP} * greatest(abs{_STEP} - eta * 0.001, 0) / (eta * 0.1 + 1)"),
+):
+    QUERIES[_name] = _fit("spam", _params)
+    ORACLES[_name] = _spam_sql(_prox)
+QUERIES |= {
+    "fit_solam": _fit("solam", {"xi": 1.0, "radius": 1.0}),
+    "fit_sht_auc": _fit("sht_auc", {"xi": 0.5, "block": 50.0, "k": 10.0}, steps=30, rows=500),
+    "fit_stoiht": _fit("stoiht", {"xi": 0.5, "block": 50.0, "k": 10.0, "l2": 0.01}, steps=30, rows=500),
+    "fit_hsg_ht": _fit("hsg_ht", {"xi": 0.5, "tau": 10.0, "zeta": 1.5, "k": 10.0, "passes": 2.0}, rows=500),
+    "fit_opauc": _fit("opauc", {"eta": 0.01, "lam": 0.01}),
+    "fit_opauc_sketch": _fit("opauc", {"eta": 0.01, "lam": 0.01, "tau": 16.0}),
+    "fit_fsauc": _fit("fsauc", {"radius": 1.0, "eta": 0.1, "passes": 2.0}),
+}
+
+
+@query()
+def cv_select_best(spark, d):
+    """Inner folds by a grid of SPAM settings; exact AUC of each held-out fold; the best mean, first in grid order."""
+    s = src.embeddings(spark, d).select("row_id", "y", "features").where("row_id < 300")
+    folded = s.join(prepare.kfold(s, 3), "row_id")
+    tasks = prepare.grid(spark, xi=[0.1, 1.0, 10.0], l2=[0.01, 1.0]).crossJoin(spark.range(3).select(F.col("id").cast("int").alias("held"))).withColumn("task_id", F.col("ordinal") * 3 + F.col("held"))
+    rows = folded.crossJoin(F.broadcast(tasks))  # every row for every setting is what a grid search computes
+    spec = tasks.select("task_id", F.lit("spam").alias("method"), F.create_map(F.lit("xi"), "xi", F.lit("l2"), "l2").alias("params"), F.lit(0).cast("long").alias("steps"), F.lit(1).cast("long").alias("seed"))
+    models = learners.fit(rows.where("fold <> held").select("task_id", "row_id", "y", "features"), spec).groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "w"))), lambda x: x["w"]).alias("wt"))
+    scored = rows.where("fold = held").join(models, "task_id").select("task_id", "ordinal", "y", vf.dot(F.col("features"), F.col("wt")).alias("score"))
+    return _r(report.best_setting(metrics.auc(scored, by=("ordinal", "task_id")).withColumn("task", F.lit(1)), ["task"]))
+
+
+def _trained(solver: int, c: float = 1.0):
+    def run(spark, d):
+        w, objective = linear.train(src.embeddings(spark, d), 64, solver, c)
+        return _r(spark.createDataFrame([(j, float(v), float(objective)) for j, v in enumerate(w)], "j int, w double, objective double"), 4)
+
+    return run
+
+
+QUERIES |= {"linear_lr_l2": _trained(0), "linear_svc_l2": _trained(2), "linear_svc_l1": _trained(5), "linear_lr_l1": _trained(6), "linear_svr_l2": _trained(11)}
+
+
+@query()
+def ovr_predict(spark, d):
+    s, labels = src.embeddings(spark, d), list(range(10))
+    return _r(linear.predict(s, linear.one_vs_rest(s, 64, labels), labels))
+
+
+@query()
+def pcst_project(spark, d):
+    w = _weights(spark, d)[2].withColumn("task_id", F.lit(1).cast("long")).select("task_id", F.col("j").cast("int").alias("j"), "w")
+    return _r(graph.project_tasks(w, graph.grid_edges(8, 8), 8, 12).select("j", "w"))
+
+
+@query(LONG + " SELECT row_id, y, count(*) FILTER (WHERE v <> 0) AS stored, round(sum(v), 4) AS total FROM l GROUP BY 1, 2")
+def libsvm_roundtrip(spark, d):
+    lines = src.libsvm_lines(src.to_sparse(src.embeddings(spark, d))).select("row_id", F.split("value", " ").alias("p"))
+    pairs = F.slice(F.col("p"), F.lit(2), F.size("p") - 1)
+    values = F.transform(pairs, lambda x: F.split_part(x, F.lit(":"), F.lit(2)).cast("double"))
+    return lines.select("row_id", F.get("p", F.lit(0)).cast("double").alias("y"), F.size(pairs).cast("long").alias("stored"), F.round(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
