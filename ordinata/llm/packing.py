@@ -22,6 +22,7 @@ a null doc_id is kept. Ties in score go to the earlier document. Other columns a
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ SHARD_TOKENS = 2_500_000
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 SPECIAL = "<|endoftext|>"
+_LONG_RUN = 60_000
+_RUN = re.compile(rf"\s{{{_LONG_RUN}}}")
 
 
 class Tokens:
@@ -58,10 +61,12 @@ class Tokens:
         of white space beyond the faster library's stack."""
         try:
             text.encode("latin-1")
-            if SPECIAL not in text:
-                return np.frombuffer(array("I", self.fast.encode_ordinary(text)), np.uint32)
-        except ValueError:
-            pass
+        except UnicodeEncodeError:
+            fast = False
+        else:
+            fast = SPECIAL not in text and not (len(text) > _LONG_RUN and _RUN.search(text))
+        if fast:
+            return np.frombuffer(array("I", self.fast.encode_ordinary(text)), np.uint32)
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
