@@ -41,6 +41,8 @@ from ordinata.llm.shingles import mix, shingle_set, word_hashes
 from ordinata.llm.workspace import materialize
 
 BANDS, ROWS = 30, 5
+#: So many candidate ids, about 30 MB as a hash table, may be sent to every executor.
+BROADCAST_IDS = 1_000_000
 _BLOCK = 4096
 
 
@@ -209,7 +211,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
 
     stars = members.where((F.col("doc_id") != F.col("hub")) & sizes_fit("n", "hub_n")).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     stars = materialize(stars, "minmax-stars")
-    wanted = members.select("doc_id").distinct()
+    wanted = materialize(members.select("doc_id").distinct(), "minmax-wanted")
+    if wanted.count() <= BROADCAST_IDS:  # beyond it the texts are shuffled instead
+        wanted = F.broadcast(wanted)
     sets = materialize(shingle_sets(texts.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "minmax-sets")
     links = materialize(confirmed(stars, sets, percent), "minmax-links")
     first = materialize(components(links, "minmax-first"), "minmax-component")
