@@ -16,7 +16,8 @@ from ordinata.llm.workspace import materialize
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.5; the model is learnt from all labelled documents outside the held-out third."""
-    model = quality_model.fit_on_labels(quality_model.describe(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    described = materialize(quality_model.describe(docs), "pipeline-statistics")
+    model = quality_model.fit_on_labels(described, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality_model.with_score(docs, model, out_col="quality_score__")
     return scored.where(F.col("quality_score__") >= 0.5).select(*docs.columns)
 

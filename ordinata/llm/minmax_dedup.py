@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordinata.llm.shingles import mix, shingle_set, word_hashes
-from ordinata.llm.workspace import materialize
+from ordinata.llm.workspace import bound_batches, materialize, release
 
 BANDS, ROWS = 30, 5
 #: So many candidate ids, about 30 MB as a hash table, may be sent to every executor.
@@ -98,6 +98,7 @@ def signatures(docs: DataFrame, shingle: int, *, bands: int = BANDS, rows: int =
                         d2.append(None)
                         keys.append([])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+        release()
 
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return columns.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
@@ -112,6 +113,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 part = batch.slice(at, 128)
                 found = [shingle_set(words, shingle).view(np.int64) for _, words in word_hashes(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
@@ -190,7 +192,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     Documents whose similarity reaches ``percent`` are linked; component_id is the least doc_id that links reach, and the
     document that bears it is kept.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = materialize(signatures(texts, shingle, bands=bands, rows=rows), "minmax")
     sized = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = sized.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ordinata.llm.bpe import load_ranks
 from ordinata.llm.shingles import mix
-from ordinata.llm.workspace import clip, materialize
+from ordinata.llm.workspace import bound_batches, clip, materialize, release
 
 WINDOW = 2048
 END_ID = 1
@@ -108,8 +108,9 @@ def tokenized(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, *,
                     near.append(locality(ids))
                     packed.append(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\0" + ids.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(near, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "near", "ids"])
+        release()
 
-    columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    columns = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return columns.mapInArrow(run, "doc_id long, n long, near long, ids binary")
 
 
@@ -280,6 +281,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, *, wind
                     doc_ids, ids, held = [], [], 0
         if ids:
             yield from packed(doc_ids, ids)
+        release()
 
     order = ("near", "doc_id", F.xxhash64("ids"))
     dealt = table.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids", F.spark_partition_id().cast("long").alias("shard"))

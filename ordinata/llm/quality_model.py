@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ordinata.llm.workspace import bound_batches, release
+
 STATISTICS = (
     "log_words", "log_word_length", "symbols", "bangs", "capitals", "distinct_words", "top_word", "bare_words", "ends", "commas",
     "dup_lines", "entropy", "adjacent_repeats", "repeated_pairs", "pipes", "tiny_words",
@@ -138,8 +140,9 @@ def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
                 part = batch.slice(at, 512)
                 stats = _matrix(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(stats), pa.list_(pa.float64()))], names=["doc_id", "stats"])
+        release()
 
-    columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    columns = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return columns.mapInArrow(run, "doc_id long, stats array<double>")
 
 
@@ -197,15 +200,12 @@ def score(described: DataFrame, model: QuadraticDiscriminant) -> DataFrame:
 def with_score(docs: DataFrame, model: QuadraticDiscriminant, *, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
     """``docs`` with one more column, the score of every whole text; no row moves."""
 
-    @F.pandas_udf("double")
-    def of_text(texts):
-        import pandas as pd
-
-        values = texts.tolist()
-        out = [model.score(_matrix(values[at : at + 512])) for at in range(0, len(values), 512)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    @F.arrow_udf("double")
+    def of_text(texts: pa.Array) -> pa.Array:
+        parts = [model.score(_matrix(texts.slice(at, 512).to_pylist())) for at in range(0, len(texts), 512)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.withColumn(out_col, of_text(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return bound_batches(docs).withColumn(out_col, of_text(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def held_out_bucket(doc_id: int | None, folds: int = 3) -> int | None:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows in an Arrow batch of texts: enough to amortise a batch, few enough that long texts stay small in memory.
+BATCH_ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
@@ -38,3 +43,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def clip(n: float, low: int, high: int) -> int:
     """``n`` as an integer within [low, high]."""
     return int(max(low, min(high, n)))
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches held to BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key, "10000")) > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def release() -> None:
+    """Give a Python worker's free memory back, as workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
