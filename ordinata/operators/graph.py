@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 PRUNINGS = ("none", "simple", "gw", "strong")
 
 
-def steiner_forest(edges: list[tuple[int, int, float]], prizes: np.ndarray, clusters: int = 1, pruning: str = "strong") -> tuple[list[int], list[int]]:
+def steiner_forest(edges: list[tuple[int, int, float]], prizes: np.ndarray, clusters: int = 1, pruning: str = "strong", root: int | None = None) -> tuple[list[int], list[int]]:
     """(nodes, edge numbers) of a forest of ``clusters`` trees that trades edge costs against missed prizes.
 
     All nodes with a prize grow moats at equal speed; an edge whose moats meet joins two clusters, a cluster that has
-    used up its prize stops. Growth ends when no more than ``clusters`` active clusters are left.
+    used up its prize stops. Growth ends when no more than ``clusters`` active clusters are left. With a ``root`` the
+    result is the one tree that holds it: its cluster never grows, and growth ends when no cluster does.
     """
     if pruning not in PRUNINGS:
         raise ValueError(f"pruning must be one of {PRUNINGS}")
@@ -23,6 +24,8 @@ def steiner_forest(edges: list[tuple[int, int, float]], prizes: np.ndarray, clus
     owner, members = list(range(n)), {k: [k] for k in range(n)}
     left, active, moat = {k: float(prizes[k]) for k in range(n)}, {k: bool(prizes[k] > 0) for k in range(n)}, np.zeros(n)
     taken, dead, eps = [], [], 1e-12
+    if root is not None:
+        active[root], clusters = False, 0
     while sum(active.values()) > clusters:
         step, event = min(((left[k], ("stop", k)) for k, on in active.items() if on), key=lambda e: (e[0], e[1][1]))
         for i, (a, b, cost) in enumerate(edges):
@@ -45,10 +48,11 @@ def steiner_forest(edges: list[tuple[int, int, float]], prizes: np.ndarray, clus
         members[x] = members[x] + members.pop(y)
         left[x] = left[x] + left.pop(y)
         active.pop(y)
-        active[x] = left[x] > eps
-        if not active[x]:
+        rooted = root is not None and owner[root] == x
+        active[x] = left[x] > eps and not rooted
+        if not active[x] and not rooted:
             dead.append(set(members[x]))
-    roots = [k for k, on in active.items() if on] or [max(members, key=lambda k: prizes[members[k]].sum())]
+    roots = [owner[root]] if root is not None else [k for k, on in active.items() if on] or [max(members, key=lambda k: prizes[members[k]].sum())]
     if pruning == "none":
         nodes = sorted({v for k in members for v in members[k] if len(members[k]) > 1} | {v for k in roots for v in members[k]})
         return nodes, sorted(taken)
@@ -61,12 +65,12 @@ def steiner_forest(edges: list[tuple[int, int, float]], prizes: np.ndarray, clus
                 kept = {i for i in kept - set(across) if not (edges[i][0] in group and edges[i][1] in group)}
                 inside -= group
     elif pruning == "strong":
-        inside, kept = _strong(edges, prizes, kept, [members[k] for k in roots])
+        inside, kept = _strong(edges, prizes, kept, [members[k] for k in roots], root)
     return sorted(inside), sorted(kept)
 
 
-def _strong(edges, prizes, kept: set[int], trees: list[list[int]]) -> tuple[set[int], set[int]]:
-    """By tree, the subtree of the largest prizes minus costs."""
+def _strong(edges, prizes, kept: set[int], trees: list[list[int]], root: int | None = None) -> tuple[set[int], set[int]]:
+    """By tree, the subtree of the largest prizes minus costs; with a root, the best one that holds it."""
     near: dict[int, list[tuple[int, int, float]]] = {}
     for i in kept:
         a, b, c = edges[i]
@@ -75,7 +79,8 @@ def _strong(edges, prizes, kept: set[int], trees: list[list[int]]) -> tuple[set[
     nodes: set[int] = set()
     used: set[int] = set()
     for tree in trees:
-        order, parent, stack = [], {tree[0]: (-1, -1, 0.0)}, [tree[0]]
+        top = tree[0] if root is None else root
+        order, parent, stack = [], {top: (-1, -1, 0.0)}, [top]
         while stack:
             v = stack.pop()
             order.append(v)
@@ -88,7 +93,7 @@ def _strong(edges, prizes, kept: set[int], trees: list[list[int]]) -> tuple[set[
             up, _, c = parent[v]
             if up >= 0 and worth[v] > c:
                 worth[up] += worth[v] - c
-        best = max(order, key=lambda v: worth[v])
+        best = max(order, key=lambda v: worth[v]) if root is None else root
         chosen = {best}
         for v in order:
             up, i, c = parent[v]

@@ -6,15 +6,22 @@ absolute penalty by proximal steps on the same sums; the duals with a box by coo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordinata.operators.prepare import random_folds
+
 SOLVERS = {0: "logistic", 7: "logistic", 1: "hinge2", 2: "hinge2", 5: "hinge2", 6: "logistic", 11: "svr2", 12: "svr2", 3: "hinge", 13: "svr1"}
 L1 = frozenset([5, 6])
+REGRESSION = frozenset([11, 12, 13])
 DEFAULT_EPS = {0: 0.01, 2: 0.01, 5: 0.01, 6: 0.01, 11: 0.0001, 1: 0.1, 3: 0.1, 4: 0.1, 7: 0.1, 12: 0.1, 13: 0.1}
 
 
@@ -181,6 +188,231 @@ def predict(samples: DataFrame, weights: np.ndarray, labels: list[float]) -> Dat
     return scored.select("row_id", F.element_at(F.array(*map(F.lit, labels)), best).alias("prediction"), (F.element_at(shares, best) / F.aggregate(shares, F.lit(0.0), lambda a, v: a + v)).alias("probability"))
 
 
+def crammer_singer(x: np.ndarray, k: np.ndarray, classes: int, c: float = 1.0, eps: float = 0.1, rounds: int = 1000, seed: int = 1) -> np.ndarray:
+    """Weights (classes, features) of the multiclass machine, by descent on each row's block of its dual.
+
+    A row's block solves: least sum over m of A a_m^2 / 2 + B_m a_m, the a_m summing to 0, a_m at most C for the row's
+    class and 0 for the others; so a_m = min(C_m, (beta - B_m) / A) with the beta that makes the sum 0.
+    """
+    rng, w, alpha, size = np.random.default_rng(seed), np.zeros((classes, x.shape[1])), np.zeros((len(k), classes)), (x * x).sum(1)
+    counting = np.arange(1, classes + 1)
+    for _ in range(rounds):
+        worst = 0.0
+        for i in rng.permutation(len(k)):
+            if size[i] <= 0:
+                continue
+            margin = w @ x[i] + 1.0
+            margin[k[i]] -= 1.0
+            cap = np.zeros(classes)
+            cap[k[i]] = c
+            free = alpha[i] < cap - 1e-12
+            worst = max(worst, float(margin.max() - margin[free].min()) if free.any() else 0.0)
+            b = margin - size[i] * alpha[i]
+            d = np.sort(b + size[i] * cap)[::-1]
+            betas = (np.cumsum(d) - size[i] * c) / counting
+            beta = betas[np.flatnonzero(d > betas - 1e-15)[-1]]
+            fresh = np.minimum(cap, (beta - b) / size[i])
+            w += np.outer(fresh - alpha[i], x[i])
+            alpha[i] = fresh
+        if worst < eps:
+            break
+    return w
+
+
+def train_dual(samples: DataFrame, method: str = "hinge", c: float = 1.0, p: float = 0.1, by: str = "task_id") -> DataFrame:
+    """(task, label, j, w) by coordinate descent on the dual, one grouped-map task for each value of ``by``.
+
+    method: hinge (y in {+1, -1}), absolute (regression with a margin of ``p``) or multiclass (y any label; a row of
+    weights for each). The descent visits rows one by one, so a task's rows meet in one worker; tasks run in parallel.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_id")
+        x, y = np.stack(pdf["features"].to_numpy()).astype(float), pdf["y"].to_numpy(float)
+        if method == "multiclass":
+            labels, k = np.unique(y, return_inverse=True)
+            w = crammer_singer(x, k, len(labels), c)
+        else:
+            labels, w = np.ones(1), dual_descent(x, y, c, "hinge" if method == "hinge" else "svr", p)[None, :]
+        wide = w.shape[1]
+        return pd.DataFrame({"task": pdf[by].iloc[0], "label": np.repeat(labels, wide), "j": np.tile(np.arange(wide), len(labels)), "w": w.ravel()})
+
+    return samples.select(by, "row_id", "y", "features").groupBy(by).applyInPandas(run, "task long, label double, j int, w double")
+
+
+def group_classes(samples: DataFrame, label: str = "label") -> list[tuple[float, int]]:
+    """(label, rows) by first occurrence; of the two labels -1 and +1, +1 comes first. As many entries as classes."""
+    found = samples.groupBy(F.col(label).cast("double").alias("label")).agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("first").collect()
+    classes = [(r["label"], r["n"]) for r in found]
+    return classes[::-1] if [v for v, _ in classes] == [-1.0, 1.0] else classes
+
+
+@dataclass(frozen=True)
+class Model:
+    """Weights of a classifier (one row for two classes, else one for each label) or of a regression (no labels)."""
+
+    solver: int
+    labels: tuple[float, ...]
+    weights: np.ndarray
+    bias: float = -1.0
+
+    def coefficient(self, feature: int, label_index: int = 0) -> float:
+        """The weight of a feature (from 1) for a label; the second label of two has the first one's with the sign changed, and what is out of range is 0."""
+        if not 1 <= feature <= self.weights.shape[1] - (self.bias >= 0):
+            return 0.0
+        return self._of(feature - 1, label_index)
+
+    def intercept(self, label_index: int = 0) -> float:
+        return self._of(-1, label_index) * self.bias if self.bias >= 0 else 0.0
+
+    def _of(self, column: int, label_index: int) -> float:
+        if not self.labels:
+            return float(self.weights[0, column])
+        if not 0 <= label_index < len(self.labels):
+            return 0.0
+        if len(self.weights) == 1 and len(self.labels) == 2:
+            return float(self.weights[0, column]) * (1 if label_index == 0 else -1)
+        return float(self.weights[label_index, column])
+
+    def predict(self, samples: DataFrame) -> DataFrame:
+        """(row_id, prediction, probability); features beyond the model's are ignored. A regression has no probability."""
+        width = self.weights.shape[1] - (self.bias >= 0)
+        cut = samples.withColumn("features", F.slice("features", 1, width))
+        if self.bias >= 0:
+            cut = cut.withColumn("features", F.concat("features", F.array(F.lit(float(self.bias)))))
+        if not self.labels:
+            terms = F.zip_with("features", F.array(*map(F.lit, map(float, self.weights[0]))), lambda a, b: a * b)
+            return cut.select("row_id", F.aggregate(terms, F.lit(0.0), lambda s, v: s + v).alias("prediction"), F.lit(None).cast("double").alias("probability"))
+        return predict(cut, self.weights, list(self.labels))
+
+
+def train_model(samples: DataFrame, d: int, options: dict, label: str = "label") -> Model:
+    """Train by parsed options: labels by first occurrence, class weights, one against the rest, bias as a feature."""
+    solver, c, bias = options["solver"], options["c"], options["bias"]
+    if problem := check_parameters(solver, c, options["eps"], options["p"], bias):
+        raise ValueError(problem)
+    rows = samples.withColumn("label", F.col(label).cast("double"))
+    if bias >= 0:
+        rows, d = rows.withColumn("features", F.concat("features", F.array(F.lit(float(bias))))), d + 1
+    if solver in REGRESSION:
+        rows = rows.withColumn("y", F.col("label"))
+        return Model(solver, (), _weights(rows, d, options, {})[None, :], bias)
+    labels = tuple(v for v, _ in group_classes(rows))
+    if solver == 4:
+        got = train_dual(rows.withColumn("y", F.col("label")).withColumn("task_id", F.lit(0).cast("long")), "multiclass", c).collect()  # classes times features
+        weights = np.zeros((len(labels), d))
+        for r in got:
+            weights[labels.index(r["label"]), r["j"]] = r["w"]
+        return Model(solver, labels, weights, bias)
+    heads = labels[:1] if len(labels) == 2 else labels
+    weights = []
+    for head in heads:
+        own = options["weights"]
+        scale = {1.0: own.get(head, 1.0), -1.0: own.get(labels[1], 1.0) if len(labels) == 2 else 1.0}
+        weights.append(_weights(rows.withColumn("y", F.when(F.col("label") == head, 1.0).otherwise(-1.0)), d, options, scale))
+    return Model(solver, labels, np.stack(weights), bias)
+
+
+def _weights(rows: DataFrame, d: int, options: dict, scale: dict[float, float]) -> np.ndarray:
+    solver, c = options["solver"], options["c"]
+    if SOLVERS[solver] in ("hinge", "svr1"):
+        method = "hinge" if SOLVERS[solver] == "hinge" else "absolute"
+        if set(scale.values()) - {1.0}:
+            raise ValueError("this solver takes no class weights")
+        w = np.zeros(d)
+        for r in train_dual(rows.withColumn("task_id", F.lit(0).cast("long")), method, c, options["p"]).collect():  # d rows
+            w[r["j"]] = r["w"]
+        return w
+    return train(rows, d, solver, c, options["eps"], options["p"], scale if set(scale.values()) - {1.0} else None)[0]
+
+
+def cross_validate(samples: DataFrame, d: int, options: dict, folds: int, seed: int = 1, label: str = "label") -> DataFrame:
+    """(row_id, y, prediction): each row by the model that was trained on the other folds."""
+    placed = samples.join(random_folds(samples, folds, seed), "row_id")
+    parts = []
+    for k in range(folds):
+        model = train_model(placed.where(F.col("fold") != k), d, options, label)
+        held = placed.where(F.col("fold") == k)
+        parts.append(model.predict(held).join(held.select("row_id", F.col(label).cast("double").alias("y")), "row_id").select("row_id", "y", "prediction"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def first_c(samples: DataFrame, solver: int, p: float = 0.1) -> float:
+    """Where the search for C starts: the power of two below the least C that can move the weights."""
+    norm = F.aggregate("features", F.lit(0.0), lambda s, v: s + v * v)
+    slack = F.greatest(F.abs("y") - p, F.lit(0.0))
+    r = samples.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("most"), F.sum(F.abs("y")).alias("sum_y"), F.sum(slack * slack).alias("loss")).first()
+    if not r["n"] or not r["most"]:
+        return 1.0
+    if SOLVERS[solver] == "svr2":
+        least = 0.01 * r["loss"] / (8 * r["sum_y"] ** 2 * r["most"]) if r["loss"] else 1.0
+    else:
+        least = 1.0 / ((2 if SOLVERS[solver] == "hinge2" else 1) * r["n"] * r["most"])
+    return 2.0 ** math.floor(math.log2(least))
+
+
+def search_c(samples: DataFrame, d: int, solver: int = 2, folds: int = 5, seed: int = 1, start: float | None = None, most: float = 1024.0, p: float = 0.1) -> list[tuple[float, float]]:
+    """(C, score) along C = start, 2 start, ...: the held-out accuracy, or for a regression the mean squared error.
+
+    Each fold starts from its weights at the last C. The search ends after five C in a row that move no weights, or
+    beyond ``most``. The first best entry is ``best_c``.
+    """
+    placed = samples.select("row_id", "y", "features").join(random_folds(samples, folds, seed), "row_id").cache()
+    try:
+        c, still, warm, path = start or first_c(samples, solver, p), 0, [None] * folds, []
+        while c <= most:
+            models, moved = [], False
+            for k in range(folds):
+                w = train(placed.where(F.col("fold") != k), d, solver, c, p=p, start=warm[k])[0]
+                moved |= warm[k] is None or float(np.linalg.norm(w - warm[k])) > 1e-15
+                models.append(w)
+            own = F.element_at(F.array(*(F.array(*map(F.lit, map(float, w))) for w in models)), F.col("fold") + 1)
+            scored = placed.withColumn("s", F.aggregate(F.zip_with("features", own, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+            hit = F.pow(F.col("s") - F.col("y"), 2) if SOLVERS[solver] == "svr2" else ((F.col("s") > 0) == (F.col("y") > 0)).cast("double")
+            path.append((c, float(scored.agg(F.avg(hit).alias("score")).first()["score"])))
+            warm, still, c = models, 0 if moved else still + 1, 2 * c
+            if still == 5:
+                break
+        return path
+    finally:
+        placed.unpersist()
+
+
+def best_c(path: list[tuple[float, float]], solver: int) -> tuple[float, float]:
+    """The first best (C, score) of a search."""
+    return min(path, key=lambda x: x[1]) if SOLVERS[solver] == "svr2" else max(path, key=lambda x: x[1])
+
+
+def search_p(samples: DataFrame, d: int, folds: int = 5, seed: int = 1, most: float = 1024.0, start: float | None = None, steps: int = 20) -> tuple[float, float, float]:
+    """(C, p, error) of a regression: p falls from 19/20 of the greatest |y| to 0, each with a search of C."""
+    greatest = float(samples.agg(F.max(F.abs("y")).alias("m")).first()["m"] or 0.0)
+    best = (1.0, 0.0, math.inf)
+    for i in range(steps - 1, -1, -1):
+        p = i / steps * greatest
+        c, error = best_c(search_c(samples, d, 11, folds, seed, start, most, p), 11)
+        if error < best[2]:
+            best = (c, p, error)
+    return best
+
+
+def train_by_options(samples: DataFrame, d: int, text: str, label: str = "label") -> Model | float | tuple[float, float]:
+    """What an option string asks for: a model, the cross-validated score (``-v``), or the best (C, score) (``-C``)."""
+    options = parse_options(text)
+    if options["find_c"]:
+        if options["solver"] not in (0, 2, 11):
+            raise ValueError("-C needs solver 0, 2 or 11")
+        y = F.col(label).cast("double")
+        if options["solver"] != 11:
+            head = group_classes(samples, label)[0][0]
+            y = F.when(y == head, 1.0).otherwise(-1.0)
+        return best_c(search_c(samples.withColumn("y", y), d, options["solver"], options["folds"] or 5, p=options["p"]), options["solver"])
+    if options["folds"]:
+        held = cross_validate(samples, d, options, options["folds"], label=label)
+        score = F.avg(F.pow(F.col("prediction") - F.col("y"), 2)) if options["solver"] in REGRESSION else 100 * F.avg((F.col("prediction") == F.col("y")).cast("double"))
+        return float(held.agg(score.alias("score")).first()["score"])
+    return train_model(samples, d, options, label)
+
+
 def model_text(solver: str, labels: list[int], weights: np.ndarray, bias: float = -1.0) -> str:
     """The text form of a model; ``load_model`` reads it back."""
     head = [f"solver_type {solver}", f"nr_class {len(labels)}", "label " + " ".join(map(str, labels)), f"nr_feature {weights.shape[1] - (bias >= 0)}", f"bias {bias:.17g}", "w"]

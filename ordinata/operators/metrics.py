@@ -59,6 +59,25 @@ def det(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
     return curve(df, score, y).select(score, (1 - F.col("tpr")).alias("miss"), F.col("fpr").alias("false_alarm"))
 
 
+def retrieved_curve(df: DataFrame, n_pos: int | None = None, n_neg: int | None = None, score: str = "score", y: str = "y") -> DataFrame:
+    """(score, tpr, fpr) of what was retrieved: rows of label 0 do not count, and rows of score -inf only to the totals.
+
+    ``n_pos`` and ``n_neg`` say how many rows there are of each class if the table has only some of them.
+    """
+    judged = df.where(F.col(y) != 0)
+    total = judged.agg(F.count_if(F.col(y) > 0).alias("all_p"), F.count_if(F.col(y) < 0).alias("all_n"))
+    c = curve(judged.where(F.col(score) > float("-inf")), score, y).crossJoin(F.broadcast(total))  # one row
+    p, n = (F.col(k) if v is None else F.lit(v) for k, v in (("all_p", n_pos), ("all_n", n_neg)))
+    return c.select(score, F.when(p > 0, F.col("tp") / p).otherwise(0.0).alias("tpr"), F.when(n > 0, F.col("fp") / n).otherwise(0.0).alias("fpr"))
+
+
+def precision_at_prior(df: DataFrame, prior: float, score: str = "score", y: str = "y") -> DataFrame:
+    """(score, recall, precision), the precision being that of classes mixed with ``prior`` positives."""
+    c = curve(df, score, y)
+    hit, miss = prior * F.col("tpr"), (1 - prior) * F.col("fpr")
+    return c.select(score, F.col("tpr").alias("recall"), F.when(hit + miss > 0, hit / (hit + miss)).alias("precision"))
+
+
 def evaluate(df: DataFrame, y: str = "y", prediction: str = "prediction") -> DataFrame:
     """Accuracy in percent of equal signs, mean squared error, squared correlation (null where it is 0/0)."""
     y_, v = F.col(y), F.col(prediction)

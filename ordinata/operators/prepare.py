@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,27 +37,77 @@ def class_map(samples: DataFrame, label: str = "label", seed: int = 7) -> DataFr
     return shuffled.select(label, F.when(F.col("k") <= F.floor(F.max("k").over(Window.partitionBy()) / 2), 1.0).otherwise(-1.0).alias("y"))
 
 
+def _fold_of(i: Column, n: Column, folds: int) -> Column:
+    """The fold of position ``i`` of ``n``: contiguous folds, of which the first n mod k have one row more."""
+    q, r = F.floor(n / folds), n % folds
+    fold = F.when(i < r * (q + 1), F.floor(i / (q + 1))).otherwise(r + F.floor((i - r * (q + 1)) / F.greatest(q, F.lit(1))))
+    return fold.cast("int")
+
+
+def _counted(df: DataFrame, samples: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    count = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return df.join(count, list(by)) if by else df.crossJoin(F.broadcast(count))
+
+
 def kfold(samples: DataFrame, folds: int, by: tuple[str, ...] = (), row: str = "row_id") -> DataFrame:
     """(row, fold): contiguous folds in row order; the first n mod k have one row more."""
     from ordinata.operators.prefix import running
 
     position = running(samples.select(*by, row), row, {"one": F.lit(1)}, by)
-    count = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    joined = position.join(count, list(by)) if by else position.crossJoin(F.broadcast(count))
-    i, q, r = F.col("cum_one") - 1, F.floor(F.col("n") / folds), F.col("n") % folds
-    fold = F.when(i < r * (q + 1), F.floor(i / (q + 1))).otherwise(r + F.floor((i - r * (q + 1)) / F.greatest(q, F.lit(1))))
-    return joined.select(*by, row, fold.cast("int").alias("fold"))
+    return _counted(position, samples, by).select(*by, row, _fold_of(F.col("cum_one") - 1, F.col("n"), folds).alias("fold"))
 
 
-def random_folds(samples: DataFrame, folds: int, seed: int, row: str = "row_id") -> DataFrame:
-    """(row, fold): folds [i n/k, (i+1) n/k) of a seeded permutation; as many folds as rows at most."""
+def shuffled(samples: DataFrame, seed: int, repeats: int = 1, name: str = "pass", row: str = "row_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, name, row, position): ``repeats`` seeded permutations of the rows; positions count from 0.
+
+    The order is that of a digest of (row, permutation, seed); rows of equal digests go by their ids.
+    """
     from ordinata.operators.prefix import running
 
-    keyed = samples.select(row, F.xxhash64(F.col(row), F.lit(seed)).cast("double").alias("key"))
-    position = running(keyed.withColumn("order", F.col("key")), "order", {"one": F.lit(1)}).join(keyed.withColumnRenamed("key", "order"), "order")
-    n = samples.count()
-    k = min(folds, n)
-    return position.select(row, F.floor(((F.col("cum_one") - 1) * k + k - 1) / n).cast("int").alias("fold")) if k else position.select(row, F.lit(0).alias("fold"))
+    copies = samples.select(*by, row, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias(name))
+    digest = F.md5(F.concat_ws("-", F.col(row).cast("string"), F.col(name).cast("string"), F.lit(str(seed))).cast("binary"))
+    keyed = copies.withColumn("key__", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    groups = (*by, name)
+    placed = keyed.join(running(keyed, "key__", {"one__": F.lit(1)}, groups), [*groups, "key__"])
+    among = F.row_number().over(Window.partitionBy(*groups, "key__").orderBy(row))  # rows of one digest
+    return placed.select(*groups, row, (F.col("cum_one__") - F.col("one__") + among - 1).alias("position"))
+
+
+def random_folds(samples: DataFrame, folds: int, seed: int, row: str = "row_id") -> DataFrame:
+    """(row, fold): folds [i n/k, (i+1) n/k) of a seeded permutation; as many folds as rows at most."""
+    counted = _counted(shuffled(samples, seed, row=row), samples, ())
+    k = F.least(F.lit(folds).cast("long"), F.col("n"))
+    return counted.select(row, F.floor((F.col("position") * k + k - 1) / F.col("n")).cast("int").alias("fold"))
+
+
+def outer_folds(samples: DataFrame, folds: int, seed: int, row: str = "row_id") -> DataFrame:
+    """(fold, row, role): for each fold a permutation of its own, whose contiguous part is the test; tests may overlap."""
+    counted = _counted(shuffled(samples, seed, folds, "fold", row), samples, ())
+    test = _fold_of(F.col("position"), F.col("n"), folds) == F.col("fold")
+    return counted.select("fold", row, F.when(test, "te").otherwise("tr").alias("role"))
+
+
+def nested_folds(outer: DataFrame, folds: int, row: str = "row_id") -> DataFrame:
+    """(fold, row, inner): contiguous folds within the training rows of every outer fold."""
+    training = outer.where("role = 'tr'").select(F.col("fold").alias("outer__"), row)
+    return kfold(training, folds, ("outer__",), row).select(F.col("outer__").alias("fold"), row, F.col("fold").alias("inner"))
+
+
+def trial_splits(samples: DataFrame, trials: int, train_rows: int, positives: tuple[int, ...], folds: int, seed: int, *, least_negatives: int = 3, candidates: int = 200, row: str = "row_id") -> DataFrame:
+    """(trial, row, role, inner): the first ``trials`` seeded candidates that pass.
+
+    A candidate trains on ``train_rows`` rows. It passes if its number of positives is one of ``positives`` and the test
+    part of each of its contiguous inner folds has ``least_negatives`` negatives.
+    """
+    drawn = shuffled(samples, seed, candidates, "candidate", row).join(samples.select(row, "y"), row)
+    fold = _fold_of(F.col("position"), F.lit(train_rows).cast("long"), folds)
+    train = drawn.where(F.col("position") < train_rows).withColumn("inner", fold)
+    by_fold = train.groupBy("candidate", "inner").agg(F.count_if(F.col("y") > 0).alias("p"), F.count_if(F.col("y") <= 0).alias("n"))
+    passed = by_fold.groupBy("candidate").agg(F.sum("p").alias("p"), F.min("n").alias("least")).where(F.col("p").isin(*positives) & (F.col("least") >= least_negatives))
+    numbered = passed.select("candidate", (F.row_number().over(Window.orderBy("candidate")) - 1).alias("trial")).where(F.col("trial") < trials)  # ``candidates`` rows at most
+    rows = drawn.join(F.broadcast(numbered), "candidate")
+    inside = F.col("position") < train_rows
+    return rows.select("trial", row, F.when(inside, "tr").otherwise("te").alias("role"), F.when(inside, fold).alias("inner"))
 
 
 def grid(spark, **axes: list[float]) -> DataFrame:

@@ -20,3 +20,20 @@ def best_setting(scores: DataFrame, task: list[str], ordinal: str = "ordinal", v
 def best_by(summary: DataFrame, by: str) -> DataFrame:
     """The mean of the best setting of each group, with that setting's deviation."""
     return summary.groupBy(by).agg(F.max("mean").alias("best"), F.max_by("std", "mean").alias("std"))
+
+
+def reference_share(models: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:
+    """By group, the share of the selected features (w <> 0) that a reference list of ``j`` has; 0 where none is selected."""
+    known = reference.select("j").distinct().withColumn("known", F.lit(True))
+    marked = models.join(known, "j", "left").groupBy(*by).agg(F.count_if(F.col("w") != 0).alias("n_selected"), F.count_if((F.col("w") != 0) & F.col("known")).alias("n_known"))
+    return marked.withColumn("share", F.when(F.col("n_selected") > 0, F.col("n_known") / F.col("n_selected")).otherwise(0.0))
+
+
+def learning_curve(traces: DataFrame, every: int = 1) -> DataFrame:
+    """(step, auc): the mean over tasks at each step as a share of the greatest AUC; every ``every``-th step from the first."""
+    greatest = traces.agg(F.max("auc").alias("greatest"))
+    means = traces.groupBy("step").agg(F.avg("auc").alias("auc"))
+    scaled = means.crossJoin(F.broadcast(greatest)).select("step", (F.col("auc") / F.col("greatest")).alias("auc"))  # one row
+    if every == 1:
+        return scaled
+    return scaled.withColumn("k", F.row_number().over(Window.orderBy("step")) - 1).where(F.col("k") % every == 0).drop("k")  # one row a step

@@ -387,3 +387,107 @@ def libsvm_roundtrip(spark, d):
     pairs = F.slice(F.col("p"), F.lit(2), F.size("p") - 1)
     values = F.transform(pairs, lambda x: F.split_part(x, F.lit(":"), F.lit(2)).cast("double"))
     return lines.select("row_id", F.get("p", F.lit(0)).cast("double").alias("y"), F.size(pairs).cast("long").alias("stored"), F.round(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+def _key_sql(name: str, seed: int) -> str:
+    return f"('0x' || substr(md5(row_id || '-' || {name} || '-{seed}'), 1, 15))::BIGINT"
+
+
+def _shuffled_sql(name: str, repeats: int, seed: int) -> str:
+    """(row_id, y, name, position, n) as the common table ``p``, after the samples."""
+    return EMB + f", p AS (SELECT row_id, y, {name}, row_number() OVER (PARTITION BY {name} ORDER BY {_key_sql(name, seed)}, row_id) - 1 AS position, count(*) OVER (PARTITION BY {name}) AS n FROM e, (SELECT unnest(range({repeats}))::INT AS {name}))"
+
+
+def _fold_sql(i: str, n: str, k: int) -> str:
+    return f"(CASE WHEN {i} < ({n}) % {k} * (({n}) // {k} + 1) THEN {i} // (({n}) // {k} + 1) ELSE ({n}) % {k} + ({i} - ({n}) % {k} * (({n}) // {k} + 1)) // greatest(({n}) // {k}, 1) END)::INT"
+
+
+@query(_shuffled_sql("pass", 3, 5) + " SELECT pass, row_id, position FROM p")
+def pass_permutations(spark, d):
+    return prepare.shuffled(src.embeddings(spark, d), 5, 3)
+
+
+@query(_shuffled_sql("pass", 1, 3) + " SELECT row_id, ((position * 5 + 4) // n)::INT AS fold FROM p")
+def random_kfold(spark, d):
+    return prepare.random_folds(src.embeddings(spark, d), 5, 3)
+
+
+_OUTER = _shuffled_sql("fold", 4, 9) + f", o AS (SELECT fold, row_id, CASE WHEN {_fold_sql('position', 'n', 4)} = fold THEN 'te' ELSE 'tr' END AS role FROM p)"
+
+
+@query(_OUTER + " SELECT * FROM o")
+def outer_folds(spark, d):
+    return prepare.outer_folds(src.embeddings(spark, d), 4, 9)
+
+
+@query(_OUTER + f", i AS (SELECT fold, row_id, row_number() OVER (PARTITION BY fold ORDER BY row_id) - 1 AS i, count(*) OVER (PARTITION BY fold) AS n FROM o WHERE role = 'tr') SELECT fold, row_id, {_fold_sql('i', 'n', 3)} AS \"inner\" FROM i")
+def nested_folds(spark, d):
+    return prepare.nested_folds(prepare.outer_folds(src.embeddings(spark, d), 4, 9), 3)
+
+
+_TRIALS = _shuffled_sql("candidate", 12, 11) + f""", f AS (SELECT *, position < 100 AS inside, {_fold_sql('position', '100', 5)} AS k FROM p),
+g AS (SELECT candidate, k, count(*) FILTER (WHERE y > 0) AS pos, count(*) FILTER (WHERE y <= 0) AS neg FROM f WHERE inside GROUP BY 1, 2),
+h AS (SELECT candidate, row_number() OVER (ORDER BY candidate) - 1 AS trial FROM (SELECT candidate FROM g GROUP BY 1 HAVING sum(pos) BETWEEN 46 AND 54 AND min(neg) >= 3) QUALIFY trial < 4)
+SELECT trial, row_id, CASE WHEN inside THEN 'tr' ELSE 'te' END AS role, CASE WHEN inside THEN k ELSE -1 END AS "inner" FROM f JOIN h USING (candidate)"""
+
+
+@query(_TRIALS)
+def trial_splits(spark, d):
+    return prepare.trial_splits(src.embeddings(spark, d), 4, 100, tuple(range(46, 55)), 5, 11, candidates=12).fillna(-1, ["inner"])
+
+
+@query(FIRST + " SELECT round(score, 6) AS score, round(tp / 2000.0, 6) AS tpr, round(fp / 4000.0, 6) AS fpr FROM c")
+def retrieved_curve(spark, d):
+    return _r(metrics.retrieved_curve(_first(spark, d), 2000, 4000))
+
+
+@query(FIRST + " SELECT round(score, 6) AS score, round(tp / np, 6) AS recall, round(0.1 * tp / np / (0.1 * tp / np + 0.9 * fp / nn), 6) AS precision FROM c")
+def precision_at_prior(spark, d):
+    return _r(metrics.precision_at_prior(_first(spark, d), 0.1))
+
+
+@query(MEANS + ", t AS (SELECT label, j, avg(v) AS v FROM (SELECT e.label, l.j, l.v FROM l JOIN e USING (row_id)) GROUP BY 1, 2) SELECT label, count(*) FILTER (WHERE abs(v) > 0.05) AS n_selected, count(*) FILTER (WHERE abs(v) > 0.05 AND j % 3 = 0) AS n_known, round(CASE WHEN count(*) FILTER (WHERE abs(v) > 0.05) > 0 THEN count(*) FILTER (WHERE abs(v) > 0.05 AND j % 3 = 0) / count(*) FILTER (WHERE abs(v) > 0.05)::DOUBLE ELSE 0 END, 6) AS share FROM t GROUP BY 1")
+def reference_share(spark, d):
+    by_label = src.embeddings(spark, d).select("label", F.posexplode("features").alias("j", "v")).groupBy("label", "j").agg(F.avg("v").alias("v"))
+    models = by_label.select("label", "j", F.when(F.abs("v") > 0.05, F.col("v")).otherwise(0.0).alias("w"))
+    return _r(report.reference_share(models, spark.range(0, 64, 3).select(F.col("id").cast("int").alias("j")), ["label"]))
+
+
+QUERIES |= {
+    "fit_opauc_directions": _fit("opauc_directions", {"eta": 0.01, "lam": 0.01, "tau": 16.0}),
+    "fit_opauc_thresholded": _fit("opauc_thresholded", {"eta": 0.01, "lam": 0.01, "tau": 16.0}),
+    "fit_solam_boxed": _fit("solam_boxed", {"xi": 1.0, "radius": 1.0, "l1": 1.0}),
+}
+
+
+@query()
+def fit_graph_auc(spark, d):
+    s = src.embeddings(spark, d).where("row_id < 500").withColumn("task_id", F.lit(1).cast("long"))
+    task = spark.createDataFrame([(1, "graph_auc", {"xi": 0.5, "block": 50.0, "k": 8.0}, 10, 1)], "task_id long, method string, params map<string,double>, steps long, seed long")
+    return _r(learners.fit(s, task, graph.grid_edges(8, 8, 0.001)).select("j", "w"))
+
+
+@query()
+def learning_curve(spark, d):
+    """AUC by step of two SPAM settings, as a share of the best."""
+    tasks = spark.createDataFrame([(k, "spam", {"xi": 10.0**-k, "l2": 0.1}, 0, 1) for k in range(2)], "task_id long, method string, params map<string,double>, steps long, seed long")
+    rows = src.embeddings(spark, d).where("row_id < 200").crossJoin(F.broadcast(tasks.select("task_id")))  # every row for every setting
+    return _r(report.learning_curve(learners.trace(rows, tasks, 10), 2))
+
+
+def _dual(method: str):
+    def run(spark, d):
+        s = src.embeddings(spark, d).where("row_id < 300").withColumn("task_id", F.lit(1).cast("long"))
+        s = s.withColumn("y", F.col("label").cast("double")) if method == "multiclass" else s
+        return _r(linear.train_dual(s, method, 0.1).select("label", "j", "w"), 3)
+
+    return run
+
+
+QUERIES |= {"linear_hinge_dual": _dual("hinge"), "linear_svr_dual": _dual("absolute"), "linear_multiclass": _dual("multiclass")}
+
+
+@query()
+def search_cost(spark, d):
+    path = linear.search_c(src.embeddings(spark, d), 64, 2, 3, start=0.125, most=0.5)
+    return _r(spark.createDataFrame(path, "c double, score double"))

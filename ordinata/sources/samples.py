@@ -79,9 +79,10 @@ def libsvm_lines(sparse: DataFrame) -> DataFrame:
     return sparse.select("row_id", F.concat_ws(" ", F.col("y").cast("string"), F.array_join(pairs, " ")).alias("value"))
 
 
-def to_sparse(samples: DataFrame) -> DataFrame:
-    """(row_id, y, indices, values) without the zeros."""
-    kept = F.filter(F.transform("features", lambda v, j: F.struct(j.alias("j"), v.alias("v"))), lambda x: x["v"] != 0)
+def to_sparse(samples: DataFrame, most: int | None = None) -> DataFrame:
+    """(row_id, y, indices, values) without the zeros; of the first ``most`` features if given."""
+    features = F.col("features") if most is None else F.slice("features", 1, most)
+    kept = F.filter(F.transform(features, lambda v, j: F.struct(j.alias("j"), v.alias("v"))), lambda x: x["v"] != 0)
     return samples.select("row_id", "y", kept.alias("kept")).select("row_id", "y", F.col("kept.j").alias("indices"), F.col("kept.v").alias("values"))
 
 
@@ -97,6 +98,25 @@ def read_label_csv(spark: SparkSession, path: str, positive: tuple[str, ...] = (
     return raw.select(F.col(raw.columns[0]).alias("id"), F.when(F.col(raw.columns[1]).isin(*positive), 1.0).otherwise(-1.0).alias("y"))
 
 
+def read_names_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name): the first two columns of a CSV file with a header."""
+    raw = spark.read.csv(path, header=True)
+    return raw.select(F.col(f"`{raw.columns[0]}`").alias("id"), F.col(f"`{raw.columns[1]}`").alias("name"))
+
+
+def write_results(results: DataFrame, path: str, by: tuple[str, ...] = ("method",)) -> None:
+    """Results as Parquet, in folders by ``by``."""
+    results.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, **where) -> DataFrame:
+    """Results of the folders that ``where`` names, such as method='spam'; other folders are not read."""
+    out = spark.read.parquet(path)
+    for name, value in where.items():
+        out = out.where(F.col(name) == F.lit(value))
+    return out
+
+
 def planted(spark: SparkSession, n: int, p: int, support: int, ratio: float, mean: float = 0.3, seed: int = 1) -> DataFrame:
     """(row_id, y, features): Gaussian noise, with ``mean`` added to the first ``support`` features of the positives."""
     cut = int(n * ratio)
