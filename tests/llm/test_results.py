@@ -128,6 +128,20 @@ def test_density_choice_and_noise():
     assert html_text.main_text("<article><p>a<br>b <i>c</i>\n d<p>e &lt;x&gt;<script>if (a<b) {}</script></article>") == "a b c d\n\ne <x>"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><p title=it's>One two</p><p>Three 'four'</p></article>", "One two\n\nThree 'four'"),
+        ("<article><p title=\"a>b\" x='c>\"d'>Text</p></article>", "Text"),
+        ('<article><p title="open>Text</p><p>More</p></article>', "Text\n\nMore"),
+        ('<article><p a = "x>y" b=">">T', "T"),
+        ("<article><p>1 < 2 and 3 > 2</p><p>end <", "1 < 2 and 3 > 2\n\nend <"),
+    ],
+)
+def test_quotation_marks_in_tags(html, text):
+    assert html_text.main_text(html) == text
+
+
 @needs_tables
 def test_held_out_quality(spark):
     sf = SF.replace("0.001", "0.1")
