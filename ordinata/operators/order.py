@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,7 +41,14 @@ def l2_ball_long(vector: DataFrame, radius: float) -> DataFrame:
     return vector.crossJoin(F.broadcast(n)).select("j", F.when(F.col("n") > radius, F.col("w") * radius / F.col("n")).otherwise(F.col("w")).alias("w"))
 
 
-def lex_sort(df: DataFrame, x: str, y: str, k: int) -> DataFrame:
-    """The first k rows by falling x, then falling y."""
-    ranked = df.orderBy(F.desc(x), F.desc(y)).limit(k)
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(x), F.desc(y))))  # k rows
+def lex_rank(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(x, y, rank, n) by falling x, then falling y: the first place of each pair of values, and its rows.
+
+    The places before an x and those before a y within its x are running sums in parallel buckets; no task sorts the whole.
+    """
+    from ordinata.operators.prefix import running
+
+    one = {"n": F.lit(1)}
+    before = running(df, x, one, descending=True).select(x, (F.col("cum_n") - F.col("n")).alias("above"))
+    within = running(df, y, one, (x,), descending=True)
+    return within.join(before, x).select(x, y, (F.col("above") + F.col("cum_n") - F.col("n") + 1).alias("rank"), "n")

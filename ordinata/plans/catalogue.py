@@ -130,7 +130,7 @@ def row_l2_normalize(spark, d):
     return rows.select("row_id", "j", (F.round("x.a", 6) + F.lit(0.0)).alias("unit"), (F.round("x.b", 5) + F.lit(0.0)).alias("centred"))
 
 
-@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), x AS (SELECT doc_id, length(w) AS j, count(*)::DOUBLE AS v FROM w GROUP BY 1, 2 HAVING length(w) < 64), n AS (SELECT count(*) AS n FROM documents), p AS (SELECT j, CASE WHEN count(*) < max(n) THEN least(min(v), 0) ELSE min(v) END AS lo, CASE WHEN count(*) < max(n) THEN greatest(max(v), 0) ELSE max(v) END AS hi FROM x, n GROUP BY j) SELECT doc_id, j::INT AS j, round(-1 + 2 * (v - lo) / (hi - lo), 6) AS v FROM x JOIN p USING (j) WHERE lo < hi")
+@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), x AS (SELECT doc_id, length(w) % 64 AS j, count(*)::DOUBLE AS v FROM w GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents), p AS (SELECT j, CASE WHEN count(*) < max(n) THEN least(min(v), 0) ELSE min(v) END AS lo, CASE WHEN count(*) < max(n) THEN greatest(max(v), 0) ELSE max(v) END AS hi FROM x, n GROUP BY j) SELECT doc_id, j::INT AS j, round(-1 + 2 * (v - lo) / (hi - lo), 6) AS v FROM x JOIN p USING (j) WHERE lo < hi")
 def minmax_scale(spark, d):
     long = src.documents_long(spark, d)
     n = src.table(spark, d, "documents").count()
@@ -208,9 +208,9 @@ def kth_largest(spark, d):
     return order.kth_largest(_price(spark, d), "score", 500)
 
 
-@query(LI + " SELECT l_quantity, score, row_number() OVER (ORDER BY l_quantity DESC, score DESC)::INT AS rank FROM (SELECT l_quantity, score FROM s ORDER BY l_quantity DESC, score DESC LIMIT 100)")
+@query(LI + " SELECT l_quantity, score, min(rank) AS rank, count(*) AS n FROM (SELECT l_quantity, score, row_number() OVER (ORDER BY l_quantity DESC, score DESC) AS rank FROM s) GROUP BY 1, 2")
 def lex_sort(spark, d):
-    return order.lex_sort(_price(spark, d).select("l_quantity", "score"), "l_quantity", "score", 100)
+    return order.lex_rank(_price(spark, d), "l_quantity", "score")
 
 
 @query(MEANS + ", u AS (SELECT abs(w) AS u, row_number() OVER (ORDER BY abs(w) DESC) AS k, sum(abs(w)) OVER (ORDER BY abs(w) DESC) AS c FROM w), t AS (SELECT arg_max((c - 0.1) / k, k) AS theta FROM u WHERE u * k > c - 0.1) SELECT j, round(CASE WHEN (SELECT sum(abs(w)) FROM w) <= 0.1 THEN w ELSE sign(w) * greatest(abs(w) - theta, 0) END, 6) + 0.0 AS w FROM w, t")
@@ -281,7 +281,7 @@ def rank_curve(spark, d):
     return _r(metrics.rank_curve(_aucs(spark, d)))
 
 
-_BLOCK = SCORES + ", b AS (SELECT * FROM s WHERE row_id < 50), pr AS (SELECT avg((y > 0)::INT) AS p FROM b), uq AS (SELECT sum(posi * w) AS u, sum(nega * w) AS q FROM m JOIN w USING (j))"
+_BLOCK = SCORES + ", b AS (SELECT * FROM s), pr AS (SELECT avg((y > 0)::INT) AS p FROM b), uq AS (SELECT sum(posi * w) AS u, sum(nega * w) AS q FROM m JOIN w USING (j))"
 _VERSIONS = {
     0: ("CASE WHEN y > 0 THEN 2 * (1 - p) * (score - u) ELSE 2 * p * (score - q) END", "-2 * p * (1 - p) * (1 + q - u) - CASE WHEN y > 0 THEN 2 * (1 - p) * (score - u) ELSE 0 END", "2 * p * (1 - p) * (1 + q - u) - CASE WHEN y > 0 THEN 0 ELSE 2 * p * (score - q) END"),
     1: ("CASE WHEN y > 0 THEN 2 * (1 - p) * (score - u) - 2 * (1 + q - u) * (1 - p) ELSE 2 * p * (score - q) + 2 * (1 + q - u) * p END", "0", "0"),
@@ -292,7 +292,7 @@ _VERSIONS = {
 def _block(version: int):
     def run(spark, d):
         long, means, w = _weights(spark, d)
-        block = losses.linear_scores(long, w).where("row_id < 50")
+        block = losses.linear_scores(long, w)
         return _r(losses.block_gradient(long, block, means, w, version), 5)
 
     return run
@@ -303,16 +303,16 @@ for _v, (_cx, _cp, _cn) in _VERSIONS.items():
     ORACLES[f"sht_block_gradient_v{_v}"] = _BLOCK + f", t AS (SELECT row_id, {_cx} AS cx, {_cp} AS cp, {_cn} AS cn FROM b, pr, uq), z AS (SELECT sum(cp) AS cp, sum(cn) AS cn FROM t) SELECT l.j, round(sum(v * cx) + max(z.cp) * max(posi) + max(z.cn) * max(nega), 5) + 0.0 AS grad FROM l JOIN t USING (row_id) JOIN m ON m.j = l.j, z GROUP BY l.j"
 
 
-def _fit(method: str, params: dict[str, float], steps: int = 0, rows: int = 200):
+def _fit(method: str, params: dict[str, float], steps: int = 0):
     def run(spark, d):
-        s = src.embeddings(spark, d).where(f"row_id < {rows}").withColumn("task_id", F.lit(1).cast("long"))
+        s = src.embeddings(spark, d).withColumn("task_id", F.lit(1).cast("long"))
         task = spark.createDataFrame([(1, method, params, steps, 1)], "task_id long, method string, params map<string,double>, steps long, seed long")
         return _r(learners.fit(s, task).select("j", "w"))
 
     return run
 
 
-_ROWS = EMB + ", r AS (SELECT row_number() OVER (ORDER BY row_id) AS t, y, f FROM e WHERE row_id < 200), pm AS (SELECT list(posi ORDER BY j) AS posi, list(nega ORDER BY j) AS nega FROM (SELECT j, avg(v) FILTER (WHERE y > 0) AS posi, avg(v) FILTER (WHERE y <= 0) AS nega FROM (SELECT y, unnest(range(len(f)))::INT AS j, unnest(f) AS v FROM r) GROUP BY j)), pr AS (SELECT avg((y > 0)::INT) AS p FROM r)"
+_ROWS = EMB + ", r AS (SELECT row_number() OVER (ORDER BY row_id) AS t, y, f FROM e), pm AS (SELECT list(posi ORDER BY j) AS posi, list(nega ORDER BY j) AS nega FROM (SELECT j, avg(v) FILTER (WHERE y > 0) AS posi, avg(v) FILTER (WHERE y <= 0) AS nega FROM (SELECT y, unnest(range(len(f)))::INT AS j, unnest(f) AS v FROM r) GROUP BY j)), pr AS (SELECT avg((y > 0)::INT) AS p FROM r)"
 
 
 def _spam_sql(prox: str) -> str:
@@ -336,9 +336,9 @@ for _name, _params, _prox in (
     ORACLES[_name] = _spam_sql(_prox)
 QUERIES |= {
     "fit_solam": _fit("solam", {"xi": 1.0, "radius": 1.0}),
-    "fit_sht_auc": _fit("sht_auc", {"xi": 0.5, "block": 50.0, "k": 10.0}, steps=30, rows=500),
-    "fit_stoiht": _fit("stoiht", {"xi": 0.5, "block": 50.0, "k": 10.0, "l2": 0.01}, steps=30, rows=500),
-    "fit_hsg_ht": _fit("hsg_ht", {"xi": 0.5, "tau": 10.0, "zeta": 1.5, "k": 10.0, "passes": 2.0}, rows=500),
+    "fit_sht_auc": _fit("sht_auc", {"xi": 0.5, "block": 50.0, "k": 10.0}, steps=30),
+    "fit_stoiht": _fit("stoiht", {"xi": 0.5, "block": 50.0, "k": 10.0, "l2": 0.01}, steps=30),
+    "fit_hsg_ht": _fit("hsg_ht", {"xi": 0.5, "tau": 10.0, "zeta": 1.5, "k": 10.0, "passes": 2.0}),
     "fit_opauc": _fit("opauc", {"eta": 0.01, "lam": 0.01}),
     "fit_opauc_sketch": _fit("opauc", {"eta": 0.01, "lam": 0.01, "tau": 16.0}),
     "fit_fsauc": _fit("fsauc", {"radius": 1.0, "eta": 0.1, "passes": 2.0}),
@@ -348,7 +348,7 @@ QUERIES |= {
 @query()
 def cv_select_best(spark, d):
     """Inner folds by a grid of SPAM settings; exact AUC of each held-out fold; the best mean, first in grid order."""
-    s = src.embeddings(spark, d).select("row_id", "y", "features").where("row_id < 300")
+    s = src.embeddings(spark, d).select("row_id", "y", "features")
     folded = s.join(prepare.kfold(s, 3), "row_id")
     tasks = prepare.grid(spark, xi=[0.1, 1.0, 10.0], l2=[0.01, 1.0]).crossJoin(spark.range(3).select(F.col("id").cast("int").alias("held"))).withColumn("task_id", F.col("ordinal") * 3 + F.col("held"))
     rows = folded.crossJoin(F.broadcast(tasks))  # every row for every setting is what a grid search computes
@@ -462,7 +462,7 @@ QUERIES |= {
 
 @query()
 def fit_graph_auc(spark, d):
-    s = src.embeddings(spark, d).where("row_id < 500").withColumn("task_id", F.lit(1).cast("long"))
+    s = src.embeddings(spark, d).withColumn("task_id", F.lit(1).cast("long"))
     task = spark.createDataFrame([(1, "graph_auc", {"xi": 0.5, "block": 50.0, "k": 8.0}, 10, 1)], "task_id long, method string, params map<string,double>, steps long, seed long")
     return _r(learners.fit(s, task, graph.grid_edges(8, 8, 0.001)).select("j", "w"))
 
@@ -471,13 +471,13 @@ def fit_graph_auc(spark, d):
 def learning_curve(spark, d):
     """AUC by step of two SPAM settings, as a share of the best."""
     tasks = spark.createDataFrame([(k, "spam", {"xi": 10.0**-k, "l2": 0.1}, 0, 1) for k in range(2)], "task_id long, method string, params map<string,double>, steps long, seed long")
-    rows = src.embeddings(spark, d).where("row_id < 200").crossJoin(F.broadcast(tasks.select("task_id")))  # every row for every setting
+    rows = src.embeddings(spark, d).crossJoin(F.broadcast(tasks.select("task_id")))  # every row for every setting
     return _r(report.learning_curve(learners.trace(rows, tasks, 10), 2))
 
 
 def _dual(method: str):
     def run(spark, d):
-        s = src.embeddings(spark, d).where("row_id < 300").withColumn("task_id", F.lit(1).cast("long"))
+        s = src.embeddings(spark, d).withColumn("task_id", F.lit(1).cast("long"))
         s = s.withColumn("y", F.col("label").cast("double")) if method == "multiclass" else s
         return _r(linear.train_dual(s, method, 0.1).select("label", "j", "w"), 3)
 

@@ -35,7 +35,7 @@ def to_long(samples: DataFrame) -> DataFrame:
 def documents_long(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
     """(doc_id, j, v): word counts hashed into ``size`` features; absent features are zeros."""
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
-    return words.groupBy("doc_id", F.length("w").alias("j")).agg(F.count(F.lit(1)).cast("double").alias("v")).where(F.col("j") < size)
+    return words.groupBy("doc_id", F.pmod(F.length("w"), F.lit(size)).alias("j")).agg(F.count(F.lit(1)).cast("double").alias("v"))
 
 
 def read_libsvm(spark: SparkSession, path: str, *, strict: bool = True, zero_based: bool | None = None, normalise: bool = False, first: int | None = None, last: int | None = None) -> DataFrame:

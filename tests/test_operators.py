@@ -52,6 +52,14 @@ def test_l1_ball(spark):
     assert np.allclose(got, learners.to_l1_ball(w, 2.0)) and np.abs(got).sum() == pytest.approx(2.0)
 
 
+def test_lexicographic_ranks(spark):
+    rng = random.Random(6)
+    pairs = [(float(rng.randrange(4)), float(rng.randrange(9))) for _ in range(200)]
+    got = {(r["x"], r["y"]): (r["rank"], r["n"]) for r in order.lex_rank(spark.createDataFrame(pairs, "x double, y double"), "x", "y").collect()}
+    ranked = sorted(pairs, reverse=True)
+    assert got == {p: (ranked.index(p) + 1, pairs.count(p)) for p in set(pairs)}
+
+
 def test_folds(spark):
     df = spark.range(23).withColumnRenamed("id", "row_id")
     got = {r["row_id"]: r["fold"] for r in prepare.kfold(df, 5).collect()}
