@@ -303,10 +303,10 @@ for _v, (_cx, _cp, _cn) in _VERSIONS.items():
     ORACLES[f"sht_block_gradient_v{_v}"] = _BLOCK + f", t AS (SELECT row_id, {_cx} AS cx, {_cp} AS cp, {_cn} AS cn FROM b, pr, uq), z AS (SELECT sum(cp) AS cp, sum(cn) AS cn FROM t) SELECT l.j, round(sum(v * cx) + max(z.cp) * max(posi) + max(z.cn) * max(nega), 5) + 0.0 AS grad FROM l JOIN t USING (row_id) JOIN m ON m.j = l.j, z GROUP BY l.j"
 
 
-def _fit(method: str, params: dict[str, float], steps: int = 0):
+def _fit(method: str, params: dict[str, float]):
     def run(spark, d):
         s = src.embeddings(spark, d).withColumn("task_id", F.lit(1).cast("long"))
-        task = spark.createDataFrame([(1, method, params, steps, 1)], "task_id long, method string, params map<string,double>, steps long, seed long")
+        task = spark.createDataFrame([(1, method, params, 0, 1)], "task_id long, method string, params map<string,double>, steps long, seed long")
         return _r(learners.fit(s, task).select("j", "w"))
 
     return run
@@ -336,8 +336,8 @@ for _name, _params, _prox in (
     ORACLES[_name] = _spam_sql(_prox)
 QUERIES |= {
     "fit_solam": _fit("solam", {"xi": 1.0, "radius": 1.0}),
-    "fit_sht_auc": _fit("sht_auc", {"xi": 0.5, "block": 50.0, "k": 10.0}, steps=30),
-    "fit_stoiht": _fit("stoiht", {"xi": 0.5, "block": 50.0, "k": 10.0, "l2": 0.01}, steps=30),
+    "fit_sht_auc": _fit("sht_auc", {"xi": 0.5, "block": 50.0, "k": 10.0, "passes": 3.0}),
+    "fit_stoiht": _fit("stoiht", {"xi": 0.5, "block": 50.0, "k": 10.0, "l2": 0.01, "passes": 3.0}),
     "fit_hsg_ht": _fit("hsg_ht", {"xi": 0.5, "tau": 10.0, "zeta": 1.5, "k": 10.0, "passes": 2.0}),
     "fit_opauc": _fit("opauc", {"eta": 0.01, "lam": 0.01}),
     "fit_opauc_sketch": _fit("opauc", {"eta": 0.01, "lam": 0.01, "tau": 16.0}),
@@ -463,7 +463,7 @@ QUERIES |= {
 @query()
 def fit_graph_auc(spark, d):
     s = src.embeddings(spark, d).withColumn("task_id", F.lit(1).cast("long"))
-    task = spark.createDataFrame([(1, "graph_auc", {"xi": 0.5, "block": 50.0, "k": 8.0}, 10, 1)], "task_id long, method string, params map<string,double>, steps long, seed long")
+    task = spark.createDataFrame([(1, "graph_auc", {"xi": 0.5, "block": 50.0, "k": 8.0, "passes": 1.0}, 0, 1)], "task_id long, method string, params map<string,double>, steps long, seed long")
     return _r(learners.fit(s, task, graph.grid_edges(8, 8, 0.001)).select("j", "w"))
 
 

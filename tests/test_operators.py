@@ -4,11 +4,13 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ordinata.operators import graph, learners, linear, metrics, order, prepare
 from ordinata.operators.prefix import running
+from ordinata.plans import catalogue
 from ordinata.sources import samples as src
 
 
@@ -101,6 +103,21 @@ def test_learners_rank(name, params, steps):
         assert np.count_nonzero(w) <= params["k"]
 
 
+@pytest.mark.parametrize(("name", "passes"), [("fit_sht_auc", 3), ("fit_stoiht", 3), ("fit_graph_auc", 1)])
+def test_block_queries_reach_every_block(spark, monkeypatch, name, passes):
+    """On 2,000 rows every one of the 40 blocks gives a gradient once a pass."""
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"y": rng.choice([1.0, -1.0], 2000), "features": list(rng.normal(size=(2000, 64)))})
+    monkeypatch.setattr(catalogue.src, "embeddings", lambda *_: spark.createDataFrame([(0, 1.0, [0.0])], "row_id long, y double, features array<double>"))
+    held = []
+    monkeypatch.setattr(learners, "fit", lambda s, tasks, edges=None: held.append((tasks, edges)) or tasks.selectExpr("0 AS j", "0.0D AS w"))
+    catalogue.QUERIES[name](spark, "")
+    task, seen, blocks = held[0][0].first(), [], learners._blocks
+    monkeypatch.setattr(learners, "_blocks", lambda *a: (seen.append(b.start) or b for b in blocks(*a)))
+    learners._run_task(rows.assign(**{k: [task[k]] * 2000 for k in task.asDict()}), held[0][1])
+    assert sorted(seen) == sorted([*range(0, 2000, 50)] * passes)
+
+
 def test_sht_gradients_agree_with_differences():
     """Version 0 is the gradient of the saddle objective of the block."""
     x, y = data(40, 4)
