@@ -1,15 +1,15 @@
 """Language-model scores by stupid backoff, computed relationally over n-gram count tables partitioned by hash.
 
-For every word w with the word h before it,
+For every word w with the words h before it, ``order`` - 1 of them or as many as the document has,
 
     S(w | h) = c(h w) / c(h)      if c(h w) >= min_count
-             = alpha c(w) / N     otherwise,
+             = alpha S(w | h')    otherwise, h' being h without its first word,
 
-and S(w) = c(w) / N for a document's first word. Counts are those of the whole corpus, N its number of words. A pair of
+and S(w) = c(w) / N without words before it. Counts are those of the whole corpus, N its number of words. An n-gram of
 count 1 is the document's own, so with min_count = 2 what no other place confirms backs off. A document's score is the
-mean of log S over its words.
+mean of log S over its words; n_backoffs counts each step to a shorter context.
 
-Plan: documents are dealt into batches of bounded text. A batch explodes its words and pairs into 64-bit keys, counts
+Plan: documents are dealt into batches of bounded text. A batch explodes its n-grams into 64-bit keys, counts
 them locally and sends one block of distinct keys to each shard of the key space; however frequent an n-gram, a batch
 sends it once. A shard adds up the counts of its keys over all batches and answers each block with the totals in the
 block's order. The answers are joined to the batch's documents, which are scored there. Batches and shards both follow
@@ -37,15 +37,15 @@ SHARD_CHARS = 8_000_000
 _EMPTY = np.zeros(1, np.uint64)
 
 
-def _keys(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By document, the keys of its words and of its pairs."""
-    return [(ngram_hashes(words, 1), ngram_hashes(words, 2)) for _, words in word_hashes(texts, lower=False)]
+def _keys(texts: list[str | None], order: int) -> list[tuple[np.ndarray, ...]]:
+    """By document, the keys of its words, of its pairs and so on."""
+    return [tuple(ngram_hashes(words, n) for n in range(1, order + 1)) for _, words in word_hashes(texts, lower=False)]
 
 
-def _distinct(keys: list[tuple[np.ndarray, np.ndarray]], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(keys: list[tuple[np.ndarray, ...]], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys in order, their counts, the shard of each); a shard is a range of keys, so shards rise too."""
-    words = sum(len(a) for a, _ in keys)
-    found, counts = np.unique(np.concatenate([_EMPTY, *(x for pair in keys for x in pair)]), return_counts=True)
+    words = sum(len(own[0]) for own in keys)
+    found, counts = np.unique(np.concatenate([_EMPTY, *(x for own in keys for x in own)]), return_counts=True)
     counts[np.searchsorted(found, _EMPTY[0])] += words - 1
     return found, counts, ((found >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
@@ -60,8 +60,10 @@ def _values(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def score(docs: DataFrame, *, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_backoffs, mean_log_score) of every row, against counts of all rows."""
+    if order < 1:
+        raise ValueError("order must be at least 1")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     batches = clip(math.ceil(chars / BATCH_CHARS), 1, 1 << 30)
@@ -70,7 +72,7 @@ def score(docs: DataFrame, *, alpha: float = 0.4, min_count: int = 2, id_col: st
 
     def explode(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
-        found, counts, shard = _distinct(_keys(table.column("text").to_pylist()), shards)
+        found, counts, shard = _distinct(_keys(table.column("text").to_pylist(), order), shards)
         present, starts = np.unique(shard, return_index=True)
         bounds = [*starts.tolist(), len(found)]
         blocks = [(_planes(np.diff(found[a:b], prepend=np.uint64(0))), _planes(counts[a:b].astype("<u4"))) for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -86,7 +88,7 @@ def score(docs: DataFrame, *, alpha: float = 0.4, min_count: int = 2, id_col: st
         return pa.table({"batch": table.column("batch"), "shard": table.column("shard"), "n_keys": pa.array([len(k) for k in keys], pa.int64()), "totals": pa.array(answers, pa.binary())})
 
     def apply(table: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = _keys(table.column("text").to_pylist())
+        keys = _keys(table.column("text").to_pylist(), order)
         found, _, shard = _distinct(keys, shards)
         by_shard = dict(zip(answers.column("shard").to_pylist(), answers.column("totals").to_pylist(), strict=True))
         totals = np.concatenate([_values(by_shard[s], "<u8") for s in np.unique(shard).tolist()])
@@ -96,18 +98,21 @@ def score(docs: DataFrame, *, alpha: float = 0.4, min_count: int = 2, id_col: st
         of = lambda x: totals[np.searchsorted(found, x)]
         total = of(_EMPTY)[0]
         n_words, backoffs, means = [], [], []
-        for words, pairs in keys:
-            n_words.append(len(words))
-            if not len(words):
+        for own in keys:
+            n_words.append(len(own[0]))
+            if not len(own[0]):
                 backoffs.append(0)
                 means.append(None)
                 continue
-            count = of(words)
-            logs = np.log(count / total)
-            both = of(pairs)
-            seen = both >= min_count
-            logs[1:] = np.where(seen, np.log(both / count[:-1]), math.log(alpha) + logs[1:])
-            backoffs.append(int(len(pairs) - np.count_nonzero(seen)))
+            count = of(own[0])
+            logs, off = np.log(count / total), np.zeros(len(count), np.int64)
+            for n in range(1, order):  # a context of n words
+                longer = of(own[n])
+                seen = longer >= min_count
+                logs[n:] = np.where(seen, np.log(longer / count[: len(longer)]), math.log(alpha) + logs[n:])
+                off[n:] = np.where(seen, 0, off[n:] + 1)
+                count = longer
+            backoffs.append(int(off.sum()))
             means.append(round(float(logs.mean()), 6))
         return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_backoffs": pa.array(backoffs, pa.int64()), "mean_log_score": pa.array(means, pa.float64())})
 

@@ -24,7 +24,12 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+    """Pairs and words, as the query's SQL has it."""
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), order=2)
+
+
+def op2_trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +72,7 @@ def op10_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_retrieval_packing, op2_backoff_scores, op3_trie_token_counts, op4_text_density, op5_quality_discriminant,
+        op1_retrieval_packing, op2_backoff_scores, op2_trigram_scores, op3_trie_token_counts, op4_text_density, op5_quality_discriminant,
         op6_quality_rules, op7_url_trees, op8_minmax_dedup, op9_media_archive, op10_bitmap_bpe,
     )
 } | {"pipeline": corpus_pipeline.run}
@@ -90,6 +95,28 @@ g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE off) AS n_backo
 SELECT documents.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_backoffs, 0)::BIGINT AS n_backoffs, mean_log_score FROM documents LEFT JOIN g USING (doc_id)
 """
 
+OP2_TRIGRAM_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(text="text")} AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM d),
+t AS (SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS h, CASE WHEN i > 2 THEN ws[i - 2] END AS g FROM p),
+n AS (SELECT count(*)::DOUBLE AS n FROM t),
+c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+c2 AS (SELECT h, w, count(*) AS c FROM t WHERE h IS NOT NULL GROUP BY h, w),
+c3 AS (SELECT g, h, w, count(*) AS c FROM t WHERE g IS NOT NULL GROUP BY g, h, w),
+s2 AS (
+  SELECT t.doc_id, t.g, t.h, t.w, (c2.c IS NOT NULL AND c2.c < 2)::INT AS off,
+    CASE WHEN c2.c >= 2 THEN ln(c2.c / ch.c::DOUBLE) WHEN c2.c IS NULL THEN ln(cw.c / n.n) ELSE ln(0.4::DOUBLE) + ln(cw.c / n.n) END AS ls
+  FROM t CROSS JOIN n JOIN c1 cw ON cw.w = t.w LEFT JOIN c1 ch ON ch.w = t.h LEFT JOIN c2 ON c2.h = t.h AND c2.w = t.w
+),
+s AS (
+  SELECT s2.doc_id, CASE WHEN c3.c >= 2 THEN 0 WHEN c3.c IS NULL THEN off ELSE off + 1 END AS off,
+    CASE WHEN c3.c >= 2 THEN ln(c3.c / cg.c::DOUBLE) WHEN c3.c IS NULL THEN ls ELSE ln(0.4::DOUBLE) + ls END AS ls
+  FROM s2 LEFT JOIN c3 ON c3.g = s2.g AND c3.h = s2.h AND c3.w = s2.w LEFT JOIN c2 cg ON cg.h = s2.g AND cg.w = s2.h
+),
+g AS (SELECT doc_id, count(*) AS n_words, sum(off) AS n_backoffs, round(avg(ls), 6) AS mean_log_score FROM s GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_backoffs, 0)::BIGINT AS n_backoffs, mean_log_score FROM documents LEFT JOIN g USING (doc_id)
+"""
+
 _STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_FORMS)
 OP6_SQL = f"""
 WITH d AS (
@@ -137,6 +164,6 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m.
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
-ORACLES = {"op2_backoff_scores": OP2_SQL, "op6_quality_rules": OP6_SQL, "op8_minmax_dedup": OP8_SQL}
+ORACLES = {"op2_backoff_scores": OP2_SQL, "op2_trigram_scores": OP2_TRIGRAM_SQL, "op6_quality_rules": OP6_SQL, "op8_minmax_dedup": OP8_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

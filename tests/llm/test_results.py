@@ -16,7 +16,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from ordinata.llm import bpe, html_text, media, minmax_dedup, packing, quality_model, queries, shingles, token_counts, url_filter
+from ordinata.llm import bpe, html_text, lm_scoring, media, minmax_dedup, packing, quality_model, queries, shingles, token_counts, url_filter
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -38,6 +38,17 @@ def test_matches_sql(spark, name):
     assert plain(ours) == plain(theirs)
 
 
+def test_longer_context_tells_texts_apart(spark):
+    """Pairs that are common, in triples that never occur: only the longer context backs off."""
+    rows = [*enumerate(["a b c"] * 3 + ["x b d"] * 3), (9, "a b d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    off = [{r["doc_id"]: r["n_backoffs"] for r in lm_scoring.score(docs, order=n).collect()}[9] for n in (1, 2, 3, 4)]
+    assert off == [0, 0, 1, 1]
+    got = {r["doc_id"]: r["mean_log_score"] for r in lm_scoring.score(docs).collect()}
+    assert got[9] == pytest.approx(np.mean(np.log([4 / 21, 4 / 4, 0.4 * 4 / 7])), abs=1e-6)
+    assert got[0] == pytest.approx(np.mean(np.log([4 / 21, 4 / 4, 3 / 4])), abs=1e-6)
+
+
 @needs_tables
 def test_packing_covers_every_token_once(spark, docs):
     exact = Tokenizer.from_file(queries.TOKENIZER)
