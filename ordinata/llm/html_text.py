@@ -51,7 +51,8 @@ NOISE = re.compile(
 CONTAINERS = frozenset("#root article blockquote body center div html main section table tbody td tr".split())
 #: A quotation mark opens a value only after an equals sign; one that never closes does not hide the rest of the page.
 _PIECES = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*)(?:>|\Z)", re.S)
-_NOTED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute: its name, then a quoted or bare value. A quoted value that never closes takes the rest of the tag.
+_ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|(\S+)))?")
 _WHITE = re.compile(r"\s+")
 
 
@@ -73,7 +74,7 @@ def _noise(tag: str, attributes: str, inside_article: bool) -> bool:
         return not inside_article
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for name, a, b, c in _NOTED.findall(attributes):
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
             return True

@@ -153,6 +153,17 @@ def test_quotation_marks_in_tags(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow: hidden"', 'href="/the-hidden-city"', 'title="the hidden truth"', "title='class=menu'", 'data-id="menu"', "data-class=menu", "href=/a/hidden", 'title="open hidden', "data-hidden"])
+def test_names_inside_values_hide_nothing(attributes):
+    assert html_text.main_text(f"<body><div {attributes}><p>One two</p></div></body>") == "One two"
+    assert html_text.main_text(f"<article><p>One <a {attributes}>two</a></p></article>") == "One two"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN", 'hidden=""', "x=1 hidden", 'title="a"hidden', "aria-hidden=true", "class=menu", "id = 'menu'", 'style="a: b" class="x menu"', "role=navigation"])
+def test_whole_names_hide(attributes):
+    assert html_text.main_text(f"<body><div><p>One two</p></div><div {attributes}>gone</div></body>") == "One two"
+
+
 @needs_tables
 def test_held_out_quality(spark):
     sf = SF.replace("0.001", "0.1")
