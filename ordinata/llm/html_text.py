@@ -34,6 +34,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 SKIP = frozenset("head nav footer aside form script style noscript template textarea title iframe object svg canvas button select dialog menu noembed noframes xmp".split())
+#: What can lie in a head; anything else that starts, text too, ends an open one.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: An open element of the key's kind ends where one of its values starts.
 ENDS = {
     "p": BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary", "figcaption", "li", "dd", "dt"},
@@ -89,6 +91,9 @@ def parse(html: str) -> Node:
     node, at, size = root, 0, len(html)
 
     def text(raw: str) -> None:
+        nonlocal node
+        while node.tag == "head" and raw.strip():
+            node = node.parent
         if raw and not node.skip:
             node.parts.append(raw)
 
@@ -122,6 +127,8 @@ def parse(html: str) -> Node:
             elif tag == "br":
                 text(" ")
             continue
+        while node.tag == "head" and tag not in HEAD:
+            node = node.parent
         if tag in VOID or match[3].endswith("/") and tag not in BLOCK:
             if tag == "hr":
                 child = Node(tag, node, node.skip)

@@ -164,6 +164,17 @@ def test_whole_names_hide(attributes):
     assert html_text.main_text(f"<body><div><p>One two</p></div><div {attributes}>gone</div></body>") == "One two"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title><body><article><p>One two</p></article>", "<head><meta charset=x><script>a</script><style>b</style><div><p>One two</p></div>", "<html><head><link href=x><p>One two",
+        "<html><head><title>t</title></head><body><p>One two</p></body></html>", "<html><head><title>t</title>\n <noscript>n</noscript>One two", "<html><head><title>t</title><article>One two</head></article>", "<head><head><title>t</title><body><p>One two",
+    ],
+)
+def test_an_open_head_ends_where_the_body_starts(page):
+    assert html_text.main_text(page) == "One two"
+
+
 @needs_tables
 def test_held_out_quality(spark):
     sf = SF.replace("0.001", "0.1")
