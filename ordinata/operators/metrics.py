@@ -46,11 +46,17 @@ def roc_summary(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
 
 
 def pr_summary(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
-    """Average precision, the trapezoid area under precision over recall, and the 11-point interpolated precision."""
+    """Average precision, the trapezoid area under precision over recall, and the 11-point interpolated precision.
+
+    The area starts at recall 0 with precision 1.
+    """
     c = curve(df, score, y)
     points = F.array(*(F.lit(i / 10) for i in range(11)))
     best = c.select(F.explode(points).alias("r"), "tpr", "precision").where("tpr >= r").groupBy("r").agg(F.max("precision").alias("q")).agg((F.sum("q") / 11).alias("ap11"))
-    ap = c.agg(F.sum(F.when(F.col("p") > 0, F.col("p") * F.col("precision") / F.col("total_p"))).alias("ap"), F.max("total_p").alias("n_pos"))
+    above = F.col("tp") + F.col("fp") - F.col("p") - F.col("n")
+    last = F.when(above > 0, (F.col("tp") - F.col("p")) / above).otherwise(1.0)
+    area = F.sum(F.when(F.col("p") > 0, F.col("p") / F.col("total_p") * (F.col("precision") + last) / 2)).alias("auc_pr")
+    ap = c.agg(F.sum(F.when(F.col("p") > 0, F.col("p") * F.col("precision") / F.col("total_p"))).alias("ap"), area, F.max("total_p").alias("n_pos"))
     return ap.crossJoin(best)
 
 

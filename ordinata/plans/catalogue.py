@@ -82,7 +82,12 @@ def roc_summary(spark, d):
 
 @query(FIRST + ", b AS (SELECT r, max(tp / (tp + fp)) AS q FROM c, (SELECT unnest(range(11)) / 10.0::DOUBLE AS r) WHERE tp / np >= r GROUP BY r) SELECT round(sum(CASE WHEN p > 0 THEN p * (tp / (tp + fp)) / np END), 6) AS ap, max(np)::BIGINT AS n_pos, round((SELECT sum(q) / 11 FROM b), 6) AS ap11 FROM c")
 def pr_summary(spark, d):
-    return _r(metrics.pr_summary(_first(spark, d)))
+    return _r(metrics.pr_summary(_first(spark, d)).drop("auc_pr"))
+
+
+@query(FIRST + ", t AS (SELECT score, tp / np AS r, tp / (tp + fp) AS q FROM c UNION ALL SELECT 'Infinity'::DOUBLE, 0, 1), a AS (SELECT r - lag(r) OVER w AS step, q + lag(q) OVER w AS heights FROM t WINDOW w AS (ORDER BY score DESC)) SELECT round(sum(step * heights / 2), 6) AS auc_pr FROM a")
+def pr_area(spark, d):
+    return _r(metrics.pr_summary(_first(spark, d)).select("auc_pr"))
 
 
 @query(FIRST + " SELECT round(score, 6) AS score, round(1 - tp / np, 6) AS miss, round(fp / nn, 6) AS false_alarm FROM c")

@@ -103,6 +103,13 @@ def test_learners_rank(name, params, steps):
         assert np.count_nonzero(w) <= params["k"]
 
 
+def test_area_under_precision_over_recall(spark):
+    """Points (0, 1), (1/3, 1), (2/3, 2/4), (2/3, 2/5), (1, 3/6); two rows tie."""
+    pairs = [(1.0, 5.0), (1.0, 4.0), (-1.0, 4.0), (-1.0, 4.0), (-1.0, 3.0), (1.0, 2.0)]
+    got = metrics.pr_summary(spark.createDataFrame(pairs, "y double, score double")).first()
+    assert got["auc_pr"] == pytest.approx((2 + 1.5 + 0.9) / 6)
+
+
 @pytest.mark.parametrize(("name", "passes"), [("fit_sht_auc", 3), ("fit_stoiht", 3), ("fit_graph_auc", 1)])
 def test_block_queries_reach_every_block(spark, monkeypatch, name, passes):
     """On 2,000 rows every one of the 40 blocks gives a gradient once a pass."""
