@@ -494,5 +494,5 @@ QUERIES |= {"linear_hinge_dual": _dual("hinge"), "linear_svr_dual": _dual("absol
 
 @query()
 def search_cost(spark, d):
-    path = linear.search_c(src.embeddings(spark, d), 64, 2, 3, start=0.125, most=0.5)
+    path = linear.search_c(src.embeddings(spark, d), 64, 2, 3)
     return _r(spark.createDataFrame(path, "c double, score double"))

@@ -110,6 +110,15 @@ def test_area_under_precision_over_recall(spark):
     assert got["auc_pr"] == pytest.approx((2 + 1.5 + 0.9) / 6)
 
 
+def test_search_cost_takes_the_whole_path(spark, monkeypatch):
+    """The query's C goes from the least that can move the weights to 1024, unless five move nothing."""
+    samples = spark.createDataFrame([(i, 1.0 if i % 2 else -1.0, [float(i % 2), 1.0]) for i in range(40)], "row_id long, y double, features array<double>")
+    monkeypatch.setattr(catalogue.src, "embeddings", lambda *_: samples)
+    monkeypatch.setattr(linear, "train", lambda df, d, *a, start=None, **k: (np.full(2, (0.0 if start is None else start[0]) + 1.0), None, None))
+    got = [r["c"] for r in catalogue.QUERIES["search_cost"](spark, "").collect()]
+    assert sorted(got) == pytest.approx([c for k in range(-30, 11) if (c := 2.0**k) >= linear.first_c(samples, 2)], abs=1e-6)
+
+
 @pytest.mark.parametrize(("name", "passes"), [("fit_sht_auc", 3), ("fit_stoiht", 3), ("fit_graph_auc", 1)])
 def test_block_queries_reach_every_block(spark, monkeypatch, name, passes):
     """On 2,000 rows every one of the 40 blocks gives a gradient once a pass."""
