@@ -1,8 +1,8 @@
 """Packing documents into fixed windows by lexical retrieval.
 
 The corpus is dealt into shards of similar documents and bounded size; each shard holds a BM25 inverted index of its own
-over token ids. A seed document starts a window; the index returns its unused neighbours by falling score, and they fill
-the window greedily. The neighbour that reaches the end is cut there, and its rest is the next seed, so every window but
+over token ids. A seed document starts a window; the index returns its unused neighbours by falling score of all its
+distinct terms, and they fill the window greedily. The neighbour that reaches the end is cut there, and its rest is the next seed, so every window but
 the last of a shard is full. What is left at the end of a shard goes into sequences whose lengths are powers of two, which
 need no padding.
 
@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 
 from ordinata.llm.bpe import load_ranks
 from ordinata.llm.shingles import mix
-from ordinata.llm.workspace import bound_batches, clip, materialize, release
+from ordinata.llm.workspace import clip, materialize, release
 
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 2_500_000
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
+#: A term that one in so many documents have is held as a dense row, as far as these bytes go.
+DENSE, DENSE_BYTES = 64, 32 << 20
 SPECIAL = "<|endoftext|>"
 _LONG_RUN = 60_000
 _RUN = re.compile(rf"\s{{{_LONG_RUN}}}")
@@ -110,7 +111,7 @@ def tokenized(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, *,
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(near, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "near", "ids"])
         release()
 
-    columns = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return columns.mapInArrow(run, "doc_id long, n long, near long, ids binary")
 
 
@@ -125,12 +126,15 @@ def document_frequencies(table: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids = [unpack(packed) for packed in batch.column(0).slice(at, 256).to_pylist()]
-                present = np.unique(_labelled(ids)) & np.uint64(0xFFFFFFFF)
-                found = np.bincount(present.astype(np.int64), minlength=len(counts))
-                found[: len(counts)] += counts
-                counts = found
+            for at in range(0, batch.num_rows, 128):
+                ids = [unpack(packed) for packed in batch.column(0).slice(at, 128).to_pylist()]
+                widest = max(int(own.max()) for own in ids) + 1
+                if widest > len(counts):
+                    counts = np.append(counts, np.zeros(widest - len(counts), np.int64))
+                present = np.zeros((len(ids), widest), bool)
+                for row, own in zip(present, ids, strict=True):
+                    row[own] = True
+                counts[:widest] += present.sum(axis=0)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], names=["token", "df"])
 
@@ -146,42 +150,66 @@ def _labelled(docs: list[np.ndarray]) -> np.ndarray:
 
 
 class Bm25Shard:
-    """An inverted index of the documents of one shard."""
+    """An inverted index of the unused documents of one shard.
+
+    Frequent terms are held as dense rows, which add up faster than postings; the rest have
+    postings. ``forget`` drops used documents, so a query costs less as the shard empties; scores stay the same.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        self.size, self.ids, self.idf = len(docs), docs, idf
+        self.own = np.arange(len(docs))  # the shard's documents that the index still holds
         lengths = np.array([len(d) for d in docs], np.float32)
-        self.norms = (K1 * (1 - B + B * lengths / mean_length)).astype(np.float32)
+        norms = (K1 * (1 - B + B * lengths / mean_length)).astype(np.float32)
         labelled = _labelled(docs)
         labelled = labelled << np.uint64(32) | labelled >> np.uint64(32)
         postings, tf = np.unique(labelled, return_counts=True)  # by term, then by document
-        terms = (postings >> np.uint64(32)).astype(np.int64)
+        self.terms = (postings >> np.uint64(32)).astype(np.int64)
         self.docs = postings.astype(np.uint32)
-        self.weights = (tf * np.float32(K1 + 1) / (tf + self.norms[self.docs])).astype(np.float32) * idf[terms]
-        self.starts = np.searchsorted(terms, np.arange(len(idf) + 1)).tolist()
-
-    def query(self, k: int) -> np.ndarray:
-        """The terms of document k that weigh most in it."""
-        terms, tf = np.unique(self.ids[k], return_counts=True)
-        if len(terms) <= QUERY_TERMS:
-            return terms
-        return terms[np.argpartition(-(tf / (tf + self.norms[k])) * self.idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
-
-    def neighbours(self, k: int, unused: np.ndarray) -> Iterator[int]:
-        """Unused documents that share a term with document k, by falling score; ties by position."""
-        scores = np.zeros(self.size, np.float32)
-        for term in self.query(k).tolist():
-            a, b = self.starts[term], self.starts[term + 1]
-            scores[self.docs[a:b]] += self.weights[a:b]
-        scores *= unused
-        scores[k] = 0
+        self.weights = (tf * np.float32(K1 + 1) / (tf + norms[self.docs])).astype(np.float32) * idf[self.terms]
+        self.vocabulary = len(idf)
+        self._arrange()
+
+    def _arrange(self) -> None:
+        counts = np.bincount(self.terms, minlength=self.vocabulary)
+        self.starts = np.concatenate([[0], np.cumsum(counts)])
+        frequent = np.flatnonzero(counts > max(len(self.own) // DENSE, 16))
+        frequent = frequent[np.argsort(-counts[frequent], kind="stable")[: DENSE_BYTES // (4 * max(len(self.own), 1))]]
+        self.row = np.full(self.vocabulary, -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        at = self.row[self.terms]
+        self.dense = np.zeros((len(frequent), len(self.own)), np.float32)
+        self.dense[at[at >= 0], self.docs[at >= 0]] = self.weights[at >= 0]
+
+    def forget(self, unused: np.ndarray) -> None:
+        """Drop the documents that are not ``unused``."""
+        left = unused[self.own]
+        place = np.cumsum(left, dtype=np.uint32) - np.uint32(1)
+        kept = left[self.docs]
+        self.terms, self.docs, self.weights = self.terms[kept], place[self.docs[kept]], self.weights[kept]
+        self.own = self.own[left]
+        self._arrange()
+
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        """The BM25 score of each document that the index holds for all distinct terms of a query."""
+        terms = np.unique(query)
+        rows = self.row[terms]
+        total = self.dense[rows[rows >= 0]].sum(axis=0)
+        rare = terms[rows < 0]
+        for a, b in zip(self.starts[rare].tolist(), self.starts[rare.astype(np.int64) + 1].tolist(), strict=True):
+            if a < b:
+                total[self.docs[a:b]] += self.weights[a:b]
+        return total
+
+    def neighbours(self, query: np.ndarray, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents that share a term with a query, by falling score; ties by position."""
+        scores = self.scores(query) * unused[self.own]
         hits = np.flatnonzero(scores > 0)
         if len(hits) > 64:
             cut = np.partition(scores[hits], len(hits) - 16)[len(hits) - 16]
             top = hits[scores[hits] >= cut]
-            yield from top[np.argsort(-scores[top], kind="stable")]
+            yield from self.own[top[np.argsort(-scores[top], kind="stable")]].tolist()
             hits = hits[scores[hits] < cut]
-        yield from hits[np.argsort(-scores[hits], kind="stable")]
+        yield from self.own[hits[np.argsort(-scores[hits], kind="stable")]].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -189,6 +217,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
     index = Bm25Shard(docs, idf, mean_length)
     unused = np.ones(len(docs), bool)
     first = sequence = offset = 0
+    left = len(docs)
     pieces: list[tuple[int, int, int]] = []  # of the window that is being filled
 
     def flush(lengths: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -223,10 +252,14 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
             break
         seed = first
         unused[seed] = False
+        left -= 1
         yield from fill(seed)
         while offset:  # the window of this seed, or of the rest of a cut neighbour, is open
-            for k in map(int, index.neighbours(seed, unused)):
+            if 4 * left < 3 * len(index.own):
+                index.forget(unused)
+            for k in index.neighbours(docs[seed], unused):
                 unused[k] = False
+                left -= 1
                 reaches = offset + len(docs[k]) >= window
                 yield from fill(k)
                 if reaches:
