@@ -1,11 +1,14 @@
 """Media archives as a Spark data source: members by byte range, streamed through Arrow, each retried by itself.
 
 An archive is a ZIP file; its directory (the central one, at the file's end) gives every member's offset. The source
-``media_archive`` plans partitions from file sizes alone: each is a byte range of one archive and owns the members whose
-headers start in it, so the driver holds no list of members. A task reads the directory, then each of its members at its
-offset; a member that fails (an I/O error, a bad header or checksum) is read again on a newly opened file, without
-disturbing the others. After the last attempt the task fails, or with ``on_error = row`` the member becomes a row with
-its error and no payload.
+``media_archive`` plans partitions from archive sizes alone: a partition is a list of byte ranges of archives and owns the
+members whose headers start in them, so the driver holds no list of members. Ranges grow with the total, so there are
+never more than ``MOST_PARTITIONS`` partitions. Which archives there are, and their sizes, come from the manifest that the
+writer returned (option ``manifest``), so what a lost or repeated attempt has left in the folder is not read; without a
+manifest all archives of the folder are. A task reads the directory, then each of its members at its offset; a member that
+fails (an I/O error, a bad header or checksum) is read again on a newly opened file, without disturbing the others. After
+the last attempt the task fails, or with ``on_error = row`` the member becomes a row with its error and no payload, and an
+archive whose directory cannot be read one row with its error, without offset and name, of the range that starts it.
 
 Payloads are stored as 8-bit greyscale PNG images of 64 samples a row, which is lossless; the unpadded length is kept in
 a text chunk. Files are reached through Arrow's file systems by URI, so the folder may be in any store Arrow knows.
@@ -27,17 +30,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ordinata.llm.workspace import materialize, new_path
+from ordinata.llm.workspace import new_path
 
 ROW = 64
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
+MOST_PARTITIONS = 20_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -124,8 +129,8 @@ def feature(samples: bytes) -> str:
 def store(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write every text as a PNG into archives under ``path``; (archive, members, bytes) of each archive.
 
-    An attempt writes under its own name and then moves the archive to its final one, which depends on the partition
-    alone, so repeated or speculative attempts leave one whole archive.
+    Every attempt of a task writes archives of its own names, and only the rows of the attempt that Spark commits name
+    them; so the returned table, once written, is the manifest to read them by.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +145,9 @@ def store(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
         def close() -> pa.RecordBatch:
             nonlocal buffer, members, serial, archive
             archive.close()
-            final = f"{root}/part-{task.partitionId():06d}-{serial:05d}.zip"
-            own = f"{root}/_attempt-{task.taskAttemptId()}-{serial}"
-            with fs.open_output_stream(own) as out:
+            final = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{serial:05d}.zip"
+            with fs.open_output_stream(final) as out:
                 out.write(buffer.getbuffer())
-            fs.move(own, final)
             row = pa.RecordBatch.from_pydict({"archive": [final], "members": pa.array([members], pa.int64()), "bytes": pa.array([buffer.getbuffer().nbytes], pa.int64())})
             buffer, members, serial = io.BytesIO(), 0, serial + 1
             archive = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)
@@ -167,15 +170,30 @@ def store(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
 
 
 @dataclass
-class Range(InputPartition):
-    """The members of ``archive`` whose headers start in [start, end)."""
+class Ranges(InputPartition):
+    """The members of archives whose headers start in [start, end), for each (archive, start, end) of ``spans``."""
 
-    archive: str
-    start: int
-    end: int
+    spans: list[tuple[str, int, int]]
 
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.spans = spans
+
+
+def plan_ranges(archives: list[tuple[str, int]], range_bytes: int, most: int = MOST_PARTITIONS) -> list[list[tuple[str, int, int]]]:
+    """Spans of the (path, size) archives, dealt into partitions of ``range_bytes`` or, beyond ``most`` of them, more each."""
+    whole = max(range_bytes, -(-sum(size for _, size in archives) // most))
+    out: list[list[tuple[str, int, int]]] = []
+    held, room = [], whole
+    for path, size in archives:
+        at = 0
+        while at < size:
+            step = min(room, size - at)
+            held.append((path, at, at + step))
+            at, room = at + step, room - step
+            if not room:
+                out.append(held)
+                held, room = [], whole
+    return [*out, held] if held else out
 
 
 class MemberReader:
@@ -230,7 +248,7 @@ class MemberReader:
 
 
 class ArchiveSource(DataSource):
-    """``spark.read.format("media_archive").option("path", folder)``; options: range_bytes, attempts, on_error (fail or row)."""
+    """``spark.read.format("media_archive").option("path", folder)``; options: manifest, range_bytes, attempts, on_error (fail or row)."""
 
     @classmethod
     def name(cls) -> str:
@@ -249,18 +267,25 @@ class ArchiveReader(DataSourceReader):
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.attempts = int(options.get("attempts", 3))
         self.on_error = options.get("on_error", "fail")
-
-    def partitions(self) -> list[Range]:
+        self.manifest = options.get("manifest")
+
+    def archives(self) -> list[tuple[str, int]]:
+        """(path, size) of the manifest's archives, or of all in the folder."""
+        if self.manifest:
+            fs, root = open_store(self.manifest)
+            table = ds.dataset(root, format="parquet", filesystem=fs).to_table(columns=["archive", "bytes"])
+            return sorted(zip(table.column("archive").to_pylist(), table.column("bytes").to_pylist(), strict=True))
         fs, root = open_store(self.path)
         found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".zip"))
-        return [Range(p, at, min(at + self.range_bytes, size)) for p, size in files for at in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
+        return sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".zip"))
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
+    def partitions(self) -> list[Ranges]:
+        return [Ranges(spans) for spans in plan_ranges(self.archives(), self.range_bytes)] or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        if not partition.spans:
             return
         fs, _ = open_store(self.path)
-        reader = MemberReader(fs, partition.archive, self.attempts)
         names = ["archive", "offset", "name", "payload", "attempts", "error"]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.string()]
         rows: list[tuple] = []
@@ -269,29 +294,39 @@ class ArchiveReader(DataSourceReader):
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        try:
-            for info in reader.directory():
-                if not partition.start <= info.header_offset < partition.end:
-                    continue
+        for archive, start, end in partition.spans:
+            reader = MemberReader(fs, archive, self.attempts)
+            try:
                 try:
-                    data, attempts = reader.member(info)
-                    rows.append((partition.archive, info.header_offset, info.filename, data, attempts, None))
-                    size += len(data)
+                    directory = reader.directory()
                 except Exception as error:
                     if self.on_error != "row":
                         raise
-                    rows.append((partition.archive, info.header_offset, info.filename, None, self.attempts, str(error)))
-                if size >= BATCH_BYTES or len(rows) >= 2000:
-                    yield batch()
-                    rows, size = [], 0
-            if rows:
-                yield batch()
-        finally:
-            reader.close()
+                    directory = []
+                    if start == 0:
+                        rows.append((archive, None, None, None, self.attempts, str(error)))
+                for info in directory:
+                    if not start <= info.header_offset < end:
+                        continue
+                    try:
+                        data, attempts = reader.member(info)
+                        rows.append((archive, info.header_offset, info.filename, data, attempts, None))
+                        size += len(data)
+                    except Exception as error:
+                        if self.on_error != "row":
+                            raise
+                        rows.append((archive, info.header_offset, info.filename, None, self.attempts, str(error)))
+                    if size >= BATCH_BYTES or len(rows) >= 2000:
+                        yield batch()
+                        rows, size = [], 0
+            finally:
+                reader.close()
+        if rows:
+            yield batch()
 
 
 def read_archives(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Every member of the archives under ``path``."""
+    """Every member of the archives under ``path``, or of those that the option ``manifest`` names."""
     spark.dataSource.register(ArchiveSource)
     return spark.read.format("media_archive").options(path=path, **options).load()
 
@@ -317,6 +352,6 @@ def described(members: DataFrame) -> DataFrame:
 def store_and_describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text in archives in the shared folder, then read them back through the source and describe them."""
     spark = docs.sparkSession
-    path = new_path(spark, "media")
-    materialize(store(docs, path, id_col=id_col, text_col=text_col), "media-manifest")
-    return described(read_archives(spark, path))
+    path, manifest = new_path(spark, "media"), new_path(spark, "media-manifest")
+    store(docs, path, id_col=id_col, text_col=text_col).write.parquet(manifest)
+    return described(read_archives(spark, path, manifest=manifest))
