@@ -4,8 +4,13 @@ Everything on the main path is DataFrame expressions. The trees are fitted on th
 JVM's gradient boosting, and then compiled into one arithmetic expression of CASE terms, so scoring is part of the
 projection that reads the table: no shuffle, no user function.
 
-The fit reads a bounded sample of labelled URLs, the ``sample`` smallest by a hash of the URL; suffix statistics come
-from the same rows, so their number is bounded by the sample too and they are inlined as literals.
+The fit counts every distinct labelled URL once, however often it is repeated. Block rates of the host's suffix and of the
+path's first segment come from all of them, in ``BUCKETS`` hashed buckets of each kind: that bounds the table, which is
+broadcast, and drops no suffix. A training URL sees rates that leave its own fold out, so no label reaches its own
+features. The trees are fitted on a sample, for each verdict about ``sample`` / 2 URLs or all if there are fewer: those
+whose hash falls below that share, weighted back to the verdicts' shares.
+
+The trees read lexical features of the whole URL alone (LEXICAL); rules are no input of a probability.
 
 Defined results: host and path are empty for a null URL or one without ``://``, no rule fits them, and the trees judge
 the empty features. Without labelled URLs of both kinds every verdict that no rule decides is ``allow``. Repeated rows
@@ -14,7 +19,7 @@ give repeated rows; other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -22,6 +27,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ordinata.llm.workspace import materialize
+
 #: (host, start of the path, verdict); a rule fits its host and all subdomains, and the longest wins.
 RULES: tuple[tuple[str, str, str], ...] = (
     ("org", "/", "allow"),
@@ -30,8 +37,15 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-LEXICAL = ("length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "n_dots", "n_hyphens", "has_fragment", "path_digits", "suffix_rate", "suffix_rows")
+LEXICAL = (
+    "length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "n_dots", "n_hyphens", "has_fragment", "path_digits",
+    "first_length", "longest_segment", "digit_runs", "first_digit", "vowel_ratio", "suffix_rate", "suffix_rows", "segment_rate", "segment_rows",
+)
 SAMPLE = 20_000
+#: Hash buckets of suffixes, and as many of first segments.
+BUCKETS = 4096
+FOLDS = 5
+KINDS = ("suffix", "segment")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -58,6 +72,17 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
+def first_segment(path: Column) -> Column:
+    """What lies between the first two slashes of a path."""
+    return F.regexp_extract(path, "^/([^/]*)", 1)
+
+
+def _buckets() -> dict[str, Column]:
+    """By kind, the bucket of a row's host or path; kinds hash apart."""
+    own = {"suffix": suffix(F.col("host")), "segment": first_segment(F.col("path"))}
+    return {f"{kind}_bucket": F.pmod(F.xxhash64(own[kind]), F.lit(BUCKETS)).cast("int") for kind in KINDS}
+
+
 def _count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
@@ -83,6 +108,9 @@ def lexical(df: DataFrame) -> DataFrame:
         "digit_ratio": F.when(size > 0, _count(url, "0123456789") / size).otherwise(F.lit(0.0)), "entropy": entropy,
         "n_params": F.when(F.length(query) > 0, _count(query, "&") + 1).otherwise(F.lit(0)), "n_dots": _count(F.col("host"), "."),
         "n_hyphens": _count(url, "-"), "has_fragment": F.contains(url, F.lit("#")).cast("int"), "path_digits": _count(F.col("path"), "0123456789"),
+        "first_length": F.length(first_segment(F.col("path"))), "longest_segment": F.array_max(F.transform(F.split("path", "/"), F.length)),
+        "digit_runs": F.regexp_count(F.col("path"), F.lit("[0-9]+")), "first_digit": F.coalesce(F.regexp_substr(F.col("path"), F.lit("[0-9]")).cast("int"), F.lit(-1)),
+        "vowel_ratio": F.when(size > 0, _count(F.lower(url), "aeiou") / size).otherwise(F.lit(0.0)),
     }
     return df.withColumns({name: value.cast("double") for name, value in features.items()})
 
@@ -105,11 +133,11 @@ class Tree:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Boosted trees with their weights, and by suffix its block rate and the log of its rows."""
+    """Boosted trees with their weights, and the table (kind, bucket, hits, rows) of blocked and of all labelled URLs by bucket."""
 
     trees: tuple[tuple[float, Tree], ...] = ()
-    suffixes: dict[str, tuple[float, float]] = field(default_factory=dict)
-    base_rate: float = 0.5
+    rates: DataFrame | None = None
+    base_rate: float = 0.0
 
 
 def _tree(node) -> Tree:
@@ -119,11 +147,19 @@ def _tree(node) -> Tree:
     return Tree(feature=int(split.featureIndex()), threshold=float(split.threshold()), left=_tree(node.leftChild()), right=_tree(node.rightChild()))
 
 
-def _with_suffix(df: DataFrame, model: UrlModel) -> DataFrame:
-    own = suffix(F.col("host"))
-    known = F.create_map(*(x for s, v in sorted(model.suffixes.items()) for x in (F.lit(s), F.array(F.lit(v[0]), F.lit(v[1])))) if model.suffixes else (F.lit(""), F.array(F.lit(model.base_rate), F.lit(0.0))))
-    pair = F.element_at(known, own)
-    return df.withColumns({"suffix_rate": F.coalesce(F.get(pair, F.lit(0)), F.lit(model.base_rate)), "suffix_rows": F.coalesce(F.get(pair, F.lit(1)), F.lit(0.0))})
+def _with_rates(df: DataFrame, rates: DataFrame, base_rate: float, own_fold: bool = False) -> DataFrame:
+    """``df`` with a smoothed block rate and the root of the rows of each kind; with ``own_fold`` without the row's fold."""
+    for kind in KINDS:
+        table = rates.where(F.col("kind") == kind)
+        if own_fold:  # BUCKETS * FOLDS rows at most
+            both = table.groupBy("bucket").agg(F.sum("hits").alias("all_hits"), F.sum("rows").alias("all_rows")).join(table, "bucket")
+            table = both.select(F.col("bucket").alias(f"{kind}_bucket"), "fold", (F.col("all_hits") - F.col("hits")).alias("hits__"), (F.col("all_rows") - F.col("rows")).alias("rows__"))
+        else:  # BUCKETS rows at most
+            table = table.groupBy(F.col("bucket").alias(f"{kind}_bucket")).agg(F.sum("hits").alias("hits__"), F.sum("rows").alias("rows__"))
+        df = df.join(F.broadcast(table), [f"{kind}_bucket", "fold"] if own_fold else f"{kind}_bucket", "left")
+        hits, rows = F.coalesce("hits__", F.lit(0.0)), F.coalesce("rows__", F.lit(0)).cast("double")
+        df = df.withColumns({f"{kind}_rate": (hits + 10 * base_rate) / (rows + 10), f"{kind}_rows": F.sqrt(rows)}).drop("hits__", "rows__")
+    return df
 
 
 def judged_by_rules(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -135,41 +171,46 @@ def judged_by_rules(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] =
     return base.withColumns({"rule": name, "rule_verdict": verdict})
 
 
-def fit(judged: DataFrame, *, sample: int = SAMPLE, rounds: int = 8, depth: int = 4, max_suffixes: int = 500) -> UrlModel:
-    """Fit the trees on the rows with a rule's verdict; at most ``sample`` of them, by the smallest hashes of their URLs.
+def fit(judged: DataFrame, *, sample: int = SAMPLE, rounds: int = 12, depth: int = 4) -> UrlModel:
+    """Fit the trees on the distinct URLs with a rule's verdict; about ``sample`` / 2 of each verdict at most enter the trees.
 
-    Of the suffixes the ``max_suffixes`` with most rows get statistics of their own; the rest share the base rate.
+    The sample takes URLs by hash, without a sort. Block rates are those of all distinct labelled URLs.
     """
-    rows = judged.where(F.col("rule_verdict").isNotNull()).select("url", "host", "path", (F.col("rule_verdict") == "block").cast("double").alias("label"))
-    rows = rows.withColumn("key", F.xxhash64("url")).orderBy("key", "url").limit(sample).cache()
-    try:
-        stats = rows.groupBy(suffix(F.col("host")).alias("suffix")).agg(F.avg("label").alias("rate"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "suffix").limit(max_suffixes).collect()
-        total = rows.agg(F.avg("label").alias("rate"), F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("kinds")).first()
-        rate = float(total["rate"] or 0.0)
-        model = UrlModel((), {r["suffix"]: ((r["rate"] * r["n"] + 10 * rate) / (r["n"] + 10), float(r["n"]) ** 0.5) for r in stats}, rate)
-        if total["kinds"] < 2:
-            return UrlModel((), model.suffixes, 0.0)
-        featured = _with_suffix(lexical(rows), model)
-        vectors = VectorAssembler(inputCols=list(LEXICAL), outputCol="features").transform(featured).select("features", "label").repartition(2, "label", "features").sortWithinPartitions("label")
-        fitted = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, maxBins=32, cacheNodeIds=False).fit(vectors)
-        trees = tuple((float(w), _tree(t._call_java("rootNode"))) for w, t in zip(fitted.treeWeights, fitted.trees, strict=True))
-        return UrlModel(trees, model.suffixes, rate)
-    finally:
-        rows.unpersist()
+    label = (F.col("rule_verdict") == "block").cast("double").alias("label")
+    distinct = judged.where(F.col("rule_verdict").isNotNull()).select("url", "host", "path", label).dropDuplicates(["url"])
+    rows = materialize(distinct.withColumns({**_buckets(), "key": F.xxhash64("url")}).withColumn("fold", F.pmod("key", F.lit(FOLDS)).cast("int")), "urls-labelled")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows at most
+    if len(counts) < 2:
+        return UrlModel()
+    base_rate = counts[1.0] / (counts[0.0] + counts[1.0])
+    by_kind = [rows.groupBy(F.lit(kind).alias("kind"), F.col(f"{kind}_bucket").alias("bucket"), "fold").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("rows")) for kind in KINDS]
+    rates = materialize(reduce(DataFrame.unionAll, by_kind).coalesce(1), "urls-rates")  # two kinds of BUCKETS * FOLDS rows at most
+    share = {v: min(1.0, sample / 2 / n) for v, n in counts.items()}
+    own = F.when(F.col("label") == 1.0, share[1.0]).otherwise(share[0.0])
+    drawn = rows.where(F.pmod("key", F.lit(1 << 30)) < own * (1 << 30)).withColumn("weight", 1 / own)
+    featured = _with_rates(lexical(drawn), rates, base_rate, own_fold=True)
+    vectors = VectorAssembler(inputCols=list(LEXICAL), outputCol="features").transform(featured).select("features", "label", "weight").repartition(2, "label", "features").sortWithinPartitions("label")
+    fitted = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, maxBins=32, weightCol="weight", cacheNodeIds=False).fit(vectors)
+    trees = tuple((float(w), _tree(t._call_java("rootNode"))) for w, t in zip(fitted.treeWeights, fitted.trees, strict=True))
+    return UrlModel(trees, rates, base_rate)
 
 
 def margin(features: list[Column], model: UrlModel) -> Column:
     """The weighted sum of the trees, above 0 where blocking is likelier."""
-    if not model.trees:
-        return F.lit(-1.0 if model.base_rate < 0.5 else 1.0)
     return reduce(lambda a, b: a + b, (F.lit(w) * t.compile(features) for w, t in model.trees))
 
 
+def probabilities(judged: DataFrame, model: UrlModel) -> DataFrame:
+    """``judged`` with the trees' ``block_probability`` of every row; 0 without trees."""
+    if model.rates is None:
+        return judged.withColumn("block_probability", F.lit(0.0))
+    scored = _with_rates(lexical(judged.withColumns(_buckets())), model.rates, model.base_rate)
+    return scored.withColumn("block_probability", F.round(1 / (1 + F.exp(-2 * margin([F.col(c) for c in LEXICAL], model))), 9))
+
+
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, *, model: UrlModel | None = None, id_col: str = "page_id", url_col: str = "url", **fitting) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_probability): the rule's verdict where one fits, else the trees'."""
     judged = judged_by_rules(pages, rules, id_col=id_col, url_col=url_col)
-    model = model or fit(judged, **fitting)
-    scored = _with_suffix(lexical(judged), model)
-    probability = F.round(1 / (1 + F.exp(-2 * margin([F.col(c) for c in LEXICAL], model))), 9)
+    scored = probabilities(judged, model or fit(judged, **fitting))
     verdict = F.coalesce(F.col("rule_verdict"), F.when(F.col("block_probability") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    return scored.withColumn("block_probability", probability).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_probability")
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_probability")
