@@ -339,6 +339,88 @@ for _name, _params, _prox in (
 ):
     QUERIES[_name] = _fit("spam", _params)
     ORACLES[_name] = _spam_sql(_prox)
+_RECURSIVE = _ROWS.replace("WITH e", "WITH RECURSIVE e", 1)
+_RESULT = "SELECT unnest(range(len(w)))::INT AS j, round(unnest(w), 6) + 0.0 AS w FROM {state} WHERE t = (SELECT max(t) FROM {last})"
+
+
+def _zeros(value: str = "0.0") -> str:
+    return f"list_transform(posi, lambda x: {value}::DOUBLE)"
+
+
+def _moved(a: str, b: str, step: str) -> str:
+    """The elements of list ``a`` minus ``step`` times those of ``b``."""
+    return f"list_transform(list_zip({a}, {b}), lambda k: k[1] - ({step}) * k[2])"
+
+
+_L1 = "CASE WHEN list_sum(list_transform(u, lambda x: abs(x))) <= {r} THEN u ELSE list_transform(u, lambda x: sign(x) * greatest(abs(x) - theta, 0)) END"
+_THETA = "list_transform([list_max(list_filter(range(1, len(m) + 1), lambda i: m[i] * i > list_sum(m[1:i]) - {r}))], lambda i: (list_sum(m[1:i]) - {r}) / i)[1]"
+
+SOLAM_SQL = _RECURSIVE + f""", z AS (
+  SELECT 0::BIGINT AS t, 0::BIGINT AS seen, {_zeros("1 / sqrt(len(posi))")} AS v, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b, 2.0::DOUBLE AS alpha, {_zeros()} AS w, 0.0::DOUBLE AS weight FROM pm
+  UNION ALL
+  SELECT t, seen, list_transform(u, lambda x: x * least(1.0, 1.0 / sqrt(list_dot_product(u, u)))) AS v, least(a2, 1.0) AS a, least(b2, 1.0) AS b,
+    greatest(-2.0, least(2.0, alpha + g * up)) AS alpha, list_transform(list_zip(w, v), lambda k: (weight * k[1] + g * k[2]) / (weight + g)) AS w, weight + g AS weight FROM (
+    SELECT *, {_moved("v", "f", "g * (CASE WHEN y > 0 THEN 2 * (1 - h) * (s - a - 1 - alpha) ELSE 2 * h * (s - b + 1 + alpha) END)")} AS u,
+      CASE WHEN y > 0 THEN a + g * 2 * (1 - h) * (s - a) ELSE a END AS a2, CASE WHEN y > 0 THEN b ELSE b + g * 2 * h * (s - b) END AS b2,
+      CASE WHEN y > 0 THEN -2 * (1 - h) * s ELSE 2 * h * s END - 2 * h * (1 - h) * alpha AS up FROM (
+      SELECT r.t, r.y, r.f, z.v, z.a, z.b, z.alpha, z.w, z.weight, 1.0 / sqrt(r.t) AS g, list_dot_product(z.v, r.f) AS s, seen + (r.y > 0)::INT AS seen, (seen + (r.y > 0)::INT) / r.t AS h FROM z JOIN r ON r.t = z.t + 1)))
+""" + _RESULT.format(state="z", last="r")
+
+BOXED_SQL = _RECURSIVE + f""", x AS (SELECT max(list_max(f)) AS box FROM r), z AS (
+  SELECT 0::BIGINT AS t, 0::BIGINT AS seen, {_zeros()} AS v, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS alpha, {_zeros()} AS w, 0.0::DOUBLE AS weight FROM pm
+  UNION ALL
+  SELECT t, seen, v2 AS v, a2 AS a, b2 AS b, alpha2 AS alpha, list_transform(list_zip(w, v2), lambda k: (weight * k[1] + g * k[2]) / (weight + g)) AS w, weight + g AS weight FROM (
+    SELECT *, {_L1.format(r="1.0")} AS v2, greatest(-box, least(box, a - g * ga)) AS a2, greatest(-box, least(box, b - g * gb)) AS b2,
+      greatest(-2 * box, least(2 * box, alpha + g * (lean * s - 2 * h * (1 - h) * alpha))) AS alpha2 FROM (
+      SELECT *, {_THETA.format(r="1.0")} AS theta FROM (
+        SELECT *, list_reverse_sort(list_transform(u, lambda x: abs(x))) AS m FROM (
+          SELECT *, {_moved("v", "f", "g * ((1 + alpha) * lean - ga - gb)")} AS u FROM (
+            SELECT *, CASE WHEN y > 0 THEN -2 * (1 - h) ELSE 2 * h END AS lean, CASE WHEN y > 0 THEN 2 * (1 - h) * (a - s) ELSE 0 END AS ga, CASE WHEN y > 0 THEN 0 ELSE 2 * h * (b - s) END AS gb FROM (
+              SELECT r.t, r.y, r.f, z.v, z.a, z.b, z.alpha, z.w, z.weight, x.box, 1.0 / sqrt(r.t) AS g, list_dot_product(z.v, r.f) AS s, seen + (r.y > 0)::INT AS seen, (seen + (r.y > 0)::INT) / r.t AS h FROM z JOIN r ON r.t = z.t + 1, x)))))))
+""" + _RESULT.format(state="z", last="r")
+
+OPAUC_SQL = _RECURSIVE + f""", c AS (SELECT list(f ORDER BY t) FILTER (WHERE y > 0) AS ps, list(f ORDER BY t) FILTER (WHERE y <= 0) AS ns FROM r),
+k AS (SELECT t, y, f, count(*) FILTER (WHERE y > 0) OVER (ORDER BY t) AS np, count(*) FILTER (WHERE y <= 0) OVER (ORDER BY t) AS nn FROM r),
+z AS (
+  SELECT 0::BIGINT AS t, {_zeros()} AS w FROM pm
+  UNION ALL
+  SELECT t, CASE WHEN n = 0 THEN w ELSE list_transform(range(1, len(w) + 1), lambda j: w[j] - 0.01 * (0.01 * w[j] - y * away[j] + away[j] * aw + list_sum(list_transform(list_zip(o, os), lambda q: q[1][j] * q[2])) / n - mean[j] * mw)) END AS w FROM (
+    SELECT *, list_dot_product(away, w) AS aw, list_dot_product(mean, w) AS mw FROM (
+      SELECT *, list_transform(list_zip(f, mean), lambda q: q[1] - q[2]) AS away, list_transform(o, lambda q: list_dot_product(q, w)) AS os FROM (
+        SELECT *, list_transform(range(1, len(w) + 1), lambda j: coalesce(list_avg(list_transform(o, lambda q: q[j])), 0.0)) AS mean, len(o) AS n FROM (
+          SELECT k.t, k.y, k.f, z.w, CASE WHEN k.y > 0 THEN ns[1:nn] ELSE ps[1:np] END AS o FROM z JOIN k ON k.t = z.t + 1, c)))))
+""" + _RESULT.format(state="z", last="r")
+
+_TOP = "list_transform(u, lambda x: CASE WHEN abs(x) >= list_reverse_sort(list_transform(u, lambda q: abs(q)))[{k}] THEN x ELSE 0 END)"
+#: (t, rows) of the passes over blocks of 50 rows, in the order of a digest; the last block has the rest.
+_STEPS = """, n AS (SELECT count(*) AS n, count(*) // 50 AS m FROM r), o AS (SELECT b, k, row_number() OVER (ORDER BY k, substr(md5(b || '-' || k || '-1'), 1, 15), b) AS t FROM (SELECT unnest(range(m)) AS b FROM n), (SELECT unnest(range({passes})) AS k)),
+g AS (SELECT o.t, list({{'y': r.y, 'f': r.f}} ORDER BY r.t) AS rows FROM o JOIN r ON least((r.t - 1) // 50, (SELECT m - 1 FROM n)) = o.b GROUP BY 1)"""
+_BATCHES = """, n AS (SELECT count(*) AS n FROM r), q AS (SELECT k, start, start + size AS stop FROM (SELECT k, size, coalesce(sum(size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT k, floor(10 * pow(1.5, k))::BIGINT AS size FROM (SELECT unnest(range(30)) AS k))) WHERE start < (SELECT n FROM n)),
+o AS (SELECT start, stop, row_number() OVER (ORDER BY pass, k) AS t FROM q, (SELECT unnest(range(2)) AS pass)), g AS (SELECT o.t, list({'y': r.y, 'f': r.f} ORDER BY r.t) AS rows FROM o JOIN r ON r.t > o.start AND r.t <= o.stop GROUP BY 1)"""
+_GATHERED = "list_sum(list_transform(list_zip(cs, rows), lambda q: q[1] * q[2].f[j]))"
+
+
+def _logistic_steps_sql(steps: str, l2: float) -> str:
+    return _RECURSIVE + steps + f""", z AS (
+  SELECT 0::BIGINT AS t, {_zeros()} AS w, 0.0::DOUBLE AS c FROM pm
+  UNION ALL
+  SELECT t, {_TOP.format(k=10)} AS w, c - eta * list_sum(cs) AS c FROM (
+    SELECT *, list_transform(range(1, len(w) + 1), lambda j: w[j] - eta * ({_GATHERED} + {l2} * w[j])) AS u FROM (
+      SELECT g.t, g.rows, z.w, z.c, 0.5 / len(g.rows) AS eta, list_transform(g.rows, lambda q: -q.y / (1 + exp(q.y * (list_dot_product(z.w, q.f) + z.c)))) AS cs FROM z JOIN g ON g.t = z.t + 1)))
+""" + _RESULT.format(state="z", last="g")
+
+
+SHT_SQL = _RECURSIVE + _STEPS.format(passes=3) + f""", z AS (
+  SELECT 0::BIGINT AS t, {_zeros()} AS w FROM pm
+  UNION ALL
+  SELECT t, {_TOP.format(k=10)} AS w FROM (
+    SELECT *, list_transform(range(1, len(w) + 1), lambda j: w[j] - eta * (2 * p * (1 - p) * (1 + b - a) * len(rows) * (nega[j] - posi[j]) + {_GATHERED} - cp * posi[j] - cn * nega[j])) AS u FROM (
+      SELECT *, list_sum(list_transform(list_zip(cs, rows), lambda q: CASE WHEN q[2].y > 0 THEN q[1] ELSE 0 END)) AS cp, list_sum(list_transform(list_zip(cs, rows), lambda q: CASE WHEN q[2].y > 0 THEN 0 ELSE q[1] END)) AS cn FROM (
+        SELECT *, list_transform(rows, lambda q: CASE WHEN q.y > 0 THEN 2 * (1 - p) * (list_dot_product(w, q.f) - a) ELSE 2 * p * (list_dot_product(w, q.f) - b) END) AS cs FROM (
+          SELECT g.t, g.rows, z.w, p, posi, nega, 0.5 / len(g.rows) AS eta, list_dot_product(z.w, posi) AS a, list_dot_product(z.w, nega) AS b FROM z JOIN g ON g.t = z.t + 1, pm, pr)))))
+""" + _RESULT.format(state="z", last="g")
+
+ORACLES |= {"fit_solam": SOLAM_SQL, "fit_solam_boxed": BOXED_SQL, "fit_opauc": OPAUC_SQL, "fit_sht_auc": SHT_SQL, "fit_stoiht": _logistic_steps_sql(_STEPS.format(passes=3), 0.01), "fit_hsg_ht": _logistic_steps_sql(_BATCHES, 0.0)}
 QUERIES |= {
     "fit_solam": _fit("solam", {"xi": 1.0, "radius": 1.0}),
     "fit_sht_auc": _fit("sht_auc", {"xi": 0.5, "block": 50.0, "k": 10.0, "passes": 3.0}),
