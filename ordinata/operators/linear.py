@@ -1,7 +1,8 @@
 """Regularised linear classification and regression with the objectives of the usual linear library.
 
-Smooth objectives are minimised by Newton steps whose gradient and Hessian executors add up (features are few); the
-absolute penalty by proximal steps on the same sums; the duals with a box by coordinate descent in a grouped map.
+Smooth objectives are minimised by Newton steps; the executors add up gradients and Hessians, or for many features products
+with the Hessian. The absolute penalty takes proximal steps on the same sums; the duals with a box descend by coordinates in
+a grouped map. Rows are dense (features) or sparse (indices, values).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordinata.operators.prepare import random_folds
@@ -35,8 +36,6 @@ def check_parameters(solver: int, c: float, eps: float, p: float = 0.1, bias: fl
         return "C <= 0"
     if p < 0:
         return "p < 0"
-    if bias >= 0 and solver == 21:
-        return "this solver takes no bias"
     return None
 
 
@@ -79,72 +78,186 @@ def _terms(kind: str, y: np.ndarray, s: np.ndarray, p: float) -> tuple[np.ndarra
     return m * m, 2 * np.sign(s - y) * m, 2.0 * (m > 0)
 
 
+class _Rows:
+    """The rows of an Arrow batch, dense (an array of values) or sparse (indices from 0 and values), as one matrix of width d."""
+
+    def __init__(self, batch: pa.RecordBatch, d: int):
+        self.y, self.d, lists = batch.column(0).to_numpy(zero_copy_only=False), d, [batch.column(k) for k in range(1, batch.num_columns)]
+        ends = lists[0].offsets.to_numpy()
+        self.values = lists[-1].values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(float)
+        self.row = np.repeat(np.arange(len(self.y)), np.diff(ends))
+        if len(lists) == 2:
+            self.j = lists[0].values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64)
+        else:
+            self.j = np.arange(len(self.values)) - np.repeat(ends[:-1] - ends[0], np.diff(ends))
+        if len(self.j) and int(self.j.max()) >= d:  # features beyond the model's are ignored
+            kept = self.j < d
+            self.values, self.row, self.j = self.values[kept], self.row[kept], self.j[kept]
+        self.dense = self.values.reshape(len(self.y), d) if len(self.values) == len(self.y) * d else None
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return self.dense @ w if self.dense is not None else np.bincount(self.row, self.values * w[self.j], minlength=len(self.y))
+
+    def gather(self, c: np.ndarray) -> np.ndarray:
+        return c @ self.dense if self.dense is not None else np.bincount(self.j, self.values * c[self.row], minlength=self.d)
+
+    def squares(self, c: np.ndarray) -> np.ndarray:
+        """The matrix of the weighted products of all pairs of features."""
+        x = self.dense
+        if x is None:
+            x = np.zeros((len(self.y), self.d))
+            np.add.at(x, (self.row, self.j), self.values)
+        return (x * c[:, None]).T @ x
+
+
+def _features(samples: DataFrame) -> list[str]:
+    return ["features"] if "features" in samples.columns else ["indices", "values"]
+
+
+def _summed(samples: DataFrame, size: int, d: int, add) -> np.ndarray:
+    """The sum over all rows of what ``add`` gives for a batch, a vector of ``size``: the same number of rows from every
+    partition, added up by the executors; the driver receives ``size`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                total += add(_Rows(b, d))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], names=["i", "v"])
+
+    got = samples.select("y", *_features(samples)).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    flat = np.zeros(size)
+    flat[got.column("i").to_numpy()] = got.column("v").to_numpy()
+    return flat
+
+
+def _costs(y: np.ndarray, c: float, weights: dict[float, float]) -> np.ndarray:
+    return np.array([c * weights.get(v, 1.0) for v in y]) if weights else np.full(len(y), c)
+
+
+def loss_sum(samples: DataFrame, w: np.ndarray, kind: str, c: float, p: float, weights: dict[float, float]) -> float:
+    """C times the summed loss."""
+    return float(_summed(samples, 1, len(w), lambda rows: np.array([_costs(rows.y, c, weights) @ _terms(kind, rows.y, rows.times(w), p)[0]]))[0])
+
+
+def slope_sum(samples: DataFrame, w: np.ndarray, kind: str, c: float, p: float, weights: dict[float, float]) -> tuple[float, np.ndarray]:
+    """C times the summed loss and gradient."""
+
+    def add(rows: _Rows) -> np.ndarray:
+        k, (f, g, _) = _costs(rows.y, c, weights), _terms(kind, rows.y, rows.times(w), p)
+        return np.concatenate([[k @ f], rows.gather(k * g)])
+
+    flat = _summed(samples, 1 + len(w), len(w), add)
+    return float(flat[0]), flat[1:]
+
+
+def bend_sum(samples: DataFrame, w: np.ndarray, v: np.ndarray, kind: str, c: float, p: float, weights: dict[float, float]) -> np.ndarray:
+    """C times the summed Hessian at w, times the vector v."""
+    return _summed(samples, len(w), len(w), lambda rows: rows.gather(_costs(rows.y, c, weights) * _terms(kind, rows.y, rows.times(w), p)[2] * rows.times(v)))
+
+
 def sums(samples: DataFrame, w: np.ndarray, kind: str, c: float, p: float, weights: dict[float, float]) -> tuple[float, np.ndarray, np.ndarray]:
     """C times the summed loss, gradient and Hessian over all rows."""
     d = len(w)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 + d + d * d)
-        for b in batches:
-            y = b.column(0).to_numpy(zero_copy_only=False)
-            x = np.stack(b.column(1).to_numpy(zero_copy_only=False)) if len(y) else np.zeros((0, d))
-            f, g, h = _terms(kind, y, x @ w, p)
-            k = np.array([c * weights.get(v, 1.0) for v in y]) if weights else c
-            total += np.concatenate([[np.sum(k * f)], (k * g) @ x, ((x * (np.atleast_1d(k * h))[:, None]).T @ x).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
+    def add(rows: _Rows) -> np.ndarray:
+        k, (f, g, h) = _costs(rows.y, c, weights), _terms(kind, rows.y, rows.times(w), p)
+        return np.concatenate([[k @ f], rows.gather(k * g), rows.squares(k * h).ravel()])
+
+    flat = _summed(samples, 1 + d + d * d, d, add)
+    return float(flat[0]), flat[1 : 1 + d], flat[1 + d :].reshape(d, d)
+
 
-    got = samples.select("y", "features").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # 1 + d + d^2 rows
-    flat = np.zeros(1 + d + d * d)
-    for r in got:
-        flat[r["i"]] = r["v"]
-    return flat[0], flat[1 : 1 + d], flat[1 + d :].reshape(d, d)
+#: Up to so many features a step uses the whole Hessian; beyond it, products with it. Both reach the same minimum.
+WHOLE_HESSIAN = 256
+
+
+def _conjugate(product, grad: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """A step that nearly solves Hessian times step = -gradient, by conjugate gradients."""
+    step, left = np.zeros_like(grad), -grad
+    along, size = left.copy(), float(left @ left)
+    goal = min(0.1, math.sqrt(math.sqrt(size))) ** 2 * size
+    for _ in range(rounds):
+        bent = product(along)
+        rate = size / float(along @ bent)
+        step += rate * along
+        left -= rate * bent
+        fresh = float(left @ left)
+        if fresh <= goal:
+            break
+        along, size = left + fresh / size * along, fresh
+    return step
 
 
 def train(samples: DataFrame, d: int, solver: int = 2, c: float = 1.0, eps: float | None = None, p: float = 0.1, weights: dict[float, float] | None = None, start: np.ndarray | None = None, max_iter: int = 100) -> tuple[np.ndarray, float]:
-    """(w, objective) of a binary classifier (y in {+1, -1}) or a regression; the bias is a feature and is regularised."""
+    """(w, objective) of a binary classifier (y in {+1, -1}) or a regression; the bias is a feature and is regularised.
+
+    ``samples`` has y and either ``features`` or ``indices`` (from 0) and ``values``. With more than WHOLE_HESSIAN features
+    the squared penalty takes Newton steps by conjugate gradients, whose products with the Hessian, like the gradient, are
+    one number for each feature from every partition; a line search adds up losses alone. The absolute penalty needs the
+    Hessian and so refuses more features.
+    """
     eps = DEFAULT_EPS[solver] if eps is None else eps
     if problem := check_parameters(solver, c, eps, p):
         raise ValueError(problem)
     kind, weights, w = SOLVERS[solver], weights or {}, np.zeros(d) if start is None else start.astype(float)
     if kind in ("hinge", "svr1"):
         raise ValueError("solvers 3 and 13 are dual: use train_dual")
+    whole = d <= WHOLE_HESSIAN
+    if solver in L1 and d > 16 * WHOLE_HESSIAN:
+        raise ValueError(f"the absolute penalty takes {16 * WHOLE_HESSIAN} features at most")
+    whole = whole or solver in L1
     penalty = (lambda v: float(np.abs(v).sum())) if solver in L1 else (lambda v: float(v @ v) / 2)
-    f, g, h = sums(samples, w, kind, c, p, weights)
-    first = None
+    args = (kind, c, p, weights)
+    first = h = None
+    f = g = None
     for _ in range(max_iter):
+        if f is None:
+            f, g, h = sums(samples, w, *args) if whole else (*slope_sum(samples, w, *args), None)
         grad = g + (np.where(w != 0, np.sign(w), np.clip(-g, -1, 1)) if solver in L1 else w)
         first = first or float(np.linalg.norm(grad)) or 1.0
         if np.linalg.norm(grad) <= min(eps, 1e-6) * first:
             break
         if solver in L1:
             step = _lasso(h + 1e-9 * np.eye(d), g, w) - w
-        else:
+        elif whole:
             step = -np.linalg.solve(h + np.eye(d), grad)
-        rate, now = 1.0, f + penalty(w)
-        for _ in range(20):
-            tried = sums(samples, w + rate * step, kind, c, p, weights)
-            if tried[0] + penalty(w + rate * step) <= now:
+        else:
+            step = _conjugate(lambda v, at=w: v + bend_sum(samples, at, v, *args), grad)
+        rate, now, tried = 1.0, f + penalty(w), None
+        for attempt in range(20):
+            if attempt == 0 and whole:  # a whole step is nearly always taken, so its sums are what the next step needs
+                tried = sums(samples, w + step, *args)
+                value = tried[0]
+            else:
+                tried, value = None, loss_sum(samples, w + rate * step, *args)
+            if value + penalty(w + rate * step) <= now:
                 break
             rate /= 2
         else:
             break
-        w, (f, g, h) = w + rate * step, tried
-        if now - f - penalty(w) <= 1e-12 * max(1.0, abs(now)):
+        w = w + rate * step
+        f, g, h = tried or (None, None, None)
+        if now - value - penalty(w) <= 1e-12 * max(1.0, abs(now)):
+            f = value
             break
     return w, f + penalty(w)
 
 
 def _lasso(h: np.ndarray, g: np.ndarray, w: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """The minimum of the quadratic model at w plus the l1 norm, by coordinate descent."""
-    v = w.copy()
+    """The minimum of the quadratic model at w plus the l1 norm, by coordinate descent; a moved weight updates all slopes at once."""
+    v, slope = w.copy(), g.copy()
+    size = np.diag(h)
     for _ in range(rounds):
         moved = 0.0
         for j in range(len(w)):
-            slope = g[j] + float(h[j] @ (v - w))
-            z = v[j] - slope / h[j, j]
-            fresh = np.sign(z) * max(abs(z) - 1 / h[j, j], 0.0)
-            moved = max(moved, abs(fresh - v[j]))
-            v[j] = fresh
+            z = v[j] - slope[j] / size[j]
+            fresh = math.copysign(max(abs(z) - 1 / size[j], 0.0), z)
+            if fresh != v[j]:
+                slope += (fresh - v[j]) * h[j]
+                moved = max(moved, abs(fresh - v[j]))
+                v[j] = fresh
         if moved < 1e-10:
             break
     return v
@@ -188,6 +301,23 @@ def predict(samples: DataFrame, weights: np.ndarray, labels: list[float]) -> Dat
     return scored.select("row_id", F.element_at(F.array(*map(F.lit, labels)), best).alias("prediction"), (F.element_at(shares, best) / F.aggregate(shares, F.lit(0.0), lambda a, v: a + v)).alias("probability"))
 
 
+def class_counts(samples: DataFrame, label: str = "label", row: str = "row_id") -> DataFrame:
+    """(label, first, n): every class with its first row and its rows."""
+    return samples.groupBy(label).agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def probabilities(samples: DataFrame, weights: DataFrame) -> DataFrame:
+    """(row_id, label, score, probability): the logistic shares of all classes, for weights (label, w array).
+
+    As many rows as rows times classes; the table of weights is joined as a whole, one row for each class.
+    """
+    from ordinata.functions.vector import dot, expit
+
+    scored = samples.select("row_id", "features").crossJoin(F.broadcast(weights)).select("row_id", "label", dot(F.col("features"), F.col("w")).alias("score"))
+    share = expit(F.col("score"))
+    return scored.withColumn("probability", share / F.sum(share).over(Window.partitionBy("row_id")))
+
+
 def crammer_singer(x: np.ndarray, k: np.ndarray, classes: int, c: float = 1.0, eps: float = 0.1, rounds: int = 1000, seed: int = 1) -> np.ndarray:
     """Weights (classes, features) of the multiclass machine, by descent on each row's block of its dual.
 

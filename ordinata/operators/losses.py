@@ -69,3 +69,19 @@ def block_gradient(samples_long: DataFrame, scores: DataFrame, means: DataFrame,
     own = samples_long.join(s.select("row_id", "cx"), "row_id").groupBy("j").agg(F.sum(F.col("v") * F.col("cx")).alias("g"))
     sums = s.agg(F.sum("cp").alias("cp"), F.sum("cn").alias("cn"))
     return own.join(means, "j").crossJoin(F.broadcast(sums)).select("j", (F.col("g") + F.col("cp") * F.col("posi") + F.col("cn") * F.col("nega")).alias("grad"))
+
+
+def hessian_vector(long: DataFrame, scores: DataFrame, direction: DataFrame, kind: str, eta: float = 0.0, p: float = 0.1) -> DataFrame:
+    """(j, hv): the Hessian of ``loss_and_gradient``'s loss (a sum) at ``scores``, times the vector ``direction`` (j, w)."""
+    y, s = F.col("y"), F.col("score")
+    e = expit(y * s)
+    curve = {"logistic": e * (1 - e), "hinge2": F.when(y * s < 1, 2.0).otherwise(0.0), "svr2": F.when(F.abs(s - y) > p, 2.0).otherwise(0.0)}[kind]
+    along = linear_scores(long, direction).select("row_id", F.col("score").alias("along"))
+    bent = scores.select("row_id", curve.alias("curve")).join(along, "row_id").select("row_id", (F.col("curve") * F.col("along")).alias("c"))
+    summed = long.join(bent, "row_id").groupBy("j").agg(F.sum(F.col("v") * F.col("c")).alias("h"))
+    return direction.join(summed, "j", "left").select("j", (F.coalesce("h", F.lit(0.0)) + eta * F.col("w")).alias("hv"))
+
+
+def least_square_predict(scores: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(row_id, value, label): the score itself and +1 where it reaches the threshold, else -1."""
+    return scores.select("row_id", F.col("score").alias("value"), F.when(F.col("score") >= threshold, 1.0).otherwise(-1.0).alias("label"))

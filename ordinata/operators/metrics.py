@@ -38,7 +38,7 @@ def auc_step_compat(df: DataFrame, score: str = "score", y: str = "y") -> DataFr
 
 
 def roc_summary(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
-    """AUC by the trapezoids of four coordinate pairs, the equal error rate and its threshold."""
+    """AUC and its complement, the equal error rate and its threshold; ``roc_areas`` has the areas of four coordinate pairs."""
     area = auc(df, score, y)
     c = curve(df, score, y).select(score, F.greatest(1 - F.col("tpr"), F.col("fpr")).alias("worst"))
     eer = c.agg(F.min(F.struct("worst", (-F.col(score)).alias("s"))).alias("m")).select(F.col("m.worst").alias("eer"), (-F.col("m.s")).alias("eer_threshold"))
@@ -104,3 +104,12 @@ def support_scores(selected: DataFrame, truth: DataFrame, j: str = "j") -> DataF
 def rank_curve(aucs: DataFrame, by: str = "method", value: str = "auc") -> DataFrame:
     """Values of each group by falling order."""
     return aucs.select(by, value, F.row_number().over(Window.partitionBy(by).orderBy(F.desc(value))).alias("rank"))
+
+
+def roc_areas(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
+    """The trapezoid areas of true positives over true negatives and over false positives, of true negatives over true
+    positives, and of false negatives over false positives."""
+    c = curve(df, score, y)
+    step_p, step_n = F.col("p") / F.col("total_p"), F.col("n") / F.col("total_n")
+    tpr, fpr = F.col("tpr") - step_p / 2, F.col("fpr") - step_n / 2  # in the middle of a step
+    return c.agg(F.sum(step_n * tpr).alias("auc_tntp"), F.sum(step_n * tpr).alias("auc_fptp"), F.sum(step_p * (1 - fpr)).alias("auc_tptn"), F.sum(step_n * (1 - tpr)).alias("auc_fpfn"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,21 @@ def lex_rank(df: DataFrame, x: str, y: str) -> DataFrame:
     before = running(df, x, one, descending=True).select(x, (F.col("cum_n") - F.col("n")).alias("above"))
     within = running(df, y, one, (x,), descending=True)
     return within.join(before, x).select(x, y, (F.col("above") + F.col("cum_n") - F.col("n") + 1).alias("rank"), "n")
+
+
+def argsort(df: DataFrame, value: str, row: str, descending: bool = True, magnitude: bool = False) -> DataFrame:
+    """(row, position): the place of every row by ``value``, or by its magnitude; ties by row. Positions count from 0."""
+    from ordinata.operators.prefix import running
+
+    key = F.abs(value) if magnitude else F.col(value)
+    keyed = df.select(row, key.alias("key__"))
+    before = running(keyed, "key__", {"n__": F.lit(1)}, descending=descending).select("key__", (F.col("cum_n__") - F.col("n__")).alias("above__"))
+    among = F.row_number().over(Window.partitionBy("key__").orderBy(row))  # rows of one value
+    return keyed.join(before, "key__").select(row, (F.col("above__") + among - 1).alias("position"))
+
+
+def checked_top(vector: DataFrame, k: int, value: str = "w", tie: str = "j") -> DataFrame:
+    """``top_by_magnitude``, which fails if the vector has fewer than k entries."""
+    top = top_by_magnitude(vector, k, value, tie)
+    enough = top.agg(F.when(F.count(F.lit(1)) < k, F.raise_error(F.lit(f"k = {k} exceeds the entries")).cast("boolean")).otherwise(F.lit(True)).alias("enough__"))
+    return top.crossJoin(F.broadcast(enough)).where("enough__").drop("enough__")  # one row

@@ -117,3 +117,40 @@ def grid(spark, **axes: list[float]) -> DataFrame:
         axis = spark.createDataFrame(list(enumerate(map(float, values))), f"k int, {name} double")
         out = out.crossJoin(F.broadcast(axis)).withColumn("ordinal", F.col("ordinal") * len(values) + F.col("k")).drop("k")
     return out
+
+
+def grand_sum(long: DataFrame) -> DataFrame:
+    """(total, cells): the sum of all stored values and their number."""
+    return long.agg(F.sum("v").alias("total"), F.count("v").alias("cells"))
+
+
+def greatest_norm(long: DataFrame, row: str = "row_id") -> DataFrame:
+    """(kappa): the greatest Euclidean norm of a row."""
+    return long.groupBy(row).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).agg(F.max("norm").alias("kappa"))
+
+
+def by_feature(long: DataFrame, row: str = "row_id") -> DataFrame:
+    """(j, stored, total, first, last): the columns of a sparse table, as their number of values, sum and ends in row order."""
+    kept = long.where(F.col("v") != 0)
+    return kept.groupBy("j").agg(F.count(F.lit(1)).alias("stored"), F.sum("v").alias("total"), F.min_by("v", row).alias("first"), F.max_by("v", row).alias("last"))
+
+
+def save_minmax(parameters: DataFrame, path: str, lower: float = -1.0, upper: float = 1.0) -> None:
+    """The parameters of a scaling, with its range, as Parquet."""
+    parameters.select("j", "low", "high", F.lit(float(lower)).alias("lower"), F.lit(float(upper)).alias("upper")).write.mode("overwrite").parquet(path)
+
+
+def restore_minmax(long: DataFrame, path: str) -> DataFrame:
+    """``long`` scaled by saved parameters; features that they do not have are dropped."""
+    p = long.sparkSession.read.parquet(path)
+    share = (F.col("v") - F.col("low")) / (F.col("high") - F.col("low"))
+    v = F.when(F.col("v") == F.col("low"), F.col("lower")).when(F.col("v") == F.col("high"), F.col("upper")).otherwise(F.col("lower") + (F.col("upper") - F.col("lower")) * share)
+    return long.join(p, "j").withColumn("v", v).drop("low", "high", "lower", "upper")
+
+
+def scale_labels(samples: DataFrame, lower: float = -1.0, upper: float = 1.0, y: str = "y") -> DataFrame:
+    """``samples`` with labels scaled to [lower, upper] by their least and greatest value; equal labels stay."""
+    ends = samples.agg(F.min(y).alias("low__"), F.max(y).alias("high__"))
+    share = (F.col(y) - F.col("low__")) / (F.col("high__") - F.col("low__"))
+    scaled = samples.crossJoin(F.broadcast(ends))  # one row
+    return scaled.withColumn(y, F.when(F.col("high__") > F.col("low__"), lower + (upper - lower) * share).otherwise(F.col(y))).drop("low__", "high__")

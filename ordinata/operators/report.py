@@ -37,3 +37,14 @@ def learning_curve(traces: DataFrame, every: int = 1) -> DataFrame:
     if every == 1:
         return scaled
     return scaled.withColumn("k", F.row_number().over(Window.orderBy("step")) - 1).where(F.col("k") % every == 0).drop("k")  # one row a step
+
+
+def mean_variance(df: DataFrame, value: str) -> DataFrame:
+    """(n, mean, variance) with the population variance."""
+    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"))
+
+
+def support(vector: DataFrame, least: float = 0.0, task: tuple[str, ...] = ()) -> DataFrame:
+    """By task, the number and the sorted positions of the weights whose magnitude exceeds ``least``."""
+    kept = vector.where(F.abs("w") > least)
+    return kept.groupBy(*task).agg(F.count(F.lit(1)).alias("n_nonzero"), F.array_join(F.array_sort(F.collect_list("j")), ",").alias("positions"))  # one vector's positions

@@ -578,3 +578,107 @@ QUERIES |= {"linear_hinge_dual": _dual("hinge"), "linear_svr_dual": _dual("absol
 def search_cost(spark, d):
     path = linear.search_c(src.embeddings(spark, d), 64, 2, 3)
     return _r(spark.createDataFrame(path, "c double, score double"))
+
+
+@query(SCORES + " SELECT row_id, round(score, 6) AS value, CASE WHEN score >= 0.01 THEN 1.0 ELSE -1.0 END::DOUBLE AS label FROM s")
+def least_square_predict(spark, d):
+    return _r(losses.least_square_predict(_scored(spark, d), 0.01))
+
+
+@query(LONG + " SELECT round(sum(v), 4) AS total, count(*) AS cells FROM l")
+def grand_sum(spark, d):
+    return _r(prepare.grand_sum(src.to_long(src.embeddings(spark, d))), 4)
+
+
+@query(LONG + " SELECT round(max(k), 6) AS kappa FROM (SELECT sqrt(sum(v * v)) AS k FROM l GROUP BY row_id)")
+def greatest_norm(spark, d):
+    return _r(prepare.greatest_norm(src.to_long(src.embeddings(spark, d))))
+
+
+@query(LONG + " SELECT j, count(*) AS stored, round(sum(v), 4) AS total, round(arg_min(v, row_id), 6) AS first, round(arg_max(v, row_id), 6) AS last FROM l WHERE v <> 0 GROUP BY j")
+def transpose_by_feature(spark, d):
+    out = prepare.by_feature(src.to_long(src.embeddings(spark, d)))
+    return out.select("j", "stored", F.round("total", 4).alias("total"), F.round("first", 6).alias("first"), F.round("last", 6).alias("last"))
+
+
+@query(FIRST + " SELECT row_id, row_number() OVER (ORDER BY score DESC, row_id) - 1 AS falling, row_number() OVER (ORDER BY abs(score), row_id) - 1 AS near FROM s")
+def argsort(spark, d):
+    s = _first(spark, d).select("row_id", "score")
+    falling = order.argsort(s, "score", "row_id").withColumnRenamed("position", "falling")
+    return falling.join(order.argsort(s, "score", "row_id", descending=False, magnitude=True).withColumnRenamed("position", "near"), "row_id")
+
+
+@query(MEANS + " SELECT j, round(w, 6) AS w FROM w ORDER BY abs(w) DESC, j LIMIT 12")
+def checked_top(spark, d):
+    return _r(order.checked_top(_weights(spark, d)[2], 12))
+
+
+@query(EMB + " SELECT row_id, round(list_dot_product(f, f), 6) AS squared, round(list_dot_product(f, list_reverse(f)), 6) AS with_reverse, len(f) + 1 AS with_bias, round(list_sum(f) + 0.5, 6) AS biased_sum, len(list_filter(f, lambda x: abs(x) >= 0.05)) AS kept, round(list_sum(list_transform(f, lambda x: greatest(-0.1, least(0.1, x)))), 6) AS clamped FROM e")
+def vector_shims(spark, d):
+    f = F.col("features")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    biased = vf.with_bias(f, 0.5)
+    small = F.size(F.filter(F.transform(f, lambda x: vf.zero_small(x, 0.05)), lambda x: x != 0)).cast("long")
+    return _r(src.embeddings(spark, d).select("row_id", (vf.norm(f) * vf.norm(f)).alias("squared"), vf.dot(f, F.reverse(f)).alias("with_reverse"), F.size(biased).cast("long").alias("with_bias"), total(biased).alias("biased_sum"), small.alias("kept"), total(F.transform(f, lambda x: vf.clamp(x, 0.1))).alias("clamped")))
+
+
+@query(MEANS + " SELECT count(*) AS n_nonzero, string_agg(j, ',' ORDER BY j) AS positions FROM w WHERE abs(w) > 0.01")
+def support_of_weights(spark, d):
+    return report.support(_weights(spark, d)[2], 0.01)
+
+
+for _kind, _name, _curve in (("logistic", "logistic_hessian_vector", "1 / (1 + exp(-y * score)) * (1 - 1 / (1 + exp(-y * score)))"), ("hinge2", "squared_hinge_hessian_vector", "CASE WHEN y * score < 1 THEN 2.0 ELSE 0 END"), ("svr2", "svr_hessian_vector", "CASE WHEN abs(score - y) > 0.1 THEN 2.0 ELSE 0 END")):
+
+    def _bent(spark, d, kind=_kind):
+        long, means, w = _weights(spark, d)
+        return _r(losses.hessian_vector(long, losses.linear_scores(long, w), means.select("j", F.col("posi").alias("w")), kind, 0.5), 5)
+
+    QUERIES[_name] = _bent
+    ORACLES[_name] = SCORES + f", a AS (SELECT l.row_id, sum(l.v * m.posi) AS along FROM l JOIN m USING (j) GROUP BY 1), c AS (SELECT row_id, ({_curve}) * along AS c FROM s JOIN a USING (row_id)) SELECT l.j, round(sum(l.v * c.c) + 0.5 * max(m.posi), 5) + 0.0 AS hv FROM l JOIN c USING (row_id) JOIN m ON m.j = l.j GROUP BY l.j"
+
+
+@query(LONG + ", c AS (SELECT e.label, l.j, avg(l.v) AS w FROM l JOIN e USING (row_id) GROUP BY 1, 2), s AS (SELECT l.row_id, c.label, sum(l.v * c.w) AS score FROM l JOIN c USING (j) GROUP BY 1, 2), p AS (SELECT row_id, label, 1 / (1 + exp(-score)) AS p FROM s) SELECT row_id, label, round(p / sum(p) OVER (PARTITION BY row_id), 6) AS probability FROM p")
+def predict_proba(spark, d):
+    s = src.embeddings(spark, d)
+    by_label = s.select("label", F.posexplode("features").alias("j", "v")).groupBy("label", "j").agg(F.avg("v").alias("v"))
+    weights = by_label.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("w"))
+    return _r(linear.probabilities(s, weights).drop("score"))
+
+
+@query(FIRST + " SELECT round(sum(n / nn * (tp - p / 2.0) / np), 6) AS auc_tntp, round(sum(n / nn * (tp - p / 2.0) / np), 6) AS auc_fptp, round(sum(p / np * (1 - (fp - n / 2.0) / nn)), 6) AS auc_tptn, round(sum(n / nn * (1 - (tp - p / 2.0) / np)), 6) AS auc_fpfn FROM c")
+def roc_areas(spark, d):
+    return _r(metrics.roc_areas(_first(spark, d)))
+
+
+@query(LI + " SELECT count(*) AS n, round(avg(score), 4) AS mean, round(var_pop(score) / 1e6, 6) AS variance FROM s")
+def welford(spark, d):
+    return report.mean_variance(_price(spark, d), "score").select("n", F.round("mean", 4).alias("mean"), F.round(F.col("variance") / 1e6, 6).alias("variance"))
+
+
+@query(EMB + " SELECT label, min(row_id) AS first, count(*) AS n FROM e GROUP BY label")
+def class_grouping(spark, d):
+    return linear.class_counts(src.embeddings(spark, d))
+
+
+@query(_AUCS + ", t AS (SELECT s, avg(auc) AS auc FROM a GROUP BY s), u AS (SELECT s, auc / (SELECT max(auc) FROM a) AS auc, row_number() OVER (ORDER BY s) - 1 AS k FROM t) SELECT round(s, 6) AS step, round(auc, 6) AS auc FROM u WHERE k % 2 = 0")
+def curve_of_means(spark, d):
+    return _r(report.learning_curve(_aucs(spark, d).withColumnRenamed("s", "step"), 2))
+
+
+@query(_AUCS + ", t AS (SELECT method, (s * 100)::BIGINT AS ordinal, avg(auc) AS mean FROM a GROUP BY 1, 2) SELECT method, ordinal, round(mean, 6) AS mean FROM t QUALIFY row_number() OVER (PARTITION BY method ORDER BY mean DESC NULLS LAST, ordinal) = 1")
+def best_in_grid_order(spark, d):
+    return _r(report.best_setting(_aucs(spark, d).withColumn("ordinal", F.round(F.col("s") * 100).cast("long")), ["method"]))
+
+
+@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), x AS (SELECT doc_id, length(w) % 64 AS j, count(*)::DOUBLE AS v FROM w GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents WHERE doc_id % 2 = 0), p AS (SELECT j, CASE WHEN count(*) < max(n) THEN least(min(v), 0) ELSE min(v) END AS lo, CASE WHEN count(*) < max(n) THEN greatest(max(v), 0) ELSE max(v) END AS hi FROM x, n WHERE doc_id % 2 = 0 GROUP BY j) SELECT doc_id, j::INT AS j, round(2 * (v - lo) / (hi - lo), 6) AS v FROM x JOIN p USING (j) WHERE lo < hi AND doc_id % 2 = 1")
+def minmax_on_new_rows(spark, d):
+    """Parameters of the rows of even id, applied to the others; features that the former lack are dropped."""
+    long = src.documents_long(spark, d)
+    even = F.col("doc_id") % 2 == 0
+    n = src.table(spark, d, "documents").where(even).count()
+    return _r(prepare.minmax_scale(long.where(~even), prepare.minmax_parameters(long.where(even), n), 0.0, 2.0).select("doc_id", "j", "v"))
+
+
+@query("SELECT doc_id, round(-1 + 2 * (n_chars - (SELECT min(n_chars) FROM documents)) / ((SELECT max(n_chars) - min(n_chars) FROM documents))::DOUBLE, 6) AS y FROM documents")
+def label_scaling(spark, d):
+    return _r(prepare.scale_labels(src.table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("y"))))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ordinata.operators import graph, learners, linear, metrics, prepare, report
+from ordinata.operators import graph, learners, linear, metrics, order, prepare, report
 from ordinata.sources import samples as src
 
 
@@ -170,3 +170,47 @@ def test_results_and_names(spark, tmp_path):
     assert [r["auc"] for r in src.read_results(spark, str(tmp_path / "r"), method="b").collect()] == [2.0]
     (tmp_path / "n.csv").write_text("id,name\n1,x\n2,y\n")
     assert {(r["id"], r["name"]) for r in src.read_names_csv(spark, str(tmp_path / "n.csv")).collect()} == {("1", "x"), ("2", "y")}
+
+
+@pytest.mark.parametrize("solver", [0, 2, 11])
+def test_products_reach_the_minimum_of_the_whole_hessian(spark, monkeypatch, solver):
+    x, y = data(100, 5)
+    rows = frame(spark, x, y)
+    whole = linear.train(rows, 5, solver)
+    monkeypatch.setattr(linear, "WHOLE_HESSIAN", 2)
+    by_products = linear.train(rows, 5, solver)
+    assert np.allclose(whole[0], by_products[0], atol=1e-4) and whole[1] == pytest.approx(by_products[1], rel=1e-6)
+
+
+def test_sparse_rows_train_like_dense(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 6)) * (rng.random((80, 6)) < 0.4)
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=80) > 0, 1.0, -1.0)
+    dense = frame(spark, x, y)
+    for solver in (0, 2, 5):
+        assert np.allclose(linear.train(dense, 6, solver)[0], linear.train(src.to_sparse(dense), 6, solver)[0], atol=1e-8)
+
+
+def test_many_features_need_no_matrix(spark):
+    """7,129 features of 30 rows; the gradient of the objective vanishes."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(30, 7129)), np.where(np.arange(30) % 2, 1.0, -1.0)
+    w, _ = linear.train(frame(spark, x, y), 7129, 2, 0.001)
+    s = x @ w
+    assert np.linalg.norm(w - 0.002 * (y * np.maximum(1 - y * s, 0)) @ x) < 1e-3
+
+
+def test_more_than_all_entries_is_an_error(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, -2.0)], "j int, w double")
+    assert order.checked_top(df, 2).count() == 2
+    with pytest.raises(Exception, match="exceeds"):
+        order.checked_top(df, 3).collect()
+
+
+def test_scaling_is_saved_and_restored(spark, tmp_path):
+    long = spark.createDataFrame([(0, 0, 1.0), (1, 0, 3.0), (0, 1, 5.0), (1, 1, 5.0)], "row_id long, j int, v double")
+    found = prepare.minmax_parameters(long, 2)
+    prepare.save_minmax(found, str(tmp_path / "p"), 0.0, 1.0)
+    fresh = spark.createDataFrame([(7, 0, 2.0), (7, 1, 9.0), (7, 2, 9.0)], "row_id long, j int, v double")
+    assert [(r["j"], r["v"]) for r in prepare.restore_minmax(fresh, str(tmp_path / "p")).collect()] == [(0, 0.5)]
+    assert [r["y"] for r in prepare.scale_labels(spark.createDataFrame([(2.0,), (4.0,)], "y double")).orderBy("y").collect()] == [-1.0, 1.0]
