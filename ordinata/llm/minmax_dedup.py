@@ -10,21 +10,29 @@ Plan, none of whose steps gathers a group in one task or emits all pairs of a gr
 2. documents of equal sets are one class, by a pre-aggregated minimum; only representatives go on;
 3. each bucket's hub is its most central member, the one that shares most buckets with others (pre-aggregated sums and
    maxima). Members are compared with hubs only; a group of near copies has its original as the hub of nearly all its
-   buckets, so its pairs are few times its size;
+   buckets, so its pairs are few times its size. A hub's pairs are confirmed in tiles of bounded size;
 4. connected components of these links;
-5. what stars can miss: in buckets whose members still lie in several components, members outside the hub's component
-   are compared with the members of other components under the same hub. Pairs within a component need no comparison,
-   so no link that changes a component is left out. Of a document, only shingles that another document of these buckets
-   has can be common with a partner; documents that cannot reach the threshold so are passed over. The others are a query
-   set that meets the members tile by tile, both sides in blocks of bounded size, and only confirmed links leave a tile;
+5. what stars can miss: two members of a bucket that lie in different components. Jaccard distance is a metric, so a
+   member that is linked to the hub can have a link only with members whose similarity to the hub is at least twice the
+   threshold minus one; the stars tell which those are. All other links are between two members that are not linked to
+   the hub. Of the documents that are left so, two that lie in different components and reach the threshold share one of
+   the first shingles of both, if each document's shingles are
+   ordered by how many of these documents have them and those that no other component has come first; a document with
+   n shingles, of which t must be common, shows the first n - t + 1. So each such shingle is a group, in which blocks of
+   bounded size meet, and a pair becomes a candidate only where what follows the shingle in both documents can still make
+   up the common part. Candidates are made distinct, so each pair is compared once, in tiles of documents of one hub;
 6. connected components of all links, carried back to the members of the classes.
 
+Joins on a bucket, hub, shingle or digest, any of which may hold a third of all rows, broadcast what belongs to the few
+hot keys and shuffle the rest (``join_with_hot_keys``).
+
 With the production bands the chance that a pair at the threshold of 0.8 shares no bucket is below 1e-5.
 
 Defined results: words are split at white space after A-Z are lower-cased; a text of fewer words than a shingle is one
 shingle; an empty or null text has none, is linked with nothing and is kept. doc_id names a document: repeated rows of
-it are one document and share its result. A row without doc_id takes part in no link: its component is null and it is
-kept. Other columns are ignored.
+it are one document and share its result. Where rows of one doc_id differ in text, each is grouped by its own text, and
+of those that represent a class the one of the least digest is compared with others. A row without doc_id takes part in
+no link: its component is null and it is kept. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,11 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordinata.llm.shingles import mix, shingle_set, word_hashes
-from ordinata.llm.workspace import bound_batches, materialize, release
+from ordinata.llm.workspace import discard, join_salted, join_with_hot_keys, materialize, release
 
 BANDS, ROWS = 30, 5
 #: So many candidate ids, about 30 MB as a hash table, may be sent to every executor.
 BROADCAST_IDS = 1_000_000
+#: About so many pairs of a hub are confirmed in one tile, and so many documents of a hub are one side of a later tile.
+STAR_TILE, CELL = 64, 128
+#: Rows of an Arrow batch where they hold whole texts or sets of documents that have candidates.
+SET_ROWS = 128
 _BLOCK = 4096
 
 
@@ -89,7 +101,7 @@ def signatures(docs: DataFrame, shingle: int, *, bands: int = BANDS, rows: int =
                     found = shingle_set(words, shingle)
                     sizes.append(len(found))
                     if len(found):
-                        a, b = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
+                        a, b = _digest(found)
                         d1.append(a)
                         d2.append(b)
                         keys.append(band_keys(signature(found, *own), bands, rows).view(np.int64))
@@ -104,28 +116,87 @@ def signatures(docs: DataFrame, shingle: int, *, bands: int = BANDS, rows: int =
     return columns.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, shingles) with the full sorted set of every document of (doc_id, text)."""
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    """The two halves of a set's 128-bit digest."""
+    return tuple(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64).tolist())
+
+
+def shingle_sets(wanted: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, shingles): the full sorted set of every (doc_id, text, d1, d2) whose set has this digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                found = [shingle_set(words, shingle).view(np.int64) for _, words in word_hashes(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                ids, found = [], []
+                for (_, words), *row in zip(word_hashes(part.column(1).to_pylist()), *(part.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+                    own = shingle_set(words, shingle)
+                    if _digest(own) == (row[1], row[2]):
+                        ids.append(row[0])
+                        found.append(own.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
         release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return wanted.select("doc_id", "text", "d1", "d2").mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal values in the first ``keys`` columns, which cut the batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(keys)]
+        changed = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            changed[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        if last is not None and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, least: int | None = None) -> DataFrame:
+    """(a, b, linked): the ``pairs`` (tile, a, b) whose full sets reach the similarity, and with ``least`` < percent also
+    those that reach only ``least``, which are not ``linked``.
+
+    A set goes once to each tile that has a pair of it, so a task holds the sets of one tile.
+    """
+    needed = join_salted(pairs.select("tile", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), sets, "doc_id", "tile")
+    none, low = F.lit(None), percent if least is None else least
+    rows = needed.select("tile", F.lit(0).alias("kind"), "doc_id", none.cast("long").alias("b"), "shingles").unionAll(pairs.select("tile", F.lit(1), "a", "b", none.cast("array<long>")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 1):
+            held, a, b, linked = {}, [], [], []
+            kinds, ids, others = (group.column(c).to_pylist() for c in (1, 2, 3))
+            for kind, x, y, own in zip(kinds, ids, others, group.column(4), strict=True):
+                if not kind:
+                    held[x] = own.values.to_numpy().view(np.uint64)  # sorted as such
+                    continue
+                left, right = sorted((held[x], held[y]), key=len)
+                at = np.searchsorted(right, left)
+                common = np.count_nonzero(right[np.minimum(at, len(right) - 1)] == left)
+                union = len(left) + len(right) - common
+                if 100 * common >= low * union:
+                    a.append(x)
+                    b.append(y)
+                    linked.append(100 * common >= percent * union)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked)], names=["a", "b", "linked"])
+        release()
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets reach the similarity."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    union = F.size("of_a") + F.size("of_b") - common
-    return both.where(F.lit(100).cast("long") * common >= F.lit(percent).cast("long") * union).select("a", "b")
+    return rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(run, "a long, b long, linked boolean")
 
 
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
@@ -136,54 +207,73 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """
     ordered = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     now = materialize(ordered, name)
-    mark = None
+    mark, rows = None, now.count()
     while True:
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, name)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = materialize(join_with_hot_keys(both, least, "u", "n", 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_with_hot_keys(large, low, "u", "n", 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
+        before, now = now, materialize(small, name)
         stat = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(before, large)
         if mark == tuple(stat):
             break
-        mark = tuple(stat)
+        mark, rows = tuple(stat), stat[0]
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))
 
 
-def tiled_links(viable: DataFrame, sets: DataFrame, percent: int, *, odd_block: int = 64, block: int = 256) -> DataFrame:
-    """Links (a, b) between an odd document and one of another component, among the ``viable`` (hub, doc_id, c, odd) of a hub.
+def prefixes(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(s, doc_id, c, n, room, cell): the first shingles of every document that can reach one of another component.
 
-    The odd documents of a hub are dealt into blocks of about ``odd_block``, all its documents into blocks of about
-    ``block``; a tile is one block of each, so a task's memory is bounded and a large hub is spread over many tasks.
+    ``live`` has (doc_id, c, cell), c being the component. ``room`` counts the document's shingles that another component
+    has, from s on.
     """
-    blocks = viable.groupBy("hub").agg(F.count_if("odd").alias("odds"), F.count(F.lit(1)).alias("all")).where("odds > 0").select("hub", F.ceil(F.col("odds") / odd_block).alias("rows"), F.ceil(F.col("all") / block).alias("columns"))
-    dealt = viable.join(blocks, "hub").join(sets, "doc_id")
-    own = lambda count: F.pmod(F.xxhash64("doc_id"), F.col(count))
-    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-    odd = dealt.where("odd").select("hub", own("rows").alias("i"), every("columns").alias("j"), "doc_id", "c", "shingles")
-    members = dealt.select(F.col("hub").alias("of"), every("rows").alias("row"), own("columns").alias("column"), F.col("doc_id").alias("y"), F.col("c").alias("part"), F.col("odd").alias("y_odd"), F.col("shingles").alias("y_set"))
-
-    def confirm(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [], []
-        if left.num_rows and right.num_rows:
-            lists = right.column("y_set").combine_chunks()
-            bounds = lists.offsets.to_numpy()
-            values = lists.values.to_numpy()[bounds[0] : bounds[-1]]
-            starts, sizes = bounds[:-1] - bounds[0], np.diff(bounds)
-            ids, parts, odd_too = (right.column(c).to_numpy() for c in ("y", "part", "y_odd"))
-            for x, part, own_set in zip(left.column("doc_id").to_pylist(), left.column("c").to_pylist(), left.column("shingles"), strict=True):
-                mine = np.sort(own_set.values.to_numpy())
-                at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
-                common = np.add.reduceat((mine[at] == values).astype(np.int64), starts)
-                hit = (100 * common >= percent * (len(mine) + sizes - common)) & (parts != part) & (~odd_too | (ids > x))
-                for y in ids[hit].tolist():
-                    a.append(min(x, y))
-                    b.append(max(x, y))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return odd.groupBy("hub", "i", "j").cogroup(members.groupBy("of", "row", "column")).applyInArrow(confirm, "a long, b long").distinct()
+    held = materialize(sets.join(live.select("doc_id", "c"), "doc_id").select("doc_id", "c", F.explode("shingles").alias("s")), "minmax-held")
+    spread = held.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s", "k")
+    shared = join_with_hot_keys(held.select("s", "doc_id"), spread, "s", "k", held.count(), most=1 << 16)  # 16 bytes a key
+    by_doc = shared.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("order"))
+    sized = sets.select("doc_id", F.size("shingles").alias("n")).join(live, "doc_id")
+    needed = F.ceil(F.col("n") * percent / 100).cast("int")
+    able = by_doc.join(sized, "doc_id").where(F.size("order") >= needed)
+    first = able.select("*", F.posexplode(F.slice("order", F.lit(1), F.size("order") - needed + 1)).alias("at", "own"))
+    out = materialize(first.select(F.col("own.s").alias("s"), "doc_id", "c", "n", (F.size("order") - F.col("at")).alias("room"), "cell"), "minmax-prefixes")
+    discard(held)
+    return out
+
+
+def candidates(first: DataFrame, percent: int, *, block: int = 128) -> DataFrame:
+    """Distinct (tile, a, b) of different components that share one of their first shingles and have room for the threshold.
+
+    The documents of a shingle are dealt into blocks, and each two blocks meet in a task of their own.
+    """
+    sizes = first.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s", "m", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    grouped = join_with_hot_keys(first, sizes, "s", "m", first.count()).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    met = grouped.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = met.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "c", "n", "room", "cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            own, ids, c, n, room, cell = (group.column(k).to_numpy() for k in range(3, 9))
+            i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            x, y = left[:, None], right[None, :]
+            total = n[x].astype(np.int64) + n[y]
+            fits = (c[x] != c[y]) & ((100 + percent) * np.minimum(room[x], room[y]).astype(np.int64) >= percent * total)
+            if i == j:
+                fits &= ids[x] < ids[y]
+            at, to = np.nonzero(fits)
+            at, to = left[at], right[to]
+            swap = ids[at] > ids[to]
+            at, to = np.where(swap, to, at), np.where(swap, at, to)
+            tile = mix(mix(cell[at].view(np.uint64)) + cell[to].view(np.uint64)).view(np.int64)
+            for k in range(0, len(at), 20_000):
+                part = slice(k, k + 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(tile[part]), pa.array(ids[at[part]]), pa.array(ids[to[part]])], names=["tile", "a", "b"])
+        release()
+
+    return rows.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").mapInArrow(run, "tile long, a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,51 +282,68 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     Documents whose similarity reaches ``percent`` are linked; component_id is the least doc_id that links reach, and the
     document that bears it is kept.
     """
-    texts = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = materialize(signatures(texts, shingle, bands=bands, rows=rows), "minmax")
     sized = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = sized.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(sized.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "minmax-classes")
 
     least = classes.select(F.col("rep").alias("doc_id"), "d1", "d2")
-    reps = sized.join(least, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id"])
-    banded = reps.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = materialize(banded.join(buckets, "band"), "minmax-shared")
+    own = F.min(F.struct("d1", "d2", F.col("n_shingles").cast("int").alias("n"), "bands")).alias("own")
+    reps = materialize(sized.join(least, ["doc_id", "d1", "d2"], "left_semi").groupBy("doc_id").agg(own).select("doc_id", "own.*"), "minmax-reps")
+    banded = reps.select("doc_id", "n", F.explode("bands").alias("band"))
+    buckets = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "minmax-buckets")
+    total = buckets.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    shared = materialize(join_with_hot_keys(banded, buckets, "band", "m", total), "minmax-shared")
     weights = shared.groupBy("doc_id").agg(F.sum(F.col("m") - 1).alias("w"))
-    weighed = materialize(shared.join(weights, "doc_id").select("band", "doc_id", "n", "w"), "minmax-weighed")
-    hubs = weighed.groupBy("band").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("doc_id").alias("id"), "n")).alias("hub"))
-    members = materialize(weighed.join(hubs.select("band", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "band").drop("w"), "minmax-members")
-
-    def sizes_fit(x: str, y: str):
-        low, high = F.least(x, y).cast("long"), F.greatest(x, y).cast("long")
-        return 100 * low >= percent * high
-
-    stars = members.where((F.col("doc_id") != F.col("hub")) & sizes_fit("n", "hub_n")).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    weighed = materialize(shared.join(weights, "doc_id"), "minmax-weighed")
+    hubs = weighed.groupBy("band").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("doc_id").alias("id"), "n")).alias("hub"), F.count(F.lit(1)).alias("size"))
+    hubs = hubs.select("band", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "size")
+    members = materialize(join_with_hot_keys(weighed.drop("w", "m"), hubs, "band", "size", total).drop("size"), "minmax-members")
+
+    least = max(2 * percent - 100, 0)  # what a partner of a hub's partner has in common with the hub
+    low, high = F.least("n", "hub_n").cast("long"), F.greatest("n", "hub_n").cast("long")
+    stars = members.where((F.col("doc_id") != F.col("hub")) & (100 * low >= least * high)).select("hub", "doc_id").distinct()
     stars = materialize(stars, "minmax-stars")
-    wanted = materialize(members.select("doc_id").distinct(), "minmax-wanted")
+    crowds = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    tiled = join_with_hot_keys(stars, crowds, "hub", "size", stars.count())
+    tile = F.xxhash64("hub", F.pmod(F.xxhash64("doc_id"), F.floor(F.col("size") / STAR_TILE) + 1))
+    wanted = materialize(members.select("doc_id").distinct().join(reps.select("doc_id", "d1", "d2"), "doc_id"), "minmax-wanted")
     if wanted.count() <= BROADCAST_IDS:  # beyond it the texts are shuffled instead
         wanted = F.broadcast(wanted)
-    sets = materialize(shingle_sets(texts.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "minmax-sets")
-    links = materialize(confirmed(stars, sets, percent), "minmax-links")
-    first = materialize(components(links, "minmax-first"), "minmax-component")
+    sets = materialize(shingle_sets(texts.join(wanted, "doc_id"), shingle).dropDuplicates(["doc_id"]), "minmax-sets", SET_ROWS)
+    links = materialize(confirmed(tiled.select(tile.alias("tile"), F.col("hub").alias("a"), F.col("doc_id").alias("b")), sets, percent, least), "minmax-links", SET_ROWS)
+    first = materialize(components(links.where("linked").select("a", "b"), "minmax-first"), "minmax-component")
 
     of = first.select(F.col("node").alias("doc_id"), "component")
-    of_hub = first.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-    placed = members.join(of, "doc_id", "left").join(of_hub, "hub", "left").select("band", "hub", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"), F.coalesce("hub_component", "hub").alias("hc"))
-    placed = materialize(placed, "minmax-placed")
-    open_bands = placed.where("c <> hc").select("band").distinct()
-    live = materialize(placed.join(open_bands, "band", "left_semi"), "minmax-live")
-    held = sets.join(live.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
-    lonely = held.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lonely"))
-    most = F.col("n") - F.coalesce("lonely", F.lit(0))
-    viable = live.join(lonely, "doc_id", "left").where(100 * most >= percent * F.col("n")).groupBy("hub", "doc_id").agg(F.min("c").alias("c"), F.max(F.col("c") != F.col("hc")).alias("odd"))
-    viable = materialize(viable, "minmax-viable")
-    more = materialize(tiled_links(viable, sets, percent), "minmax-more")
-    joined = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)
-    final = components(joined, "minmax-final")
-
-    multiple = classes.where("copies > 1").select("d1", "d2", "rep")
-    out = sig.select("doc_id", "n_shingles", "d1", "d2").join(multiple, ["d1", "d2"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    out = out.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    to_hub = links.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "linked")
+    linked = F.coalesce("linked", F.col("doc_id") == F.col("hub"))
+    placed = members.join(of, "doc_id", "left").join(to_hub, ["hub", "doc_id"], "left")
+    placed = materialize(placed.select("band", "hub", "doc_id", F.coalesce("component", "doc_id").alias("c"), linked.alias("linked"), F.col("linked").isNotNull().alias("close")), "minmax-placed")
+    alone = F.when(~F.col("linked"), F.col("c"))
+    close = F.when(F.col("close"), F.col("c"))
+    hub_c = F.when(F.col("doc_id") == F.col("hub"), F.col("c"))
+    state = placed.groupBy("band").agg(F.max(hub_c).alias("hc"), (F.min(alone) != F.max(alone)).alias("apart"), F.min(close).alias("low"), F.max(close).alias("high"), F.count(F.lit(1)).alias("size"))
+    state = state.select("band", "hc", F.coalesce("apart", F.lit(False)).alias("apart"), F.coalesce((F.col("low") != F.col("hc")) | (F.col("high") != F.col("hc")), F.lit(False)).alias("reached"), "size").where("apart OR reached")
+    left = join_with_hot_keys(placed, state, "band", "size", total).where(F.when(F.col("linked"), F.col("reached")).otherwise(F.col("apart") | (F.col("close") & (F.col("c") != F.col("hc")))))
+    live = materialize(left.groupBy("doc_id").agg(F.min("c").alias("c"), F.min("hub").alias("near")), "minmax-live")
+    crowds = live.groupBy("near").agg(F.count(F.lit(1)).alias("size"))
+    cell = F.xxhash64("near", F.pmod(F.xxhash64("doc_id"), F.floor(F.col("size") / CELL) + 1))
+    celled = join_with_hot_keys(live, crowds, "near", "size", live.count()).select("doc_id", "c", cell.alias("cell"))
+    prefix = prefixes(celled, sets, percent)
+    pairs = materialize(candidates(prefix, percent), "minmax-pairs")
+    more = materialize(confirmed(pairs, sets, percent), "minmax-more", SET_ROWS)
+    joined = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more.select("a", "b"))
+    final = materialize(components(joined, "minmax-final").select(F.col("node").alias("rep"), "component"), "minmax-components")
+    discard(reps, buckets, shared, weighed, members, stars, sets, links, first, placed, live, prefix, pairs, more)
+
+    digest = F.xxhash64("d1", "d2").alias("digest")  # rows are matched by it and then by the whole digest
+    placed = classes.join(final, "rep", "left").where("copies > 1 OR component IS NOT NULL").select(digest, "copies", F.struct("d1", "d2", F.coalesce("component", "rep").alias("component")).alias("own"))
+    known = materialize(placed.groupBy("digest").agg(F.sum("copies").alias("copies"), F.collect_list("own").alias("found")), "minmax-known")
+    copies = known.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    discard(classes, final)
+    filled = sig.where("n_shingles > 0").select("doc_id", "n_shingles", "d1", "d2", digest)
+    same = F.filter("found", lambda x: (x["d1"] == F.col("d1")) & (x["d2"] == F.col("d2")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.get(same, F.lit(0))["component"], F.col("doc_id")))
+    out = join_with_hot_keys(filled, known, "digest", "copies", copies, "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.unionAll(sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
