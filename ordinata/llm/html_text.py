@@ -8,12 +8,17 @@ reader comments) are left out. For every other node the link-adjusted density is
 
 with C characters, T tags, LC link characters and LT link tags of its subtree and C and LC of the body in B. A node's
 density sum adds its children's densities. The threshold is the least density on the path from the node of the largest
-sum up to the body; every node that reaches it marks the subtree of the largest sum below it. An ``article`` or ``main``
-element around the chosen node widens the choice to the whole element, so that no paragraph of it is lost.
+sum up to the body; every node that reaches it marks the subtree of the largest sum below it. Where the node of the largest
+sum lies in an ``article`` or ``main`` element the choice is widened to that whole element, so that no paragraph of it is lost.
 
 Defined results: a null or empty page, or one without content, gives an empty text. Character references are decoded,
 white space inside a block becomes one space, blocks are trimmed and joined by two line feeds in page order. Other
-columns are ignored; repeated rows give repeated rows. The scan is one pass and holds one page at a time.
+columns are ignored; repeated rows give repeated rows. The scan is one pass, holds one page at a time and takes time linear
+in its length, however many elements are nested, unclosed or ended without a start.
+
+Outside an article a class, id or role with a noise word drops an element. Inside one only a class name does that consists
+of noise words and words for a frame around them, so ``comments`` and ``share-buttons`` go while a section with the id
+``related-work``, ``side-effects`` or an ``article-header`` stays; headings always stay.
 """
 
 from __future__ import annotations
@@ -49,6 +54,22 @@ NOISE = re.compile(
     r"comments?|disqus|replies|respond|reactions|search\w*|login|signup|widget\w*|pagination|pager|tags)(?:$|[\s_-])",
     re.I,
 )
+#: Where the search for an implied end stops, and where that for an inline end tag does.
+BOUNDS = frozenset("article main section div td table ul ol body blockquote".split())
+SCOPES = frozenset("article main td table".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Inside an article a class name is noise only as a whole: noise words, and words for a frame around them.
+NOISE_PART = re.compile(
+    r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|nav\w*|menu\w*|"
+    r"breadcrumbs?|sidebars?|aside|footer|toolbar|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|"
+    r"reactions|search\w*|login|signup|widget\w*|pagination|pager|tags",
+    re.I,
+)
+FRAME = re.compile(
+    r"box|lists?|section|area|block|container|wrapper|wrap|bar|items?|links?|panel|inner|outer|content|main|top|bottom|left|right|"
+    r"posts?|page|site|articles?|stories|entry|module|row|col|form|buttons?|icons?|text|inline|js|is|unit|slot|\w?\d+",
+    re.I,
+)
 #: Elements that can hold an article; the node of the largest density sum is one of them.
 CONTAINERS = frozenset("#root article blockquote body center div html main section table tbody td tr".split())
 #: A quotation mark opens a value only after an equals sign; one that never closes does not hide the rest of the page.
@@ -59,7 +80,11 @@ _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "parent", "parts", "skip", "sum", "tag", "tags")
+    """An element. ``stop``, ``scope`` and ``article`` are its nearest ancestors, itself included, where a search for an
+    implied end looks, where an inline end tag stops looking, and that are an article or main element; ``open`` counts
+    the open inline elements of a scope by tag."""
+
+    __slots__ = ("article", "chars", "children", "density", "link_chars", "link_tags", "open", "parent", "parts", "scope", "skip", "stop", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool):
         self.tag, self.parent, self.skip = tag, parent, skip
@@ -67,6 +92,21 @@ class Node:
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.open: dict[str, int] = {}
+        self.stop: Node = self if parent is None or tag in ENDS or tag in BOUNDS else parent.stop
+        self.scope: Node = self if parent is None or tag in SCOPES else parent.scope
+        self.article: Node | None = self if tag in ("article", "main") else parent.article if parent is not None else None
+
+
+def _framed_noise(name: str) -> bool:
+    """Whether every part of a class name is a noise word or a word for a frame, and one is a noise word."""
+    found = False
+    for part in re.split(r"[_-]+", name):
+        if NOISE_PART.fullmatch(part):
+            found = True
+        elif part and not FRAME.fullmatch(part):
+            return False
+    return found
 
 
 def _noise(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -80,7 +120,10 @@ def _noise(tag: str, attributes: str, inside_article: bool) -> bool:
         value, name = a or b or c, name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
             return True
-        if name in ("class", "id") and NOISE.search(value):
+        if inside_article:
+            if tag not in HEADINGS and (name == "class" or name == "id" and tag in ("div", "ul", "ol")) and any(map(_framed_noise, value.split())):
+                return True
+        elif name in ("class", "id") and NOISE.search(value):
             return True
     return False
 
@@ -89,14 +132,30 @@ def parse(html: str) -> Node:
     """The tree of a page; nodes that are never content are marked ``skip``, and so are those below them."""
     root = Node("#root", None, False)
     node, at, size = root, 0, len(html)
+    opened: dict[str, int] = {}  # open elements by tag
 
     def text(raw: str) -> None:
-        nonlocal node
         while node.tag == "head" and raw.strip():
-            node = node.parent
+            close(node)
         if raw and not node.skip:
             node.parts.append(raw)
 
+    def begin(child: Node) -> None:
+        nonlocal node
+        for counts in (opened, child.parent.scope.open):
+            counts[child.tag] = counts.get(child.tag, 0) + 1
+        node = child
+
+    def close(up: Node) -> None:
+        """End ``up`` and all that is open inside it; an element is ended once, so all ends together take linear time."""
+        nonlocal node
+        while True:
+            opened[node.tag] -= 1
+            node.parent.scope.open[node.tag] -= 1
+            last, node = node, node.parent
+            if last is up:
+                break
+
     while at < size:
         start = html.find("<", at)
         if start < 0:
@@ -116,19 +175,17 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if match[1]:
-            up = node
-            while up.parent is not None and up.tag != tag:
-                if up.tag in ("article", "main", "td", "table") and tag not in BLOCK:
-                    up = root  # a stray end tag of an inline element ends nothing outside
-                    break
-                up = up.parent
-            if up.parent is not None:
-                node = up.parent
+            # a stray end tag ends nothing, and one of an inline element nothing outside its scope
+            if (opened if tag in BLOCK else node.scope.open).get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                close(up)
             elif tag == "br":
                 text(" ")
             continue
         while node.tag == "head" and tag not in HEAD:
-            node = node.parent
+            close(node)
         if tag in VOID or match[3].endswith("/") and tag not in BLOCK:
             if tag == "hr":
                 child = Node(tag, node, node.skip)
@@ -138,21 +195,15 @@ def parse(html: str) -> Node:
                 text(" " if tag == "br" else "")
                 node.tags += 1
             continue
-        up = node
-        while up.parent is not None and up.tag not in ("article", "main", "section", "div", "td", "table", "ul", "ol", "body", "blockquote"):
+        up = node.stop  # one of each kind at most is open below a bound, so this looks at a few nodes
+        while up.parent is not None:
             if tag in ENDS.get(up.tag, ()):
-                node = up.parent
+                close(up)
                 break
-            up = up.parent
-        else:
-            if tag in ENDS.get(up.tag, ()) and up.parent is not None:
-                node = up.parent
-        inside = False
-        if tag == "header":
-            up = node
-            while up is not None and not inside:
-                inside, up = up.tag in ("article", "main"), up.parent
-        child = Node(tag, node, node.skip or _noise(tag, match[3], inside))
+            if up.tag in BOUNDS:
+                break
+            up = up.parent.stop
+        child = Node(tag, node, node.skip or _noise(tag, match[3], node.article is not None))
         node.children.append(child)
         node.parts.append(child)
         if tag in RAW:  # its content is no markup
@@ -160,10 +211,10 @@ def parse(html: str) -> Node:
             stop = end.start() if end else size
             if not child.skip:
                 child.parts.append(html[at:stop])
-            close = html.find(">", stop) if end else -1
-            at = close + 1 if close >= 0 else size
+            after = html.find(">", stop) if end else -1
+            at = after + 1 if after >= 0 else size
             continue
-        node = child
+        begin(child)
     return root
 
 
@@ -197,19 +248,12 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def select(root: Node) -> list[Node]:
-    """The roots of the subtrees that hold the main text, in page order."""
+def select(root: Node, widen: bool = True) -> list[Node]:
+    """The roots of the subtrees that hold the main text, in page order; ``widen`` extends them to an article element around them."""
     order = [n for n in measure(root) if not n.skip]
     if not root.chars:
         return []
     best = max((n for n in order if n.tag in CONTAINERS), key=lambda n: n.sum)
-    up, article = best, None
-    while up is not None:
-        if up.tag in ("article", "main"):
-            article = up
-        up = up.parent
-    if article is not None:
-        return [article]
     below: dict[int, Node] = {}
     for n in reversed(order):  # the node of the largest sum in every subtree, the outermost of equals
         own = n
@@ -221,6 +265,11 @@ def select(root: Node) -> list[Node]:
     while up is not None and up.tag not in ("html", "#root"):
         threshold, up = min(threshold, up.density), up.parent
     marked = {id(below[id(n)]) for n in order if n.density >= threshold and n.tag in CONTAINERS}
+    if widen and best.article is not None:
+        whole = best.article
+        while whole.parent.article is not None:
+            whole = whole.parent.article
+        return [whole]
     chosen, inside = [], set()
     for n in order:
         if n.parent is not None and id(n.parent) in inside:
@@ -257,11 +306,11 @@ def blocks(node: Node) -> Iterator[str]:
         yield out
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, widen: bool = True) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    return "\n\n".join(text for node in select(parse(html)) for text in blocks(node))
+    return "\n\n".join(text for node in select(parse(html), widen) for text in blocks(node))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
