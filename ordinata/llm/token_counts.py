@@ -3,7 +3,8 @@
 The distinct pre-tokens are inserted in a trie of bytes. A node's forward score (the best log-probability of a
 segmentation of its prefix) and the number of tokens of that segmentation depend on its ancestors alone, so each is
 computed once for all pre-tokens that share the prefix; a terminal node's count is the pre-token's. A document's count
-is the sum over its pre-tokens.
+is the sum over its pre-tokens. A worker's memory is bounded: it starts a new trie, and forgets the pre-tokens it knows,
+beyond a number of either, and a pre-token longer than the trie is deep is segmented each time and never remembered.
 
 Scores: the vocabulary is a rank file, and a token of rank r gets the Zipf log-probability -log(r + 1) - log(H), H the
 harmonic number of the vocabulary's size. Among segmentations of equal score the one whose last token is longest is
@@ -29,6 +30,8 @@ from ordinata.llm.bpe import STEP, load_ranks
 
 #: Trie nodes that a Python worker keeps; it starts a new trie when there are more.
 TRIE_NODES = 1_500_000
+#: Pre-tokens whose counts it remembers, each of at most TRIE_BYTES; beyond it too it starts anew.
+KNOWN = 500_000
 #: Longer pre-tokens are segmented by themselves, in a window of the longest token, without nodes in the trie.
 TRIE_BYTES = 64
 
@@ -90,19 +93,25 @@ class SegmentTrie:
                 best, count, first = best[drop:], count[drop:], first + drop
         return count[-1]
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Insert the pre-tokens not known yet, in order, so that neighbours share their prefixes."""
+    def learn(self, words: Iterable[str]) -> dict[str, int]:
+        """Insert the pre-tokens not known yet, in order, so that neighbours share their prefixes; the counts of those too long to remember."""
+        long: dict[str, int] = {}
         for word in sorted(words):
             piece = word.encode("utf-8", "surrogatepass")
-            self.known[word] = self.insert(piece) if len(piece) <= TRIE_BYTES else self.alone(piece)
+            if len(piece) <= TRIE_BYTES:
+                self.known[word] = self.insert(piece)
+            else:
+                long[word] = self.alone(piece)
+        return long
 
     def count_words(self, words: Counter) -> int:
         """Tokens of a bag of pre-tokens."""
-        if len(self.best) > TRIE_NODES:
+        if len(self.best) > TRIE_NODES or len(self.known) > KNOWN:
             self.clear()
         known = self.known
         if new := [word for word in words if word not in known]:
-            self.learn(new)
+            if long := self.learn(new):
+                return sum((known[word] if word in known else long[word]) * n for word, n in words.items())
         return sum(known[word] * n for word, n in words.items())
 
 
