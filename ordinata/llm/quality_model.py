@@ -6,8 +6,8 @@ multiple of the identity on standardised statistics:
     S_k' = (1 - pooled) S_k + pooled S,    S_k'' = (1 - ridge) S_k' + ridge (trace S_k' / d) I
 
 The score is the posterior of class 1, from the difference of the two log-densities and the log prior odds; both are
-computed from the classes' cached Cholesky factors (a triangular solve gives the Mahalanobis distance, the diagonal gives
-the determinant). Fitting needs only counts, sums and sums of products per class, which executors add up, so the fit
+computed from the classes' cached Cholesky factors (solving with a factor gives the Mahalanobis distance, its diagonal the
+determinant). Fitting needs only counts, sums and sums of products per class, which executors add up, so the fit
 covers every labelled row; the driver receives one small matrix for each class.
 
 Defined results: a null text counts as empty; an empty text has all statistics 0 and a score like any other; a null or
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordinata.llm.workspace import bound_batches, release
+from ordinata.llm.workspace import release
 
 STATISTICS = (
     "log_words", "log_word_length", "symbols", "bangs", "capitals", "distinct_words", "top_word", "bare_words", "ends", "commas",
@@ -82,12 +82,12 @@ def bucket(doc_id: Column, folds: int = 3) -> Column:
 
 @dataclass(frozen=True)
 class QuadraticDiscriminant:
-    """Two Gaussians over standardised statistics, as inverse Cholesky factors."""
+    """Two Gaussians over standardised statistics, with the Cholesky factors of their covariances."""
 
     centre: np.ndarray
     scale: np.ndarray
     means: tuple[np.ndarray, ...] = ()
-    whiten: tuple[np.ndarray, ...] = ()  # inverses of the Cholesky factors
+    factors: tuple[np.ndarray, ...] = ()  # lower Cholesky factors of the shrunk covariances
     offsets: tuple[float, ...] = ()  # log prior minus half the log determinant
 
     @classmethod
@@ -108,21 +108,21 @@ class QuadraticDiscriminant:
             means.append((m - centre) / scale)
             covs.append((ss / n - np.outer(m, m)) / np.outer(scale, scale))
         within = sum(moments[k][0] * covs[k] for k in (0, 1)) / total
-        whiten, offsets = [], []
+        factors, offsets = [], []
         for k in (0, 1):
             cov = (1 - pooled) * covs[k] + pooled * within
             cov = (1 - ridge) * cov + (ridge * max(np.trace(cov) / d, 1e-6)) * np.eye(d)
             factor = np.linalg.cholesky(cov)
-            whiten.append(np.linalg.inv(factor))
+            factors.append(factor)
             offsets.append(math.log(moments[k][0] / total) - float(np.log(np.diag(factor)).sum()))
-        return cls(centre, scale, tuple(means), tuple(whiten), tuple(offsets))
+        return cls(centre, scale, tuple(means), tuple(factors), tuple(offsets))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Posteriors of class 1 for rows of statistics."""
         if not self.means:
             return np.full(len(x), 0.5)
         z = (x - self.centre) / self.scale
-        log = [o - 0.5 * (((z - m) @ w.T) ** 2).sum(axis=1) for m, w, o in zip(self.means, self.whiten, self.offsets, strict=True)]
+        log = [o - 0.5 * (np.linalg.solve(f, (z - m).T) ** 2).sum(axis=0) for m, f, o in zip(self.means, self.factors, self.offsets, strict=True)]
         gap = np.clip(log[1] - log[0], -700, 700)
         return np.round(1 / (1 + np.exp(-gap)), 9)
 
@@ -142,7 +142,7 @@ def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(stats), pa.list_(pa.float64()))], names=["doc_id", "stats"])
         release()
 
-    columns = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return columns.mapInArrow(run, "doc_id long, stats array<double>")
 
 
@@ -205,7 +205,7 @@ def with_score(docs: DataFrame, model: QuadraticDiscriminant, *, text_col: str =
         parts = [model.score(_matrix(texts.slice(at, 512).to_pylist())) for at in range(0, len(texts), 512)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return bound_batches(docs).withColumn(out_col, of_text(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return docs.withColumn(out_col, of_text(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def held_out_bucket(doc_id: int | None, folds: int = 3) -> int | None:

@@ -44,7 +44,7 @@ def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = materialize(quality_model.describe(_table(spark, sf_dir, "documents")), "quality-statistics")
     model = quality_model.fit_on_labels(described, _table(spark, sf_dir, "labels"))
     scored = quality_model.score(described, model)
-    held_out = quality_model.bucket(F.col("doc_id")) == 1
+    held_out = F.coalesce(quality_model.bucket(F.col("doc_id")) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
