@@ -13,7 +13,8 @@ Plan: documents are dealt into batches of bounded text. A batch explodes its n-g
 them locally and sends one block of distinct keys to each shard of the key space; however frequent an n-gram, a batch
 sends it once. A shard adds up the counts of its keys over all batches and answers each block with the totals in the
 block's order. The answers are joined to the batch's documents, which are scored there. Batches and shards both follow
-the size of the input, so no task grows with it, and no block depends on another batch.
+the size of the input, so no task grows with it, and no block depends on another batch. A document's batch depends on
+its id, its text and the partition it is read in, so repeated rows and rows without id are spread as well.
 
 Defined results: words are runs of characters other than white space, case kept; a null or empty text has no words, a
 null score and no backoffs. Repeated rows count as often as they occur and give repeated rows. Other columns are ignored.
@@ -68,7 +69,9 @@ def score(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, min_count: int
     chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     batches = clip(math.ceil(chars / BATCH_CHARS), 1, 1 << 30)
     shards = clip(math.ceil(chars / SHARD_CHARS), 1, 1 << 30)
-    dealt = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("long"))
+    # copies of one row differ in the partition they are read in, so even a row that is a third of all is spread
+    spread = F.xxhash64("doc_id", "text", F.spark_partition_id())
+    dealt = texts.withColumn("batch", F.pmod(spread, F.lit(batches)).cast("long"))
 
     def explode(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
