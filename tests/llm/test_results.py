@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -14,9 +16,10 @@ import numpy as np
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ordinata.llm import bpe, html_text, lm_scoring, media, minmax_dedup, packing, quality_model, queries, shingles, token_counts, url_filter
+from ordinata.llm import bpe, html_text, lm_scoring, media, minmax_dedup, packing, quality_model, queries, shingles, token_counts, url_filter, workspace
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -68,6 +71,29 @@ def test_packing_covers_every_token_once(spark, docs):
     assert pieces.keys() == ids.keys()
 
 
+def test_neighbours_agree_with_plain_bm25():
+    """Scores and order of every query over all its distinct terms, before and after documents are dropped."""
+    rng = np.random.default_rng(3)
+    docs = [rng.zipf(1.4, rng.integers(1, 120)).clip(0, 400).astype(np.uint16) for _ in range(150)]
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    idf = np.array([np.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5)) for t in range(401)], np.float32)
+    mean, unused = float(np.mean([len(d) for d in docs])), np.ones(len(docs), bool)
+
+    def plain(query, k):
+        tf, own = Counter(docs[k].tolist()), len(docs[k])
+        return sum(float(idf[t]) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * own / mean)) for t in set(query.tolist()) if t in tf)
+
+    index = packing.Bm25Shard(docs, idf, mean)
+    for step in range(3):
+        for query in docs[:40]:
+            got = list(index.neighbours(query, unused))
+            want = {k: plain(query, k) for k in range(len(docs)) if unused[k]}
+            assert sorted(got) == [k for k, v in want.items() if v > 0]
+            assert all(want[a] >= want[b] - 1e-4 for a, b in itertools.pairwise(got))
+        unused[rng.integers(0, len(docs), 40)] = False
+        index.forget(unused)
+
+
 def test_packing_takes_the_best_neighbour():
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, 50, 20) for _ in range(5)]
@@ -98,6 +124,11 @@ def test_encoding_agrees_with_the_library(docs):
 
 @needs_tables
 def test_round_trip_digests(spark, docs):
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(queries.RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=queries.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in queries.op10_bitmap_bpe(spark, SF).collect():
+        ids = library.encode_ordinary(docs[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
     for r in queries.op10_bitmap_bpe(spark, SF).collect():
         assert r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest()
     encoded = bpe.encode(spark.read.parquet(f"{SF}/documents.parquet"), queries.RANKS, queries.PATTERN)
@@ -122,13 +153,77 @@ def test_trie_counts_agree_with_dynamic_programming():
     assert len(trie.best) < 1 + sum(len(w.encode()) for w in set(words))
 
 
+@needs_tables
+def test_token_counts_of_the_query(spark, docs):
+    """Every row against a plain dynamic programme over each pre-token."""
+    scores = token_counts.zipf_scores(bpe.load_ranks(queries.RANKS))
+    longest, known = max(map(len, scores)), {}
+
+    def plain(word):
+        if word not in known:
+            piece, best = word.encode(), [(0.0, 0)]
+            for end in range(1, len(piece) + 1):
+                found = [(best[s][0] + scores[piece[s:end]], -s, best[s][1] + 1) for s in range(max(0, end - longest), end) if piece[s:end] in scores]
+                top = max(found)
+                best.append((top[0], top[2]))
+            known[word] = best[-1][1]
+        return known[word]
+
+    for r in queries.op3_trie_token_counts(spark, SF).collect():
+        words = regex.findall(queries.PATTERN, docs[r["doc_id"]])
+        assert (r["n_pretokens"], r["n_tokens"]) == (len(words), sum(map(plain, words)))
+
+
+def test_long_and_many_pretokens_are_forgotten(monkeypatch):
+    trie = token_counts.SegmentTrie({bytes([b]): -1.0 for b in range(256)})
+    for at in range(0, 20_000, 1000):
+        assert trie.count_words(Counter(f"{k:080d}" for k in range(at, at + 1000))) == 80_000
+    assert not trie.known and len(trie.best) == 1
+    monkeypatch.setattr(token_counts, "KNOWN", 500)
+    for at in range(0, 5000, 100):
+        assert trie.count_words(Counter(f"{k:06d}" for k in range(at, at + 100))) == 600
+        assert len(trie.known) <= 600
+
+
 @needs_tables
 def test_pages_of_the_template(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         text = html_text.main_text(r["html"])
         assert text and "</" not in text and "&copy" not in text and "©" not in text.split("\n\n")[-1]
         plain = html_text.main_text(r["html"].replace("<article>", "<div>").replace("</article>", "</div>"))
-        assert plain == text
+        assert plain == text == html_text.main_text(r["html"], widen=False)
+
+
+def marked_page(rng):
+    """A page without an article element, and the main text that its author marks."""
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) + str(rng.randrange(99)) for _ in range(n))
+    links = lambda n: "".join(f'<li><a href="/{rng.randrange(99)}">{words(2)}</a></li>' for _ in range(n))
+    title, body = words(6), [words(rng.randrange(30, 90)) for _ in range(rng.randrange(3, 9))]
+    blocks = "".join(f"<p>{p[:40]}<b>{p[40:60]}</b>{p[60:]}</p>" for p in body)
+    boxes = [f"<ul>{links(12)}</ul>", f'<div class="sidebar"><h3>x</h3><ul>{links(5)}</ul></div>', f'<div id="comments"><p>{words(60)}</p></div>', f'<div class="cookie-notice">{words(9)} <a href="/c">ok</a></div>']
+    rng.shuffle(boxes)
+    at = rng.randrange(len(boxes) + 1)
+    page = f'<html><body><div class="page">{"".join(boxes[:at])}<div class="story"><h1>{title}</h1>{blocks}</div>{"".join(boxes[at:])}</div></body></html>'
+    return page, "\n\n".join([title, *body])
+
+
+def test_marked_pages_without_article():
+    rng = random.Random(11)
+    for _ in range(60):
+        page, text = marked_page(rng)
+        assert html_text.main_text(page) == text
+
+
+def test_an_article_loses_no_section():
+    html = '<article><div class="article-header"><h1>Title</h1></div><p>a</p><section id="related-work"><h2 id="comments">R</h2><p>b</p></section><div class="side-effects"><p>c</p></div><p id="notice">d</p><div class="comments">x</div><div class="post-share-buttons">x</div><aside>x</aside><div id="comments">x</div></article>'
+    assert html_text.main_text(html) == "Title\n\na\n\nR\n\nb\n\nc\n\nd"
+
+
+@pytest.mark.parametrize("html", ["<article>" + "<b>x " * 100_000, "<div>" * 100_000 + "x" + "</i>" * 100_000, "<b><article>" + "<i>" * 100_000 + "t" + "</b>" * 100_000, "<p>" + "<li><p>x" * 50_000, "<a x='" * 100_000])
+def test_unclosed_tags_take_linear_time(html):
+    began = time.process_time()
+    html_text.main_text(html)
+    assert time.process_time() - began < 5
 
 
 def test_density_choice_and_noise():
@@ -175,6 +270,26 @@ def test_an_open_head_ends_where_the_body_starts(page):
     assert html_text.main_text(page) == "One two"
 
 
+def test_scores_are_posteriors_of_two_gaussians():
+    """Against log-densities from inverses and determinants."""
+    rng = np.random.default_rng(8)
+    d = len(quality_model.STATISTICS)
+    rows = [rng.normal(size=(300, d)) @ rng.normal(size=(d, d)) * 0.5 + k for k in (0.0, 0.4)]
+    model = quality_model.QuadraticDiscriminant.from_moments({k: (len(x), x.sum(0), x.T @ x) for k, x in enumerate(rows)}, pooled=0.3, ridge=0.01)
+    every = np.concatenate(rows)
+    centre, scale = every.mean(0), every.std(0)
+    z = [(x - centre) / scale for x in rows]
+    covs = [np.cov(x.T, bias=True) for x in z]
+    within = sum(covs) / 2
+    logs = []
+    for own, cov in zip(z, covs, strict=True):
+        cov = 0.7 * cov + 0.3 * within
+        cov = 0.99 * cov + 0.01 * np.trace(cov) / d * np.eye(d)
+        away = (every - centre) / scale - own.mean(0)
+        logs.append(np.log(0.5) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away))
+    assert np.allclose(model.score(every), 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700))), atol=1e-7)
+
+
 @needs_tables
 def test_held_out_quality(spark):
     sf = SF.replace("0.001", "0.1")
@@ -200,6 +315,45 @@ def test_trees_learn_a_lexical_rule(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge(fresh, rules, model=model).collect()} == {1: "block", 2: "allow"}
 
 
+def test_compiled_trees_agree_with_their_nodes(spark):
+    rng = random.Random(4)
+    rows = [(i, f"http://h{rng.randrange(9)}.example.{rng.choice(['org', 'net'])}/{rng.choice(['aa', 'b1', 'c'])}/{rng.randrange(9999)}?x={rng.randrange(9)}") for i in range(500)]
+    rules = (("org", "/aa/", "block"), ("org", "/", "allow"), ("net", "/b1/", "block"))
+    judged = url_filter.judged_by_rules(spark.createDataFrame(rows, "page_id long, url string"), rules)
+    model = url_filter.fit(judged)
+    scored = url_filter._with_rates(url_filter.lexical(judged.withColumns(url_filter._buckets())), model.rates, model.base_rate)
+    want = {r["page_id"]: [float(r[c]) for c in url_filter.LEXICAL] for r in scored.collect()}
+
+    def walk(tree, x):
+        while tree.left is not None:
+            tree = tree.left if x[tree.feature] <= tree.threshold else tree.right
+        return tree.value
+
+    for r in url_filter.probabilities(judged, model).collect():
+        margin = sum(w * walk(t, want[r["page_id"]]) for w, t in model.trees)
+        assert r["block_probability"] == pytest.approx(1 / (1 + np.exp(-2 * margin)), abs=1e-8)
+
+
+def test_a_repeated_url_is_learnt_once(spark):
+    """30,000 rows of one URL leave the other URLs in the sample."""
+    rows = [(0, "http://hot.example.org/aa/1")] * 30_000 + [(i, f"http://h{i % 5}.example.org/{'aa' if i % 3 else 'bb'}/{i}") for i in range(1, 300)]
+    rules = (("org", "/aa/", "block"), ("org", "/bb/", "allow"))
+    judged = url_filter.judged_by_rules(spark.createDataFrame(rows, "page_id long, url string"), rules)
+    model = url_filter.fit(judged, sample=200)
+    assert model.trees and model.base_rate == pytest.approx(200 / 299, abs=0.01)
+
+
+@needs_tables
+def test_held_out_urls(spark):
+    """Half of the distinct labelled URLs; the trees see the others only."""
+    judged = url_filter.judged_by_rules(spark.read.parquet(f"{SF.replace('0.001', '0.1')}/pages.parquet"))
+    half = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(2)) == 0
+    model = url_filter.fit(judged.where(half))
+    held = url_filter.probabilities(judged.where(~half & F.col("rule").isNotNull()), model).dropDuplicates(["url"])
+    r = held.agg(F.avg(((F.col("block_probability") > 0.5) == (F.col("rule_verdict") == "block")).cast("int")).alias("right"), F.avg((F.col("rule_verdict") == "allow").cast("int")).alias("allow")).first()
+    assert r["right"] > 0.95 > r["allow"]
+
+
 def test_word_hashes_ignore_boundaries():
     words = lambda texts: [h.tolist() for _, h in shingles.word_hashes(texts)]
     assert words(["Ab c", "ab  C\n"]) == [words(["ab c"])[0]] * 2
@@ -223,13 +377,55 @@ def test_chain_of_links_is_one_component(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
 
 
-def test_tiles_find_what_hubs_miss(spark):
-    base = list(range(100))
-    sets = {0: base, 1: base[:85] + list(range(200, 222)), 2: base[:85] + list(range(200, 220)), 3: list(range(500, 600))}
-    table = spark.createDataFrame([(k, v) for k, v in sets.items()], "doc_id long, shingles array<long>")
-    viable = spark.createDataFrame([(0, 0, 0, False), (0, 1, 1, True), (0, 2, 2, True), (0, 3, 3, True)], "hub long, doc_id long, c long, odd boolean")
-    for block in (1, 256):
-        assert {(r["a"], r["b"]) for r in minmax_dedup.tiled_links(viable, table, 80, odd_block=block, block=block).collect()} == {(1, 2)}
+def word_sets(texts, n):
+    return {k: {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for k, t in texts.items() if (w := t.lower().split())}
+
+
+def brute_components(sets):
+    root = {k: k for k in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def family(rng, n, fields, words, change):
+    """Texts of one template; each of its fields is drawn anew with a chance of ``change``."""
+    base = [f"t{i}" for i in range(6 * fields)]
+    texts = {}
+    for d in range(n):
+        own = list(base)
+        for k in range(0, len(own), 6):
+            if rng.random() < change:
+                own[k] = f"w{rng.randrange(words)}"
+        texts[d] = " ".join(own)
+    return texts
+
+
+@pytest.mark.parametrize("change", [0.03, 0.08, 0.15, 0.5])
+def test_groups_of_a_template_agree_with_brute_force(spark, change):
+    texts = family(random.Random(7), 90, 40, 12, change)
+    got = minmax_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shingle=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(word_sets(texts, 4))
+
+
+def test_a_family_costs_fewer_comparisons_than_its_pairs(spark, monkeypatch):
+    """300 documents of one template below the threshold: each pair is compared once at most."""
+    texts, counted, confirm = family(random.Random(1), 300, 50, 60, 0.5), [], minmax_dedup.confirmed
+    monkeypatch.setattr(minmax_dedup, "confirmed", lambda pairs, *a: (counted.append(pairs.count()), confirm(pairs, *a))[1])
+    got = minmax_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shingle=4).collect()
+    assert all(r["kept"] for r in got) and sum(counted) < 300 * 299 / 2 / 4
+
+
+def test_hot_keys_join_like_any(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 500 + [2] * 3 + [3])], "k long, v long")
+    info = rows.groupBy("k").count().where("k < 3").withColumn("x", F.col("k") * 10)
+    for how, want in (("inner", 503), ("left", 504)):
+        got = workspace.join_with_hot_keys(rows, info, "k", "count", 504 * workspace.HOT_KEYS // 40, how).collect()
+        assert len(got) == want and all(r["x"] == r["k"] * 10 or r["k"] == 3 and r["x"] is None for r in got)
+    wide = info.select("k", F.lit("w").alias("w"))
+    assert sorted((r["k"], r["v"], r["w"]) for r in workspace.join_salted(rows, wide, "k", "v", part=7).collect()) == [(1, i, "w") for i in range(500)] + [(2, i, "w") for i in range(500, 503)]
 
 
 def test_png_round_trip():
@@ -274,11 +470,39 @@ def test_ranges_and_retries(spark, tmp_path):
     assert sum(r["error"] is not None for r in rows) == 1 and len(rows) == 40
 
 
+def test_the_manifest_names_what_is_read(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").coalesce(1)
+    media.store(docs, f"file://{tmp_path}/m", archive_bytes=600).write.parquet(f"{tmp_path}/manifest")
+    stale = sorted(Path(tmp_path, "m").glob("*.zip"))[0]
+    Path(tmp_path, "m", "part-000009-99-00000.zip").write_bytes(stale.read_bytes())
+    Path(tmp_path, "m", "part-000009-99-00001.zip").write_bytes(b"no archive")
+    got = media.read_archives(spark, f"file://{tmp_path}/m", manifest=f"file://{tmp_path}/manifest").collect()
+    assert sorted(int(r["name"].removesuffix(".png")) for r in got) == list(range(20))
+    rows = media.read_archives(spark, f"file://{tmp_path}/m", on_error="row", attempts="1").collect()
+    assert [r["name"] for r in rows if r["error"]] == [None] and len(rows) > 20
+
+
+def test_ranges_cover_every_byte_once():
+    archives = [("a", 100), ("b", 7), ("c", 0), ("d", 250)]
+    for size, most in ((30, 100), (30, 3), (1000, 5)):
+        parts = media.plan_ranges(archives, size, most)
+        spans = sorted(s for part in parts for s in part)
+        assert len(parts) <= max(most, 1) + 1
+        for name, total in archives:
+            own, at = [s for s in spans if s[0] == name], 0
+            for _, a, b in own:
+                assert a == at < b
+                at = b
+            assert at == total
+
+
 @needs_tables
 def test_media_reads_back(spark, docs):
     for r in queries.op9_media_archive(spark, SF).collect():
         data = docs[r["doc_id"]].encode()
         padded = data + bytes(-len(data) % 64 if data else 64)
+        stored = media.to_png(padded, len(data))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(stored), hashlib.sha256(stored).hexdigest(), media.feature(padded))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
 
 

@@ -66,6 +66,36 @@ def test_copies_are_grouped(spark):
     assert got[0] == (0, 0, True) and got[2] == (0, 2, True) and got[3] == (1, 3, True) and got[None][1:] == (None, True)
 
 
+def test_packing_stage_takes_odd_rows(spark, tmp_path):
+    docs = documents(spark)
+    pack = corpus_pipeline.STAGES[3][1]
+    assert {r["doc_id"] for r in pack(spark, docs, str(tmp_path)).collect()} == {*range(len(TEXTS)), None}
+    assert pack(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_rows_of_one_id(spark):
+    """Rows that share a doc_id and a text are one document; those that differ in text are grouped by their own."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join([*words[:58], "x", "y"]), "quite another text of its own"
+    docs = spark.createDataFrame([(5, a), (5, a), (5, c), (3, b), (None, a), (None, a)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minmax_dedup.near_duplicates(docs).collect()), key=str)
+    assert [g for g in got if g[0] is None] == [(None, 56, None, True)] * 2
+    assert (3, 56, 3, True) in got and got.count((5, 56, 3, False)) + got.count((5, 56, 5, True)) == 2 and len(got) == 6
+
+
+def test_ties_and_repeats_in_scores(spark):
+    """Copies of one row beyond a batch, without ids, are scored like any."""
+    docs = spark.createDataFrame([(None, "a b a b")] * 50 + [(1, "a b")], "doc_id long, text string")
+    got = lm_scoring.score(docs).collect()
+    assert len(got) == 51 and len({r["mean_log_score"] for r in got if r["doc_id"] is None}) == 1
+
+
+def test_session_settings_stay(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    minmax_dedup.near_duplicates(documents(spark)).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 @pytest.mark.parametrize("stage", range(3))
 def test_stages_keep_the_columns(spark, tmp_path, stage):
     docs = documents(spark)
