@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordinata.functions import vector as vf
-from ordinata.operators import graph, learners, linear, losses, metrics, order, prepare, report
+from ordinata.operators import experiments, graph, learners, linear, losses, metrics, order, prepare, report
 from ordinata.sources import samples as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,9 +246,38 @@ def stratified_trial_check(spark, d):
     return counts.where("negatives >= 3")
 
 
-@query("SELECT (a.k * 6 + b.k)::BIGINT AS ordinal, round(a.v, 9) AS xi, round(b.v, 9) AS radius FROM (SELECT i AS k, (CASE i WHEN 0 THEN 1 ELSE 1 + 9 * i END)::DOUBLE AS v FROM (SELECT unnest(range(12)) AS i)) a, (SELECT i AS k, pow(10.0, i - 1) AS v FROM (SELECT unnest(range(6)) AS i)) b WHERE b.k < 6")
+@query("SELECT (a.k * 7 + b.k)::BIGINT AS ordinal, (1 + 9 * a.k)::DOUBLE AS xi, round(pow(10.0, b.k - 1), 9) AS radius FROM (SELECT unnest(range(12)) AS k) a, (SELECT unnest(range(7)) AS k) b")
 def param_grid(spark, d):
-    return prepare.grid(spark, xi=list(np.arange(1, 101, 9)), radius=[10.0**k for k in range(-1, 5)])
+    return prepare.grid(spark, **experiments.GRIDS["solam"])
+
+
+_TENS, _SIZES = "list_transform(range(8), lambda k: pow(10.0, k - 5))", "list_transform(range(10), lambda k: 10.0 + 10 * k)"
+_AXES = {
+    "solam": {"xi": "list_transform(range(12), lambda k: 1.0 + 9 * k)", "radius": "list_transform(range(7), lambda k: pow(10.0, k - 1))"},
+    "spam_l1": {"xi": _TENS, "l1": _TENS},
+    "spam_l2": {"xi": _TENS, "l2": _TENS},
+    "spam_enet": {"xi": _TENS, "l1": _TENS, "l2": _TENS},
+    "fsauc": {"radius": "list_transform(range(7), lambda k: pow(10.0, k - 1))", "eta": "list_transform(range(21), lambda k: pow(2.0, k - 10))"},
+    "sht_auc": {"k": _SIZES, "block": "[640.0, 320.0, 160.0, 80.0, 64.0]"},
+    "stoiht": {"k": _SIZES, "block": "[640.0, 320.0, 160.0, 80.0, 64.0]"},
+    "hsg_ht": {"k": _SIZES, "tau": "[1.0, 10.0, 100.0, 1000.0]"},
+}
+
+
+def _grid_sql(method: str, axes: dict[str, str]) -> str:
+    lists = ", ".join(f"(SELECT unnest({values})::DOUBLE AS {axis}, unnest(range(len({values}))) AS n{k}, len({values}) AS z{k})" for k, (axis, values) in enumerate(axes.items()))
+    ordinal = "0"
+    for k in range(len(axes)):
+        ordinal = f"({ordinal}) * z{k} + n{k}"
+    shown = " || ';' || ".join(f"'{axis}=' || printf('%.6e', {axis})" for axis in axes)
+    return f"SELECT '{method}' AS method, ({ordinal})::BIGINT AS ordinal, {shown} AS setting FROM {lists}"
+
+
+@query(" UNION ALL ".join(_grid_sql(m, a) for m, a in _AXES.items()))
+def learner_grids(spark, d):
+    """Every learner's whole grid, in search order."""
+    out = [(m, k, ";".join(f"{a}={v:.6e}" for a, v in s.items())) for m, axes in experiments.GRIDS.items() for k, s in enumerate(experiments.settings(axes))]
+    return spark.createDataFrame(out, "method string, ordinal long, setting string")
 
 
 @query(MEANS + ", s AS (SELECT j FROM w ORDER BY abs(w) DESC, j LIMIT 16), c AS (SELECT count(*) AS n, count(*) FILTER (WHERE j < 32) AS hit FROM s) SELECT round(hit / n::DOUBLE, 6) AS precision, round(hit / 32.0::DOUBLE, 6) AS recall, round(CASE WHEN hit > 0 THEN 2.0 * hit / (n + 32) ELSE 0 END, 6) AS f1 FROM c")
@@ -432,19 +461,6 @@ QUERIES |= {
 }
 
 
-@query()
-def cv_select_best(spark, d):
-    """Inner folds by a grid of SPAM settings; exact AUC of each held-out fold; the best mean, first in grid order."""
-    s = src.embeddings(spark, d).select("row_id", "y", "features")
-    folded = s.join(prepare.kfold(s, 3), "row_id")
-    tasks = prepare.grid(spark, xi=[0.1, 1.0, 10.0], l2=[0.01, 1.0]).crossJoin(spark.range(3).select(F.col("id").cast("int").alias("held"))).withColumn("task_id", F.col("ordinal") * 3 + F.col("held"))
-    rows = folded.crossJoin(F.broadcast(tasks))  # every row for every setting is what a grid search computes
-    spec = tasks.select("task_id", F.lit("spam").alias("method"), F.create_map(F.lit("xi"), "xi", F.lit("l2"), "l2").alias("params"), F.lit(0).cast("long").alias("steps"), F.lit(1).cast("long").alias("seed"))
-    models = learners.fit(rows.where("fold <> held").select("task_id", "row_id", "y", "features"), spec).groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "w"))), lambda x: x["w"]).alias("wt"))
-    scored = rows.where("fold = held").join(models, "task_id").select("task_id", "ordinal", "y", vf.dot(F.col("features"), F.col("wt")).alias("score"))
-    return _r(report.best_setting(metrics.auc(scored, by=("ordinal", "task_id")).withColumn("task", F.lit(1)), ["task"]))
-
-
 def _trained(solver: int, c: float = 1.0):
     def run(spark, d):
         w, objective = linear.train(src.embeddings(spark, d), 64, solver, c)
@@ -523,6 +539,132 @@ def trial_splits(spark, d):
     return prepare.trial_splits(src.embeddings(spark, d), 4, 100, tuple(range(46, 55)), 5, 11, candidates=12).fillna(-1, ["inner"])
 
 
+def _tasks_sql(name: str, rows: str, tasks: str) -> str:
+    """SPAM with an l2 penalty for every (g, ordinal) of ``tasks``, on the rows (g, row_id, y, f) of ``rows``, as the table ``name`` (g, ordinal, w)."""
+    return f"""{name}_r AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY row_id) AS t, y, f FROM {rows}),
+{name}_m AS (SELECT g, list(posi ORDER BY j) AS posi, list(nega ORDER BY j) AS nega, max(p) AS p FROM (SELECT g, j, avg(v) FILTER (WHERE y > 0) AS posi, avg(v) FILTER (WHERE y <= 0) AS nega, avg((y > 0)::INT) AS p FROM (SELECT g, y, unnest(range(len(f)))::INT AS j, unnest(f) AS v FROM {name}_r) GROUP BY 1, 2) GROUP BY 1),
+{name}_z AS (
+  SELECT g, ordinal, 0::BIGINT AS t, list_transform(posi, lambda x: 0.0::DOUBLE) AS w FROM {name}_m JOIN {tasks} USING (g)
+  UNION ALL
+  SELECT g, ordinal, t, list_transform(list_zip(w, f), lambda k: (k[1] - eta * c * k[2]) / (eta * l2 + 1)) AS w FROM (
+    SELECT g, ordinal, t, w, f, l2, xi / sqrt(t) AS eta, CASE WHEN y > 0 THEN 2 * (1 - p) * (s - a) - 2 * (1 + b - a) * (1 - p) ELSE 2 * p * (s - b) + 2 * (1 + b - a) * p END AS c FROM (
+      SELECT z.g, z.ordinal, r.t, r.y, r.f, z.w, m.p, q.xi, q.l2, list_dot_product(z.w, r.f) AS s, list_dot_product(z.w, m.posi) AS a, list_dot_product(z.w, m.nega) AS b
+      FROM {name}_z z JOIN {name}_r r ON r.g = z.g AND r.t = z.t + 1 JOIN {name}_m m ON m.g = z.g JOIN settings q ON q.ordinal = z.ordinal))),
+{name} AS (SELECT g, ordinal, w FROM {name}_z QUALIFY t = max(t) OVER (PARTITION BY g, ordinal))"""
+
+
+def _pairs_sql(keys: str, scored: str) -> str:
+    """(keys, auc) over the rows (keys, y, score) of ``scored``."""
+    return f"(SELECT {keys}, CASE WHEN sum(p) * sum(n) > 0 THEN sum(n * (tp - p / 2.0)) / (sum(p) * sum(n)) END AS auc FROM (SELECT *, sum(p) OVER (PARTITION BY {keys} ORDER BY score DESC) AS tp FROM (SELECT {keys}, score, sum((y > 0)::INT) AS p, sum((y <= 0)::INT) AS n FROM {scored} GROUP BY {keys}, score)) GROUP BY {keys})"
+
+
+_SETTINGS = "settings AS (SELECT (a * 2 + b)::BIGINT AS ordinal, [0.1, 1.0, 10.0][a + 1]::DOUBLE AS xi, [0.01, 1.0][b + 1]::DOUBLE AS l2 FROM (SELECT unnest(range(3)) AS a), (SELECT unnest(range(2)) AS b))"
+_GRID = experiments.settings({"xi": [0.1, 1.0, 10.0], "l2": [0.01, 1.0]})
+_THREE = f"i AS (SELECT row_id, y, f, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS n FROM e), k AS (SELECT row_id, y, f, {_fold_sql('i', 'n', 3)} AS fold FROM i)"
+_CV = EMB.replace("WITH e", "WITH RECURSIVE e", 1) + f", {_SETTINGS}, {_THREE}, tr AS (SELECT held AS g, row_id, y, f FROM k, (SELECT unnest(range(3))::INT AS held) WHERE fold <> held), tasks AS (SELECT g, ordinal FROM settings, (SELECT DISTINCT g FROM tr)), " + _tasks_sql("cv", "tr", "tasks") + f", x AS (SELECT g, ordinal, y, list_dot_product(w, f) AS score FROM cv JOIN k ON k.fold = cv.g), a AS {_pairs_sql('g, ordinal', 'x')}"
+
+
+def _folded(spark, d):
+    s = src.embeddings(spark, d).select("row_id", "y", "features")
+    return s.join(prepare.kfold(s, 3), "row_id")
+
+
+@query(_CV + " SELECT g AS held, ordinal, round(auc, 6) AS auc FROM a")
+def cv_scores(spark, d):
+    return _r(experiments.cross_validate(_folded(spark, d), 3, "spam", _GRID))
+
+
+@query(_CV + ", t AS (SELECT ordinal, avg(auc) AS mean FROM a GROUP BY 1) SELECT 1 AS task, ordinal, round(mean, 6) AS mean FROM t ORDER BY mean DESC NULLS LAST, ordinal LIMIT 1")
+def cv_select_best(spark, d):
+    """Inner folds by a grid of SPAM settings; exact AUC of each held-out fold; the best mean, first in grid order."""
+    best = experiments.best_settings(experiments.cross_validate(_folded(spark, d), 3, "spam", _GRID))
+    return _r(best.select(F.lit(1).alias("task"), "ordinal", "mean"))
+
+
+_REFIT = _shuffled_sql("fold", 2, 9).replace("WITH e", "WITH RECURSIVE e", 1) + f""", {_SETTINGS}, o AS (SELECT fold, row_id, {_fold_sql('position', 'n', 2)} = fold AS test FROM p),
+i AS (SELECT fold, row_id, {_fold_sql('i', 'n', 3)} AS held FROM (SELECT fold, row_id, row_number() OVER (PARTITION BY fold ORDER BY row_id) - 1 AS i, count(*) OVER (PARTITION BY fold) AS n FROM o WHERE NOT test)),
+inner_rows AS (SELECT i.fold * 3 + h AS g, i.row_id, y, f FROM i JOIN e USING (row_id), (SELECT unnest(range(3))::INT AS h) WHERE i.held <> h),
+inner_tasks AS (SELECT g, ordinal FROM settings, (SELECT DISTINCT g FROM inner_rows)), {_tasks_sql("cv", "inner_rows", "inner_tasks")},
+x AS (SELECT cv.g, ordinal, y, list_dot_product(w, f) AS score FROM cv JOIN i ON i.fold * 3 + i.held = cv.g JOIN e USING (row_id)), a AS {_pairs_sql('g, ordinal', 'x')},
+best AS (SELECT g // 3 AS g, ordinal FROM a GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY g // 3 ORDER BY avg(auc) DESC NULLS LAST, ordinal) = 1),
+outer_rows AS (SELECT fold AS g, row_id, y, f FROM o JOIN e USING (row_id) WHERE NOT test), {_tasks_sql("fin", "outer_rows", "best")}"""
+
+
+def _refitted(spark, d):
+    """(outer splits, weights): by outer fold, the best of the inner cross-validation trained on all its training rows."""
+    s = src.embeddings(spark, d).select("row_id", "y", "features")
+    outer = prepare.outer_folds(s, 2, 9)
+    nested = prepare.nested_folds(outer, 3).join(s, "row_id")
+    best = experiments.best_settings(experiments.cross_validate(nested, 3, "spam", _GRID, ("fold",), "inner"), ("fold",))
+    split = outer.join(s, "row_id")
+    return split, experiments.refit(split.where("role = 'tr'"), best, "spam", _GRID, ("fold",))
+
+
+@query(_REFIT + " SELECT g AS fold, ordinal, unnest(range(len(w)))::INT AS j, round(unnest(w), 6) + 0.0 AS w FROM fin")
+def refit_best(spark, d):
+    return _r(_refitted(spark, d)[1])
+
+
+@query(_REFIT + f", y AS (SELECT fin.g, fin.ordinal, e.y, list_dot_product(fin.w, e.f) AS score FROM fin JOIN o ON o.fold = fin.g AND o.test JOIN e USING (row_id)) SELECT g AS fold, ordinal, round(auc, 6) AS auc FROM {_pairs_sql('g, ordinal', 'y')}")
+def refit_score(spark, d):
+    """The held-out AUC of every outer fold's refitted model."""
+    split, weights = _refitted(spark, d)
+    models = weights.groupBy("fold", "ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "w"))), lambda x: x["w"]).alias("wt"))  # one vector a fold
+    scored = split.where("role = 'te'").join(models, "fold").select("fold", "ordinal", "y", vf.dot(F.col("features"), F.col("wt")).alias("score"))
+    return _r(metrics.auc(scored, by=("fold", "ordinal")).select("fold", "ordinal", "auc"))
+
+
+def _sweep_sql(axis: str, values: list[int], steps_sql: Callable[[dict], str], fixed: dict[str, int]) -> str:
+    """One recursive query for each value and held-out fold of three."""
+    parts = []
+    for value in values:
+        for held in range(3):
+            body = steps_sql({**fixed, axis: value}).replace(_EVERY, _THREE_ROWS.format(held=held), 1)
+            cut = body.rindex("SELECT unnest(range(len(w)))")
+            scored = f"(SELECT {value}::DOUBLE AS {axis}, k.y, list_dot_product(z.w, k.f) AS score FROM z, k WHERE z.t = (SELECT max(t) FROM g) AND k.fold = {held})"
+            parts.append(f"SELECT * FROM ({body[:cut]} SELECT {axis}, auc FROM {_pairs_sql(axis, scored)})")
+    return f"SELECT {axis}, round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS std, count(auc) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY 1"
+
+
+_EVERY = "r AS (SELECT row_number() OVER (ORDER BY row_id) AS t, y, f FROM e)"
+_THREE_ROWS = _THREE + ", r AS (SELECT row_number() OVER (ORDER BY row_id) AS t, y, f FROM k WHERE fold <> {held})"
+
+
+def _sht_steps_sql(p: dict[str, int]) -> str:
+    return SHT_SQL.replace(_TOP.format(k=10), _TOP.format(k=p["k"])).replace(_STEPS.format(passes=3), _STEPS.format(passes=3).replace("50", str(p["block"])))
+
+
+def _stoiht_steps_sql(p: dict[str, int]) -> str:
+    steps = _STEPS.format(passes=3).replace("50", str(p["block"]))
+    return _logistic_steps_sql(steps, 0.01).replace(_TOP.format(k=10), _TOP.format(k=p["k"]))
+
+
+@query(_sweep_sql("k", [5, 20, 60], _sht_steps_sql, {"block": 50}))
+def sweep_sparsity(spark, d):
+    return _r(experiments.sweep(_folded(spark, d), 3, "sht_auc", "k", [5.0, 20.0, 60.0], {"xi": 0.5, "block": 50.0, "passes": 3.0}))
+
+
+@query(_sweep_sql("block", [20, 60, 160], _stoiht_steps_sql, {"k": 10}))
+def sweep_block(spark, d):
+    return _r(experiments.sweep(_folded(spark, d), 3, "stoiht", "block", [20.0, 60.0, 160.0], {"xi": 0.5, "k": 10.0, "l2": 0.01, "passes": 3.0}))
+
+
+_RATIOS = EMB.replace("WITH e", "WITH RECURSIVE e", 1) + f""", settings AS (SELECT 0::BIGINT AS ordinal, 1.0::DOUBLE AS xi, 0.1::DOUBLE AS l2),
+u AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5])::DOUBLE AS ratio), c AS (SELECT count(*) FILTER (WHERE y > 0) AS np, count(*) FILTER (WHERE y <= 0) AS nn FROM e),
+v AS (SELECT ratio, least(np, floor(nn * ratio / (1 - ratio) + 1e-9)) AS a, nn FROM u, c), b AS (SELECT ratio, a, least(nn, floor(a * (1 - ratio) / ratio + 1e-9)) AS b FROM v),
+p AS (SELECT *, row_number() OVER (PARTITION BY y > 0 ORDER BY ('0x' || substr(md5(row_id || '-0-13'), 1, 15))::BIGINT, row_id) - 1 AS position FROM e),
+q AS (SELECT ratio, row_id, y, f, row_number() OVER (PARTITION BY ratio ORDER BY row_id) - 1 AS i, count(*) OVER (PARTITION BY ratio) AS n FROM p, b WHERE position < CASE WHEN y > 0 THEN a ELSE b END),
+k AS (SELECT ratio, row_id, y, f, {_fold_sql('i', 'n', 3)} AS fold FROM q), tr AS (SELECT (round(ratio * 10) * 3 + h)::BIGINT AS g, row_id, y, f FROM k, (SELECT unnest(range(3)) AS h) WHERE fold <> h),
+tasks AS (SELECT DISTINCT g, 0::BIGINT AS ordinal FROM tr), {_tasks_sql("fin", "tr", "tasks")},
+x AS (SELECT g, ratio, y, list_dot_product(w, f) AS score FROM fin JOIN k ON (round(ratio * 10) * 3 + fold)::BIGINT = g)"""
+
+
+@query(_RATIOS + f" SELECT ratio, 1.0::DOUBLE AS xi, round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS std, count(auc) AS n FROM {_pairs_sql('g, ratio', 'x')} GROUP BY 1")
+def sweep_ratio(spark, d):
+    rows = experiments.at_ratios(src.embeddings(spark, d), [0.1, 0.2, 0.3, 0.4, 0.5], 13)
+    return _r(experiments.sweep(experiments.folds_by(rows, 3, "ratio"), 3, "spam", "xi", [1.0], {"l2": 0.1}, ("ratio",)))
+
+
 @query(FIRST + " SELECT round(score, 6) AS score, round(tp / 2000.0, 6) AS tpr, round(fp / 4000.0, 6) AS fpr FROM c")
 def retrieved_curve(spark, d):
     return _r(metrics.retrieved_curve(_first(spark, d), 2000, 4000))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ordinata.operators import graph, learners, linear, metrics, order, prepare, report
+from ordinata.operators import experiments, graph, learners, linear, metrics, order, prepare, report
 from ordinata.sources import samples as src
 
 
@@ -214,3 +214,64 @@ def test_scaling_is_saved_and_restored(spark, tmp_path):
     fresh = spark.createDataFrame([(7, 0, 2.0), (7, 1, 9.0), (7, 2, 9.0)], "row_id long, j int, v double")
     assert [(r["j"], r["v"]) for r in prepare.restore_minmax(fresh, str(tmp_path / "p")).collect()] == [(0, 0.5)]
     assert [r["y"] for r in prepare.scale_labels(spark.createDataFrame([(2.0,), (4.0,)], "y double")).orderBy("y").collect()] == [-1.0, 1.0]
+
+
+GRID = experiments.settings({"xi": [0.1, 1.0], "l2": [0.01, 1.0]})
+
+
+def folded(spark, n=120):
+    x, y = data(n)
+    return x, y, frame(spark, x, y).withColumn("fold", (F.col("row_id") % 3).cast("int"))
+
+
+def test_cross_validation_equals_the_plain_loop(spark):
+    x, y, rows = folded(spark)
+    k = np.arange(len(y)) % 3
+    got = {(r["ordinal"], r["held"]): r["auc"] for r in experiments.cross_validate(rows, 3, "spam", GRID, batch=3).collect()}
+    assert len(got) == 12
+    for (ordinal, held), auc in got.items():
+        w = learners.spam(x[k != held], y[k != held], GRID[ordinal], np.array([]))
+        s = x[k == held] @ w
+        pairs = [(a > b) + 0.5 * (a == b) for a in s[y[k == held] > 0] for b in s[y[k == held] <= 0]]
+        assert auc == pytest.approx(np.mean(pairs), abs=1e-12)
+
+
+def test_batches_of_settings_do_not_matter(spark):
+    rows = folded(spark)[2]
+    one, all_ = ({(r["ordinal"], r["held"], r["auc"]) for r in experiments.cross_validate(rows, 3, "spam", GRID, batch=b).collect()} for b in (1, 4))
+    assert one == all_
+
+
+def test_a_fold_without_a_class_has_no_auc_and_loses(spark):
+    x, y, rows = folded(spark)
+    rows = rows.withColumn("y", F.when(F.col("fold") == 0, 1.0).otherwise(F.when(F.col("fold") == 1, 1.0).otherwise(F.col("y"))))
+    got = {(r["ordinal"], r["held"]): r["auc"] for r in experiments.cross_validate(rows, 3, "spam", GRID).collect()}
+    assert all((auc is None) for auc in got.values())
+    best = experiments.best_settings(experiments.cross_validate(rows, 3, "spam", GRID)).collect()
+    assert [r["ordinal"] for r in best] == [0]
+
+
+def test_refit_uses_each_groups_setting(spark):
+    x, y, rows = folded(spark)
+    groups = rows.withColumn("fold", F.lit(0)).union(rows.withColumn("fold", F.lit(1)))
+    best = spark.createDataFrame([(0, 3), (1, 1)], "fold int, ordinal long")
+    got = experiments.refit(groups, best, "spam", GRID, ("fold",)).orderBy("fold", "j").collect()
+    for fold, ordinal in ((0, 3), (1, 1)):
+        w = [r["w"] for r in got if r["fold"] == fold]
+        assert w == pytest.approx(learners.spam(x, y, GRID[ordinal], np.array([])), abs=1e-12)
+
+
+def test_ratios_keep_all_of_the_short_class(spark):
+    x, y, rows = folded(spark)
+    n_pos, n_neg = int((y > 0).sum()), int((y <= 0).sum())
+    got = experiments.at_ratios(rows, [0.1, 0.5, 0.9], 3).groupBy("ratio").agg(F.count_if(F.col("y") > 0).alias("p"), F.count_if(F.col("y") <= 0).alias("n")).collect()
+    assert len(got) == 3
+    for r in got:
+        assert abs(r["p"] / (r["p"] + r["n"]) - r["ratio"]) < 0.02
+        assert r["p"] == n_pos or r["n"] >= n_neg - 9
+
+
+def test_empty_table_has_no_scores(spark):
+    rows = folded(spark)[2].limit(0)
+    scores = experiments.cross_validate(rows, 3, "spam", GRID)
+    assert scores.count() == 0 and experiments.best_settings(scores).count() == 0
