@@ -686,6 +686,7 @@ QUERIES |= {
     "fit_opauc_directions": _fit("opauc_directions", {"eta": 0.01, "lam": 0.01, "tau": 16.0}),
     "fit_opauc_thresholded": _fit("opauc_thresholded", {"eta": 0.01, "lam": 0.01, "tau": 16.0}),
     "fit_solam_boxed": _fit("solam_boxed", {"xi": 1.0, "radius": 1.0, "l1": 1.0}),
+    "fit_solam_staged": _fit("solam_staged", {"eta": 0.5, "radius": 1.0, "projections": 2.0}),
 }
 
 

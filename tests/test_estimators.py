@@ -275,3 +275,18 @@ def test_empty_table_has_no_scores(spark):
     rows = folded(spark)[2].limit(0)
     scores = experiments.cross_validate(rows, 3, "spam", GRID)
     assert scores.count() == 0 and experiments.best_settings(scores).count() == 0
+
+
+def test_staged_steps_by_hand():
+    """Two rows of two values, so one stage: the mean of the two iterates, worked out from the step's definition."""
+    x, y = np.array([[1.0, 0.0], [0.0, 2.0]]), np.array([1.0, -1.0])
+    # row 1: share 1, so nothing moves; row 2: share 1/2, score 0, lean 1, weights fall by 0.1 * 1 * (0, 2)
+    assert learners.solam_staged(x, y, {"radius": 5.0, "eta": 0.1}, np.array([])) == pytest.approx([0.0, -0.1])
+
+
+@pytest.mark.parametrize("rounds", [1.0, 3.0])
+def test_staged_learner_ranks_within_its_ball(rounds):
+    x, y = data(400)
+    w = learners.solam_staged(x, y, {"radius": 1.0, "eta": 0.5, "projections": rounds}, np.array([]))
+    assert np.abs(w).sum() <= 1 + 1e-9
+    assert learners._rank_auc(y, x @ w) > 0.75
