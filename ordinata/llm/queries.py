@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ordinata.llm import bpe, html_text, lm_scoring, media, minmax_dedup, packing, quality_model, quality_rules, token_counts, url_filter
+from ordinata.llm import bpe, filter_audit, html_text, lm_scoring, media, minmax_dedup, packing, quality_model, quality_rules, rans, spelling, token_counts, url_filter
 from ordinata.llm.workspace import materialize
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -69,11 +70,24 @@ def op10_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op11_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.store_and_read(_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
+def op12_filter_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_retrieval_packing, op2_backoff_scores, op2_trigram_scores, op3_trie_token_counts, op4_text_density, op5_quality_discriminant,
         op6_quality_rules, op7_url_trees, op8_minmax_dedup, op9_media_archive, op10_bitmap_bpe,
+        op11_rans_ids, op12_filter_cube, op13_spelling_variants,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -164,6 +178,69 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m.
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
-ORACLES = {"op2_backoff_scores": OP2_SQL, "op2_trigram_scores": OP2_TRIGRAM_SQL, "op6_quality_rules": OP6_SQL, "op8_minmax_dedup": OP8_SQL}
+OP12_SQL = f"""
+WITH l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS.format(text="text")} AS ws,
+    coalesce(min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id, false) AS E FROM documents
+),
+f AS (
+  SELECT part, len(ws) < 100 AS A, 100 * len(list_distinct(ws)) < 80 * len(ws) AS B,
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) AS C, regexp_matches(text, '[#$%&*|]') AS D, E,
+    coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d LEFT JOIN l USING (doc_id)
+),
+c AS (SELECT part, [A, B, C, D, E] AS fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+o AS (
+  SELECT [a, b, c, d, e] AS fs FROM range(1, 6) x1(a), range(1, 6) x2(b), range(1, 6) x3(c), range(1, 6) x4(d), range(1, 6) x5(e)
+  WHERE len(list_distinct([a, b, c, d, e])) = 5
+),
+s AS (SELECT fs, unnest(range(1, 6)) AS step FROM o),
+r AS (
+  SELECT part, array_to_string(list_transform(fs, lambda i: substr('ABCDE', i::INT, 1)), '') AS filter_order, step::INT AS step, fs[step] AS own,
+    sum(n) FILTER (WHERE NOT earlier AND NOT fails[fs[step]]) AS kept, sum(n) FILTER (WHERE NOT earlier AND fails[fs[step]]) AS removed,
+    sum(n) FILTER (WHERE earlier AND fails[fs[step]]) AS redundant, sum(n) FILTER (WHERE fails[fs[step]] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
+    sum(good) FILTER (WHERE NOT earlier AND fails[fs[step]]) AS good_lost, sum(toxic) FILTER (WHERE NOT earlier AND fails[fs[step]]) AS toxic_lost
+  FROM (SELECT *, len(list_filter(fs[1:step - 1], lambda i: fails[i])) > 0 AS earlier FROM c, s) GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+#: crc32 by the table of its bitwise rule; near words share what a deletion at one place leaves.
+OP13_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT i AS byte, i AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+),
+t AS (SELECT list(v ORDER BY byte) AS crc FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents
+),
+own AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(id || ':' || run)) AS hx FROM own),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(hx), 2), lambda i: ('0x' || substr(hx, i, 2))::BIGINT)), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])), 4294967295::BIGINT) AS h
+  FROM bytes, t
+),
+printed AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM printed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM w)),
+pairs AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT cut.word, w.word, w.n FROM cut JOIN w ON w.word = cut.rest
+  UNION SELECT w.word, cut.word, cut.n FROM cut JOIN w ON w.word = cut.rest
+),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM pairs GROUP BY word),
+chosen AS (SELECT b.word, b.n_near, b.top, min(encode(p.near)) AS form FROM best b JOIN pairs p ON p.word = b.word AND p.near_n = b.top GROUP BY ALL),
+judged AS (SELECT w.word, CASE WHEN top >= 2 * n THEN decode(form) END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN top END AS form_n FROM w LEFT JOIN chosen ON chosen.word = w.word),
+chain AS (SELECT word, word AS root FROM judged UNION ALL SELECT chain.word, judged.form FROM chain JOIN judged ON judged.word = chain.root WHERE judged.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.root FROM chain JOIN judged ON judged.word = chain.root WHERE judged.form IS NULL)
+SELECT judged.word, form, root, n, n_near::BIGINT AS n_near, form_n FROM judged JOIN ends ON ends.word = judged.word
+"""
+
+ORACLES = {"op12_filter_cube": OP12_SQL, "op13_spelling_variants": OP13_SQL, "op2_backoff_scores": OP2_SQL, "op2_trigram_scores": OP2_TRIGRAM_SQL, "op6_quality_rules": OP6_SQL, "op8_minmax_dedup": OP8_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
