@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordinata.functions import vector as vf
-from ordinata.operators import experiments, graph, learners, linear, losses, metrics, order, prepare, report
+from ordinata.operators import blocks, experiments, graph, learners, linear, losses, metrics, order, prepare, report, saddle, scan
 from ordinata.sources import samples as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,29 +384,31 @@ def _moved(a: str, b: str, step: str) -> str:
 _L1 = "CASE WHEN list_sum(list_transform(u, lambda x: abs(x))) <= {r} THEN u ELSE list_transform(u, lambda x: sign(x) * greatest(abs(x) - theta, 0)) END"
 _THETA = "list_transform([list_max(list_filter(range(1, len(m) + 1), lambda i: m[i] * i > list_sum(m[1:i]) - {r}))], lambda i: (list_sum(m[1:i]) - {r}) / i)[1]"
 
-SOLAM_SQL = _RECURSIVE + f""", z AS (
-  SELECT 0::BIGINT AS t, 0::BIGINT AS seen, {_zeros("1 / sqrt(len(posi))")} AS v, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b, 2.0::DOUBLE AS alpha, {_zeros()} AS w, 0.0::DOUBLE AS weight FROM pm
-  UNION ALL
-  SELECT t, seen, list_transform(u, lambda x: x * least(1.0, 1.0 / sqrt(list_dot_product(u, u)))) AS v, least(a2, 1.0) AS a, least(b2, 1.0) AS b,
-    greatest(-2.0, least(2.0, alpha + g * up)) AS alpha, list_transform(list_zip(w, v), lambda k: (weight * k[1] + g * k[2]) / (weight + g)) AS w, weight + g AS weight FROM (
-    SELECT *, {_moved("v", "f", "g * (CASE WHEN y > 0 THEN 2 * (1 - h) * (s - a - 1 - alpha) ELSE 2 * h * (s - b + 1 + alpha) END)")} AS u,
-      CASE WHEN y > 0 THEN a + g * 2 * (1 - h) * (s - a) ELSE a END AS a2, CASE WHEN y > 0 THEN b ELSE b + g * 2 * h * (s - b) END AS b2,
-      CASE WHEN y > 0 THEN -2 * (1 - h) * s ELSE 2 * h * s END - 2 * h * (1 - h) * alpha AS up FROM (
-      SELECT r.t, r.y, r.f, z.v, z.a, z.b, z.alpha, z.w, z.weight, 1.0 / sqrt(r.t) AS g, list_dot_product(z.v, r.f) AS s, seen + (r.y > 0)::INT AS seen, (seen + (r.y > 0)::INT) / r.t AS h FROM z JOIN r ON r.t = z.t + 1)))
-""" + _RESULT.format(state="z", last="r")
 
-BOXED_SQL = _RECURSIVE + f""", x AS (SELECT max(list_max(f)) AS box FROM r), z AS (
-  SELECT 0::BIGINT AS t, 0::BIGINT AS seen, {_zeros()} AS v, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS alpha, {_zeros()} AS w, 0.0::DOUBLE AS weight FROM pm
+def _saddle_sql(parts: int = 1, boxed: bool = False) -> str:
+    """Saddle-point steps with rate 1 / sqrt(t) and radius 1, by ``parts`` even parts of the rows whose means are averaged.
+
+    e is the row's class, c the other class's share, d its score's distance from its own centre. ``boxed`` starts from zero, keeps the
+    centres and the dual in boxes after the largest feature value, the weights in the l1 ball, and takes the mean behind the steps.
+    """
+    start, least, most = ("1 / sqrt(len(posi))", "-1e300", "1.0") if not boxed else ("0.0", "-box", "box")
+    projected = "list_transform(u, lambda x: x * least(1.0, 1.0 / sqrt(list_dot_product(u, u))))" if not boxed else _L1.format(r="1.0")
+    centre = "1.0::DOUBLE" if not boxed else "0.0::DOUBLE"
+    return _RECURSIVE + f""", q AS (SELECT max(list_max(f)) AS box, count(*) AS n FROM r),
+g AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY t) AS t, y, f, box, count(*) OVER (PARTITION BY part) AS rows FROM (SELECT ((t - 1) * {parts}) // n AS part, t, y, f, box FROM r, q)),
+z AS (
+  SELECT part, 0::BIGINT AS t, 0::BIGINT AS seen, {_zeros(start)} AS v, {centre} AS a, {centre} AS b, 2 * {centre} AS alpha, {_zeros()} AS w, 0.0::DOUBLE AS weight FROM (SELECT DISTINCT part FROM g), pm
   UNION ALL
-  SELECT t, seen, v2 AS v, a2 AS a, b2 AS b, alpha2 AS alpha, list_transform(list_zip(w, v2), lambda k: (weight * k[1] + g * k[2]) / (weight + g)) AS w, weight + g AS weight FROM (
-    SELECT *, {_L1.format(r="1.0")} AS v2, greatest(-box, least(box, a - g * ga)) AS a2, greatest(-box, least(box, b - g * gb)) AS b2,
-      greatest(-2 * box, least(2 * box, alpha + g * (lean * s - 2 * h * (1 - h) * alpha))) AS alpha2 FROM (
-      SELECT *, {_THETA.format(r="1.0")} AS theta FROM (
+  SELECT part, t, seen, v1 AS v, a, b, alpha, list_transform(list_zip(w, {"v1" if boxed else "v"}), lambda k: (weight * k[1] + rate * k[2]) / (weight + rate)) AS w, weight + rate AS weight FROM (
+    SELECT part, t, seen, v, rate, w, weight, {projected} AS v1, greatest({least}, least({most}, CASE WHEN e > 0 THEN a + rate * 2 * c * d ELSE a END)) AS a, greatest({least}, least({most}, CASE WHEN e > 0 THEN b ELSE b + rate * 2 * c * d END)) AS b,
+      greatest(-2 * {most}, least(2 * {most}, alpha - rate * (2 * c * e * s + 2 * h * (1 - h) * alpha))) AS alpha FROM (
+      SELECT *, {_THETA.format(r="1.0") if boxed else "0"} AS theta FROM (
         SELECT *, list_reverse_sort(list_transform(u, lambda x: abs(x))) AS m FROM (
-          SELECT *, {_moved("v", "f", "g * ((1 + alpha) * lean - ga - gb)")} AS u FROM (
-            SELECT *, CASE WHEN y > 0 THEN -2 * (1 - h) ELSE 2 * h END AS lean, CASE WHEN y > 0 THEN 2 * (1 - h) * (a - s) ELSE 0 END AS ga, CASE WHEN y > 0 THEN 0 ELSE 2 * h * (b - s) END AS gb FROM (
-              SELECT r.t, r.y, r.f, z.v, z.a, z.b, z.alpha, z.w, z.weight, x.box, 1.0 / sqrt(r.t) AS g, list_dot_product(z.v, r.f) AS s, seen + (r.y > 0)::INT AS seen, (seen + (r.y > 0)::INT) / r.t AS h FROM z JOIN r ON r.t = z.t + 1, x)))))))
-""" + _RESULT.format(state="z", last="r")
+          SELECT *, {_moved("v", "f", "rate * 2 * c * (d - e * (1 + alpha))")} AS u FROM (
+            SELECT *, CASE WHEN e > 0 THEN 1 - h ELSE h END AS c, s - CASE WHEN e > 0 THEN a ELSE b END AS d FROM (
+              SELECT g.part, g.t, sign(g.y) AS e, g.f, g.box, z.v, z.a, z.b, z.alpha, z.w, z.weight, 1.0 / sqrt(g.t) AS rate, list_dot_product(z.v, g.f) AS s, seen + (g.y > 0)::INT AS seen, (seen + (g.y > 0)::INT) / g.t AS h FROM z JOIN g ON g.part = z.part AND g.t = z.t + 1)))))))
+SELECT j, round(sum(w * t) / sum(t), 6) + 0.0 AS w FROM (SELECT z.t, unnest(range(len(z.w)))::INT AS j, unnest(z.w) AS w FROM z JOIN g ON g.part = z.part AND g.t = z.t WHERE g.t = g.rows) GROUP BY j"""
+
 
 OPAUC_SQL = _RECURSIVE + f""", c AS (SELECT list(f ORDER BY t) FILTER (WHERE y > 0) AS ps, list(f ORDER BY t) FILTER (WHERE y <= 0) AS ns FROM r),
 k AS (SELECT t, y, f, count(*) FILTER (WHERE y > 0) OVER (ORDER BY t) AS np, count(*) FILTER (WHERE y <= 0) OVER (ORDER BY t) AS nn FROM r),
@@ -449,13 +451,36 @@ SHT_SQL = _RECURSIVE + _STEPS.format(passes=3) + f""", z AS (
           SELECT g.t, g.rows, z.w, p, posi, nega, 0.5 / len(g.rows) AS eta, list_dot_product(z.w, posi) AS a, list_dot_product(z.w, nega) AS b FROM z JOIN g ON g.t = z.t + 1, pm, pr)))))
 """ + _RESULT.format(state="z", last="g")
 
-ORACLES |= {"fit_solam": SOLAM_SQL, "fit_solam_boxed": BOXED_SQL, "fit_opauc": OPAUC_SQL, "fit_sht_auc": SHT_SQL, "fit_stoiht": _logistic_steps_sql(_STEPS.format(passes=3), 0.01), "fit_hsg_ht": _logistic_steps_sql(_BATCHES, 0.0)}
+ORACLES |= {"fit_solam": _saddle_sql(), "fit_solam_rounds": _saddle_sql(4), "fit_solam_boxed": _saddle_sql(boxed=True), "fit_opauc": OPAUC_SQL, "fit_sht_auc": SHT_SQL, "fit_stoiht": _logistic_steps_sql(_STEPS.format(passes=3), 0.01), "fit_hsg_ht": _logistic_steps_sql(_BATCHES, 0.0)}
+
+
+def _vector(spark, w) -> DataFrame:
+    return _r(spark.createDataFrame([(j, float(v)) for j, v in enumerate(w)], "j int, w double"))
+
+
+def _rounds(parts: int, boxed: bool = False):
+    """Saddle-point steps by even parts of the rows, averaged after the pass; one part is the sequential learner."""
+
+    def run(spark, d):
+        s = src.embeddings(spark, d)
+        rule = saddle.Saddle(1.0, box=saddle.largest_value(s), l1=True, trails=False) if boxed else saddle.Saddle(1.0)
+        return _vector(spark, saddle.fit_rounds(s, rule, parts=parts).weights)
+
+    return run
+
+
+def _block_fit(method: str, params: dict[str, float]):
+    return lambda spark, d: _vector(spark, blocks.fit(src.embeddings(spark, d), method, [params], parts=8)[0])
+
+
 QUERIES |= {
-    "fit_solam": _fit("solam", {"xi": 1.0, "radius": 1.0}),
-    "fit_sht_auc": _fit("sht_auc", {"xi": 0.5, "block": 50.0, "k": 10.0, "passes": 3.0}),
-    "fit_stoiht": _fit("stoiht", {"xi": 0.5, "block": 50.0, "k": 10.0, "l2": 0.01, "passes": 3.0}),
-    "fit_hsg_ht": _fit("hsg_ht", {"xi": 0.5, "tau": 10.0, "zeta": 1.5, "k": 10.0, "passes": 2.0}),
-    "fit_opauc": _fit("opauc", {"eta": 0.01, "lam": 0.01}),
+    "fit_solam": _rounds(1),
+    "fit_solam_rounds": _rounds(4),
+    "fit_sht_auc": _block_fit("sht_auc", {"xi": 0.5, "block": 50.0, "k": 10.0, "passes": 3.0}),
+    "fit_stoiht": _block_fit("stoiht", {"xi": 0.5, "block": 50.0, "k": 10.0, "l2": 0.01, "passes": 3.0}),
+    "fit_hsg_ht": _block_fit("hsg_ht", {"xi": 0.5, "tau": 10.0, "zeta": 1.5, "k": 10.0, "passes": 2.0}),
+    "fit_opauc": lambda spark, d: _vector(spark, scan.fit_covariance(src.embeddings(spark, d), 0.01, 0.01, ranges=8)),
+    "fit_spam_l2": lambda spark, d: _vector(spark, scan.fit_proximal(src.embeddings(spark, d), 1.0, 0.1, ranges=8)),
     "fit_opauc_sketch": _fit("opauc", {"eta": 0.01, "lam": 0.01, "tau": 16.0}),
     "fit_fsauc": _fit("fsauc", {"radius": 1.0, "eta": 0.1, "passes": 2.0}),
 }
@@ -685,7 +710,7 @@ def reference_share(spark, d):
 QUERIES |= {
     "fit_opauc_directions": _fit("opauc_directions", {"eta": 0.01, "lam": 0.01, "tau": 16.0}),
     "fit_opauc_thresholded": _fit("opauc_thresholded", {"eta": 0.01, "lam": 0.01, "tau": 16.0}),
-    "fit_solam_boxed": _fit("solam_boxed", {"xi": 1.0, "radius": 1.0, "l1": 1.0}),
+    "fit_solam_boxed": _rounds(1, boxed=True),
     "fit_solam_staged": _fit("solam_staged", {"eta": 0.5, "radius": 1.0, "projections": 2.0}),
 }
 
@@ -714,6 +739,28 @@ def _dual(method: str):
     return run
 
 
+@query(EMB + " SELECT row_id, y > 0 AS positive, count(*) OVER w AS n, round(avg(f[1]) OVER w, 6) AS mean, round(covar_pop(f[1], f[2]) OVER w, 6) AS cov FROM e WINDOW w AS (PARTITION BY y > 0 ORDER BY row_id)")
+def class_cov_running(spark, d):
+    """Of each row's class, over the rows up to it: rows, mean of the first feature, its covariance with the second."""
+    return _r(scan.running_moments(src.embeddings(spark, d), 0, 1, ranges=8))
+
+
+_HSG_GRID = experiments.settings(experiments.GRIDS["hsg_ht"], xi=0.5, zeta=2.0)
+
+
+def _hsg_sql(p: dict[str, float]) -> str:
+    growing = _BATCHES.replace("floor(10 * pow(1.5, k))", f"greatest(1, floor({p['tau']:.0f} * pow(2.0, k)))").replace("range(2)", "range(1)")
+    body = _logistic_steps_sql(growing, 0.0).replace(_TOP.format(k=10), _TOP.format(k=f"least({p['k']:.0f}, len(u))"))
+    return body[: body.rindex("SELECT unnest(range(len(w)))")] + "SELECT w FROM z WHERE t = (SELECT max(t) FROM g)"
+
+
+@query("SELECT ordinal, j, round(w, 6) + 0.0 AS w FROM (SELECT ordinal, unnest(range(len(w)))::INT AS j, unnest(w) AS w FROM (" + " UNION ALL ".join(f"SELECT {k}::BIGINT AS ordinal, w FROM ({_hsg_sql(p)})" for k, p in enumerate(_HSG_GRID)) + ")) WHERE w <> 0")
+def grid_hsg_ht(spark, d):
+    """The supports and weights of the learner's whole grid, 40 settings in lockstep."""
+    w = blocks.fit(src.embeddings(spark, d), "hsg_ht", _HSG_GRID, parts=8)
+    return _r(spark.createDataFrame([(k, j, float(v)) for k, row in enumerate(w) for j, v in enumerate(row) if v], "ordinal long, j int, w double"))
+
+
 QUERIES |= {"linear_hinge_dual": _dual("hinge"), "linear_svr_dual": _dual("absolute"), "linear_multiclass": _dual("multiclass")}
 
 

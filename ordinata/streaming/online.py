@@ -9,7 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_STATE = "t long, share double, v array<double>, alpha double"
+from ordinata.operators.saddle import Saddle, Walk
+
+_STATE = "seen long, positives long, v array<double>, alpha double"
 _OUT = "model_id long, t long, share double, w array<double>"
 
 
@@ -20,28 +22,17 @@ def solam_stream(events: DataFrame, d: int, xi: float = 1.0, radius: float = 1.0
     applied by (ts, event_id); a row that arrives in a later batch is applied there.
     """
 
+    rule = Saddle(radius, xi)
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        way = rule.start(d)
         if state.exists:
-            t, share, values, alpha = state.get
-            v = np.array(values)
-        else:
-            t, share, alpha = 0, 0.0, 2 * radius
-            v = np.concatenate([np.full(d, radius / math.sqrt(d)), [radius, radius]])
+            seen, positives, v, alpha = state.get
+            way = Walk(np.array(v), alpha, seen, positives)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         for x, y in zip(rows["features"], rows["y"], strict=True):
-            t += 1
-            x = np.asarray(x, float)
-            share = ((t - 1) * share + (y > 0)) / t
-            step, s, sign = xi / math.sqrt(t), float(x @ v[:d]), 1 if y > 0 else 0
-            k, other = d + 1 - sign, (1 - share) if sign else share
-            slope = 2 * other * (s - v[k] + (1 + alpha) * (-1 if sign else 1))
-            up = 2 * other * s * (-1 if sign else 1) - 2 * share * (1 - share) * alpha
-            own = v[k] + step * 2 * other * (s - v[k])
-            w = v[:d] - step * slope * x
-            v = np.concatenate([w * min(1.0, radius / max(float(np.linalg.norm(w)), 1e-300)), v[d:]])
-            v[k] = min(own, radius)
-            alpha = max(-2 * radius, min(2 * radius, alpha + step * up))
-        state.update((t, share, v.tolist(), alpha))
-        yield pd.DataFrame({"model_id": [key[0]], "t": [t], "share": [share], "w": [v[:d].tolist()]})
+            way.step(np.asarray(x, float), y > 0, xi / math.sqrt(way.seen + 1), rule.project)
+        state.update((int(way.seen), int(way.positives), way.v.tolist(), float(way.alpha)))
+        yield pd.DataFrame({"model_id": [key[0]], "t": [int(way.seen)], "share": [way.share], "w": [way.v[:d].tolist()]})
 
     return events.groupBy("model_id").applyInPandasWithState(update, _OUT, _STATE, "update", "NoTimeout")
