@@ -2,7 +2,7 @@
 
 A tolerant scanner builds the element tree: void elements, implied end tags, unclosed and stray tags, raw-text elements.
 Elements that are never content (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) are left out. For every other node the link-adjusted density is
+reader comments) are left out, as told below. For every other node the link-adjusted density is
 
     D = (C / T) * log(C T / (LC LT)) / log(log(C / (C - LC) * LC + LC / B * C + e))
 
@@ -16,9 +16,12 @@ white space inside a block becomes one space, blocks are trimmed and joined by t
 columns are ignored; repeated rows give repeated rows. The scan is one pass, holds one page at a time and takes time linear
 in its length, however many elements are nested, unclosed or ended without a start.
 
-Outside an article a class, id or role with a noise word drops an element. Inside one only a class name does that consists
-of noise words and words for a frame around them, so ``comments`` and ``share-buttons`` go while a section with the id
-``related-work``, ``side-effects`` or an ``article-header`` stays; headings always stay.
+A class name or id drops an element where every part of it is a noise word or a word for a frame around one, so ``comments`` and
+``share-buttons`` go while ``page-with-sidebar``, ``side-effects`` and ``related-work`` stay. Outside an article one that only
+holds a noise word drops an element if a third of its text is links. A form, or an element with such a name or role, that holds
+nearly all of the page's remaining text is its wrapper and stays. Headings inside an article always stay.
+
+Sibling articles of comparable density are kept together, and a choice without a heading takes the block with the title just before it.
 """
 
 from __future__ import annotations
@@ -47,7 +50,7 @@ ENDS = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
     "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]),
 }
-#: Words of a class, id or role that mark what is not the article.
+#: Words that a class or id holds somewhere where it may mark what is not the article.
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|"
     r"nav\w*|menu\w*|breadcrumbs?|sidebars?|side|aside|footer|header|masthead|toolbar|share|sharing|social|related|recommend\w*|"
@@ -70,8 +73,19 @@ FRAME = re.compile(
     r"posts?|page|site|articles?|stories|entry|module|row|col|form|buttons?|icons?|text|inline|js|is|unit|slot|\w?\d+",
     re.I,
 )
+#: Outside an article a name is noise as a whole by these too.
+OUTER_PART = re.compile(r"header|masthead|side|sharing|replies", re.I)
+#: Reader comments are never the page's wrapper, as long as there is other text.
+READERS = re.compile(r"comments?|disqus|replies|respond|reactions", re.I)
+#: What an element's tag, name or role says of it: to be kept, dropped if it is mostly links, dropped unless it is the page's
+#: wrapper, the same for reader comments, or dropped with all that is in it.
+KEEP, LINKS, WRAPPER, COMMENTS, DROP = range(5)
+#: A wrapper has so many times the text that is left of the page without it.
+WRAPS = 10
+#: Sibling articles are kept down to this part of the chosen one's density.
+COMPARABLE = 1 / 4
 #: Elements that can hold an article; the node of the largest density sum is one of them.
-CONTAINERS = frozenset("#root article blockquote body center div html main section table tbody td tr".split())
+CONTAINERS = frozenset("#root article blockquote body center div form html main section table tbody td tr".split())
 #: A quotation mark opens a value only after an equals sign; one that never closes does not hide the rest of the page.
 _PIECES = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*)(?:>|\Z)", re.S)
 #: One attribute: its name, then a quoted or bare value. A quoted value that never closes takes the rest of the tag.
@@ -84,9 +98,10 @@ class Node:
     implied end looks, where an inline end tag stops looking, and that are an article or main element; ``open`` counts
     the open inline elements of a scope by tag."""
 
-    __slots__ = ("article", "chars", "children", "density", "link_chars", "link_tags", "open", "parent", "parts", "scope", "skip", "stop", "sum", "tag", "tags")
+    __slots__ = ("article", "chars", "children", "density", "doubt", "link_chars", "link_tags", "open", "parent", "parts", "scope", "skip", "stop", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool):
+    def __init__(self, tag: str, parent: Node | None, skip: bool, doubt: int = KEEP):
+        self.doubt = doubt
         self.tag, self.parent, self.skip = tag, parent, skip
         self.children: list[Node] = []
         self.parts: list[str | Node] = []
@@ -98,34 +113,41 @@ class Node:
         self.article: Node | None = self if tag in ("article", "main") else parent.article if parent is not None else None
 
 
-def _framed_noise(name: str) -> bool:
-    """Whether every part of a class name is a noise word or a word for a frame, and one is a noise word."""
-    found = False
+def _framed_noise(name: str, inside_article: bool = True) -> int:
+    """WRAPPER or COMMENTS if every part of a class name or id is a noise word or a word for a frame, and one is a noise word; else KEEP."""
+    found = KEEP
     for part in re.split(r"[_-]+", name):
-        if NOISE_PART.fullmatch(part):
-            found = True
+        if NOISE_PART.fullmatch(part) or not inside_article and OUTER_PART.fullmatch(part):
+            found = max(found, COMMENTS if READERS.fullmatch(part) else WRAPPER)
         elif part and not FRAME.fullmatch(part):
-            return False
+            return KEEP
     return found
 
 
-def _noise(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in SKIP:
-        return True
-    if tag == "header":
-        return not inside_article
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+def _noise(tag: str, attributes: str, inside_article: bool) -> int:
+    """What an element's start tag says of it."""
+    if tag == "form":
+        found = WRAPPER
+    elif tag in SKIP:
+        return DROP
+    elif tag == "header":
+        return KEEP if inside_article else DROP
+    elif not attributes or tag in ("html", "body", "article", "main"):
+        return KEEP
+    else:
+        found = KEEP
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
-            return True
-        if inside_article:
-            if tag not in HEADINGS and (name == "class" or name == "id" and tag in ("div", "ul", "ol")) and any(map(_framed_noise, value.split())):
-                return True
-        elif name in ("class", "id") and NOISE.search(value):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return DROP
+        if name == "role" and (value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog") or value == "alert" and not inside_article):
+            found = max(found, WRAPPER)
+        elif inside_article:
+            if tag not in HEADINGS and (name == "class" or name == "id" and tag in ("div", "ul", "ol")):
+                found = max(found, *map(_framed_noise, value.split()), KEEP)
+        elif name in ("class", "id"):
+            found = max(found, *(_framed_noise(token, False) for token in value.split()), LINKS if NOISE.search(value) else KEEP)
+    return found
 
 
 def parse(html: str) -> Node:
@@ -203,7 +225,8 @@ def parse(html: str) -> Node:
             if up.tag in BOUNDS:
                 break
             up = up.parent.stop
-        child = Node(tag, node, node.skip or _noise(tag, match[3], node.article is not None))
+        doubt = _noise(tag, match[3], node.article is not None)
+        child = Node(tag, node, node.skip or doubt == DROP, doubt)
         node.children.append(child)
         node.parts.append(child)
         if tag in RAW:  # its content is no markup
@@ -218,6 +241,42 @@ def parse(html: str) -> Node:
     return root
 
 
+def settle(root: Node) -> None:
+    """Mark the doubtful elements that are not content ``skip``, with all that is in them."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack.extend(n.children)
+    if not any(KEEP < n.doubt < DROP and not n.skip for n in order):
+        return
+    size = {id(n): [0, 0, 0] for n in order}  # characters, those in links, and those outside doubtful elements
+    for n in reversed(order):
+        if n.skip:
+            continue
+        own = size[id(n)]
+        more = sum(len(_WHITE.sub("", p)) for p in n.parts if isinstance(p, str))
+        own[0], own[2] = own[0] + more, own[2] + more
+        if n.tag == "a":
+            own[1] = own[0]
+        if n.doubt == LINKS and 3 * own[1] >= own[0]:
+            n.skip = True
+        elif n.parent is not None:
+            up = size[id(n.parent)]
+            up[0], up[1] = up[0] + own[0], up[1] + own[1]
+            up[2] += own[2] if n.doubt in (KEEP, LINKS) else 0
+    left = size[id(root)][2]
+    for n in order:  # from the outside in
+        if n.parent is not None and n.parent.skip:
+            n.skip = True
+        elif not n.skip and n.doubt in (WRAPPER, COMMENTS):
+            own = size[id(n)][2]
+            if own > WRAPS * left and (n.doubt == WRAPPER or not left):
+                left += own
+            else:
+                n.skip = True
+
+
 def measure(root: Node) -> list[Node]:
     """Set every node's counts, density and density sum; gives the nodes in page order."""
     order, stack = [], [root]
@@ -250,6 +309,7 @@ def measure(root: Node) -> list[Node]:
 
 def select(root: Node, widen: bool = True) -> list[Node]:
     """The roots of the subtrees that hold the main text, in page order; ``widen`` extends them to an article element around them."""
+    settle(root)
     order = [n for n in measure(root) if not n.skip]
     if not root.chars:
         return []
@@ -269,7 +329,8 @@ def select(root: Node, widen: bool = True) -> list[Node]:
         whole = best.article
         while whole.parent.article is not None:
             whole = whole.parent.article
-        return [whole]
+        beside = [n for n in whole.parent.children if n is whole or n.tag == "article" and not n.skip and n.density >= COMPARABLE * whole.density]
+        return _titled(beside)
     chosen, inside = [], set()
     for n in order:
         if n.parent is not None and id(n.parent) in inside:
@@ -277,6 +338,34 @@ def select(root: Node, widen: bool = True) -> list[Node]:
         elif id(n) in marked:
             inside.add(id(n))
             chosen.append(n)
+    return _titled(chosen)
+
+
+def _title(node: Node) -> bool:
+    """Whether a node is or holds a heading of the first two ranks."""
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        if n.tag in ("h1", "h2") and n.chars and not n.skip:
+            return True
+        stack.extend(n.children)
+    return False
+
+
+def _titled(chosen: list[Node]) -> list[Node]:
+    """``chosen``, behind the title block that stands just before it if none of it has a title itself.
+
+    That is the nearest text before it, which holds a heading, more text outside links than in them, and less text than the choice.
+    """
+    if not chosen or any(map(_title, chosen)):
+        return chosen
+    n = chosen[0]
+    while n.parent is not None and n.tag != "body":
+        before = [k for k in n.parent.children[: n.parent.children.index(n)] if not k.skip and k.chars]
+        if before:
+            k = before[-1]
+            return [k, *chosen] if _title(k) and 2 * k.link_chars < k.chars <= sum(c.chars for c in chosen) else chosen
+        n = n.parent
     return chosen
 
 
