@@ -34,11 +34,12 @@ def docs(spark):
 @pytest.mark.parametrize("name", [n for n in queries.ORACLES if n != "pipeline"])
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
-    theirs = con.execute(queries.ORACLES[name]).df()
-    ours = queries.QUERIES[name](spark, SF).toPandas()[list(theirs.columns)]
-    plain = lambda df: sorted(str([None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else int(v) for v in row]) for row in df.astype(object).values.tolist())
-    assert plain(ours) == plain(theirs)
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
+    ours = queries.QUERIES[name](spark, SF)
+    theirs = con.execute(f"SELECT {', '.join(ours.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    plain = lambda rows: sorted(str([v if v is None or isinstance(v, str) else None if v != v else round(float(v), 5) if isinstance(v, float) else int(v) for v in row]) for row in rows)
+    assert plain(ours.collect()) == plain(theirs)
 
 
 def test_longer_context_tells_texts_apart(spark):

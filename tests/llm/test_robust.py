@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ordinata.llm import bpe, html_text, lm_scoring, media, minmax_dedup, packing, quality_model, quality_rules, token_counts, url_filter
-from ordinata.llm.queries import PATTERN, RANKS, TOKENIZER
+from ordinata.llm import bpe, filter_audit, html_text, lm_scoring, media, minmax_dedup, packing, quality_model, quality_rules, rans, spelling, token_counts, url_filter
+from ordinata.llm.queries import PATTERN, RANKS, TOKENIZER, WORD_TOKENIZER
 
 LONG = "lorem ipsum dolor sit amet consectetur " * 4000 + "x" * 30_000
 TEXTS = [None, "", " \n\t ", "one", "a b c", "the quick brown fox jumps over the lazy dog near the river bank " * 3, "Zażółć gęślą jaźń 漢字 🙂 <|endoftext|> end", LONG, LONG]
@@ -32,6 +32,8 @@ OPERATORS = {
     "media": media.store_and_describe,
     "encode": lambda d: bpe.encode(d, RANKS, PATTERN),
     "round trip": lambda d: bpe.round_trip(d, RANKS, PATTERN),
+    "ids": lambda d: rans.store_and_read(d, WORD_TOKENIZER),
+    "flags": filter_audit.described,
 }
 
 
@@ -51,6 +53,19 @@ def test_empty_table(spark, name):
     assert OPERATORS[name](documents(spark).limit(0)).collect() == []
 
 
+def test_odd_words_and_filters(spark):
+    """Clashing columns, nulls and empty tables in the operators whose rows are not documents."""
+    docs = documents(spark)
+    labels = spark.createDataFrame([(5, 1, 0), (5, 0, 1), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    got = filter_audit.audit(docs, labels).collect()
+    assert len(got) == 600 and {r["part"] for r in got} == {""} and all(r["kept"] + r["removed"] <= len(TEXTS) + 2 for r in got)
+    assert {(r["good_lost"], r["toxic_lost"]) for r in got if r["filter_order"][0] == "A" and r["step"] == 1} == {(2, 2)}
+    assert filter_audit.audit(docs.limit(0), labels).collect() == [] and len(filter_audit.audit(docs, labels.limit(0)).collect()) == 600
+    words = {r["word"]: r["n"] for r in spelling.variants(docs).collect()}
+    assert words["lorem"] % 4000 == 0 and words["quick"] >= 3
+    assert spelling.variants(docs.limit(0)).collect() == []
+
+
 def test_odd_pages(spark):
     text = {r["page_id"]: r["text"] for r in html_text.extract(pages(spark)).collect()}
     assert (text[1], text[2], text[3], text[4]) == ("", "", "", "T\n\na & b")
