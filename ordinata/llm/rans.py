@@ -14,8 +14,8 @@ Files are written by Spark tasks, one for each range of doc_id; the manifest nam
 what a lost attempt left is never read. Reading plans ranges of blocks; a range gives the documents that begin in it,
 and decodes on beyond its end as far as its last one reaches, from the nearest checkpoint.
 
-Tokens are those of the ``tokenizers`` library, asked once for each distinct piece between ASCII white space that a worker
-remembers: neither a token of this vocabulary nor a step of its normaliser reaches over white space.
+Tokens are those of the ``tokenizers`` library. They are worked out once for each distinct piece between ASCII white space in
+a batch, as neither a token of this vocabulary nor a step of its normaliser reaches over white space.
 
 Defined results: a null or empty text has only the end id. Repeated rows are stored repeatedly; those without doc_id come
 first and stay null; rows of equal doc_id follow the order in which the tokenized table was written. Other columns are ignored. An empty table
@@ -24,13 +24,15 @@ gives no files and no rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +57,11 @@ BATCH_BLOCKS = 32
 FILE_IDS, MOST_FILES = 4_000_000, 20_000
 #: Blocks in a range that one task reads.
 RANGE_BLOCKS = 64
-#: Pieces of text that a worker remembers twice over, and the longest of them.
-KNOWN, LONGEST = 300_000, 64
-#: Characters of text that are split at once.
+#: Bytes of text that are split at once.
 TEXT_STEP = 4_000_000
+#: Stands for the end of a word; no piece that takes the faster library holds it.
+END_MARK = "\0"
+_PLAIN = "^[\\x21-\\x7e\\x{a1}-\\x{ff}]+$"
 
 _HEAD = struct.Struct("<III")
 _TRAILER = struct.Struct("<QQQIIII8s")  # places of index, directory and trailer; checksums of index, directory, table; blocks; magic
@@ -277,38 +280,54 @@ class FileReader:
 
 
 class Pieces:
-    """Ids of texts, asked of the library once for each piece that is remembered."""
+    """Ids of texts, worked out once for each distinct piece of a batch.
+
+    Pieces of Latin-1's printable characters take the faster library, with the same merges: a mark behind each pre-token stands for
+    the vocabulary's end of word and is joined to the last byte before any other merge. All others, and those that may hold a special
+    token, go to ``tokenizers``.
+    """
 
     def __init__(self, json_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(json_path)
-        self.known: dict[str, np.ndarray] = {}
-        self.older: dict[str, np.ndarray] = {}
-
-    def learn(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of pieces; of those that were asked for lately, from memory."""
-        if len(self.known) > KNOWN:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        for piece in pieces:
-            if piece not in known and (ids := older.get(piece)) is not None:
-                known[piece] = ids
-        new = [piece for piece in pieces if piece not in known]
-        fresh = dict(zip(new, (np.array(e.ids, np.uint32) for e in self.exact.encode_batch_fast(new, add_special_tokens=False)), strict=True)) if new else {}
-        known.update((piece, ids) for piece, ids in fresh.items() if len(piece) <= LONGEST)
-        return [ids if (ids := known.get(piece)) is not None else fresh[piece] for piece in pieces]
+        ranks, self.ids, self.ends = _end_marked(json_path)
+        self.fast = tiktoken.Encoding("marked", pat_str=f"[^{END_MARK} ]+{END_MARK}", mergeable_ranks=ranks, special_tokens={})
+        kinds = {kind: "".join(re.escape(chr(c)) for c in range(33, 256) if unicodedata.category(chr(c))[0] == kind) for kind in "LN"}
+        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^{kinds['L']}{kinds['N']} ]+")
+
+    def plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, number of ids of each) of pieces of Latin-1's printable characters."""
+        marked = self.split.sub(rf"\g<0>{END_MARK}", " ".join(pieces).lower())
+        tokens = np.array(self.fast.encode_ordinary(marked), np.int64)
+        ends = np.concatenate([[0], np.flatnonzero(self.ends[tokens]) + 1])
+        return self.ids[tokens], np.diff(ends[np.cumsum([0, *(piece.count(END_MARK) for piece in marked.split(" "))])])
+
+    def learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place of each piece's first, number of each piece's ids)."""
+        plain = pc.and_not(pc.match_substring_regex(pieces, _PLAIN), pc.match_substring(pieces, "<|"))
+        fast = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        slow = np.setdiff1d(np.arange(len(pieces)), fast)
+        flat, sizes = [np.zeros(0, np.uint32)], np.zeros(len(pieces), np.int64)
+        if len(fast):
+            ids, sizes[fast] = self.plain(pieces.filter(plain).to_pylist())
+            flat.append(ids)
+        if len(slow):
+            found = [e.ids for e in self.exact.encode_batch_fast(pieces.take(pa.array(slow)).to_pylist(), add_special_tokens=False)]
+            sizes[slow] = [len(ids) for ids in found]
+            flat.append(np.array([i for ids in found for i in ids], np.uint32))
+        order = np.concatenate([fast, slow])
+        first = np.zeros(len(pieces), np.int64)
+        first[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(flat), first, sizes
 
     def many(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        ids = self.learn(coded.dictionary.to_pylist())
-        if not ids:
-            return [np.zeros(0, np.uint32)] * len(texts)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat, first = np.concatenate(ids), np.cumsum(sizes) - sizes
+        flat, first, sizes = self.learn(coded.dictionary)
         piece = coded.indices.to_numpy()
         length = sizes[piece]
         ends = np.cumsum(length)
@@ -317,6 +336,34 @@ class Pieces:
         return [every[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def _end_marked(json_path: str) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """(ranks, id by rank, whether a rank ends a word) of a byte-level vocabulary with an end-of-word suffix, END_MARK in its place.
+
+    Ranks go by single bytes, then bytes with the mark, then merges in their order.
+    """
+    with open(json_path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    suffix, vocabulary = model["end_of_word_suffix"], model["vocab"]
+    # the alphabet of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    alphabet = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def raw(token: str) -> bytes:
+        ended = token.endswith(suffix)
+        return bytes(alphabet[c] for c in token.removesuffix(suffix)) + END_MARK.encode() * ended
+
+    letters = [*alphabet, *(c + suffix for c in alphabet)]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ranks: dict[bytes, int] = {}
+    ids, ends = [], []
+    for token in [*letters, *merged]:
+        if (data := raw(token)) not in ranks:
+            ranks[data] = len(ranks)
+            ids.append(vocabulary[token])
+            ends.append(token.endswith(suffix))
+    return ranks, np.array(ids, np.uint32), np.array(ends)
+
+
 _pieces: dict[str, Pieces] = {}
 
 
