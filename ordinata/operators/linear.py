@@ -1,23 +1,22 @@
 """Regularised linear classification and regression with the objectives of the usual linear library.
 
-Smooth objectives are minimised by Newton steps; the executors add up gradients and Hessians, or for many features products
-with the Hessian. The absolute penalty takes proximal steps on the same sums; the duals with a box descend by coordinates in
-a grouped map. Rows are dense (features) or sparse (indices, values).
+Smooth objectives are minimised by Newton steps and those with the absolute penalty by proximal ones, many models in one scan
+(``batch``): the classes against the rest, the folds of a cross-validation, the folds at one C of a search. The hinge and the
+absolute loss take dual ascent by parts (``dual``). Rows are dense (features) or sparse (indices, values).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordinata.operators import batch, dual
 from ordinata.operators.prepare import random_folds
 
 SOLVERS = {0: "logistic", 7: "logistic", 1: "hinge2", 2: "hinge2", 5: "hinge2", 6: "logistic", 11: "svr2", 12: "svr2", 3: "hinge", 13: "svr1"}
@@ -65,202 +64,57 @@ def parse_options(text: str) -> dict:
     return out
 
 
-def _terms(kind: str, y: np.ndarray, s: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Loss, first and second derivative by score."""
-    if kind == "logistic":
-        z = np.clip(y * s, -500, 500)
-        e = 1 / (1 + np.exp(-z))
-        return np.logaddexp(0, -z), y * (e - 1), e * (1 - e)
-    if kind == "hinge2":
-        m = np.maximum(1 - y * s, 0)
-        return m * m, -2 * y * m, 2.0 * (m > 0)
-    m = np.maximum(np.abs(s - y) - p, 0)
-    return m * m, 2 * np.sign(s - y) * m, 2.0 * (m > 0)
-
-
-class _Rows:
-    """The rows of an Arrow batch, dense (an array of values) or sparse (indices from 0 and values), as one matrix of width d."""
-
-    def __init__(self, batch: pa.RecordBatch, d: int):
-        self.y, self.d, lists = batch.column(0).to_numpy(zero_copy_only=False), d, [batch.column(k) for k in range(1, batch.num_columns)]
-        ends = lists[0].offsets.to_numpy()
-        self.values = lists[-1].values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(float)
-        self.row = np.repeat(np.arange(len(self.y)), np.diff(ends))
-        if len(lists) == 2:
-            self.j = lists[0].values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64)
-        else:
-            self.j = np.arange(len(self.values)) - np.repeat(ends[:-1] - ends[0], np.diff(ends))
-        if len(self.j) and int(self.j.max()) >= d:  # features beyond the model's are ignored
-            kept = self.j < d
-            self.values, self.row, self.j = self.values[kept], self.row[kept], self.j[kept]
-        self.dense = self.values.reshape(len(self.y), d) if len(self.values) == len(self.y) * d else None
-
-    def times(self, w: np.ndarray) -> np.ndarray:
-        return self.dense @ w if self.dense is not None else np.bincount(self.row, self.values * w[self.j], minlength=len(self.y))
-
-    def gather(self, c: np.ndarray) -> np.ndarray:
-        return c @ self.dense if self.dense is not None else np.bincount(self.j, self.values * c[self.row], minlength=self.d)
-
-    def squares(self, c: np.ndarray) -> np.ndarray:
-        """The matrix of the weighted products of all pairs of features."""
-        x = self.dense
-        if x is None:
-            x = np.zeros((len(self.y), self.d))
-            np.add.at(x, (self.row, self.j), self.values)
-        return (x * c[:, None]).T @ x
-
-
-def _features(samples: DataFrame) -> list[str]:
-    return ["features"] if "features" in samples.columns else ["indices", "values"]
-
-
-def _summed(samples: DataFrame, size: int, d: int, add) -> np.ndarray:
-    """The sum over all rows of what ``add`` gives for a batch, a vector of ``size``: the same number of rows from every
-    partition, added up by the executors; the driver receives ``size`` rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for b in batches:
-            if b.num_rows:
-                total += add(_Rows(b, d))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], names=["i", "v"])
-
-    got = samples.select("y", *_features(samples)).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    flat = np.zeros(size)
-    flat[got.column("i").to_numpy()] = got.column("v").to_numpy()
-    return flat
-
-
-def _costs(y: np.ndarray, c: float, weights: dict[float, float]) -> np.ndarray:
-    return np.array([c * weights.get(v, 1.0) for v in y]) if weights else np.full(len(y), c)
+def spec(solver: int, c: float = 1.0, p: float = 0.1, **more) -> batch.Spec:
+    """A model of ``batch`` by solver number."""
+    if SOLVERS[solver] in ("hinge", "svr1"):
+        raise ValueError("solvers 3 and 13 are dual: use train_dual")
+    return batch.Spec(SOLVERS[solver], c, p, solver in L1, **more)
 
 
 def loss_sum(samples: DataFrame, w: np.ndarray, kind: str, c: float, p: float, weights: dict[float, float]) -> float:
     """C times the summed loss."""
-    return float(_summed(samples, 1, len(w), lambda rows: np.array([_costs(rows.y, c, weights) @ _terms(kind, rows.y, rows.times(w), p)[0]]))[0])
+    return float(_family(samples, w, kind, c, p, weights).losses(_ONE, w[None])[0])
 
 
 def slope_sum(samples: DataFrame, w: np.ndarray, kind: str, c: float, p: float, weights: dict[float, float]) -> tuple[float, np.ndarray]:
     """C times the summed loss and gradient."""
-
-    def add(rows: _Rows) -> np.ndarray:
-        k, (f, g, _) = _costs(rows.y, c, weights), _terms(kind, rows.y, rows.times(w), p)
-        return np.concatenate([[k @ f], rows.gather(k * g)])
-
-    flat = _summed(samples, 1 + len(w), len(w), add)
-    return float(flat[0]), flat[1:]
+    f, g, _ = _family(samples, w, kind, c, p, weights).slopes(_ONE, w[None], False)
+    return float(f[0]), g[0]
 
 
 def bend_sum(samples: DataFrame, w: np.ndarray, v: np.ndarray, kind: str, c: float, p: float, weights: dict[float, float]) -> np.ndarray:
     """C times the summed Hessian at w, times the vector v."""
-    return _summed(samples, len(w), len(w), lambda rows: rows.gather(_costs(rows.y, c, weights) * _terms(kind, rows.y, rows.times(w), p)[2] * rows.times(v)))
+    return _family(samples, w, kind, c, p, weights).bends(_ONE, w[None], v[None])[0]
 
 
 def sums(samples: DataFrame, w: np.ndarray, kind: str, c: float, p: float, weights: dict[float, float]) -> tuple[float, np.ndarray, np.ndarray]:
     """C times the summed loss, gradient and Hessian over all rows."""
-    d = len(w)
+    f, g, h = _family(samples, w, kind, c, p, weights).slopes(_ONE, w[None], True)
+    return float(f[0]), g[0], h[0]
 
-    def add(rows: _Rows) -> np.ndarray:
-        k, (f, g, h) = _costs(rows.y, c, weights), _terms(kind, rows.y, rows.times(w), p)
-        return np.concatenate([[k @ f], rows.gather(k * g), rows.squares(k * h).ravel()])
 
-    flat = _summed(samples, 1 + d + d * d, d, add)
-    return float(flat[0]), flat[1 : 1 + d], flat[1 + d :].reshape(d, d)
+_ONE = np.zeros(1, int)
 
 
-#: Up to so many features a step uses the whole Hessian; beyond it, products with it. Both reach the same minimum.
-WHOLE_HESSIAN = 256
-
-
-def _conjugate(product, grad: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """A step that nearly solves Hessian times step = -gradient, by conjugate gradients."""
-    step, left = np.zeros_like(grad), -grad
-    along, size = left.copy(), float(left @ left)
-    goal = min(0.1, math.sqrt(math.sqrt(size))) ** 2 * size
-    for _ in range(rounds):
-        bent = product(along)
-        rate = size / float(along @ bent)
-        step += rate * along
-        left -= rate * bent
-        fresh = float(left @ left)
-        if fresh <= goal:
-            break
-        along, size = left + fresh / size * along, fresh
-    return step
+def _family(samples: DataFrame, w: np.ndarray, kind: str, c: float, p: float, weights: dict[float, float]) -> batch.Family:
+    return batch.Family(samples, len(w), [batch.Spec(kind, c, p, weights=weights or {})], "y")
 
 
 def train(samples: DataFrame, d: int, solver: int = 2, c: float = 1.0, eps: float | None = None, p: float = 0.1, weights: dict[float, float] | None = None, start: np.ndarray | None = None, max_iter: int = 100) -> tuple[np.ndarray, float]:
     """(w, objective) of a binary classifier (y in {+1, -1}) or a regression; the bias is a feature and is regularised.
 
-    ``samples`` has y and either ``features`` or ``indices`` (from 0) and ``values``. With more than WHOLE_HESSIAN features
+    ``samples`` has y and either ``features`` or ``indices`` (from 0) and ``values``. With more than ``batch.WHOLE`` features
     the squared penalty takes Newton steps by conjugate gradients, whose products with the Hessian, like the gradient, are
     one number for each feature from every partition; a line search adds up losses alone. The absolute penalty needs the
-    Hessian and so refuses more features.
+    Hessian and so refuses more than 16 times as many.
     """
     eps = DEFAULT_EPS[solver] if eps is None else eps
     if problem := check_parameters(solver, c, eps, p):
         raise ValueError(problem)
-    kind, weights, w = SOLVERS[solver], weights or {}, np.zeros(d) if start is None else start.astype(float)
-    if kind in ("hinge", "svr1"):
-        raise ValueError("solvers 3 and 13 are dual: use train_dual")
-    whole = d <= WHOLE_HESSIAN
-    if solver in L1 and d > 16 * WHOLE_HESSIAN:
-        raise ValueError(f"the absolute penalty takes {16 * WHOLE_HESSIAN} features at most")
-    whole = whole or solver in L1
-    penalty = (lambda v: float(np.abs(v).sum())) if solver in L1 else (lambda v: float(v @ v) / 2)
-    args = (kind, c, p, weights)
-    first = h = None
-    f = g = None
-    for _ in range(max_iter):
-        if f is None:
-            f, g, h = sums(samples, w, *args) if whole else (*slope_sum(samples, w, *args), None)
-        grad = g + (np.where(w != 0, np.sign(w), np.clip(-g, -1, 1)) if solver in L1 else w)
-        first = first or float(np.linalg.norm(grad)) or 1.0
-        if np.linalg.norm(grad) <= min(eps, 1e-6) * first:
-            break
-        if solver in L1:
-            step = _lasso(h + 1e-9 * np.eye(d), g, w) - w
-        elif whole:
-            step = -np.linalg.solve(h + np.eye(d), grad)
-        else:
-            step = _conjugate(lambda v, at=w: v + bend_sum(samples, at, v, *args), grad)
-        rate, now, tried = 1.0, f + penalty(w), None
-        for attempt in range(20):
-            if attempt == 0 and whole:  # a whole step is nearly always taken, so its sums are what the next step needs
-                tried = sums(samples, w + step, *args)
-                value = tried[0]
-            else:
-                tried, value = None, loss_sum(samples, w + rate * step, *args)
-            if value + penalty(w + rate * step) <= now:
-                break
-            rate /= 2
-        else:
-            break
-        w = w + rate * step
-        f, g, h = tried or (None, None, None)
-        if now - value - penalty(w) <= 1e-12 * max(1.0, abs(now)):
-            f = value
-            break
-    return w, f + penalty(w)
-
-
-def _lasso(h: np.ndarray, g: np.ndarray, w: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """The minimum of the quadratic model at w plus the l1 norm, by coordinate descent; a moved weight updates all slopes at once."""
-    v, slope = w.copy(), g.copy()
-    size = np.diag(h)
-    for _ in range(rounds):
-        moved = 0.0
-        for j in range(len(w)):
-            z = v[j] - slope[j] / size[j]
-            fresh = math.copysign(max(abs(z) - 1 / size[j], 0.0), z)
-            if fresh != v[j]:
-                slope += (fresh - v[j]) * h[j]
-                moved = max(moved, abs(fresh - v[j]))
-                v[j] = fresh
-        if moved < 1e-10:
-            break
-    return v
+    if solver in L1 and d > 16 * batch.WHOLE:
+        raise ValueError(f"the absolute penalty takes {16 * batch.WHOLE} features at most")
+    w, f, _ = batch.train(samples, d, [spec(solver, c, p, weights=weights or {})], eps=min(eps, 1e-6), start=None if start is None else start[None], max_iter=max_iter)
+    return w[0], float(f[0])
 
 
 def dual_descent(x: np.ndarray, y: np.ndarray, c: float, kind: str = "hinge", p: float = 0.1, rounds: int = 1000, eps: float = 1e-3, seed: int = 1) -> np.ndarray:
@@ -285,17 +139,23 @@ def dual_descent(x: np.ndarray, y: np.ndarray, c: float, kind: str = "hinge", p:
 
 
 def one_vs_rest(samples: DataFrame, d: int, labels: list[float], solver: int = 2, c: float = 1.0) -> np.ndarray:
-    """One weight vector for each label."""
-    return np.stack([train(samples.withColumn("y", F.when(F.col("label") == v, 1.0).otherwise(-1.0)), d, solver, c)[0] for v in labels])
+    """One weight vector for each label, all trained by the same scans."""
+    return batch.train(samples, d, [spec(solver, c, head=float(v)) for v in labels], label="label")[0]
+
+
+def with_scores(samples: DataFrame, weights: np.ndarray, out: str = "s") -> DataFrame:
+    """``samples`` with the scores under every row of ``weights`` as an array; the weights are one broadcast row, not part of the plan."""
+    model = samples.sparkSession.createDataFrame([([[float(v) for v in w] for w in weights],)], "weights__ array<array<double>>")
+    score = F.transform("weights__", lambda w: F.aggregate(F.zip_with("features", w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    return samples.crossJoin(F.broadcast(model)).withColumn(out, score).drop("weights__")  # one row
 
 
 def predict(samples: DataFrame, weights: np.ndarray, labels: list[float]) -> DataFrame:
     """(row_id, prediction, probability): the label of the largest score, ties to the first; logistic shares of the scores."""
-    score = lambda w: F.aggregate(F.zip_with("features", F.array(*map(F.lit, map(float, w))), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    scored = with_scores(samples, weights).select("row_id", "s")
     if len(labels) == 2 and len(weights) == 1:
-        one = samples.withColumn("s", score(weights[0]))
+        one = scored.withColumn("s", F.get("s", F.lit(0)))
         return one.select("row_id", F.when(F.col("s") > 0, labels[0]).otherwise(labels[1]).alias("prediction"), (1 / (1 + F.exp(-F.abs("s")))).alias("probability"))
-    scored = samples.select("row_id", F.array(*map(score, weights)).alias("s"))
     shares = F.transform("s", lambda v: 1 / (1 + F.exp(-v)))
     best = F.array_position("s", F.array_max("s")).cast("int")
     return scored.select("row_id", F.element_at(F.array(*map(F.lit, labels)), best).alias("prediction"), (F.element_at(shares, best) / F.aggregate(shares, F.lit(0.0), lambda a, v: a + v)).alias("probability"))
@@ -411,8 +271,7 @@ class Model:
         if self.bias >= 0:
             cut = cut.withColumn("features", F.concat("features", F.array(F.lit(float(self.bias)))))
         if not self.labels:
-            terms = F.zip_with("features", F.array(*map(F.lit, map(float, self.weights[0]))), lambda a, b: a * b)
-            return cut.select("row_id", F.aggregate(terms, F.lit(0.0), lambda s, v: s + v).alias("prediction"), F.lit(None).cast("double").alias("probability"))
+            return with_scores(cut, self.weights).select("row_id", F.get("s", F.lit(0)).alias("prediction"), F.lit(None).cast("double").alias("probability"))
         return predict(cut, self.weights, list(self.labels))
 
 
@@ -435,38 +294,65 @@ def train_model(samples: DataFrame, d: int, options: dict, label: str = "label")
             weights[labels.index(r["label"]), r["j"]] = r["w"]
         return Model(solver, labels, weights, bias)
     heads = labels[:1] if len(labels) == 2 else labels
-    weights = []
-    for head in heads:
-        own = options["weights"]
-        scale = {1.0: own.get(head, 1.0), -1.0: own.get(labels[1], 1.0) if len(labels) == 2 else 1.0}
-        weights.append(_weights(rows.withColumn("y", F.when(F.col("label") == head, 1.0).otherwise(-1.0)), d, options, scale))
-    return Model(solver, labels, np.stack(weights), bias)
+    own = options["weights"]
+    # of the rest of several classes each row has the weight 1
+    scales = [{head: own.get(head, 1.0)} | ({labels[1]: own.get(labels[1], 1.0)} if len(labels) == 2 else {}) for head in heads]
+    if SOLVERS[solver] == "hinge":
+        binary = [(rows.withColumn("y", F.when(F.col("label") == head, 1.0).otherwise(-1.0)), scale) for head, scale in zip(heads, scales, strict=True)]
+        return Model(solver, labels, np.stack([_weights(y, d, options, {1.0: scale[head], -1.0: scale.get(labels[1], 1.0) if len(labels) == 2 else 1.0}) for (y, scale), head in zip(binary, heads, strict=True)]), bias)
+    specs = [spec(solver, c, options["p"], head=head, weights={k: v for k, v in scale.items() if v != 1.0}) for head, scale in zip(heads, scales, strict=True)]
+    return Model(solver, labels, batch.train(rows, d, specs, label="label", eps=min(options["eps"], 1e-6))[0], bias)
 
 
 def _weights(rows: DataFrame, d: int, options: dict, scale: dict[float, float]) -> np.ndarray:
+    """Weights of one model; ``scale`` weights C by y."""
     solver, c = options["solver"], options["c"]
+    scale = {v: k for v, k in scale.items() if k != 1.0}
     if SOLVERS[solver] in ("hinge", "svr1"):
-        method = "hinge" if SOLVERS[solver] == "hinge" else "absolute"
-        if set(scale.values()) - {1.0}:
-            raise ValueError("this solver takes no class weights")
-        w = np.zeros(d)
-        for r in train_dual(rows.withColumn("task_id", F.lit(0).cast("long")), method, c, options["p"]).collect():  # d rows
-            w[r["j"]] = r["w"]
-        return w
-    return train(rows, d, solver, c, options["eps"], options["p"], scale if set(scale.values()) - {1.0} else None)[0]
+        found = dual.fit(rows, "hinge" if SOLVERS[solver] == "hinge" else "absolute", c, options["p"], weights=scale, gap=min(options["eps"], 1e-2)).weights
+        return found if len(found) else np.zeros(d)
+    return train(rows, d, solver, c, options["eps"], options["p"], scale)[0]
 
 
 def cross_validate(samples: DataFrame, d: int, options: dict, folds: int, seed: int = 1, label: str = "label") -> DataFrame:
-    """(row_id, y, prediction): each row by the model that was trained on the other folds."""
+    """(row_id, y, prediction): each row by the model that was trained on the other folds.
+
+    The models of all folds, and of all classes against the rest, are trained by the same scans; those of the dual solvers fold by fold.
+    """
     placed = samples.join(random_folds(samples, folds, seed), "row_id")
+    models = _fold_models(placed, d, options, folds, label) if options["solver"] not in (3, 4, 13) else [train_model(placed.where(F.col("fold") != k), d, options, label) for k in range(folds)]
     parts = []
-    for k in range(folds):
-        model = train_model(placed.where(F.col("fold") != k), d, options, label)
+    for k, model in enumerate(models):
         held = placed.where(F.col("fold") == k)
         parts.append(model.predict(held).join(held.select("row_id", F.col(label).cast("double").alias("y")), "row_id").select("row_id", "y", "prediction"))
     return reduce(DataFrame.unionAll, parts)
 
 
+def _fold_models(placed: DataFrame, d: int, options: dict, folds: int, label: str) -> list[Model]:
+    """For each fold the model of the rows outside it; labels in the order of their first row there."""
+    solver, c, p, bias = options["solver"], options["c"], options["p"], options["bias"]
+    if problem := check_parameters(solver, c, options["eps"], p, bias):
+        raise ValueError(problem)
+    rows = placed.withColumn("label", F.col(label).cast("double"))
+    if bias >= 0:
+        rows, d = rows.withColumn("features", F.concat("features", F.array(F.lit(float(bias))))), d + 1
+    orders: list[tuple[float, ...]] = [()] * folds
+    if solver not in REGRESSION:
+        found = rows.groupBy("label", "fold").agg(F.min("row_id").alias("first")).collect()  # labels times folds
+        for k in range(folds):
+            first: dict[float, int] = {}
+            for r in found:
+                if r["fold"] != k:
+                    first[r["label"]] = min(r["first"], first.get(r["label"], r["first"]))
+            order = tuple(sorted(first, key=first.get))
+            orders[k] = order[::-1] if order == (-1.0, 1.0) else order
+    heads = [(k, head) for k, order in enumerate(orders) for head in (order[:1] if len(order) == 2 else order or (None,))]
+    own = options["weights"]
+    specs = [spec(solver, c, p, head=head, held=k, weights={v: own[v] for v in ({head, *orders[k]} if len(orders[k]) == 2 else {head}) if v in own}) for k, head in heads]
+    w = batch.train(rows, d, specs, label="label", eps=min(options["eps"], 1e-6))[0]
+    return [Model(solver, order, w[[i for i, (fold, _) in enumerate(heads) if fold == k]], bias) for k, order in enumerate(orders)]
+
+
 def first_c(samples: DataFrame, solver: int, p: float = 0.1) -> float:
     """Where the search for C starts: the power of two below the least C that can move the weights."""
     norm = F.aggregate("features", F.lit(0.0), lambda s, v: s + v * v)
@@ -484,20 +370,16 @@ def first_c(samples: DataFrame, solver: int, p: float = 0.1) -> float:
 def search_c(samples: DataFrame, d: int, solver: int = 2, folds: int = 5, seed: int = 1, start: float | None = None, most: float = 1024.0, p: float = 0.1) -> list[tuple[float, float]]:
     """(C, score) along C = start, 2 start, ...: the held-out accuracy, or for a regression the mean squared error.
 
-    Each fold starts from its weights at the last C. The search ends after five C in a row that move no weights, or
+    The folds' models share their scans, and each starts from its weights at the last C. The search ends after five C in a row that move no weights, or
     beyond ``most``. The first best entry is ``best_c``.
     """
     placed = samples.select("row_id", "y", "features").join(random_folds(samples, folds, seed), "row_id").cache()
     try:
-        c, still, warm, path = start or first_c(samples, solver, p), 0, [None] * folds, []
+        c, still, warm, path = start or first_c(samples, solver, p), 0, None, []
         while c <= most:
-            models, moved = [], False
-            for k in range(folds):
-                w = train(placed.where(F.col("fold") != k), d, solver, c, p=p, start=warm[k])[0]
-                moved |= warm[k] is None or float(np.linalg.norm(w - warm[k])) > 1e-15
-                models.append(w)
-            own = F.element_at(F.array(*(F.array(*map(F.lit, map(float, w))) for w in models)), F.col("fold") + 1)
-            scored = placed.withColumn("s", F.aggregate(F.zip_with("features", own, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+            models = batch.train(placed, d, [spec(solver, c, p, held=k) for k in range(folds)], eps=1e-6, start=warm)[0]
+            moved = warm is None or bool((np.linalg.norm(models - warm, axis=1) > 1e-15).any())
+            scored = with_scores(placed, models).withColumn("s", F.get("s", F.col("fold")))
             hit = F.pow(F.col("s") - F.col("y"), 2) if SOLVERS[solver] == "svr2" else ((F.col("s") > 0) == (F.col("y") > 0)).cast("double")
             path.append((c, float(scored.agg(F.avg(hit).alias("score")).first()["score"])))
             warm, still, c = models, 0 if moved else still + 1, 2 * c

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordinata.operators.prefix import running
+from ordinata.operators.prefix import join_groups, running
 
 
 def _classes(y: str) -> dict:
@@ -13,10 +13,14 @@ def _classes(y: str) -> dict:
 
 
 def curve(df: DataFrame, score: str = "score", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
-    """By falling score: tp, fp, tpr, fpr, precision, with the class totals. A class without rows gives nulls."""
+    """By falling score: tp, fp, tpr, fpr, precision, with the class totals. A class without rows gives nulls.
+
+    Rows without a score or a label are left out; a null in ``by`` is a group like any other.
+    """
+    df = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
     ran = running(df, score, _classes(y), by, descending=True)
     total = df.groupBy(*by).agg(*(F.sum(c).alias(f"total_{n}") for n, c in _classes(y).items()))
-    joined = ran.join(total, list(by)) if by else ran.crossJoin(F.broadcast(total))  # one row
+    joined = join_groups(ran, total, list(by)) if by else ran.crossJoin(F.broadcast(total))  # one row
     tp, fp = F.col("cum_p"), F.col("cum_n")
     share = lambda a, b: F.when(b > 0, a / b)
     return joined.select(*by, score, F.col("p"), F.col("n"), tp.alias("tp"), fp.alias("fp"), "total_p", "total_n", share(tp, F.col("total_p")).alias("tpr"), share(fp, F.col("total_n")).alias("fpr"), (tp / (tp + fp)).alias("precision"))

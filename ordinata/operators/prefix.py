@@ -11,6 +11,8 @@ third of the buckets at least.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,9 +42,20 @@ def _place(cuts: Column, key: Column, buckets: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, buckets.bit_length()))), state, halve)["low"]
 
 
+def join_groups(rows: DataFrame, info: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` joined with ``info`` on ``by``, where null is a value."""
+    named = info.withColumnsRenamed({c: f"__g_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, (rows[c].eqNullSafe(named[f"__g_{c}"]) for c in by))
+    return rows.join(named, same).drop(*(f"__g_{c}" for c in by))
+
+
 def running(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, ...] = (), descending: bool = False, buckets: int | None = None) -> DataFrame:
-    """One row for each key of ``order`` (and ``by``): each sum, and as ``cum_<name>`` its running total up to the key."""
+    """One row for each key of ``order`` (and ``by``): each sum, and as ``cum_<name>`` its running total up to the key.
+
+    Rows without a key are left out; a null in ``by`` is a group like any other.
+    """
     buckets = buckets or bucket_count(df)
+    df = df.where(F.col(order).isNotNull())
     sign = -1 if descending else 1
     keyed = df.groupBy(*by, order).agg(*(F.sum(c).alias(n) for n, c in sums.items())).withColumn("__k", sign * F.col(order))
     shares = F.lit(np.arange(1, max(buckets, 2)) / max(buckets, 2))
@@ -53,7 +66,7 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, .
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # ``buckets`` rows for each group at most
     offsets = totals.select(*by, "__b", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__o_{n}") for n in sums))
     own = Window.partitionBy(*by, "__b").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(offsets, [*by, "__b"])
+    joined = join_groups(placed, offsets, [*by, "__b"])
     return joined.select(*by, order, *sums, *((F.sum(n).over(own) + F.col(f"__o_{n}")).alias(f"cum_{n}") for n in sums))
 
 

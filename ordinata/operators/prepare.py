@@ -46,7 +46,9 @@ def _fold_of(i: Column, n: Column, folds: int) -> Column:
 
 def _counted(df: DataFrame, samples: DataFrame, by: tuple[str, ...]) -> DataFrame:
     count = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return df.join(count, list(by)) if by else df.crossJoin(F.broadcast(count))
+    from ordinata.operators.prefix import join_groups
+
+    return join_groups(df, count, list(by)) if by else df.crossJoin(F.broadcast(count))
 
 
 def kfold(samples: DataFrame, folds: int, by: tuple[str, ...] = (), row: str = "row_id") -> DataFrame:
@@ -97,7 +99,8 @@ def trial_splits(samples: DataFrame, trials: int, train_rows: int, positives: tu
     """(trial, row, role, inner): the first ``trials`` seeded candidates that pass.
 
     A candidate trains on ``train_rows`` rows. It passes if its number of positives is one of ``positives`` and the test
-    part of each of its contiguous inner folds has ``least_negatives`` negatives.
+    part of each of its contiguous inner folds has ``least_negatives`` negatives. Reading the result fails if fewer than ``trials``
+    of the ``candidates`` pass.
     """
     drawn = shuffled(samples, seed, candidates, "candidate", row).join(samples.select(row, "y"), row)
     fold = _fold_of(F.col("position"), F.lit(train_rows).cast("long"), folds)
@@ -105,7 +108,8 @@ def trial_splits(samples: DataFrame, trials: int, train_rows: int, positives: tu
     by_fold = train.groupBy("candidate", "inner").agg(F.count_if(F.col("y") > 0).alias("p"), F.count_if(F.col("y") <= 0).alias("n"))
     passed = by_fold.groupBy("candidate").agg(F.sum("p").alias("p"), F.min("n").alias("least")).where(F.col("p").isin(*positives) & (F.col("least") >= least_negatives))
     numbered = passed.select("candidate", (F.row_number().over(Window.orderBy("candidate")) - 1).alias("trial")).where(F.col("trial") < trials)  # ``candidates`` rows at most
-    rows = drawn.join(F.broadcast(numbered), "candidate")
+    enough = numbered.agg(F.when(F.count(F.lit(1)) < trials, F.raise_error(F.lit(f"fewer than {trials} of {candidates} candidates pass")).cast("boolean")).otherwise(F.lit(True)).alias("enough__"))
+    rows = drawn.join(F.broadcast(numbered), "candidate", "right").crossJoin(F.broadcast(enough)).where("enough__").drop("enough__")  # one row
     inside = F.col("position") < train_rows
     return rows.select("trial", row, F.when(inside, "tr").otherwise("te").alias("role"), F.when(inside, fold).alias("inner"))
 

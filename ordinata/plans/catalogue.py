@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordinata.functions import vector as vf
-from ordinata.operators import blocks, experiments, graph, learners, linear, losses, metrics, order, prepare, report, saddle, scan
+from ordinata.operators import blocks, dual, experiments, graph, learners, linear, losses, metrics, order, prepare, report, saddle, scan, store
+from ordinata.sources import libsvm
 from ordinata.sources import samples as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,6 +214,27 @@ def kth_largest(spark, d):
     return order.kth_largest(_price(spark, d), "score", 500)
 
 
+@query(LI + " SELECT score AS kth FROM s ORDER BY score DESC LIMIT 1 OFFSET (SELECT count(*) // 2 - 1 FROM s)")
+def kth_at_half(spark, d):
+    """The value of rank n / 2, found digit by digit."""
+    s = _price(spark, d)
+    return order.kth_largest(s, "score", s.count() // 2)
+
+
+@query(LI + " SELECT row_id, l_quantity FROM s ORDER BY abs(l_quantity) DESC, row_id LIMIT (SELECT count(*) // 2 FROM s)")
+def top_half(spark, d):
+    """Half of the rows, by a value with many ties: beyond the ties' value all, at it the first by row."""
+    s = _price(spark, d).select("row_id", "l_quantity")
+    return order.top_by_magnitude(s, s.count() // 2, "l_quantity", "row_id")
+
+
+@query(LI + ", t AS (SELECT nullif(l_linestatus, 'F') AS g, y, CASE WHEN l_quantity > 3 THEN score END AS score FROM s), u AS (SELECT g, score, sum((y > 0)::INT) AS p, sum((y <= 0)::INT) AS n FROM t WHERE score IS NOT NULL GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER (PARTITION BY g ORDER BY score DESC) AS tp FROM u) SELECT g, sum(p)::BIGINT AS n_pos, sum(n)::BIGINT AS n_neg, round(CASE WHEN sum(p) * sum(n) > 0 THEN sum(n * (tp - p + p / 2.0)) / (sum(p) * sum(n)) END, 6) AS auc FROM c GROUP BY 1")
+def auc_null_group(spark, d):
+    """A null group is a group; rows without a score do not count."""
+    s = _price(spark, d).select(F.expr("nullif(l_linestatus, 'F')").alias("g"), "y", F.expr("CASE WHEN l_quantity > 3 THEN score END").alias("score"))
+    return _r(metrics.auc(s, by=("g",)))
+
+
 @query(LI + " SELECT l_quantity, score, min(rank) AS rank, count(*) AS n FROM (SELECT l_quantity, score, row_number() OVER (ORDER BY l_quantity DESC, score DESC) AS rank FROM s) GROUP BY 1, 2")
 def lex_sort(spark, d):
     return order.lex_rank(_price(spark, d), "l_quantity", "score")
@@ -494,10 +516,41 @@ def _trained(solver: int, c: float = 1.0):
     return run
 
 
+_VALUES = {"logistic": "greatest(0, -q.y * {s}) + ln(1 + exp(-abs(q.y * {s})))", "hinge2": "greatest(0, 1 - q.y * {s}) ** 2", "svr2": "greatest(0, abs({s} - q.y) - 0.1) ** 2"}
+_DERIVED = {"logistic": "-q.y / (1 + exp(q.y * {s}))", "hinge2": "-2 * q.y * greatest(0, 1 - q.y * {s})", "svr2": "2 * sign({s} - q.y) * greatest(0, abs({s} - q.y) - 0.1)"}
+
+
+def _minimum_sql(kind: str, rounds: int, rows: str = "r", l1: bool = False, c: str = "1.0", key: str = "0") -> str:
+    """Common tables ending in ``z`` (key, t, w): the minimum of |w|^2 / 2 (or the l1 norm) + C times the summed loss, by accelerated gradients.
+
+    The step is the inverse of a bound on the curvature, the trace of the Hessian. ``rows`` has (key, y, f), one problem for each key.
+    """
+    bend = 0.25 if kind == "logistic" else 2.0
+    faster = "(sqrt(top) - 1) / (sqrt(top) + 1)" if not l1 else "t / (t + 3)"
+    slope = "list_sum(list_transform(list_zip(cs, rows), lambda q: q[1] * q[2].f[j]))"
+    moved = f"v[j] - ({slope} + v[j]) / top" if not l1 else f"sign(v[j] - {slope} / top) * greatest(abs(v[j] - {slope} / top) - 1 / top, 0)"
+    return f""", m AS (SELECT {key} AS key, list({{'y': y, 'f': f}}) AS rows, {0 if l1 else 1} + {bend} * ({c}) * sum(list_dot_product(f, f)) AS top FROM {rows} GROUP BY 1),
+z AS (
+  SELECT key, 0 AS t, list_transform(rows[1].f, lambda x: 0.0::DOUBLE) AS w, list_transform(rows[1].f, lambda x: 0.0::DOUBLE) AS v FROM m
+  UNION ALL
+  SELECT key, t + 1 AS t, u AS w, list_transform(list_zip(u, w), lambda k: k[1] + {faster} * (k[1] - k[2])) AS v FROM (
+    SELECT *, list_transform(range(1, len(w) + 1), lambda j: {moved}) AS u FROM (
+      SELECT z.key, z.t, z.w, z.v, m.rows, m.top, list_transform(m.rows, lambda q: ({c}) * ({_DERIVED[kind].format(s="list_dot_product(v, q.f)")})) AS cs FROM z JOIN m ON m.key = z.key WHERE z.t < {rounds})))"""
+
+
+def _trained_sql(kind: str, rounds: int, l1: bool = False) -> str:
+    value = _VALUES[kind].format(s="list_dot_product(w, q.f)")
+    penalty = "list_sum(list_transform(w, lambda x: abs(x)))" if l1 else "list_dot_product(w, w) / 2"
+    body = _RECURSIVE + _minimum_sql(kind, rounds, "e", l1)
+    return body + f" SELECT unnest(range(len(w)))::INT AS j, round(unnest(w), 4) + 0.0 AS w, round({penalty} + list_sum(list_transform(rows, lambda q: {value})), 4) AS objective FROM z JOIN m ON m.key = z.key WHERE t = {rounds}"
+
+
 QUERIES |= {"linear_lr_l2": _trained(0), "linear_svc_l2": _trained(2), "linear_svc_l1": _trained(5), "linear_lr_l1": _trained(6), "linear_svr_l2": _trained(11)}
+ORACLES |= {"linear_lr_l2": _trained_sql("logistic", 400), "linear_svc_l2": _trained_sql("hinge2", 700), "linear_svr_l2": _trained_sql("svr2", 700), "linear_svc_l1": _trained_sql("hinge2", 1500, True), "linear_lr_l1": _trained_sql("logistic", 1500, True)}
+_CLASSES = EMB.replace("WITH e", "WITH RECURSIVE e", 1) + ", h AS (SELECT l AS key, CASE WHEN label = l THEN 1.0 ELSE -1.0 END::DOUBLE AS y, f FROM e, (SELECT unnest(range(10)) AS l))"
 
 
-@query()
+@query(_CLASSES + _minimum_sql("hinge2", 900, "h", key="key") + ", s AS (SELECT row_id, key, list_dot_product(w, f) AS s FROM e, z WHERE t = 900) SELECT row_id, arg_max(key, s)::BIGINT AS prediction, round(max(1 / (1 + exp(-s))) / sum(1 / (1 + exp(-s))), 6) AS probability FROM s GROUP BY 1")
 def ovr_predict(spark, d):
     s, labels = src.embeddings(spark, d), list(range(10))
     return _r(linear.predict(s, linear.one_vs_rest(s, 64, labels), labels))
@@ -511,10 +564,20 @@ def pcst_project(spark, d):
 
 @query(LONG + " SELECT row_id, y, count(*) FILTER (WHERE v <> 0) AS stored, round(sum(v), 4) AS total FROM l GROUP BY 1, 2")
 def libsvm_roundtrip(spark, d):
-    lines = src.libsvm_lines(src.to_sparse(src.embeddings(spark, d))).select("row_id", F.split("value", " ").alias("p"))
-    pairs = F.slice(F.col("p"), F.lit(2), F.size("p") - 1)
-    values = F.transform(pairs, lambda x: F.split_part(x, F.lit(":"), F.lit(2)).cast("double"))
-    return lines.select("row_id", F.get("p", F.lit(0)).cast("double").alias("y"), F.size(pairs).cast("long").alias("stored"), F.round(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    """Samples in row order to libsvm files and back, by small byte ranges; a row's number is its line's."""
+    folder = store.shared_folder(spark)
+    libsvm.write(src.embeddings(spark, d).repartitionByRange(4, "row_id").sortWithinPartitions("row_id"), folder)
+    rows = libsvm.read(spark, folder, range_bytes=100_000)
+    return rows.select("row_id", "y", F.size("values").cast("long").alias("stored"), F.round(F.aggregate("values", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
+
+
+@query(LONG + " SELECT row_id, y, count(*) FILTER (WHERE v <> 0) AS stored, round(sum(v), 4) AS total FROM l WHERE row_id BETWEEN 100 AND 249 GROUP BY 1, 2")
+def libsvm_line_range(spark, d):
+    """Lines 100 to 249 of libsvm files; ranges outside are not opened."""
+    folder = store.shared_folder(spark)
+    libsvm.write(src.embeddings(spark, d).repartitionByRange(4, "row_id").sortWithinPartitions("row_id"), folder)
+    rows = libsvm.read(spark, folder, first=100, last=249, range_bytes=100_000)
+    return rows.select("row_id", "y", F.size("values").cast("long").alias("stored"), F.round(F.aggregate("values", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
 
 
 def _key_sql(name: str, seed: int) -> str:
@@ -761,7 +824,34 @@ def grid_hsg_ht(spark, d):
     return _r(spark.createDataFrame([(k, j, float(v)) for k, row in enumerate(w) for j, v in enumerate(row) if v], "ordinal long, j int, w double"))
 
 
-QUERIES |= {"linear_hinge_dual": _dual("hinge"), "linear_svr_dual": _dual("absolute"), "linear_multiclass": _dual("multiclass")}
+def _ascended(kind: str, weights: dict[float, float]):
+    """Dual ascent by four parts, to a gap that the rounded weights need."""
+
+    def run(spark, d):
+        w = dual.fit(src.embeddings(spark, d), kind, 0.1, 0.1, weights=weights, parts=4, gap=1e-10, most=60).weights
+        return _r(spark.createDataFrame([(1.0, j, float(v)) for j, v in enumerate(w)], "label double, j int, w double"), 3)
+
+    return run
+
+
+def _ascended_sql(kind: str, positive: float, rounds: int = 600) -> str:
+    """The dual's maximum by accelerated projected gradients over all of its variables, and its weights."""
+    sign = "q.y * " if kind == "hinge" else ""
+    cost = f"CASE WHEN m.rows[i].y > 0 THEN {0.1 * positive} ELSE 0.1 END"
+    rise = "v[i] + (1 - m.rows[i].y * list_dot_product(w, m.rows[i].f)) / m.top" if kind == "hinge" else "v[i] + (m.rows[i].y - list_dot_product(w, m.rows[i].f)) / m.top"
+    fresh = f"greatest(0, least({cost}, {rise}))" if kind == "hinge" else f"greatest(-({cost}), least({cost}, sign({rise}) * greatest(abs({rise}) - 0.1 / m.top, 0)))"
+    weights = lambda a: f"list_transform(range(1, len(m.rows[1].f) + 1), lambda j: list_sum(list_transform(list_zip({a}, m.rows), lambda k: k[1] * {sign.replace('q.', 'k[2].')}k[2].f[j])))"
+    return _RECURSIVE + f""", m AS (SELECT list({{'y': y, 'f': f}}) AS rows, sum(list_dot_product(f, f)) AS top FROM e),
+z AS (
+  SELECT 0 AS t, list_transform(rows, lambda q: 0.0::DOUBLE) AS a, list_transform(rows, lambda q: 0.0::DOUBLE) AS v FROM m
+  UNION ALL
+  SELECT t + 1 AS t, u AS a, list_transform(list_zip(u, a), lambda k: k[1] + t / (t + 3) * (k[1] - k[2])) AS v FROM (
+    SELECT t, a, list_transform(range(1, len(v) + 1), lambda i: {fresh}) AS u FROM (SELECT z.*, {weights("z.v")} AS w FROM z, m WHERE t < {rounds}) z, m))
+SELECT 1.0::DOUBLE AS label, unnest(range(len(w)))::INT AS j, round(unnest(w), 3) + 0.0 AS w FROM (SELECT {weights("z.a")} AS w FROM z, m WHERE t = {rounds})"""
+
+
+QUERIES |= {"linear_hinge_dual": _ascended("hinge", {}), "linear_hinge_weighted": _ascended("hinge", {1.0: 0.5}), "linear_svr_dual": _ascended("absolute", {}), "linear_multiclass": _dual("multiclass")}
+ORACLES |= {"linear_hinge_dual": _ascended_sql("hinge", 1.0), "linear_hinge_weighted": _ascended_sql("hinge", 0.5), "linear_svr_dual": _ascended_sql("absolute", 1.0)}
 
 
 @query()

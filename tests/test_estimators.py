@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ordinata.operators import experiments, graph, learners, linear, metrics, order, prepare, report
+from ordinata.operators import batch, experiments, graph, learners, linear, metrics, order, prepare, report
 from ordinata.sources import samples as src
 
 
@@ -177,7 +177,7 @@ def test_products_reach_the_minimum_of_the_whole_hessian(spark, monkeypatch, sol
     x, y = data(100, 5)
     rows = frame(spark, x, y)
     whole = linear.train(rows, 5, solver)
-    monkeypatch.setattr(linear, "WHOLE_HESSIAN", 2)
+    monkeypatch.setattr(batch, "WHOLE", 2)
     by_products = linear.train(rows, 5, solver)
     assert np.allclose(whole[0], by_products[0], atol=1e-4) and whole[1] == pytest.approx(by_products[1], rel=1e-6)
 

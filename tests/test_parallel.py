@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ordinata.operators import blocks, learners, saddle, scan, store
+from ordinata.operators import batch, blocks, dual, learners, linear, metrics, order, prepare, saddle, scan, store
 from tests.test_estimators import data, frame
 
 
@@ -118,3 +118,108 @@ def test_the_thresholded_moment_keeps_the_largest():
     for row in rng.normal(size=(30, 8)):
         kept.add(row)
         assert 0.9 * kept.most <= np.count_nonzero(kept.matrix) <= kept.most or np.count_nonzero(kept.matrix) < kept.most
+
+
+def test_many_models_in_one_scan(spark):
+    """Classes against the rest, folds and values of C at once are what each is alone; scans are those of the slowest."""
+    rng = np.random.default_rng(9)
+    k = rng.integers(0, 3, 120)
+    x = rng.normal(size=(120, 4)) + np.eye(4)[k]
+    rows = spark.createDataFrame([(i, float(c), int(i % 3), [float(v) for v in f]) for i, (c, f) in enumerate(zip(k, x, strict=True))], "row_id long, label double, fold int, features array<double>")
+    specs = [linear.spec(s, c, 0.1, head=head, held=held) for s in (0, 2, 5) for c in (0.1, 2.0) for head in (0.0, 2.0) for held in (None, 1)]
+    w, f, scans = batch.train(rows, 4, specs, label="label")
+    most = 0
+    for one, v, value in zip(specs, w, f, strict=True):
+        own = rows.withColumn("y", F.when(F.col("label") == one.head, 1.0).otherwise(-1.0))
+        own = own if one.held is None else own.where(F.col("fold") != one.held)
+        alone = batch.train(own.drop("fold"), 4, [batch.Spec(one.kind, one.c, one.p, one.l1)])
+        assert v == pytest.approx(alone[0][0], abs=1e-5) and value == pytest.approx(alone[1][0], rel=1e-8)
+        most = max(most, alone[2])
+        y = np.where(k == one.head, 1.0, -1.0)[(np.arange(120) % 3 != one.held) if one.held is not None else slice(None)]
+        rest = x[(np.arange(120) % 3 != one.held) if one.held is not None else slice(None)]
+        g = one.c * batch.terms(one.kind, y, rest @ v, 0.1)[1] @ rest
+        gap = np.where(v != 0, g + np.sign(v), np.maximum(np.abs(g) - 1, 0)) if one.l1 else g + v
+        assert np.abs(gap).max() < 1e-3
+        if most > 12:
+            break
+    assert scans <= 4 * 12 + 20
+
+
+def test_cross_validation_shares_scans(spark):
+    """The predictions of every fold's model, for two and for three classes and a regression, with class weights and a bias."""
+    x, y = data(90, 3)
+    rows = frame(spark, x, y)
+    for labels, text in ((rows, "-s 2 -c 0.5 -B 1 -w1 2"), (rows.withColumn("label", F.col("row_id") % 3 * 1.0), "-s 0"), (rows.withColumn("label", F.get("features", F.lit(0))), "-s 11")):
+        options = linear.parse_options(text)
+        got = {r["row_id"]: r["prediction"] for r in linear.cross_validate(labels, 3, options, 3).collect()}
+        placed = labels.join(prepare.random_folds(labels, 3, 1), "row_id")
+        for k in range(3):
+            model = linear.train_model(placed.where(F.col("fold") != k).drop("fold"), 3, options)
+            for r in model.predict(placed.where(F.col("fold") == k)).collect():
+                assert got[r["row_id"]] == pytest.approx(r["prediction"], abs=1e-4)
+
+
+@pytest.mark.parametrize(("kind", "c", "weights"), [("hinge", 0.1, {1.0: 3.0}), ("absolute", 0.1, {})])
+def test_dual_ascent_is_certified(spark, kind, c, weights):
+    """The gap recomputed from weights alone; no other weights do better than the bound; parts agree within it."""
+    x, y = data(120, 4)
+    rows = frame(spark, x, y)
+    cost = np.where(y > 0, c * weights.get(1.0, 1.0), c)
+    objective = lambda w: w @ w / 2 + cost @ (np.maximum(1 - y * (x @ w), 0) if kind == "hinge" else np.maximum(np.abs(x @ w - y) - 0.1, 0))
+    for parts in (1, 3):
+        got = dual.fit(rows, kind, c, 0.1, weights=weights, parts=parts, gap=1e-2)
+        assert 0 <= got.gap <= 1e-2 and got.objective == pytest.approx(objective(got.weights))
+        rng = np.random.default_rng(1)
+        assert all(objective(got.weights + 0.1 * rng.normal(size=4)) >= got.bound for _ in range(50))
+    assert dual.fit(rows.limit(0), kind).weights.size == 0
+
+
+def test_class_weights_reach_the_hinge_machine(spark):
+    x, y = data(80, 3)
+    heavy, plain = (linear.train_model(frame(spark, x, y), 3, linear.parse_options(f"-s 3 -c 0.05 -e 0.01{w}")).weights[0] for w in (" -w1 5", ""))
+    assert (x @ heavy > 0).sum() > (x @ plain > 0).sum()
+
+
+def test_settings_reach_every_block(spark):
+    """On 2,000 rows a pass takes every one of the 40 blocks once, the last with the rows that are left."""
+    spans = blocks._schedule(2010, {"block": 50.0, "passes": 3.0}, 0, 1)
+    assert sorted(spans) == sorted([*((50 * k, 50 * k + 50) for k in range(39)), (1950, 2010)] * 3)
+
+
+def test_rank_by_digits(spark):
+    rng = np.random.default_rng(2)
+    values = [*rng.normal(size=300).tolist(), *([0.5] * 50), 0.0, -0.0, float("inf"), float("-inf"), float("nan"), 5e-324, -5e-324, None]
+    df = spark.createDataFrame([(v, None if v is None or v != v or abs(v) > 1e300 else int(1000 * v)) for v in values], "v double, i long").repartition(3)
+    order_of = sorted((v for v in values if v is not None), key=lambda v: (v != v, v), reverse=True)
+    for k in (1, 2, 3, 60, 100, 200, len(order_of)):
+        got, before = order.select_rank(df, "v", k)
+        want = order_of[k - 1]
+        assert (got != got and want != want) or got == want
+        assert before == sum((v != v) > (want != want) or v > want for v in order_of)
+    assert order.select_rank(df, "v", len(order_of) + 1) is None and order.select_rank(df, "v", 0) is None
+    ints = sorted(r["i"] for r in df.collect() if r["i"] is not None)
+    assert [order.select_rank(df, "i", k, descending=False)[0] for k in (1, 100, len(ints))] == [ints[0], ints[99], ints[-1]]
+    assert order.kth_largest(df, "v", 10_000).count() == 0
+
+
+def test_a_large_top_is_that_of_a_sort(spark, monkeypatch):
+    rows = [(i, float((i * 7919) % 13 - 6)) for i in range(400)] + [(400, None)]
+    df = spark.createDataFrame(rows, "j long, w double").repartition(3)
+    monkeypatch.setattr(order, "HEAP", 5)
+    for k in (6, 100, 333, 400, 401):
+        want = sorted(rows, key=lambda r: (r[1] is None, -abs(r[1] or 0), r[0]))[:k]
+        assert sorted(tuple(r) for r in order.top_by_magnitude(df, k).select("j", "w").collect() if r["w"] is not None) == sorted(r for r in want if r[1] is not None)
+
+
+def test_null_groups_and_scores(spark):
+    rows = [("a", 1.0, 0.9), ("a", -1.0, 0.1), (None, 1.0, 0.2), (None, -1.0, 0.8), (None, 1.0, 0.9), (None, -1.0, None), ("a", None, 0.5)]
+    got = {r["g"]: (r["n_pos"], r["n_neg"], r["auc"]) for r in metrics.auc(spark.createDataFrame(rows, "g string, y double, score double"), by=("g",)).collect()}
+    assert got == {"a": (1, 1, 1.0), None: (2, 1, 0.5)}
+
+
+def test_too_few_trials_fail(spark):
+    x, y = data(60, 2)
+    with pytest.raises(Exception, match="fewer than 3 of 2 candidates"):
+        prepare.trial_splits(frame(spark, x, y), 3, 40, (15, 16, 17), 4, 1, candidates=2).collect()
+    with pytest.raises(Exception, match="fewer than 1 of 5 candidates"):
+        prepare.trial_splits(frame(spark, x, y), 1, 40, (99,), 4, 1, candidates=5).collect()
