@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordinata.operators import batch, dual
@@ -435,3 +435,31 @@ def load_model(text: str) -> tuple[dict[str, str], np.ndarray]:
     head, _, body = text.partition("\nw\n")
     fields = dict(line.split(" ", 1) for line in head.split("\n"))
     return fields, np.array([[float(v) for v in line.split()] for line in body.strip().split("\n")]).T
+
+
+def predict_file(spark: SparkSession, test: str, model: str, out: str) -> DataFrame:
+    """Predict the lines of libsvm files by a model's text, write a label a line to ``out`` in their order; (n, acc, mse) against the files' labels.
+
+    Features that the model does not have are ignored; a bias is put behind the others.
+    """
+    from ordinata.sources import libsvm
+
+    head, weights = load_model(model)
+    bias, labels = float(head["bias"]), [float(v) for v in head.get("label", "").split()]
+    table = spark.createDataFrame([([[float(v) for v in w] for w in weights],)], "weights__ array<array<double>>")
+    rows = libsvm.read(spark, test).crossJoin(F.broadcast(table))  # one row
+    width = weights.shape[1] - (bias >= 0)
+    term = lambda w: F.zip_with("indices", "values", lambda j, v: F.when(j < width, v * F.get(w, j)).otherwise(0.0))
+    last = lambda w: F.get(w, F.lit(width)) * bias if bias >= 0 else F.lit(0.0)
+    scores = F.transform("weights__", lambda w: F.aggregate(term(w), F.lit(0.0), lambda a, b: a + b) + last(w))
+    scored = rows.withColumn("s", scores)
+    first = F.get("s", F.lit(0))
+    if not labels:
+        guess = first
+    elif len(weights) == 1:
+        guess = F.when(first > 0, labels[0]).otherwise(labels[1])
+    else:
+        guess = F.element_at(F.array(*map(F.lit, labels)), F.array_position("s", F.array_max("s")).cast("int"))
+    scored = scored.select("row_id", "y", guess.alias("prediction"))
+    scored.select(F.format_string("%s", F.col("prediction").cast("string")).alias("value")).write.mode("overwrite").text(out)
+    return scored.agg(F.count(F.lit(1)).alias("n"), (100 * F.avg((F.col("prediction") == F.col("y")).cast("double"))).alias("acc"), F.avg(F.pow(F.col("prediction") - F.col("y"), 2)).alias("mse"))

@@ -547,6 +547,29 @@ def _trained_sql(kind: str, rounds: int, l1: bool = False) -> str:
 
 QUERIES |= {"linear_lr_l2": _trained(0), "linear_svc_l2": _trained(2), "linear_svc_l1": _trained(5), "linear_lr_l1": _trained(6), "linear_svr_l2": _trained(11)}
 ORACLES |= {"linear_lr_l2": _trained_sql("logistic", 400), "linear_svc_l2": _trained_sql("hinge2", 700), "linear_svr_l2": _trained_sql("svr2", 700), "linear_svc_l1": _trained_sql("hinge2", 1500, True), "linear_lr_l1": _trained_sql("logistic", 1500, True)}
+_SVC = _RECURSIVE + _minimum_sql("hinge2", 700, "e")
+
+
+def _svc_text(spark, d) -> str:
+    w, _ = linear.train(src.embeddings(spark, d), 64, 2)
+    return linear.model_text("L2R_L2LOSS_SVC", [1, -1], w[None])
+
+
+@query(_SVC + " SELECT unnest(range(len(w)))::INT AS j, round(unnest(w), 4) + 0.0 AS w FROM z WHERE t = 700")
+def model_text_roundtrip(spark, d):
+    """A trained model's text, read back."""
+    _, weights = linear.load_model(_svc_text(spark, d))
+    return _r(spark.createDataFrame([(j, float(v)) for j, v in enumerate(weights[0])], "j int, w double"), 4)
+
+
+@query(_SVC + " SELECT count(*) AS n, round(100 * avg((y = p)::INT), 6) AS acc, round(avg((p - y) ** 2), 6) AS mse FROM (SELECT y, CASE WHEN list_dot_product(w, f) > 0 THEN 1.0 ELSE -1.0 END AS p FROM e, z WHERE t = 700)")
+def predict_file(spark, d):
+    """From libsvm files and a model's text to a file of labels."""
+    test, out = store.shared_folder(spark), store.shared_folder(spark)
+    libsvm.write(src.embeddings(spark, d).repartitionByRange(4, "row_id").sortWithinPartitions("row_id"), test)
+    return _r(linear.predict_file(spark, test, _svc_text(spark, d), out))
+
+
 _CLASSES = EMB.replace("WITH e", "WITH RECURSIVE e", 1) + ", h AS (SELECT l AS key, CASE WHEN label = l THEN 1.0 ELSE -1.0 END::DOUBLE AS y, f FROM e, (SELECT unnest(range(10)) AS l))"
 
 
