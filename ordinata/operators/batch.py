@@ -86,6 +86,17 @@ class Rows:
             np.add.at(x, (self.row, self.j), self.values)
         return np.stack([(x * v[:, None]).T @ x for v in c.T])
 
+    def columns(self, chosen: np.ndarray) -> np.ndarray:
+        """[row, chosen feature]."""
+        if self.dense is not None:
+            return self.dense[:, chosen]
+        place = np.full(self.d, -1)
+        place[chosen] = np.arange(len(chosen))
+        inside = place[self.j] >= 0
+        out = np.zeros((len(self.label), len(chosen)))
+        np.add.at(out, (self.row[inside], place[self.j[inside]]), self.values[inside])
+        return out
+
     def under(self, specs: list[Spec], s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """C times loss and its first and second derivative, [row, model]; rows of a model's own fold count nothing."""
         out = np.zeros((3, *s.shape))
@@ -154,6 +165,17 @@ class Family:
         got = self._scan(live, 1 + d + d * d * whole, add)
         return got[:, 0], got[:, 1 : 1 + d], got[:, 1 + d :].reshape(-1, d, d) if whole else None
 
+    def corners(self, live: np.ndarray, w: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        """[model, a, a]: the Hessians at w between the features of each model's row of ``sets``."""
+        a = sets.shape[1]
+
+        def add(rows: Rows, specs: list[Spec], own: np.ndarray) -> np.ndarray:
+            bent = rows.under(specs, rows.scores(w[own]))[2]
+            parts = [(x := rows.columns(sets[k])).T @ (x * bent[:, [i]]) for i, k in enumerate(own)]
+            return np.stack(parts).reshape(len(own), -1)
+
+        return self._scan(live, a * a, add).reshape(-1, a, a)
+
     def bends(self, live: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Hessians at w times the directions v."""
         return self._scan(live, self.d, lambda rows, specs, own: rows.gather(rows.under(specs, rows.scores(w[own]))[2] * rows.scores(v[own])))
@@ -197,6 +219,20 @@ def lasso(h: np.ndarray, g: np.ndarray, w: np.ndarray, rounds: int = 200) -> np.
     return v
 
 
+def _worst(family: Family, live: np.ndarray, w: np.ndarray, g: np.ndarray, grad: np.ndarray) -> np.ndarray:
+    """Steps under the absolute penalty in the WHOLE features of each model that violate its optimality most, by the Hessian between them.
+
+    A violated feature counts by its subgradient, which is weights' own slope where they are not zero, so in the end all features are at rest.
+    """
+    step = np.zeros_like(w)
+    sets = np.zeros((len(w), WHOLE), int)
+    sets[live] = np.sort(np.argsort(-np.abs(grad[live]), axis=1, kind="stable")[:, :WHOLE], axis=1)
+    for k, h in zip(live, family.corners(live, w, sets), strict=True):
+        own = sets[k]
+        step[k, own] = lasso(h + 1e-9 * np.eye(len(own)), g[k, own], w[k, own]) - w[k, own]
+    return step
+
+
 def _penalty(specs: list[Spec], w: np.ndarray) -> np.ndarray:
     return np.array([np.abs(v).sum() if s.l1 else v @ v / 2 for s, v in zip(specs, w, strict=True)])
 
@@ -204,13 +240,14 @@ def _penalty(specs: list[Spec], w: np.ndarray) -> np.ndarray:
 def train(samples: DataFrame, d: int, specs: list[Spec], *, label: str = "y", eps: float = 1e-6, start: np.ndarray | None = None, max_iter: int = 100) -> tuple[np.ndarray, np.ndarray, int]:
     """(weights [model, feature], objectives, scans) of every model of ``specs`` over (label, fold if any, features or indices and values).
 
-    A model stops when its gradient is ``eps`` of the first one's norm, or when a step no longer lowers its objective. The
-    absolute penalty needs the whole Hessian.
+    A model stops when its gradient is ``eps`` of the first one's norm, or when a step no longer lowers its objective. Up to WHOLE
+    features a step uses the whole Hessian. Beyond it, the squared penalty takes products with it, and the absolute penalty
+    steps in the features that violate its optimality most; no matrix of all features is made.
     """
     family = Family(samples, d, specs, label)
     w = np.zeros((len(specs), d)) if start is None else start.astype(float).copy()
     l1 = np.array([s.l1 for s in specs], bool)
-    whole = d <= WHOLE or bool(l1.any())
+    whole = d <= WHOLE
     f, g = np.zeros(len(specs)), np.zeros_like(w)
     h = np.zeros((len(specs), d, d)) if whole else None
     first, live = np.zeros(len(specs)), np.arange(len(specs))
@@ -234,7 +271,10 @@ def train(samples: DataFrame, d: int, specs: list[Spec], *, label: str = "y", ep
             for k in live:
                 step[k] = lasso(h[k] + 1e-9 * np.eye(d), g[k], w[k]) - w[k] if l1[k] else -np.linalg.solve(h[k] + np.eye(d), grad[k])
         else:
-            step = _conjugate(family, live, w, grad)
+            step = np.zeros_like(w)
+            for own, solve in ((live[~l1[live]], lambda own: _conjugate(family, own, w, grad)), (live[l1[live]], lambda own: _worst(family, own, w, g, grad))):
+                if len(own):
+                    step += solve(own)
         now, rate, before = f + _penalty(specs, w), np.ones(len(specs)), (f.copy(), g.copy(), None if h is None else h.copy())
         trying, done = live, []
         for attempt in range(20):

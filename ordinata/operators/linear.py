@@ -105,15 +105,13 @@ def train(samples: DataFrame, d: int, solver: int = 2, c: float = 1.0, eps: floa
 
     ``samples`` has y and either ``features`` or ``indices`` (from 0) and ``values``. With more than ``batch.WHOLE`` features
     the squared penalty takes Newton steps by conjugate gradients, whose products with the Hessian, like the gradient, are
-    one number for each feature from every partition; a line search adds up losses alone. The absolute penalty needs the
-    Hessian and so refuses more than 16 times as many.
+    one number for each feature from every partition; a line search adds up losses alone. The absolute penalty then steps in the
+    features that violate its optimality most.
     """
     eps = DEFAULT_EPS[solver] if eps is None else eps
     if problem := check_parameters(solver, c, eps, p):
         raise ValueError(problem)
-    if solver in L1 and d > 16 * batch.WHOLE:
-        raise ValueError(f"the absolute penalty takes {16 * batch.WHOLE} features at most")
-    w, f, _ = batch.train(samples, d, [spec(solver, c, p, weights=weights or {})], eps=min(eps, 1e-6), start=None if start is None else start[None], max_iter=max_iter)
+    w, f, _ = batch.train(samples, d, [spec(solver, c, p, weights=weights or {})], eps=min(eps, 1e-6), start=None if start is None else start[None], max_iter=max_iter if solver not in L1 or d <= batch.WHOLE else 10 * max_iter)
     return w[0], float(f[0])
 
 

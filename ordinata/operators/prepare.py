@@ -108,10 +108,12 @@ def trial_splits(samples: DataFrame, trials: int, train_rows: int, positives: tu
     by_fold = train.groupBy("candidate", "inner").agg(F.count_if(F.col("y") > 0).alias("p"), F.count_if(F.col("y") <= 0).alias("n"))
     passed = by_fold.groupBy("candidate").agg(F.sum("p").alias("p"), F.min("n").alias("least")).where(F.col("p").isin(*positives) & (F.col("least") >= least_negatives))
     numbered = passed.select("candidate", (F.row_number().over(Window.orderBy("candidate")) - 1).alias("trial")).where(F.col("trial") < trials)  # ``candidates`` rows at most
-    enough = numbered.agg(F.when(F.count(F.lit(1)) < trials, F.raise_error(F.lit(f"fewer than {trials} of {candidates} candidates pass")).cast("boolean")).otherwise(F.lit(True)).alias("enough__"))
-    rows = drawn.join(F.broadcast(numbered), "candidate", "right").crossJoin(F.broadcast(enough)).where("enough__").drop("enough__")  # one row
+    rows = drawn.join(F.broadcast(numbered), "candidate")
     inside = F.col("position") < train_rows
-    return rows.select("trial", row, F.when(inside, "tr").otherwise("te").alias("role"), F.when(inside, fold).alias("inner"))
+    out = rows.select("trial", row, F.when(inside, "tr").otherwise("te").alias("role"), F.when(inside, fold).alias("inner"))
+    short = F.raise_error(F.lit(f"fewer than {trials} of {candidates} candidates pass")).cast("boolean")
+    checked = numbered.agg(F.count(F.lit(1)).alias("n")).where(F.when(F.col("n") < trials, short).otherwise(F.lit(False)))  # never a row
+    return out.unionByName(checked.select(*(F.lit(None).cast(t).alias(c) for c, t in out.dtypes)))
 
 
 def grid(spark, **axes: list[float]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordinata.functions import vector as vf
-from ordinata.operators import blocks, dual, experiments, graph, learners, linear, losses, metrics, order, prepare, report, saddle, scan, store
+from ordinata.operators import blocks, dual, experiments, graph, learners, linear, losses, metrics, order, prepare, report, saddle, scan, sketch, store
 from ordinata.sources import libsvm
 from ordinata.sources import samples as src
 
@@ -831,6 +831,30 @@ def class_cov_running(spark, d):
     return _r(scan.running_moments(src.embeddings(spark, d), 0, 1, ranges=8))
 
 
+@query(EMB + ", h AS (SELECT row_id, md5(row_id || '-0') AS h FROM e), g AS (SELECT row_id, k, 2 * ((('0x' || substr(h, 1 + k // 4, 1))::INT >> (3 - k % 4)) & 1) - 1 AS s FROM h, (SELECT unnest(range(16))::INT AS k)), l AS (SELECT row_id, (y > 0)::INT AS class, unnest(range(len(f)))::INT AS j, unnest(f) AS v FROM e) SELECT class, j, k, round(sum(v * s), 5) + 0.0 AS z FROM l JOIN g USING (row_id) GROUP BY 1, 2, 3")
+def sketch_hashed(spark, d):
+    """The hashed projections of both classes, 16 numbers a feature."""
+    return _r(sketch.hashed(src.embeddings(spark, d), 64, 16), 5)
+
+
+@query(LONG.replace("WITH e", "WITH RECURSIVE e", 1) + """, n AS (SELECT count(*) FILTER (WHERE y > 0)::DOUBLE AS np, count(*) FILTER (WHERE y <= 0)::DOUBLE AS nn FROM e),
+mm AS (SELECT j, avg(v) FILTER (WHERE y > 0) AS posi, avg(v) FILTER (WHERE y <= 0) AS nega FROM l GROUP BY j),
+cc AS (SELECT a.j, b.j AS k, sum(CASE WHEN a.y > 0 THEN a.v * b.v ELSE 0 END) / max(np) + sum(CASE WHEN a.y > 0 THEN 0 ELSE a.v * b.v END) / max(nn) AS s FROM l a JOIN l b USING (row_id), n GROUP BY 1, 2),
+aa AS (SELECT cc.j, list(s - x.posi * z.posi - x.nega * z.nega + (x.posi - x.nega) * (z.posi - z.nega) + CASE WHEN cc.j = cc.k THEN 0.1 ELSE 0 END ORDER BY cc.k) AS row, max(x.posi - x.nega) AS gap FROM cc JOIN mm x ON x.j = cc.j JOIN mm z ON z.j = cc.k GROUP BY cc.j),
+m AS (SELECT list(row ORDER BY j) AS a, list(gap ORDER BY j) AS b, sum(row[j + 1]) AS top FROM aa),
+z AS (
+  SELECT 0 AS t, list_transform(b, lambda x: 0.0::DOUBLE) AS w, list_transform(b, lambda x: 0.0::DOUBLE) AS v FROM m
+  UNION ALL
+  SELECT t + 1 AS t, u AS w, list_transform(list_zip(u, w), lambda k: k[1] + (sqrt(top / 0.1) - 1) / (sqrt(top / 0.1) + 1) * (k[1] - k[2])) AS v FROM (
+    SELECT z.*, top, list_transform(range(1, len(v) + 1), lambda j: v[j] - (list_dot_product(m.a[j], v) - m.b[j]) / top) AS u FROM z, m WHERE t < 300))
+SELECT unnest(range(len(w)))::INT AS j, round(unnest(w), 5) + 0.0 AS w FROM z WHERE t = 300""")
+def fit_pairwise(spark, d):
+    """The least mean square over all pairs of a positive and a negative row, from class moments."""
+    w = sketch.fit_pairwise(src.embeddings(spark, d), 64, 0.1)
+    return _r(spark.createDataFrame([(j, float(v)) for j, v in enumerate(w)], "j int, w double"), 5)
+
+
+QUERIES["fit_pairwise_directions"] = lambda spark, d: _vector(spark, sketch.fit_pairwise(src.embeddings(spark, d).repartition(8, "row_id"), 64, 0.1, "directions", 32))
 _HSG_GRID = experiments.settings(experiments.GRIDS["hsg_ht"], xi=0.5, zeta=2.0)
 
 

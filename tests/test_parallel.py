@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ordinata.operators import batch, blocks, dual, learners, linear, metrics, order, prepare, saddle, scan, store
+from ordinata.operators import batch, blocks, dual, learners, linear, metrics, order, prepare, saddle, scan, sketch, store
+from ordinata.sources import samples as src
 from tests.test_estimators import data, frame
 
 
@@ -223,3 +224,49 @@ def test_too_few_trials_fail(spark):
         prepare.trial_splits(frame(spark, x, y), 3, 40, (15, 16, 17), 4, 1, candidates=2).collect()
     with pytest.raises(Exception, match="fewer than 1 of 5 candidates"):
         prepare.trial_splits(frame(spark, x, y), 1, 40, (99,), 4, 1, candidates=5).collect()
+
+
+@pytest.mark.parametrize("solver", [5, 6])
+def test_absolute_penalty_on_many_features(spark, solver):
+    """7,129 features of 40 rows, dense and sparse: every feature meets its optimality condition."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(40, 7129)) * (rng.random((40, 7129)) < 0.5), np.where(np.arange(40) % 2, 1.0, -1.0)
+    rows = frame(spark, x, y)
+    for df in (rows, src.to_sparse(rows)) if solver == 5 else (rows,):
+        w, f = linear.train(df, 7129, solver, 0.5)
+        kind = linear.SOLVERS[solver]
+        loss, slope, _ = batch.terms(kind, y, x @ w, 0.1)
+        g = 0.5 * slope @ x
+        assert np.abs(np.where(w != 0, g + np.sign(w), np.maximum(np.abs(g) - 1, 0))).max() < 1e-3
+        assert f == pytest.approx(np.abs(w).sum() + 0.5 * loss.sum()) and 0 < np.count_nonzero(w) <= 40
+
+
+def test_sketches_merge_within_their_bounds(spark):
+    """Frequent directions of 1, 4 and 16 partitions; hashed projections add up to the same whatever the partitions."""
+    x, y = data(400, 8)
+    x = x * np.array([5, 3, 2, 1, 1, 0.5, 0.5, 0.1])
+    rows, tau, seen = frame(spark, x, y), 6, []
+    for parts in (1, 4, 16):
+        df = rows.repartition(parts)
+        for own, kept in sketch.directions(df, 8, tau).items():
+            whole = x[(y > 0) == own]
+            gaps = np.linalg.eigvalsh(whole.T @ whole - kept.T @ kept)
+            assert len(kept) <= tau and gaps.min() > -1e-6 * (whole**2).sum() and gaps.max() <= (whole**2).sum() / (tau // 2)
+        seen.append(sorted((r["class"], r["j"], r["k"], round(r["z"], 9)) for r in sketch.hashed(df, 8, 5).collect()))
+    assert seen[0] == seen[1] == seen[2]
+    z = sum(np.outer(v, sketch.signs(i, 5)) for i, v in enumerate(x) if y[i] > 0)
+    assert np.allclose(z.ravel(), [r[3] for r in seen[0] if r[0] == 1])
+
+
+def test_pairwise_weights(spark):
+    """Against all pairs; sketches that keep everything agree, and small ones rank nearly as well."""
+    x, y = data(200, 6)
+    rows = frame(spark, x, y).repartition(3)
+    pairs = (x[y > 0][:, None] - x[y <= 0][None]).reshape(-1, 6)
+    want = np.linalg.solve(pairs.T @ pairs / len(pairs) + 0.1 * np.eye(6), pairs.mean(0))
+    assert sketch.fit_pairwise(rows, 6, 0.1) == pytest.approx(want, abs=1e-9)
+    assert sketch.fit_pairwise(rows, 6, 0.1, "directions", 12) == pytest.approx(want, abs=1e-6)
+    exact, rough = (learners._rank_auc(y, x @ w) for w in (want, sketch.fit_pairwise(rows, 6, 0.1, "hashed", 64)))
+    assert rough > exact - 0.05
+    with pytest.raises(ValueError, match="classes"):
+        sketch.fit_pairwise(rows.where("y > 0"), 6, 0.1)
