@@ -267,3 +267,26 @@ def test_pairwise_weights(spark):
     assert rough > exact - 0.05
     with pytest.raises(ValueError, match="classes"):
         sketch.fit_pairwise(rows.where("y > 0"), 6, 0.1)
+
+
+def test_small_steps_are_walked_in_legs(samples, monkeypatch):
+    """The sequential learners without a job for each step: by parts, by passes, and with larger steps between."""
+    x, y, df = samples
+    jobs = []
+    summed = blocks.block_sums
+    monkeypatch.setattr(blocks, "block_sums", lambda *a: jobs.append(a) or summed(*a))
+    grids = {
+        "sht_auc": [{"xi": 0.3, "block": 10, "k": k, "passes": 2, "version": v, "l2": 0.1} for k, v in ((2, 0), (3, 1), (5, 2))],
+        "stoiht": [{"xi": 0.5, "block": b, "k": 2, "l2": 0.01, "passes": 2} for b in (7, 50)],
+        "hsg_ht": [{"xi": 0.5, "tau": 3, "zeta": 2.0, "k": 3, "passes": 2}],
+    }
+    for room, most in ((1 << 20, 0), (40, 6)):
+        for method, grid in grids.items():
+            jobs.clear()
+            got = blocks.fit(df, method, grid, parts=4, part_bytes=room * 8 * 5)
+            for w, p in zip(got, grid, strict=True):
+                assert w == pytest.approx(learners.REGISTRY[method](x, y, p, learners._schedule(len(y), p, 0, 1)), abs=1e-12)
+            assert len(jobs) <= most
+    w = blocks.fit(df, "stoiht", [{"xi": 0.5, "block": 10, "k": 2}], steps=40)
+    assert w[0] == pytest.approx(learners.REGISTRY["stoiht"](x, y, {"xi": 0.5, "block": 10, "k": 2}, learners._schedule(150, {"block": 10}, 40, 1)), abs=1e-12)
+    assert blocks.legs([(0, 2), (2, 9), (9, 10), (10, 12)], 3, 3) == [(0, 1), (1, 2), (2, 4)]
