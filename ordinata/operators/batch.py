@@ -237,12 +237,15 @@ def _penalty(specs: list[Spec], w: np.ndarray) -> np.ndarray:
     return np.array([np.abs(v).sum() if s.l1 else v @ v / 2 for s, v in zip(specs, w, strict=True)])
 
 
-def train(samples: DataFrame, d: int, specs: list[Spec], *, label: str = "y", eps: float = 1e-6, start: np.ndarray | None = None, max_iter: int = 100) -> tuple[np.ndarray, np.ndarray, int]:
+def train(samples: DataFrame, d: int, specs: list[Spec], *, label: str = "y", eps: float = 1e-6, start: np.ndarray | None = None, max_iter: int = 100, carry: dict | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """(weights [model, feature], objectives, scans) of every model of ``specs`` over (label, fold if any, features or indices and values).
 
     A model stops when its gradient is ``eps`` of the first one's norm, or when a step no longer lowers its objective. Up to WHOLE
     features a step uses the whole Hessian. Beyond it, the squared penalty takes products with it, and the absolute penalty
     steps in the features that violate its optimality most; no matrix of all features is made.
+
+    ``carry`` hands the sums at the last weights to a next call that differs in C alone and starts from those weights: all sums are
+    in proportion to C, so it needs no scan for them.
     """
     family = Family(samples, d, specs, label)
     w = np.zeros((len(specs), d)) if start is None else start.astype(float).copy()
@@ -258,7 +261,15 @@ def train(samples: DataFrame, d: int, specs: list[Spec], *, label: str = "y", ep
         if whole:
             h[own] = found[2]
 
-    take(live, w)
+    cost = np.array([s.c for s in specs])
+    known = np.zeros(len(specs), bool)  # of which f, g and h are those at w
+    if carry:
+        known, ratio = carry["known"].copy(), cost / carry["cost"]
+        f, g = carry["f"] * ratio, carry["g"] * ratio[:, None]
+        h = carry["h"] * ratio[:, None, None] if whole else None
+    if not known.all():
+        take(live[~known], w)
+    known[:] = True
     for _ in range(max_iter):
         grad = g + np.where(l1[:, None], np.where(w != 0, np.sign(w), np.clip(-g, -1, 1)), w)
         norm = np.linalg.norm(grad, axis=1)
@@ -300,8 +311,12 @@ def train(samples: DataFrame, d: int, specs: list[Spec], *, label: str = "y", ep
         f[short] = value[short]
         ended = moved[now[moved] - after[moved] <= 1e-12 * np.maximum(1.0, np.abs(now[moved]))]
         live = np.setdiff1d(moved, ended)
+        known[short] = False
         if len(own := np.intersect1d(short, live)):
             take(own, w)
+            known[own] = True
         if not len(live):
             break
+    if carry is not None:
+        carry |= {"known": known, "cost": cost, "f": f, "g": g, "h": h}
     return w, f + _penalty(specs, w), family.scans

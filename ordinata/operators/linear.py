@@ -368,22 +368,27 @@ def first_c(samples: DataFrame, solver: int, p: float = 0.1) -> float:
 def search_c(samples: DataFrame, d: int, solver: int = 2, folds: int = 5, seed: int = 1, start: float | None = None, most: float = 1024.0, p: float = 0.1) -> list[tuple[float, float]]:
     """(C, score) along C = start, 2 start, ...: the held-out accuracy, or for a regression the mean squared error.
 
-    The folds' models share their scans, and each starts from its weights at the last C. The search ends after five C in a row that move no weights, or
-    beyond ``most``. The first best entry is ``best_c``.
+    The folds' models share their scans, and each starts from its weights and sums at the last C, so a C costs a scan for each Newton step. The scores of
+    all C are one scan at the end. The search ends after five C in a row that move no weights, or beyond ``most``. The first best entry is ``best_c``.
     """
     placed = samples.select("row_id", "y", "features").join(random_folds(samples, folds, seed), "row_id").cache()
     try:
-        c, still, warm, path = start or first_c(samples, solver, p), 0, None, []
+        c, still, warm, path, found, carry = start or first_c(samples, solver, p), 0, None, [], [], {}
         while c <= most:
-            models = batch.train(placed, d, [spec(solver, c, p, held=k) for k in range(folds)], eps=1e-6, start=warm)[0]
+            models = batch.train(placed, d, [spec(solver, c, p, held=k) for k in range(folds)], eps=1e-6, start=warm, carry=carry)[0]
             moved = warm is None or bool((np.linalg.norm(models - warm, axis=1) > 1e-15).any())
-            scored = with_scores(placed, models).withColumn("s", F.get("s", F.col("fold")))
-            hit = F.pow(F.col("s") - F.col("y"), 2) if SOLVERS[solver] == "svr2" else ((F.col("s") > 0) == (F.col("y") > 0)).cast("double")
-            path.append((c, float(scored.agg(F.avg(hit).alias("score")).first()["score"])))
+            path.append(c)
+            found.append(models)
             warm, still, c = models, 0 if moved else still + 1, 2 * c
             if still == 5:
                 break
-        return path
+        if not path:
+            return []
+        scored = with_scores(placed, np.concatenate(found))
+        own = [F.get("s", F.col("fold") + k * folds) for k in range(len(path))]
+        hits = [F.pow(s - F.col("y"), 2) if SOLVERS[solver] == "svr2" else ((s > 0) == (F.col("y") > 0)).cast("double") for s in own]
+        scores = scored.agg(*(F.avg(hit).alias(f"s{k}") for k, hit in enumerate(hits))).first()
+        return [(c, float(score)) for c, score in zip(path, scores, strict=True)]
     finally:
         placed.unpersist()
 

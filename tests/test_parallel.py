@@ -290,3 +290,30 @@ def test_small_steps_are_walked_in_legs(samples, monkeypatch):
     w = blocks.fit(df, "stoiht", [{"xi": 0.5, "block": 10, "k": 2}], steps=40)
     assert w[0] == pytest.approx(learners.REGISTRY["stoiht"](x, y, {"xi": 0.5, "block": 10, "k": 2}, learners._schedule(150, {"block": 10}, 40, 1)), abs=1e-12)
     assert blocks.legs([(0, 2), (2, 9), (9, 10), (10, 12)], 3, 3) == [(0, 1), (1, 2), (2, 4)]
+
+
+def test_search_of_c_scans_once_a_step(samples, monkeypatch):
+    """Each C goes on from the last one's sums; the path is that of models scanned and scored for each C by itself."""
+    x, y, df = samples
+    scans, train = [], batch.train
+
+    def counted(*a, **k):
+        out = train(*a, **k)
+        scans.append(out[2])
+        return out
+
+    monkeypatch.setattr(batch, "train", counted)
+    for solver in (2, 11):
+        scans.clear()
+        path = linear.search_c(df, 5, solver, 3, start=0.001, most=0.1)
+        carried = scans.copy()
+        placed, warm, plain = df.join(prepare.random_folds(df, 3, 1), "row_id").cache(), None, []
+        scans.clear()
+        for c, _ in path:
+            warm = batch.train(placed, 5, [linear.spec(solver, c, 0.1, held=k) for k in range(3)], eps=1e-6, start=warm)[0]
+            rows = placed.toPandas()
+            s = np.array([np.dot(f, warm[k]) for f, k in zip(rows["features"], rows["fold"], strict=True)])
+            plain.append((c, ((s - rows["y"]) ** 2).mean() if solver == 11 else ((s > 0) == (rows["y"] > 0)).mean()))
+        placed.unpersist()
+        assert np.array(path) == pytest.approx(np.array(plain), abs=1e-9)
+        assert carried[0] == scans[0] and all(a == b - 1 for a, b in zip(carried[1:], scans[1:], strict=True))
