@@ -45,6 +45,7 @@ def mean_variance(df: DataFrame, value: str) -> DataFrame:
 
 
 def support(vector: DataFrame, least: float = 0.0, task: tuple[str, ...] = ()) -> DataFrame:
-    """By task, the number and the sorted positions of the weights whose magnitude exceeds ``least``."""
+    """By task, the number and the sorted positions of the weights whose magnitude exceeds ``least``; null positions where there are none."""
     kept = vector.where(F.abs("w") > least)
-    return kept.groupBy(*task).agg(F.count(F.lit(1)).alias("n_nonzero"), F.array_join(F.array_sort(F.collect_list("j")), ",").alias("positions"))  # one vector's positions
+    listed = F.array_join(F.array_sort(F.collect_list("j")), ",")  # one vector's positions
+    return kept.groupBy(*task).agg(F.count(F.lit(1)).alias("n_nonzero"), F.when(F.count(F.lit(1)) > 0, listed).alias("positions"))

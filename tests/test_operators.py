@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ordinata.operators import batch, graph, learners, linear, metrics, order, prepare
+from ordinata.operators import batch, graph, learners, linear, metrics, order, prepare, report
 from ordinata.operators.prefix import running
 from ordinata.plans import catalogue
 from ordinata.sources import samples as src
@@ -220,3 +220,10 @@ def test_strong_pruning_is_near_the_best():
 def test_projection_meets_the_size():
     w = np.random.default_rng(3).normal(size=25)
     assert 4 <= len(graph.project(graph.grid_edges(5, 5), w, 4, 8)) <= 8
+
+
+def test_support_without_weights_is_null(spark):
+    """As SQL's string_agg over no rows; a magnitude at the bound does not count."""
+    v = spark.createDataFrame([(0, 0.01), (1, -0.01), (2, None)], "j int, w double")
+    assert [tuple(r) for r in report.support(v, 0.01).collect()] == [(0, None)]
+    assert [tuple(r) for r in report.support(v, 0.001).collect()] == [(2, "0,1")]
