@@ -290,3 +290,22 @@ def test_staged_learner_ranks_within_its_ball(rounds):
     w = learners.solam_staged(x, y, {"radius": 1.0, "eta": 0.5, "projections": rounds}, np.array([]))
     assert np.abs(w).sum() <= 1 + 1e-9
     assert learners._rank_auc(y, x @ w) > 0.75
+
+
+def test_training_streams_its_rows(spark, monkeypatch):
+    """The proximal learner sees pieces of a group, never a whole one, whatever cuts the pieces; other learners agree with the plain call."""
+    x, y, rows = folded(spark)
+    rows = rows.withColumn("g", F.when(F.col("row_id") % 2 == 0, F.lit("a")))  # a null group is a group
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for method, p in (("spam", {"xi": 1.0, "l2": 0.1}), ("sht_auc", {"xi": 0.5, "block": 5.0, "k": 2.0})):
+            got = {(r["g"], r["held"]): r["auc"] for r in experiments.cross_validate(rows, 3, method, [p], ("g",)).collect()}
+            assert len(got) == 6
+            k, half = np.arange(len(y)) % 3, np.arange(len(y)) % 2
+            for (g, held), auc in got.items():
+                own, test = (half == (g is None)) & (k != held), (half == (g is None)) & (k == held)
+                w = learners.REGISTRY[method](x[own], y[own], p, learners._schedule(int(own.sum()), p, 0, 1))
+                assert auc == pytest.approx(learners._rank_auc(y[test], x[test] @ w), abs=1e-12)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
