@@ -309,3 +309,17 @@ def test_training_streams_its_rows(spark, monkeypatch):
                 assert auc == pytest.approx(learners._rank_auc(y[test], x[test] @ w), abs=1e-12)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_traced_steps_are_ranked_in_cells(spark, monkeypatch):
+    """Walking ranks nothing; blocks of a few rows give the AUC of all rows, ties between the classes counting half."""
+    x, y = data(60, 3)
+    x = np.round(x)  # ties
+    tasks = spark.createDataFrame([(k, "spam", {"xi": 0.5, "l2": 0.1 * k}, 0, 1) for k in (1, 2)], "task_id long, method string, params map<string,double>, steps long, seed long")
+    rows = frame(spark, x, y).crossJoin(tasks.select("task_id"))
+    want = {}
+    for k in (1, 2):
+        learners.spam(x, y, {"xi": 0.5, "l2": 0.1 * k, "watch": lambda t, w, k=k: want.update({(k, t): learners._rank_auc(y, np.einsum("ij,j->i", x, w))} if t % 4 == 1 else {})}, np.array([]))
+    monkeypatch.setattr(learners, "_rank_auc", None)
+    got = {(r["task_id"], r["step"]): r["auc"] for r in learners.trace(rows, tasks, 4, rank_rows=9).collect()}
+    assert got == pytest.approx(want, abs=1e-12) and len(got) == 30
