@@ -323,3 +323,16 @@ def test_traced_steps_are_ranked_in_cells(spark, monkeypatch):
     monkeypatch.setattr(learners, "_rank_auc", None)
     got = {(r["task_id"], r["step"]): r["auc"] for r in learners.trace(rows, tasks, 4, rank_rows=9).collect()}
     assert got == pytest.approx(want, abs=1e-12) and len(got) == 30
+
+
+def test_moats_do_not_go_through_the_edges_for_each_event():
+    class Edges(list):
+        passes = 0
+
+        def __iter__(self):
+            Edges.passes += 1
+            return super().__iter__()
+
+    prizes = np.random.default_rng(2).random(36) ** 2
+    plain = graph.grid_edges(6, 6, 0.1)
+    assert graph.steiner_forest(Edges(plain), prizes) == graph.steiner_forest(plain, prizes) and Edges.passes < 8
