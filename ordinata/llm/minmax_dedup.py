@@ -18,9 +18,10 @@ Plan, none of whose steps gathers a group in one task or emits all pairs of a gr
    the hub. Of the documents that are left so, two that lie in different components and reach the threshold share one of
    the first shingles of both, if each document's shingles are
    ordered by how many of these documents have them and those that no other component has come first; a document with
-   n shingles, of which t must be common, shows the first n - t + 1. So each such shingle is a group, in which blocks of
-   bounded size meet, and a pair becomes a candidate only where what follows the shingle in both documents can still make
-   up the common part. Candidates are made distinct, so each pair is compared once, in tiles of documents of one hub;
+   n shingles, of which t must be common, shows the first n - t + 1. So each such shingle is a group, in which blocks
+   meet in tasks of their own, the number and the size of the blocks both growing with the root of the group's, and a pair
+   becomes a candidate only where what follows the shingle in both documents can still make up the common part.
+   Candidates are made distinct, so each pair is compared once, in tiles of documents of one hub;
 6. connected components of all links, carried back to the members of the classes.
 
 Joins on a bucket, hub, shingle or digest, any of which may hold a third of all rows, broadcast what belongs to the few
@@ -53,6 +54,8 @@ BANDS, ROWS = 30, 5
 BROADCAST_IDS = 1_000_000
 #: About so many pairs of a hub are confirmed in one tile, and so many documents of a hub are one side of a later tile.
 STAR_TILE, CELL = 64, 128
+#: So many pairs of two blocks are compared at once.
+STRIPE_PAIRS = 1 << 18
 #: Rows of an Arrow batch where they hold whole texts or sets of documents that have candidates.
 SET_ROWS = 128
 _BLOCK = 4096
@@ -243,34 +246,47 @@ def prefixes(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def candidates(first: DataFrame, percent: int, *, block: int = 128) -> DataFrame:
-    """Distinct (tile, a, b) of different components that share one of their first shingles and have room for the threshold.
+def dealt(first: DataFrame, *, block: int = 128) -> DataFrame:
+    """(s, i, j, own, doc_id, c, n, room, cell): the documents of each shingle that more than one component has, dealt into blocks, each two of which meet.
 
-    The documents of a shingle are dealt into blocks, and each two blocks meet in a task of their own.
+    A shingle of m documents has the root of m / ``block`` blocks, so its copies grow with the power 1.5 of m, and each block has about the
+    root of m * ``block`` documents.
     """
-    sizes = first.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s", "m", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    blocks = F.ceil(F.sqrt(F.col("m") / block)).cast("int")
+    sizes = first.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s", "m", blocks.alias("blocks"))
     grouped = join_with_hot_keys(first, sizes, "s", "m", first.count()).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     met = grouped.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = met.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "c", "n", "room", "cell")
+    return met.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "c", "n", "room", "cell")
+
+
+def candidates(first: DataFrame, percent: int, *, block: int = 128) -> DataFrame:
+    """Distinct (tile, a, b) of different components that share one of their first shingles and have room for the threshold.
+
+    Each meeting of two blocks is a task's group of its own, compared a stripe at a time.
+    """
+    rows = dealt(first, block=block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
             own, ids, c, n, room, cell = (group.column(k).to_numpy() for k in range(3, 9))
             i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            x, y = left[:, None], right[None, :]
-            total = n[x].astype(np.int64) + n[y]
-            fits = (c[x] != c[y]) & ((100 + percent) * np.minimum(room[x], room[y]).astype(np.int64) >= percent * total)
-            if i == j:
-                fits &= ids[x] < ids[y]
-            at, to = np.nonzero(fits)
-            at, to = left[at], right[to]
-            swap = ids[at] > ids[to]
-            at, to = np.where(swap, to, at), np.where(swap, at, to)
-            tile = mix(mix(cell[at].view(np.uint64)) + cell[to].view(np.uint64)).view(np.int64)
-            for k in range(0, len(at), 20_000):
-                part = slice(k, k + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(tile[part]), pa.array(ids[at[part]]), pa.array(ids[to[part]])], names=["tile", "a", "b"])
+            y = right[None, :]
+            stripe = max(1, STRIPE_PAIRS // len(right)) if len(right) else 1
+            for start in range(0, len(left) if len(right) else 0, stripe):
+                x = left[start : start + stripe, None]
+                total = n[x].astype(np.int64) + n[y]
+                fits = (c[x] != c[y]) & ((100 + percent) * np.minimum(room[x], room[y]).astype(np.int64) >= percent * total)
+                if i == j:
+                    fits &= ids[x] < ids[y]
+                at, to = np.nonzero(fits)
+                at, to = x[at, 0], right[to]
+                swap = ids[at] > ids[to]
+                at, to = np.where(swap, to, at), np.where(swap, at, to)
+                tile = mix(mix(cell[at].view(np.uint64)) + cell[to].view(np.uint64)).view(np.int64)
+                for k in range(0, len(at), 20_000):
+                    part = slice(k, k + 20_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(tile[part]), pa.array(ids[at[part]]), pa.array(ids[to[part]])], names=["tile", "a", "b"])
         release()
 
     return rows.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").mapInArrow(run, "tile long, a long, b long").distinct()

@@ -419,6 +419,23 @@ def test_a_family_costs_fewer_comparisons_than_its_pairs(spark, monkeypatch):
     assert all(r["kept"] for r in got) and sum(counted) < 300 * 299 / 2 / 4
 
 
+def test_copies_of_a_common_shingle_grow_less_than_its_square(spark, monkeypatch):
+    """400 and 1,600 documents of one shingle: each pair of two components meets once, in stripes, with at most 8 times the copies."""
+    monkeypatch.setattr(minmax_dedup, "STRIPE_PAIRS", 50)
+    made = {}
+    for m in (400, 1600):
+        rng = random.Random(m)
+        rows = [(1, d, d // 3, n := rng.randrange(20, 30), n - rng.randrange(5), d % 7) for d in range(m)]
+        rows += [(2, *r[1:]) for r in rows[:4]]
+        first = spark.createDataFrame(rows, "s long, doc_id long, c long, n int, room int, cell long")
+        made[m] = minmax_dedup.dealt(first, block=4).count()
+        if m == 400:
+            got = [(r["a"], r["b"]) for r in minmax_dedup.candidates(first, 80, block=4).collect()]
+            fit = {(p[1], q[1]) for p in rows[:m] for q in rows[:m] if p[1] < q[1] and p[2] != q[2] and 180 * min(p[4], q[4]) >= 80 * (p[3] + q[3])}
+            assert len(set(got)) == len(got) and set(got) == fit
+    assert made[1600] <= 8.1 * made[400] and made[400] <= 400 * 10 + 4
+
+
 def test_hot_keys_join_like_any(spark):
     rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 500 + [2] * 3 + [3])], "k long, v long")
     info = rows.groupBy("k").count().where("k < 3").withColumn("x", F.col("k") * 10)
